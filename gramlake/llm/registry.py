@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gramlake.llm import decontamination, language, packing, quality, tokens, webtext
+from gramlake.llm import decontamination, language, neardup, packing, quality, tokens, webtext
 
-_MODULES = (webtext, tokens, quality, decontamination, language, packing)
+_MODULES = (webtext, tokens, neardup, quality, decontamination, language, packing)
 
 
 def queries() -> dict:
