@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gramlake.llm import decontamination, embeddings, language, neardup, packing, quality, tokens, webtext
+from gramlake.llm import decontamination, embeddings, language, linededup, neardup, packing, pii, quality, tokens, webtext
 
-_MODULES = (embeddings, webtext, tokens, neardup, quality, decontamination, language, packing)
+_MODULES = (embeddings, webtext, tokens, pii, neardup, quality, linededup, decontamination, language, packing)
 
 
 def queries() -> dict:
