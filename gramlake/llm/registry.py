@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from gramlake.llm import decontamination, embeddings, language, linededup, neardup, packing, pii, quality, tokens, webtext
 
 _MODULES = (embeddings, webtext, tokens, pii, neardup, quality, linededup, decontamination, language, packing)
 
 
 def queries() -> dict:
-    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
