@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from gramlake.jobs import linear_jobs, table_jobs
 
+_MODULES = (linear_jobs, table_jobs)
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+
+flagship = linear_jobs.flagship
