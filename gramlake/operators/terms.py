@@ -221,6 +221,13 @@ class Plan:
         self.names = self._names("x")
         self.z_names = self._names("z") if design.instruments else []
 
+    def __getstate__(self):
+        """What a kernel on a worker needs: names and levels, no expressions."""
+        d = self.design
+        bare = Design(list(d.y), [], instruments=[Term([], [])] if d.instruments else [], weights=d.weights, intercept=d.intercept)
+        blocks = {p: ([Term(t.names, [], t.by) for t in done], levels, full) for p, (done, levels, full) in self.blocks.items()}
+        return {"design": bare, "blocks": blocks, "names": self.names, "z_names": self.z_names}
+
     def _parts(self, part: str):
         """Each term with its levels and how many of them are dropped for the constant."""
         done, levels, full = self.blocks[part]
