@@ -13,6 +13,8 @@ from gramlake.llm.common import U64, cut, mix, read, span_hashes, text_slices, t
 ROLL, MEAN_LINES = 2, 3
 #: A line of at least this many words is a chunk of its own.
 LONG_WORDS = 50
+#: Stands for a null key while texts meet lists of chunks; null keys have no chunks.
+NO_KEY = -(1 << 63)
 _STEP = U64(0xC6BC279692B5C323)
 
 
@@ -101,26 +103,26 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", carry:
     A chunk that occurs again, in the same document or another, goes; its first place (least key, then
     least line) stays. Chunks meet by a 128-bit hash (a shuffle of hashes alone); of those that repeat,
     the bytes are compared with the first place's before anything goes (a shuffle of repeated chunks), and
-    lists of removed chunks meet the texts (a shuffle of the table). Lines that remain keep their order
+    lists of removed chunks meet the texts (one shuffle of the table, used for both). Lines that remain keep their order
     and bytes. A null text stays null; texts that were repeated whole become empty; rows with a null key
     stay as they are; rows with equal keys are one document, whose later rows lose what its first place
     doesn't cover. An empty table gives no rows.
     """
+    names = [f"c{i}" for i in range(len(carry))]
+    others = [docs[c].alias(n) for c, n in zip(carry, names, strict=True)]
     own = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
-    known = own.where("k is not null and t is not null")
-    found = cut(known.mapInArrow(_find, "k long, c long, h1 long, h2 long"))
+    found = cut(own.where("k is not null and t is not null").mapInArrow(_find, "k long, c long, h1 long, h2 long"))
     counted = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("k").alias("fk")).where("n > 1")
     places = found.join(counted, ["h1", "h2"])
     firsts = places.where("k = fk").groupBy("h1", "h2", "fk").agg(F.min("c").alias("fc"))
     later = cut(found.join(firsts, ["h1", "h2"]).where("k <> fk or c <> fc").select("k", "c", "fk", "fc"))
     need = later.select("k", "c").union(later.select("fk", "fc").distinct()).distinct().groupBy("k").agg(F.collect_list("c").alias("cs"))
-    bodies = cut(known.join(need, "k").select("k", "t", "cs").mapInArrow(_texts, "k long, c long, u string").distinct())
+    # the same rows, dealt by the same key, meet both lists: the texts are shuffled once
+    rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_KEY)).alias("k"), docs[text].alias("t"), docs[key].alias("k0"), *others)
+    bodies = rows.join(need, "k").select("k", "t", "cs", "k0", *names).mapInArrow(_texts, "k long, c long, u string")
     first_bodies = bodies.select(F.col("k").alias("fk"), F.col("c").alias("fc"), F.col("u").alias("fu"))
     same = later.join(bodies, ["k", "c"]).join(first_bodies, ["fk", "fc"]).where("u = fu")
     gone = same.select("k", "c").distinct().groupBy("k").agg(F.collect_list("c").alias("cs"))
-
-    names = [f"c{i}" for i in range(len(carry))]
-    rows = docs.select(docs[key].alias("k0"), docs[text].alias("t"), *[docs[c].alias(n) for c, n in zip(carry, names, strict=True)], docs[key].cast("long").alias("k"))
     rows = rows.join(gone, "k", "left").select("k0", "t", "cs", *names)
     kinds = [docs.schema[c].dataType.simpleString() for c in (key, *carry)]
 
