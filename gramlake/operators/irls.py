@@ -366,34 +366,35 @@ def _psi(kind: str, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _median_abs(rows: DataFrame, plan: Plan, beta: np.ndarray, n: float) -> float:
-    """Median of |y - X beta| by passes that count bins of a shrinking bracket: exact to the last float of the bracket."""
-    low, high, below, bins = 0.0, None, 0.0, 4096
+    """Median of |y - X beta| by passes that count bins of shrinking brackets, for both middle ranks at once."""
+    bins = 4096
+    ranks = np.array([(n - 1) // 2, n // 2])
     resid = lambda c: np.abs(plan.outcomes(c)[:, 0] - plan.matrix(c) @ beta)
-    for _ in range(5):
-        if high is None:
 
-            def count(c):  # powers of two first
-                e = np.clip(np.floor(np.log2(np.maximum(resid(c), 1e-300))).astype(int) + 1024, 0, 2047)
-                return np.bincount(e, minlength=2048)
+    def count(c):  # powers of two first
+        e = np.clip(np.floor(np.log2(np.maximum(resid(c), 1e-300))).astype(int) + 1024, 0, 2047)
+        return np.bincount(e, minlength=2048)
 
-            h = sum_rows(rows, count)
-            i = int(np.searchsorted(np.cumsum(h), n / 2))
-            below, low, high = h[:i].sum(), 2.0 ** (i - 1024) if i else 0.0, 2.0 ** (i - 1023)
-            continue
+    h = sum_rows(rows, count)
+    at = np.searchsorted(np.cumsum(h), ranks, side="right")
+    below = np.array([h[:i].sum() for i in at])
+    low, high = np.where(at > 0, 2.0 ** (at - 1024.0), 0.0), 2.0 ** (at - 1023.0)
+    for _ in range(4):
         width = (high - low) / bins
 
-        def fine(c, low=low, width=width, high=high):
-            r = resid(c)
-            r = r[(r >= low) & (r < high)]
-            return np.bincount(np.clip(((r - low) / width).astype(int), 0, bins - 1), minlength=bins)
+        def fine(c, low=low, width=width):
+            r = resid(c)[:, None]
+            b = np.floor((r - low) / width)
+            return np.stack([np.bincount(b[(b[:, k] >= 0) & (b[:, k] < bins), k].astype(int), minlength=bins) for k in (0, 1)]).ravel()
 
-        h = sum_rows(rows, fine)
-        i = min(int(np.searchsorted(np.cumsum(h) + below, n / 2)), bins - 1)
-        below, low = below + h[:i].sum(), low + i * width
+        h = sum_rows(rows, fine).reshape(2, bins)
+        at = np.array([min(int(np.searchsorted(np.cumsum(h[k]) + below[k], ranks[k], side="right")), bins - 1) for k in (0, 1)])
+        below = below + np.array([h[k, : at[k]].sum() for k in (0, 1)])
+        low = low + at * width
         high = low + width
-        if width < 1e-13 * max(high, 1e-300):
+        if (width < 1e-13 * np.maximum(high, 1e-300)).all():
             break
-    return (low + high) / 2
+    return float(((low + high) / 2).mean())
 
 
 def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1", scale: float | None = None, max_iter: int = 50, tol: float = 1e-6) -> Fit:

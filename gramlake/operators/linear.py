@@ -139,7 +139,7 @@ def statistics(g: Gram, beta: np.ndarray, names: list[str], y: int = 0, extra_df
     const = "Intercept" in names
     k = int(np.count_nonzero(np.diag(xx) > 0)) + extra_df
     i = names.index("Intercept") if const else None
-    sst = float(yy - xy[i] ** 2 / xx[i, i]) if const else float(yy)
+    sst = float(yy - xy[i] ** 2 / xx[i, i]) if const and xx[i, i] > 0 else float(yy)
     n, dfm = g.n, k - (1 if const or extra_df else 0)
     llf = -n / 2 * (math.log(2 * math.pi / n) + 1 + math.log(ssr)) + 0.5 * g.slw if ssr > 0 and n else math.nan
     r2 = 1 - ssr / sst if sst > 0 else math.nan
