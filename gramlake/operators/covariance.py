@@ -42,10 +42,7 @@ def of(rows: DataFrame, fit, kind: str, cluster: list[str] | None = None, y: int
                 x = plan.matrix(c)
                 return x * (c["w"] * (plan.outcomes(c)[:, y] - x @ beta))[:, None]
 
-            keyed = rows.select("*", *[F.col(c).cast("string").alias(f"_g{i}") for i, c in enumerate(part)])
-            sums = sum_rows_by(keyed, [f"_g{i}" for i in range(len(part))], score, k)
-            got = sum_rows(sums.select("v"), lambda c: np.concatenate([[len(c["v"])], (c["v"].T @ c["v"]).ravel()]))
-            groups, m = got[0], got[1:].reshape(k, k)
+            groups, m = _meat(rows, plan, beta, part, y, k, score)
             if groups < 2:
                 raise ValueError("clustered errors need two clusters at least")
             total += (-1) ** (len(part) + 1) * m * (s["n"] - 1) / (s["n"] - k) * groups / (groups - 1)
@@ -56,6 +53,23 @@ def of(rows: DataFrame, fit, kind: str, cluster: list[str] | None = None, y: int
     raise ValueError(f"unknown covariance {kind}")
 
 
+def _meat(rows: DataFrame, plan, beta: np.ndarray, part: tuple[str, ...], y: int, k: int, score) -> tuple[float, np.ndarray]:
+    """Number of clusters and the sum of s s' over their summed scores. Numeric designs stay in built-in sums; dummies take the kernel."""
+    columns = plan.plain()
+    if columns is None or k > 12:
+        keyed = rows.select("*", *[F.col(c).cast("string").alias(f"_g{i}") for i, c in enumerate(part)])
+        sums = sum_rows_by(keyed, [f"_g{i}" for i in range(len(part))], score, k)
+        got = sum_rows(sums.select("v"), lambda c: np.concatenate([[len(c["v"])], (c["v"].T @ c["v"]).ravel()]))
+        return got[0], got[1:].reshape(k, k)
+    e = F.col(f"y{y}")
+    for c, b in zip(columns, beta, strict=True):
+        e = e - c * F.lit(float(b))
+    scores = rows.select(*part, *[(c * e * F.col("w")).alias(f"_s{i}") for i, c in enumerate(columns)])
+    sums = scores.groupBy(*part).agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(k)])
+    r = sums.agg(F.count("*").alias("g"), *[F.sum(F.col(f"_s{i}") * F.col(f"_s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    return r.g, np.array([[r[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+
+
 def cluster_meat(within: DataFrame, bread: np.ndarray, beta: np.ndarray, x: list[str], y: str, cluster: list[str], n: float, k: int, stats: dict) -> np.ndarray:
     """Clustered covariance of demeaned rows (one cluster column): scores sum up by cluster as plain columns."""
     e = F.col(y)

@@ -217,7 +217,13 @@ def absorb_gram(df: DataFrame, design: Design, by: list[str]) -> tuple[Plan, Gra
         return np.concatenate([plan.matrix(c), plan.outcomes(c)] + ([plan.matrix(c, "z")] if with_z else []), 1)
 
     width = total.m.shape[0]
-    sums = sum_rows_by(rows, [f"g{i}" for i in range(len(by))], lambda c: np.concatenate([c["w"][:, None], block(c) * c["w"][:, None]], 1), 1 + width)
+    plain = [plan.plain(), [F.col(f"y{i}") for i in range(len(design.y))], plan.plain("z") if with_z else []]
+    if all(p is not None for p in plain) and width <= 40:
+        columns = [c for p in plain for c in p]
+        grouped = rows.groupBy(*[f"g{i}" for i in range(len(by))]).agg(F.sum("w").alias("_w"), *[F.sum(c * F.col("w")).alias(f"_s{i}") for i, c in enumerate(columns)])
+        sums = grouped.select(F.array("_w", *[f"_s{i}" for i in range(width)]).alias("v"))
+    else:
+        sums = sum_rows_by(rows, [f"g{i}" for i in range(len(by))], lambda c: np.concatenate([c["w"][:, None], block(c) * c["w"][:, None]], 1), 1 + width)
 
     def between(c):
         v = c["v"]

@@ -301,6 +301,15 @@ class Plan:
             out += [dummies] if values is None else [dummies * values[:, [j]] for j in range(values.shape[1])]
         return np.concatenate(out, axis=1) if out else np.zeros((n, 0))
 
+    def plain(self, part: str = "x") -> list[Column] | None:
+        """The matrix columns as Columns of the prepared rows; None where a term has dummies."""
+        out = [F.lit(1.0)] if self.design.intercept else []
+        for i, (t, found, _) in enumerate(self._parts(part)):
+            if found is not None:
+                return None
+            out += [F.col(f"{part}{i}_{j}") for j in range(len(t.names))]
+        return out
+
     def outcomes(self, cols: dict[str, np.ndarray]) -> np.ndarray:
         return np.stack([cols[f"y{i}"] for i in range(len(self.design.y))], 1) if self.design.y else np.zeros((len(cols["w"]), 0))
 
