@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from gramlake.llm.common import U64, crc_mod, map_texts, mix, read, span_hashes, spans
 
 #: Hashed buckets of each kind of feature, vector length, passes and first learning rate.
-BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 6, 0.6
+BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 6, 1.5
 #: Character n-grams, in bytes.
 SIZES = (3, 4)
+#: The bucket of repeated words, after all others; and the number of buckets.
+REPEAT = (1 + len(SIZES)) * BUCKETS
+ALL = REPEAT + 1
 #: Most labelled rows that training looks at, a sample by hash of the id.
 TRAIN_ROWS = 5000
 
@@ -21,10 +24,18 @@ IS_VISIBLE[[32, 9, 10, 11, 12, 13]] = False
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every feature and the text it is of: white-space words, and byte n-grams inside one text."""
+    """Bucket of every feature and the text it is of: white-space words, pairs of equal neighbours, and byte n-grams inside one text.
+
+    Of word pairs only those of a word and itself are features, all in one bucket: what repeats differs
+    from text to text, that it repeats doesn't.
+    """
     starts, ends, first = spans(data, offsets, IS_VISIBLE)
-    codes = [(span_hashes(data, starts, ends) & U64(BUCKETS - 1)).astype(np.int32)]
+    words = span_hashes(data, starts, ends)
+    codes = [(words & U64(BUCKETS - 1)).astype(np.int32)]
     rows = [np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(first))]
+    twice = np.flatnonzero((words[1:] == words[:-1]) & (rows[0][1:] == rows[0][:-1]))
+    codes.append(np.full(len(twice), REPEAT, np.int32))
+    rows.append(rows[0][twice])
     row_of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     wide = data.astype(U64)
     for j, size in enumerate(SIZES, 1):
@@ -57,7 +68,7 @@ class Model:
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     """Plain stochastic gradient descent on the cross-entropy, one text at a time, with a falling rate."""
     rng = np.random.default_rng(seed)
-    vectors = ((rng.random(((1 + len(SIZES)) * BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
+    vectors = ((rng.random((ALL, DIM)) - 0.5) / DIM).astype(np.float32)
     weights, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     rows = []
     for text in texts:
@@ -97,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     table = sample.toPandas().sort_values(["k", "t", "y"])
     y = table["y"].to_numpy(int)
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros((1 + len(SIZES)) * BUCKETS), 0.0 if not len(y) else 30.0 * (2 * y[0] - 1))
+        return Model(np.zeros(ALL), 0.0 if not len(y) else 30.0 * (2 * y[0] - 1))
     return fit(table["t"].tolist(), y)
 
 
