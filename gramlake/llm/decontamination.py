@@ -219,4 +219,18 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws"
+WINDOW_SQL = f"""
+with d as (select doc_id, {_WORDS} from documents), b as (select item_id, {_WORDS} from benchmark where item_id is not null),
+i as (select item_id, least(len(ws), 10) as n, unnest(list_transform(range(1, len(ws) - least(len(ws), 10) + 2), lambda j: array_to_string(ws[j:j + least(len(ws), 10) - 1], ' '))) as g from b where len(ws) > 0),
+w as (select distinct n from i),
+o as (select doc_id, n, unnest(range(1, len(ws) - n + 2)) as j, unnest(list_transform(range(1, len(ws) - n + 2), lambda j: array_to_string(ws[j:j + n - 1], ' '))) as g from d, w where len(ws) >= n),
+h as (select distinct doc_id, j, o.n, item_id from o join i on o.n = i.n and o.g = i.g),
+x as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(j, j + n)) as pos from h) group by 1),
+t as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as ids from (select distinct doc_id, cast(item_id as varchar) as s from h) group by 1)
+select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join x using (doc_id) left join t using (doc_id)
+"""
+
 QUERIES = {"op7_decontaminate": op7_decontaminate}
+ORACLES = {"op7_decontaminate": WINDOW_SQL}
