@@ -398,6 +398,73 @@ def glsar(spark, d):
     return _out(spark, [("rho", float(r["rho"][0])), ("x", float(r["fit"].params[1]))], "term string, value double")
 
 
+@query("c5_hac_series_events", """
+with v as (select ts, event_id, value as y, cast(event_id % 7 as double) as x from events where value is not null), m as (select avg(y) as my, avg(x) as mx from v),
+b as (select sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) as b, sum((x - mx) * (x - mx)) as xx, any_value(my) as my, any_value(mx) as mx from v cross join m),
+s as (select ts, event_id, (x - mx) * ((y - my) - b * (x - mx)) as s from v cross join b), l as (select *, lag(s) over w as s1, lag(s, 2) over w as s2 from s window w as (order by ts, event_id))
+select 'x' as term, round(sqrt(sum(s * s + 2 * 2 / 3.0 * coalesce(s * s1, 0) + 2 * 1 / 3.0 * coalesce(s * s2, 0))) / (select xx from b), 6) as std_err from l""")
+def hac_series(spark, d):
+    from gramlake.operators import covariance
+
+    df = table(spark, d, "events").select("ts", "event_id", "value", (F.col("event_id") % 7).cast("double").alias("x"))
+    fit = linear.ols(df, Design(["value"], [num("x")]))
+    cov = covariance.hac_series(df, fit, ["ts", "event_id"], ["x"], "value", lags=2, block=1000)
+    return spark.createDataFrame([("x", round(float(np.sqrt(cov[1, 1])), 6))], "term string, std_err double")
+
+
+@query("b3_robust_weights_lineitem")
+def robust_rows(spark, d):
+    df = _line(spark, d)
+    fit = irls.rlm(df, Design(["l_extendedprice"], [num("l_quantity")]))
+    return irls.row_weights(fit, df, "HuberT").select("l_orderkey", "l_linenumber", F.round("weight", 6).alias("weight"))
+
+
+@query("q4_quantile_control_function_lineitem")
+def quantile_iv(spark, d):
+    fits = irls.quantile_control_function(_line(spark, d), Design(["l_extendedprice"], [num("q")], instruments=[num("l_partkey")]), "q", [0.5])
+    return fits[0.5].table(spark)
+
+
+@query("d5_zero_probability_customer")
+def zero_probability(spark, d):
+    df = _orders_per_customer(spark, d)
+    return mle.predict_zero(mle.fit_mle(df, Design(["n"], [num("bal")]), "poisson"), df).select("c_custkey", F.round("p_zero", 6).alias("p_zero"))
+
+
+@query("m3_gmm_iv_nonlinear_lineitem", "with m as (select avg(l_extendedprice) as my, avg(l_quantity / 10.0) as mx, avg(l_partkey) as mz from lineitem) select 'q' as term, round(sum((l_partkey - mz) * (l_extendedprice - my)) / sum((l_partkey - mz) * (l_quantity / 10.0 - mx)), 0) as coef from lineitem cross join m")
+def gmm_nonlinear(spark, d):
+    df = _line(spark, d).withColumn("z", F.col("l_partkey") / 1000.0)
+    fit = moments_fits.gmm_iv_nonlinear(df, "l_extendedprice", ["q"], lambda c, t: t[0] + t[1] * c["q"], ["z"], np.array([1.0, 1.0]))
+    return spark.createDataFrame([("q", round(float(fit.params[1]), 0) + 0.0)], "term string, coef double")
+
+
+@query("h7_leverage_lineitem", "with m as (select count(*) as n, avg(l_quantity) as mx, var_pop(l_quantity) * count(*) as ss from lineitem) select l_orderkey, l_linenumber, round((1.0 / n + (l_quantity - mx) * (l_quantity - mx) / ss) * 1e4, 6) as leverage_e4 from lineitem cross join m")
+def leverages(spark, d):
+    df = _line(spark, d)
+    fit = linear.ols(df, Design(["l_extendedprice"], [num("l_quantity")]))
+    return linear.leverage(fit, df).select("l_orderkey", "l_linenumber", F.round(F.col("leverage") * 1e4, 6).alias("leverage_e4"))
+
+
+@query("h4_lift_lineitem", "with g as (select avg(l_extendedprice) filter (where l_returnflag = 'R') as a, avg(l_extendedprice) filter (where l_returnflag <> 'R') as b from lineitem) select round((a - b) / b, 6) as value from g")
+def lifts(spark, d):
+    r = linear.lift(linear.ols(_line(spark, d), Design(["l_extendedprice"], [num("returned")])), "returned", {})
+    return spark.createDataFrame([(round(r["value"], 6),)], "value double")
+
+
+@query("f9_links_lineitem", "with e as (select l_orderkey, l_linenumber, l_tax * 10 as e from lineitem) select l_orderkey, l_linenumber, round(exp(e), 6) as log, round(1 / (1 + exp(-e)), 6) as logit, round(0.5 + atan(e) / pi(), 6) as cauchy, round(1 - exp(-exp(e)), 6) as cloglog, round(e * e, 6) as sqrt from e")
+def links(spark, d):
+    e = F.col("l_tax") * 10
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(irls.Link(k).column(e), 6).alias(k) for k in ("log", "logit", "cauchy", "cloglog", "sqrt")])
+
+
+@query("s2_saved_fit_lineitem", "select 'Intercept' as term, round(regr_intercept(l_extendedprice, l_quantity), 3) as coef from lineitem union all select 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 3) from lineitem")
+def saved(spark, d):
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gramlake-")
+    path = f"{base.rstrip('/')}/fit-{uuid.uuid4().hex}"
+    linear.ols(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")])).save(path, spark)
+    return linear.Fit.load(path, spark).table(spark, digits=3).select("term", "coef")
+
+
 @query("e1_kde_orders")
 def kde(spark, d):
     return smooth.kde(table(spark, d, "orders"), "o_totalprice", gridsize=256)

@@ -90,16 +90,20 @@ def default_lags(n: float) -> int:
 def hac_panel(df: DataFrame, fit, panel: list[str], order: list[str], x: list[str], y: str, lags: int | None = None, kernel: str = "bartlett", small: bool = False) -> np.ndarray:
     """Newey-West sums within each panel: lagged products of score columns by window, one shuffle on the panel.
 
-    ``x`` are the numeric columns of the fit after its intercept. Without a panel, pass a column that
-    splits the series into blocks of bounded size; pairs across blocks are then left out.
+    ``x`` are the numeric columns of the fit after its intercept. One series without panels is ``hac_series``.
     """
+    lags = default_lags(fit.stats["n"]) if lags is None else lags
+    rows = df.where(fit.plan.design.valid(df)).withColumn("_halo", F.lit(False))
+    return _hac(fit, rows, panel, order, x, y, lags, kernel, small)
+
+
+def _hac(fit, rows: DataFrame, panel: list[str], order: list[str], x: list[str], y: str, lags: int, kernel: str, small: bool) -> np.ndarray:
     n, beta, k = fit.stats["n"], fit.params, len(fit.params)
-    lags = default_lags(n) if lags is None else lags
     columns = [F.lit(1.0), *[F.col(c).cast("double") for c in x]]
     e = F.col(y).cast("double")
     for c, b in zip(columns, beta, strict=True):
         e = e - c * F.lit(float(b))
-    scored = df.where(fit.plan.design.valid(df)).select(*panel, *order, *[(c * e).alias(f"s{i}") for i, c in enumerate(columns)])
+    scored = rows.select(*panel, *order, "_halo", *[(c * e).alias(f"s{i}") for i, c in enumerate(columns)])
     w = Window.partitionBy(*panel).orderBy(*order)
     sums = []
     lagged = scored
@@ -112,6 +116,23 @@ def hac_panel(df: DataFrame, fit, panel: list[str], order: list[str], x: list[st
                 weight = 1 - lag / (lags + 1) if kernel == "bartlett" else 1.0
                 total = total + F.lit(weight) * (F.coalesce(F.col(f"s{i}") * F.col(f"l{lag}_{j}"), F.lit(0.0)) + F.coalesce(F.col(f"l{lag}_{i}") * F.col(f"s{j}"), F.lit(0.0)))
             sums.append(F.sum(total).alias(f"m{i}_{j}"))
-    r = lagged.agg(*sums).first()
+    r = lagged.where("not _halo").agg(*sums).first()
     m = np.array([[r[f"m{i}_{j}"] for j in range(k)] for i in range(k)])
     return fit.bread @ m @ fit.bread * (n / (n - k) if small else 1.0)
+
+
+def hac_series(df: DataFrame, fit, order: list[str], x: list[str], y: str, lags: int | None = None, kernel: str = "bartlett", small: bool = False, block: int = 100_000) -> np.ndarray:
+    """Newey-West sums over one global order: blocks of consecutive rows, each with the last rows of the block before it.
+
+    The order is a range-partitioned global index, so no task sorts the whole series; a pair of rows is counted in the
+    block of its later row.
+    """
+    from gramlake.operators.windows import global_index
+
+    lags = default_lags(fit.stats["n"]) if lags is None else lags
+    block = max(block, lags + 1)
+    placed = global_index(df.where(fit.plan.design.valid(df)).select(*order, *x, y), order, "_t")
+    own = (F.col("_t") / block).cast("long")
+    halo = placed.where((F.col("_t") % block) >= block - lags).select("*", (own + 1).alias("_b"), F.lit(True).alias("_halo")) if lags else None
+    rows = placed.select("*", own.alias("_b"), F.lit(False).alias("_halo"))
+    return _hac(fit, rows.unionByName(halo) if lags else rows, ["_b"], ["_t"], x, y, lags, kernel, small)

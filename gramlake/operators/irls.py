@@ -444,6 +444,15 @@ def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1
     return Fit(plan.names, beta, cov, dfr, {"n": n, "scale": s, "cost": t[0], "iterations": iteration + 1, "df_resid": dfr}, inv, plan, use_t=False)
 
 
+def row_weights(fit: Fit, df: DataFrame, norm: str, name: str = "weight") -> DataFrame:
+    """Robust weight psi(z) / z of every row, as an expression."""
+    from gramlake.functions.columns import robust_weight
+
+    hat = fit.plan.predictions(df, fit.params, "_hat")
+    z = (F.expr(fit.plan.design.y[0]) - F.col("_hat")) / F.lit(float(fit.stats["scale"]))
+    return hat.withColumn(name, robust_weight(norm, z)).drop("_hat")
+
+
 # --- quantile regression ---
 
 
@@ -532,3 +541,14 @@ def pseudo_r1(df: DataFrame, y: str, tau: float, cost: float) -> float:
     q = exact_quantile(df, v, tau)
     r = v - F.lit(q)
     return 1 - cost / df.agg(F.sum(r * (F.lit(tau) - (r < 0).cast("int")))).first()[0]
+
+
+def quantile_control_function(df: DataFrame, design: Design, endogenous: str, taus: list[float], order: int = 1, **more) -> dict[float, Fit]:
+    """Quantile regression with first-stage residuals of ``endogenous`` on the instruments as further terms, powers 1..order."""
+    from gramlake.operators.linear import ols
+    from gramlake.operators.terms import poly
+
+    first = ols(df, Design([endogenous], design.instruments, weights=design.weights))
+    with_fit = first.plan.predictions(df, first.params, "_hat")
+    rows = with_fit.withColumn("_resid", F.col(endogenous) - F.col("_hat"))
+    return quantile_regression(rows, Design(design.y, [*design.x, poly("_resid", order)], weights=design.weights, intercept=design.intercept), taus, **more)

@@ -523,5 +523,29 @@ def fieller(fit: Fit, top: int, bottom: int, level: float = 0.95) -> dict:
     return {"ratio": a / b, "lo": (B - math.sqrt(root)) / A, "hi": (B + math.sqrt(root)) / A}
 
 
+def lift(fit: Fit, treatment: str, means: dict[str, float]) -> dict:
+    """Effect over the control mean at average covariates, with its delta-method error. ``means`` has the other terms' averages."""
+    at = np.array([1.0 if n == "Intercept" else 0.0 if n == treatment else means[n] for n in fit.names])
+    t = fit.names.index(treatment)
+    return delta_method(fit, lambda b: b[t] / (at @ b))
+
+
+def lift_ratio(fit: Fit, top: str, bottom: str, top_base: str, bottom_base: str) -> dict:
+    """Ratio of two relative effects, each a coefficient over its base, across the equations of one joint fit."""
+    i, j, k, m = (fit.names.index(n) for n in (top, bottom, top_base, bottom_base))
+    return delta_method(fit, lambda b: (b[i] / b[k]) / (b[j] / b[m]))
+
+
+def leverage(fit: Fit, df: DataFrame, name: str = "leverage") -> DataFrame:
+    """w x'(X'WX)^-1 x of every row of a numeric design, as an expression."""
+    rows = [F.lit(1.0)] if fit.plan.design.intercept else []
+    rows += [of(c) for t, found, _ in fit.plan._parts("x") for c in t.columns if found is None]
+    total = F.lit(0.0)
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            total = total + a * b * F.lit(float(fit.bread[i, j]))
+    return df.withColumn(name, total * (F.col(fit.plan.design.weights) if fit.plan.design.weights else F.lit(1.0)))
+
+
 def subsets(items):
     return itertools.chain.from_iterable(itertools.combinations(items, r) for r in range(1, len(items) + 1))

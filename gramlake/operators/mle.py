@@ -255,6 +255,25 @@ def predict_mean(fit: Fit, df: DataFrame, name: str = "mean") -> DataFrame:
     return out
 
 
+def predict_zero(fit: Fit, df: DataFrame, name: str = "p_zero") -> DataFrame:
+    """Probability of a zero under a Poisson, NB2 or zero-inflated fit, as an expression."""
+    k1, k2 = fit.sizes
+    base = fit.model.replace("zip", "poisson").replace("zinb", "nb2")
+    out = fit.plan.predictions(df, fit.params[:k1], "_mu", F.exp)
+    if base == "poisson":
+        zero = F.exp(-F.col("_mu"))
+    elif base == "nb2":
+        size = math.exp(-float(fit.params[-1]))
+        zero = F.pow(1 + F.col("_mu") / size, F.lit(-size))
+    else:
+        raise ValueError(f"no zero probability for {fit.model}")
+    out = out.withColumn(name, zero)
+    if fit.plan2 is not None:
+        out = fit.plan2.predictions(out, fit.params[k1 : k1 + k2], "_infl", lambda e: 1 / (1 + F.exp(-e)))
+        out = out.withColumn(name, F.col("_infl") + (1 - F.col("_infl")) * F.col(name)).drop("_infl")
+    return out.drop("_mu")
+
+
 def hurdle_mean(fits: dict[str, Fit], df: DataFrame, name: str = "mean") -> DataFrame:
     """P(y > 0) times the mean of the positive part."""
     out = predict_mean(fits["zero"], df, "_p")

@@ -125,6 +125,16 @@ def gmm(df: DataFrame, columns: list[str], moments: Callable, start: np.ndarray,
     return Fit([f"theta{i}" for i in range(p)], theta, cov, n - p, {"n": n, "j": j, "df_resid": n - p}, bread, use_t=False)
 
 
+def gmm_iv_nonlinear(df: DataFrame, y: str, columns: list[str], func: Callable, instruments: list[str], start: np.ndarray, **more) -> Fit:
+    """Moments z (y - f(x, theta)) with a constant among the instruments."""
+
+    def moments(c, t):
+        r = c[y] - np.asarray(func(c, t), float)
+        return np.stack([r] + [r * c[z] for z in instruments], 1)
+
+    return gmm(df, list(dict.fromkeys([y, *columns, *instruments])), moments, start, **more)
+
+
 def nlls(df: DataFrame, y: str, columns: list[str], func: Callable, start: np.ndarray, names: list[str] | None = None, weights: str | None = None, bounds: tuple[np.ndarray, np.ndarray] | None = None, loss: str = "linear", cov_type: str = "NONROBUST", penalty: tuple[float, float] | None = None, max_iter: int = 200, tol: float = 1e-9) -> Fit:
     """Nonlinear least squares of ``func(columns, theta) -> rows`` by damped Gauss-Newton: one pass for J'WJ, J'Wr and the cost of several dampings.
 

@@ -108,11 +108,15 @@ def ardl(df: DataFrame, value: str, by: list[str], order: list[str], lag_list: l
     return autoreg(d, value, by, order, lag_list, exog=tuple(extra))
 
 
-def arma(df: DataFrame, value: str, by: list[str], order: list[str], p: int, q: int, long_ar: int | None = None) -> DataFrame:
-    """Hannan-Rissanen: a long autoregression gives innovations, then one regression on lags of both; by key."""
+def arma(df: DataFrame, value: str, by: list[str], order: list[str], p: int, q: int, long_ar: int | None = None, seasonal_ar: tuple[int, ...] = (), seasonal_ma: tuple[int, ...] = ()) -> DataFrame:
+    """Hannan-Rissanen: a long autoregression gives innovations, then one regression on lags of both; by key.
+
+    Seasonal lags are added to lags 1..p of the series and 1..q of the innovations.
+    """
+    ar, ma = [*range(1, p + 1), *seasonal_ar], [*range(1, q + 1), *seasonal_ma]
     from gramlake.operators.windows import lags
 
-    m = long_ar or p + q + 4
+    m = max(long_ar or p + q + 4, *seasonal_ar, 1)
     base = df.where(F.col(value).isNotNull()).select(*by, *order, F.col(value).cast("double").alias("_v"))
     lagged = lags(base, "_v", list(range(1, m + 1)), by, order)
     first = fit_many(lagged, by, "_v", [f"_v_l{k}" for k in range(1, m + 1)]).select(*by, F.col("coef").alias("_c"))
@@ -121,8 +125,8 @@ def arma(df: DataFrame, value: str, by: list[str], order: list[str], p: int, q:
     for k in range(1, m + 1):
         fitted = fitted + F.col("_c")[k] * F.col(f"_v_l{k}")
     inn = joined.withColumn("_e", F.col("_v") - fitted)
-    inn = lags(inn, "_e", list(range(1, q + 1)), by, order) if q else inn
-    return fit_many(inn, by, "_v", [f"_v_l{k}" for k in range(1, p + 1)] + [f"_e_l{k}" for k in range(1, q + 1)])
+    inn = lags(inn, "_e", ma, by, order) if ma else inn
+    return fit_many(inn, by, "_v", [f"_v_l{k}" for k in ar] + [f"_e_l{k}" for k in ma])
 
 
 def _per_series(df: DataFrame, value: str, by: list[str], order: list[str], f, schema: str) -> DataFrame:
@@ -314,34 +318,44 @@ def stl(df: DataFrame, value: str, by: list[str], order: list[str], periods: lis
     return _per_series(df, value, by, order, f, ", ".join([kinds, "value double, trend double", *[f"{n} double" for n in names], "resid double"]))
 
 
-def glsar(df: DataFrame, y: str, x: list[str], by: list[str], order: list[str], p: int = 1, iterations: int = 10, tol: float = 1e-8) -> dict:
-    """Regression with AR(p) errors, Cochrane-Orcutt: alternate the fit on whitened rows and the AR of the residuals.
+def glsar(df: DataFrame, y: str, x: list[str], by: list[str], order: list[str], p: int = 1, iterations: int = 10, tol: float = 1e-8, keep_first: bool = True) -> dict:
+    """Regression with AR(p) errors: alternate the fit on whitened rows and the AR of the residuals.
 
-    Lags of y and X are windowed once and kept; each iteration is a projection and one aggregate. The first p rows of a series go.
+    With ``keep_first`` (Prais-Winsten) the first p rows of a series are scaled by the inverse Cholesky factor of their
+    stationary covariance; without (Cochrane-Orcutt) they go. Lags are windowed once and kept; each iteration is a
+    projection and one aggregate.
     """
     from gramlake.operators.linear import ols
     from gramlake.operators.terms import Design, num
-    from gramlake.operators.windows import lags
+    from gramlake.operators.windows import lags, time_index
 
-    d = df.select(*by, *order, *[F.col(c).cast("double").alias(c) for c in (y, *x)]).na.drop()
-    for c in (y, *x):
+    columns = [y, *x, "_one"]
+    d = df.select(*by, *order, *[F.col(c).cast("double").alias(c) for c in (y, *x)]).na.drop().withColumn("_one", F.lit(1.0))
+    for c in columns:
         d = lags(d, c, list(range(1, p + 1)), by, order)
-    d = d.na.drop().persist()
+    d = time_index(d, by, order, "_t").persist()
     rho, fit = np.zeros(p), None
+    at = lambda c, k: F.col(c) if k == 0 else F.col(f"{c}_l{k}")
     try:
         for _ in range(iterations):
-            white = d.select(*[sum([F.col(f"{c}_l{k}") * F.lit(-float(rho[k - 1])) for k in range(1, p + 1)], F.col(c)).alias(c) for c in (y, *x)])
-            fit = ols(white, Design([y], [num(c) for c in x]))
-            b0 = fit.params[0] / (1 - rho.sum())
-
-            def resid(k, b0=b0, fit=fit):
-                c = (lambda n: F.col(n)) if k == 0 else (lambda n: F.col(f"{n}_l{k}"))
-                e = c(y) - F.lit(float(b0))
-                for n, b in zip(x, fit.params[1:], strict=True):
-                    e = e - c(n) * F.lit(float(b))
+            inverse = np.linalg.inv(np.linalg.cholesky(_stationary(rho)))
+
+            def white(c, rho=rho, inverse=inverse):
+                out = F.when(F.col("_t") >= p, sum([at(c, k) * F.lit(-float(rho[k - 1])) for k in range(1, p + 1)], F.col(c)))
+                for i in range(p):
+                    out = out.when(F.col("_t") == i, sum([at(c, i - j) * F.lit(float(inverse[i, j])) for j in range(i + 1)], F.lit(0.0)))
+                return out.alias(c)
+
+            rows = d if keep_first else d.where(F.col("_t") >= p)
+            fit = ols(rows.select(*[white(c) for c in columns]), Design([y], [num("_one"), *[num(c) for c in x]], intercept=False))
+
+            def resid(k, b=fit.params):
+                e = at(y, k)
+                for c, v in zip(["_one", *x], b, strict=True):
+                    e = e - at(c, k) * F.lit(float(v))
                 return e
 
-            es = d.select(*[resid(k).alias(f"e{k}") for k in range(p + 1)])
+            es = d.where(F.col("_t") >= p).select(*[resid(k).alias(f"e{k}") for k in range(p + 1)])
             sums = es.agg(*[F.sum(F.col(f"e{i}") * F.col(f"e{j}")).alias(f"s{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]).first()
             m = np.array([[sums[f"s{min(i, j)}_{max(i, j)}"] for j in range(1, p + 1)] for i in range(1, p + 1)])
             new = np.linalg.solve(m, np.array([sums[f"s0_{j}"] for j in range(1, p + 1)]))
@@ -350,4 +364,16 @@ def glsar(df: DataFrame, y: str, x: list[str], by: list[str], order: list[str],
                 break
     finally:
         d.unpersist()
-    return {"fit": fit, "rho": rho, "intercept": b0}
+    return {"fit": fit, "rho": rho}
+
+
+def _stationary(rho: np.ndarray) -> np.ndarray:
+    """Covariance of p consecutive values of a stationary AR(p) with unit innovations."""
+    p = len(rho)
+    f = np.zeros((p, p))
+    f[0] = rho
+    f[1:, :-1] = np.eye(p - 1)
+    q = np.zeros((p, p))
+    q[0, 0] = 1.0
+    v = np.linalg.solve(np.eye(p * p) - np.kron(f, f), q.ravel()).reshape(p, p)
+    return (v + v.T) / 2
