@@ -70,7 +70,7 @@ def fit_t(spark, d):
     return spark.createDataFrame([(float(r["df"]), float(r["loc"]), float(r["scale"]))], "df double, loc double, scale double")
 
 
-@query("a8_distribution_curve_orders", "with p as (select avg(o_totalprice) as m, stddev_pop(o_totalprice) as s from orders) select round(i * 4000.0, 4) as x, round(exp(-0.5 * ((i * 4000.0 - m) / s) ** 2) / (s * sqrt(2 * pi())) * 1e6, 6) as pdf_e6 from range(101) t(i) cross join p")
+@query("a8_distribution_curve_orders", "with p as (select avg(o_totalprice) as m, stddev_pop(o_totalprice) as s from orders) select round(i * 4000.0::double, 4) as x, round(exp(-0.5 * ((i * 4000.0 - m) / s) ** 2) / (s * sqrt(2 * pi())) * 1e6, 6) as pdf_e6 from range(101) t(i) cross join p")
 def curve(spark, d):
     p = aggregates.fit_distribution(table(spark, d, "orders"), "o_totalprice", "norm").first()
     return aggregates.distribution_curve(spark, "norm", 0.0, 400000.0, 101, loc=p.loc, scale=p["scale"]).select(F.round("x", 4).alias("x"), F.round(F.col("pdf") * 1e6, 6).alias("pdf_e6"))

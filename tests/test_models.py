@@ -232,3 +232,40 @@ def test_registered_queries(spark, sf):
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     for name in ("a1_ols_lineitem", "x2_windowed_fit_events", "t1_acf_events"):
         assert registry.QUERIES[name](spark, sf).count() > 0
+
+
+def test_one_long_series(spark):
+    """Blocks with a halo give what one window over everything gives; whitening recovers the errors' autoregression."""
+    from gramlake.operators import covariance
+
+    rng = np.random.default_rng(4)
+    e = np.zeros(500)
+    for i in range(1, 500):
+        e[i] = 0.5 * e[i - 1] + rng.normal()
+    x = rng.normal(size=500)
+    y = 1 + 2 * x + e
+    df = spark.createDataFrame([(0, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "k int, t long, x double, y double").repartition(5)
+    fit = linear.ols(df, Design(["y"], [num("x")]))
+    whole = covariance.hac_panel(df, fit, ["k"], ["t"], ["x"], "y", lags=4)
+    assert np.allclose(covariance.hac_series(df, fit, ["t"], ["x"], "y", lags=4, block=37), whole)
+    for keep in (True, False):
+        r = series.glsar(df, "y", ["x"], ["k"], ["t"], 1, keep_first=keep)
+        assert abs(r["rho"][0] - 0.5) < 0.12 and np.allclose(r["fit"].params, [1, 2], atol=0.3)
+    assert np.allclose(series._stationary(np.array([0.5])), 1 / (1 - 0.25))
+    hat = linear.leverage(fit, df).agg(F.sum("leverage")).first()[0]
+    assert hat == pytest.approx(2)
+
+
+def test_relative_effects(frame):
+    fit = linear.ols(frame, Design(["y"], [num("b"), num("x")]))
+    mean = frame.agg(F.avg("x")).first()[0]
+    r = linear.lift(fit, "b", {"x": mean})
+    assert r["value"] == pytest.approx(fit.params[1] / (fit.params[0] + fit.params[2] * mean)) and r["std_err"] > 0
+    w = irls.row_weights(irls.rlm(frame, Design(["y"], [num("x")])), frame, "HuberT").agg(F.min("weight"), F.max("weight")).first()
+    assert 0 < w[0] < 1 and w[1] == 1
+    zero = mle.predict_zero(mle.fit_mle(frame, Design(["c"], [num("x")]), "poisson"), frame).agg(F.avg("p_zero"), F.avg((F.col("c") == 0).cast("double"))).first()
+    assert zero[0] == pytest.approx(zero[1], abs=0.06)
+    q = irls.quantile_control_function(frame.withColumn("v", F.col("x") + F.col("g") / 10), Design(["y"], [num("x")], instruments=[num("v")]), "x", [0.5])[0.5]
+    assert abs(q.params[1] - 2) < 0.5
+    nonlinear = moments_fits.gmm_iv_nonlinear(frame, "y", ["x"], lambda c, t: t[0] + t[1] * c["x"], ["x"], np.zeros(2))
+    assert np.allclose(nonlinear.params, linear.ols(frame, Design(["y"], [num("x")])).params, atol=1e-5)
