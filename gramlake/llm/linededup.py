@@ -7,12 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlake.llm.common import U64, cut, mix, read, span_hashes, text_slices, to_signed
+from gramlake.llm.common import U64, cut, mix, ranges, read, span_hashes, text_slices, to_signed
 
 #: Lines that the rolling hash sees, and one boundary in how many lines.
 ROLL, MEAN_LINES = 2, 3
 #: A line of at least this many words is a chunk of its own.
 LONG_WORDS = 50
+#: Words that the first or last lines of a chunk have at least to be looked up on their own, as ends of a passage.
+EDGE_WORDS = 16
+#: A chunk's name in its text: its first line times this, plus its number of lines.
+NAME = 1 << 24
 #: Stands for a null key while texts meet lists of chunks; null keys have no chunks.
 NO_KEY = -(1 << 63)
 _STEP = U64(0xC6BC279692B5C323)
@@ -25,7 +29,9 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     Lines end at line feeds. A boundary follows a line where the rolling hash of it and the line before
     falls on one residue, and lies on both sides of a long line, so that it depends on the text near by
     alone and shared passages are cut alike wherever they stand. Only chunks of two lines or more, or of
-    one long line, with anything but white space count; the others are not returned.
+    one long line, with anything but white space count; the others are not returned. Where a passage begins
+    or ends inside a chunk, only the chunk's last or first lines are the passage's: so the first and the last
+    two or more lines of a chunk, of EDGE_WORDS words or more, are returned as chunks too.
     """
     rows = len(offsets) - 1
     feeds = np.flatnonzero(data == 10)
@@ -59,9 +65,16 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     head[1:] = boundary[:-1]
     a = np.flatnonzero(head)
     b = np.append(a[1:], len(h))
-    visible = np.add.reduceat(words, a) if len(a) else words
-    counts = ((b - a >= 2) | long_[a]) & (visible > 0)
-    a, b = a[counts], b[counts]
+    more = np.maximum(b - a - 2, 0)
+    at = ranges(np.zeros(len(a), np.int64), more) + 2  # lines of an edge, from 2 to all but one
+    base_a, base_b = np.repeat(a, more), np.repeat(b, more)
+    edges_a, edges_b = np.concatenate([base_a, base_b - at]), np.concatenate([base_a + at, base_b])
+    sums = np.concatenate([[0], np.cumsum(words)])
+    keep = sums[edges_b] - sums[edges_a] >= EDGE_WORDS
+    counts = ((b - a >= 2) | long_[a]) & (sums[b] - sums[a] > 0)
+    a, b = np.concatenate([a[counts], edges_a[keep]]), np.concatenate([b[counts], edges_b[keep]])
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
     x, y = starts[a], ends[b - 1]
     one = span_hashes(data, x, y)
     sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ U64(0x51ED270B)) * (np.arange(len(h)).astype(U64) * U64(2) + U64(1)), dtype=U64)])
@@ -71,37 +84,37 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _find(batches):
-    """Hashes of every chunk: k, c (its first line in the text), h1, h2."""
+    """Hashes of every chunk: k, c (its name in the text), h1, h2."""
     for batch, data, offsets in text_slices(batches, "t"):
-        a, _, _, _, one, two, _, _, first, first_line = chunks(data, offsets)
+        a, b, _, _, one, two, _, _, first, first_line = chunks(data, offsets)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(a - first_line[row]), pa.array(to_signed(one)), pa.array(to_signed(two))], ["k", "c", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array((a - first_line[row]) * NAME + b - a), pa.array(to_signed(one)), pa.array(to_signed(two))], ["k", "c", "h1", "h2"])
 
 
-def _wanted(batch: pa.RecordBatch, a: np.ndarray, first: np.ndarray, first_line: np.ndarray, column: int) -> np.ndarray:
-    """Which chunks start at a line that their row's list names."""
+def _wanted(batch: pa.RecordBatch, a: np.ndarray, b: np.ndarray, first: np.ndarray, first_line: np.ndarray, column: int) -> np.ndarray:
+    """Which chunks their row's list names."""
     row = np.repeat(np.arange(batch.num_rows), np.diff(first))
     lists = batch.column(column).to_pylist()
     named = [set(x) if x else () for x in lists]
-    return np.array([c in named[r] for r, c in zip(row.tolist(), (a - first_line[row]).tolist(), strict=True)], bool)
+    return np.array([c in named[r] for r, c in zip(row.tolist(), ((a - first_line[row]) * NAME + b - a).tolist(), strict=True)], bool)
 
 
 def _texts(batches):
     """Bytes of the chunks that a row's list names: k, c, u."""
     for batch, data, offsets in text_slices(batches, "t"):
-        a, _, x, y, _, _, _, _, first, first_line = chunks(data, offsets)
-        keep = np.flatnonzero(_wanted(batch, a, first, first_line, 2))
+        a, b, x, y, _, _, _, _, first, first_line = chunks(data, offsets)
+        keep = np.flatnonzero(_wanted(batch, a, b, first, first_line, 2))
         row = np.searchsorted(first, keep, side="right") - 1
         raw = data.tobytes()
         texts = [raw[i:j].decode("utf-8") for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(a[keep] - first_line[row]), pa.array(texts, pa.string())], ["k", "c", "u"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array((a[keep] - first_line[row]) * NAME + b[keep] - a[keep]), pa.array(texts, pa.string())], ["k", "c", "u"])
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``carry``, text without repeated chunks, n_lines (before) and n_removed of every row.
 
     A chunk that occurs again, in the same document or another, goes; its first place (least key, then
-    least line) stays. Chunks meet by a 128-bit hash (a shuffle of hashes alone); of those that repeat,
+    least line) stays, so that every line stays somewhere. Chunks meet by a 128-bit hash (a shuffle of hashes alone); of those that repeat,
     the bytes are compared with the first place's before anything goes (a shuffle of repeated chunks), and
     lists of removed chunks meet the texts (one shuffle of the table, used for both). Lines that remain keep their order
     and bytes. A null text stays null; texts that were repeated whole become empty; rows with a null key
@@ -130,7 +143,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", carry:
         for batch, data, offsets in text_slices(batches, "t"):
             a, b, _, _, _, _, starts, ends, first, first_line = chunks(data, offsets)
             keep_line = np.ones(len(starts), bool)
-            for i in np.flatnonzero(_wanted(batch, a, first, first_line, 2)).tolist():
+            for i in np.flatnonzero(_wanted(batch, a, b, first, first_line, 2)).tolist():
                 keep_line[a[i] : b[i]] = False
             raw, texts, removed = data.tobytes(), batch.column(1).to_pylist(), []
             for i, (u, v) in enumerate(zip(first_line[:-1].tolist(), first_line[1:].tolist(), strict=True)):

@@ -194,10 +194,13 @@ def brute_lines(rows):
                 roll = mix(np.array([(h[i - 1] if i else U64(0)) * linededup._STEP + h[i]], dtype=np.uint64))[0]
             last = i + 1 == len(lines)
             if last or roll % U64(linededup.MEAN_LINES) == 0 or words[i] >= linededup.LONG_WORDS or words[i + 1] >= linededup.LONG_WORDS:
-                if (i + 1 - start >= 2 or words[start] >= linededup.LONG_WORDS) and sum(words[start : i + 1]):
-                    chunk = b"\n".join(lines[start : i + 1])
+                found = [(start, i + 1)] if (i + 1 - start >= 2 or words[start] >= linededup.LONG_WORDS) and sum(words[start : i + 1]) else []
+                edges = [(start, start + n) for n in range(2, i + 1 - start)] + [(i + 1 - n, i + 1) for n in range(2, i + 1 - start)]
+                found += [(a, b) for a, b in edges if sum(words[a:b]) >= linededup.EDGE_WORDS]
+                for a, b in sorted(found):
+                    chunk = b"\n".join(lines[a:b])
                     if chunk in seen:
-                        drop |= set(range(start, i + 1))
+                        drop |= set(range(a, b))
                     seen.add(chunk)
                 start = i + 1
         out[k] = (b"\n".join(x for i, x in enumerate(lines) if i not in drop).decode() if drop else t, len(drop))
@@ -215,6 +218,12 @@ def test_line_dedup(spark, empty):
     got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(table(spark, rows), carry=("t", "k")).collect()}
     assert got == brute_lines(rows)
     assert sum(n for _, n in got.values()) > 50
+    # a passage of short lines goes but for a line at either end
+    passage = [" ".join(f"p{rng.randint(0, 10**6)}" for _ in range(9)) for _ in range(12)]
+    fresh = lambda n: [" ".join(f"f{rng.randint(0, 10**6)}" for _ in range(9)) for _ in range(n)]
+    twice = [(1, "\n".join(fresh(5) + passage + fresh(4))), (2, "\n".join(fresh(7) + passage + fresh(3)))]
+    out = {r.doc_id: r for r in linededup.dedup_lines(table(spark, twice)).collect()}
+    assert out[1].n_removed == 0 and 10 <= out[2].n_removed <= 12 and "f" in out[2].text
     odd = linededup.dedup_lines(table(spark, [(None, "a\nb\n" * 9), (None, "a\nb\n" * 9), (7, None), (8, "x" * 100_000)])).collect()
     assert sorted((r.n_removed, r.text is None) for r in odd) == [(0, False), (0, False), (0, False), (0, True)]
     assert linededup.dedup_lines(empty).count() == 0
