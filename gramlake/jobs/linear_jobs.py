@@ -201,9 +201,15 @@ def ssr_lineitem(spark, d):
     return linear.ssr_at(g, betas).select("i", F.round(F.col("ssr") / 1e9, 3).alias("ssr"))
 
 
-@query("l8_fgls_lineitem")
+@query(
+    "l8_fgls_lineitem",
+    """with v as (select l_extendedprice as y, l_quantity as x from lineitem), b as (select regr_slope(y, x) as b1, regr_intercept(y, x) as b0 from v),
+e as (select y, x, ln(greatest((y - b0 - b1 * x) ** 2, 1e-300)) as z from v cross join b), g as (select regr_slope(z, x) as g1, regr_intercept(z, x) as g0 from e),
+w as (select y, x, exp(-0.5 * (g0 + g1 * x)) as w from e cross join g), m as (select sum(w * y) / sum(w) as my, sum(w * x) / sum(w) as mx from w)
+select 'l_quantity' as term, round(sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)), 3) as coef from w cross join m""",
+)
 def fgls_lineitem(spark, d):
-    return linear.fgls(_line(spark, d), PRICE).table(spark)
+    return linear.fgls(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")])).table(spark, digits=3).where("term = 'l_quantity'").select("term", "coef")
 
 
 @query("l10_sure_lineitem", "select 'a.l_quantity' as term, round(regr_slope(l_extendedprice, l_quantity), 3) as coef from lineitem union all select 'b.l_discount', round(regr_slope(l_tax, l_discount), 3) from lineitem")

@@ -46,8 +46,13 @@ def _orders_per_customer(spark, d):
 _NEWTON = """b{i} as (select b0 + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) as b0, b1 + (haa * gb - hab * ga) / (haa * hbb - hab * hab) as b1 from (select any_value(b0) as b0, any_value(b1) as b1, sum(y - mu) as ga, sum((y - mu) * x) as gb, sum(v) as haa, sum(v * x) as hab, sum(v * x * x) as hbb from (select *, {v} as v from (select y, x, b0, b1, {mu} as mu from d cross join b{j}))))"""
 
 
+def _steps(source, start, mu, v, rounds=8):
+    """Unrolled Newton steps as a chain of CTEs, then f: every row with the converged mu and v."""
+    return f"with d as ({source}), b0 as ({start}), " + ", ".join(_NEWTON.format(i=i + 1, j=i, mu=mu, v=v) for i in range(rounds)) + f", f as (select *, {v} as v from (select d.*, b0, b1, {mu} as mu from d cross join b{rounds}))"
+
+
 def _newton(source, start, mu, v, rounds=8):
-    return f"with d as ({source}), b0 as ({start}), " + ", ".join(_NEWTON.format(i=i + 1, j=i, mu=mu, v=v) for i in range(rounds)) + f" select t.term, round(t.coef, 4) as coef from b{rounds}, lateral (values ('Intercept', b0), ('x', b1)) as t(term, coef)"
+    return _steps(source, start, mu, v, rounds) + f" select t.term, round(t.coef, 4) as coef from b{rounds}, lateral (values ('Intercept', b0), ('x', b1)) as t(term, coef)"
 
 
 _LOGIT = "1 / (1 + exp(-(b0 + b1 * x)))"
@@ -80,15 +85,18 @@ def gaussian(spark, d):
     return _out(spark, zip(fit.names, fit.params, strict=True), "term string, coef double")
 
 
-@query("g2_glm_statistics_lineitem")
+_LOGIT_ROWS = _steps("select cast(l_returnflag = 'R' as double) as y, l_quantity / 10.0 as x, l_orderkey, l_linenumber from lineitem", "select 0.0::double as b0, 0.0::double as b1", _LOGIT, "mu * (1 - mu)")
+
+
+@query("g2_glm_statistics_lineitem", _LOGIT_ROWS + ", s as (select sum(y * ln(mu) + (1 - y) * ln(1 - mu)) as llf, sum((y - mu) * (y - mu) / v) as chi, avg(y) as p, count(*) as n from f), z as (select *, n * (p * ln(p) + (1 - p) * ln(1 - p)) as llf0 from s) select t.name, round(t.value, 4) as value from z, lateral (values ('deviance', -2 * llf), ('pearson_chi2', chi), ('llf', llf), ('llf_null', llf0), ('pseudo_r2', 1 - llf / llf0)) as t(name, value)")
 def glm_stats(spark, d):
     s = irls.glm(_line(spark, d), Design(["returned"], [num("q")]), "binomial").stats
     return _out(spark, [(k, float(s[k])) for k in ("deviance", "pearson_chi2", "llf", "llf_null", "pseudo_r2")], "name string, value double")
 
 
-@query("g3_glm_hc1_lineitem")
+@query("g3_glm_hc1_lineitem", _LOGIT_ROWS + ", s as (select count(*) as n, sum(v) as haa, sum(v * x) as hab, sum(v * x * x) as hbb, sum((y - mu) ** 2) as maa, sum((y - mu) ** 2 * x) as mab, sum((y - mu) ** 2 * x * x) as mbb from f), i as (select *, hbb / (haa * hbb - hab * hab) as iaa, -hab / (haa * hbb - hab * hab) as iab, haa / (haa * hbb - hab * hab) as ibb from s) select t.term, round(sqrt(n / (n - 2.0) * t.v), 6) as std_err from i, lateral (values ('Intercept', iaa * iaa * maa + 2 * iaa * iab * mab + iab * iab * mbb), ('q', iab * iab * maa + 2 * iab * ibb * mab + ibb * ibb * mbb)) as t(term, v)")
 def glm_hc1(spark, d):
-    return irls.glm(_line(spark, d), Design(["returned"], [num("q")]), "binomial", cov_type="HC1").table(spark)
+    return irls.glm(_line(spark, d), Design(["returned"], [num("q")]), "binomial", cov_type="HC1").table(spark, digits=6).select("term", "std_err")
 
 
 @query("g1_gamma_log_orders")
@@ -107,11 +115,11 @@ def two_sri(spark, d):
     return irls.residual_inclusion(_line(spark, d), Design(["returned"], [num("q")], instruments=[num("l_partkey")]), "q", "binomial").table(spark)
 
 
-@query("g6_marginal_effects_lineitem")
+@query("g6_marginal_effects_lineitem", _LOGIT_ROWS + " select 'q' as term, round(avg(v * b1), 8) as effect from f")
 def margins(spark, d):
     df = _line(spark, d)
     fit = irls.glm(df, Design(["returned"], [num("q")]), "binomial")
-    return _out(spark, [(k, *v) for k, v in irls.marginal_effects(fit, df, ["q"]).items()], "term string, effect double, std_err double")
+    return spark.createDataFrame([(k, round(v[0], 8)) for k, v in irls.marginal_effects(fit, df, ["q"]).items()], "term string, effect double")
 
 
 @query("g7_gam_orders")
@@ -120,7 +128,7 @@ def gam(spark, d):
     return irls.gam(df, "p", {"u": 8}, "gaussian").table(spark)
 
 
-@query("g8_glm_predict_lineitem")
+@query("g8_glm_predict_lineitem", _LOGIT_ROWS + " select l_orderkey, l_linenumber, round(mu, 6) as mu from f")
 def glm_predict(spark, d):
     df = _line(spark, d)
     fit = irls.glm(df, Design(["returned"], [num("q")]), "binomial")
@@ -268,6 +276,12 @@ def effect(spark, d):
     return _out(spark, [("bal", mle.average_effect(mle.fit_mle(df, Design(["n"], [num("bal")]), "nb2"), df, "bal"))], "term string, effect double")
 
 
+@query("d5_poisson_mean_customer", _steps(_COUNTS.replace("as y,", "as y, c_custkey,"), f"select ln(avg(y)) as b0, 0.0::double as b1 from ({_COUNTS})", "exp(b0 + b1 * x)", "mu") + " select c_custkey, round(mu, 6) as mean from f")
+def poisson_mean(spark, d):
+    df = _orders_per_customer(spark, d)
+    return mle.predict_mean(mle.fit_mle(df, Design(["n"], [num("bal")]), "poisson"), df).select("c_custkey", F.round("mean", 6).alias("mean"))
+
+
 @query("r1_bayesian_bootstrap_lineitem")
 def bayes_boot(spark, d):
     fit, draws = resample.bootstrap(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")]), ["l_orderkey", "l_linenumber"], 250)
@@ -425,7 +439,7 @@ def quantile_iv(spark, d):
     return fits[0.5].table(spark)
 
 
-@query("d5_zero_probability_customer")
+@query("d5_zero_probability_customer", _steps(_COUNTS.replace("as y,", "as y, c_custkey,"), f"select ln(avg(y)) as b0, 0.0::double as b1 from ({_COUNTS})", "exp(b0 + b1 * x)", "mu") + " select c_custkey, round(exp(-mu), 6) as p_zero from f")
 def zero_probability(spark, d):
     df = _orders_per_customer(spark, d)
     return mle.predict_zero(mle.fit_mle(df, Design(["n"], [num("bal")]), "poisson"), df).select("c_custkey", F.round("p_zero", 6).alias("p_zero"))

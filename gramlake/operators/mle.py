@@ -119,8 +119,8 @@ def check_support(df: DataFrame, y: str, kind: str) -> None:
         raise ValueError(f"the outcome must be {kind}")
 
 
-def _derivatives(llf, y, scalars, small=1e-4, h=3e-3):
-    """Value, gradient (n x m) and Hessian (n x m x m) by central differences in the scalars; wider ones for the Hessian, whose rounding error they divide by h squared."""
+def _derivatives(llf, y, scalars, small=1e-3, h=3e-3):
+    """Value, gradient (n x m) and Hessian (n x m x m) by differences in the scalars: of fourth order for the gradient, wide ones for the Hessian, whose rounding error they divide by h squared."""
     m = len(scalars)
 
     def at(*shift):
@@ -131,8 +131,11 @@ def _derivatives(llf, y, scalars, small=1e-4, h=3e-3):
     grad, hess = np.empty((len(y), m)), np.empty((len(y), m, m))
     for i in range(m):
         up, down = list(zero), list(zero)
-        up[i], down[i] = small, -small
-        grad[:, i] = (at(*up) - at(*down)) / (2 * small)
+        one, two = [], []
+        for shift, out in ((small, one), (2 * small, two)):
+            up[i], down[i] = shift, -shift
+            out.append(at(*up) - at(*down))
+        grad[:, i] = (8 * one[0] - two[0]) / (12 * small)
         up[i], down[i] = h, -h
         hess[:, i, i] = (at(*up) - 2 * f + at(*down)) / (h * h)
         for j in range(i):
@@ -190,6 +193,7 @@ def fit_mle(df: DataFrame, design: Design, model: str, inflation: Design | None
             hess = np.block([[a.T @ (b * (w * h[:, i, j])[:, None]) for j, b in enumerate(parts)] for i, a in enumerate(parts)])
             return np.concatenate([[(w * f).sum()], score.T @ w, hess.ravel(), (score.T @ (score * (w * w)[:, None])).ravel()])
 
+        flat = 0
         for iteration in range(max_iter):
             s = sum_rows(rows, lambda c, t=theta: newton(c, t))
             value, grad, hess, outer = s[0], s[1 : 1 + k], s[1 + k : 1 + k + k * k].reshape(k, k), s[1 + k + k * k :].reshape(k, k)
@@ -206,10 +210,12 @@ def fit_mle(df: DataFrame, design: Design, model: str, inflation: Design | None
                     return np.array([np.nan_to_num((w * llf(y, *scalars(x1, x2, t + a * step, len(y)))).sum(), nan=-1e300, neginf=-1e300) for a in sizes])
 
             v = sum_rows(rows, values)
-            if v.max() <= value:
+            slack = 1e-11 * max(1.0, abs(value))
+            if v.max() < value - slack:
                 break
-            theta = theta + sizes[int(v.argmax())] * step
-            if v.max() - value < 1e-9 * abs(value):  # flat, as where a shape runs off to its bound
+            theta = theta + sizes[int(np.argmax(v >= v.max() - slack))] * step  # the longest of equally good steps
+            flat = flat + 1 if v.max() - value < 1e-9 * abs(value) else 0
+            if flat > 1:  # twice, as where a shape runs off to its bound
                 break
     finally:
         rows.unpersist()
