@@ -132,12 +132,14 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Model:
                 own[len(SIZES) * BUCKETS :] += np.bincount(words.script[mine], weights=letters[mine], minlength=len(SCRIPTS)).astype(np.int64)
         for name, own in sums.items():
             code = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code), pa.array(own[code])], ["l", "c", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(own[code])], ["l", "c", "n"])
 
-    table = named.mapInArrow(count, "l string, c long, n long").groupBy("l", "c").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(table["l"].unique().tolist())
+    table = named.mapInArrow(count, "l string, c int, n long").groupBy("l", "c").agg(F.sum("n").alias("n")).groupBy("l").agg(F.collect_list("c").alias("c"), F.collect_list("n").alias("n"))
+    arrow = table.toArrow().sort_by("l")  # one row a language, of at most width numbers
+    languages = arrow["l"].to_pylist()
     counts = np.zeros((len(languages), width))
-    counts[np.searchsorted(languages, table["l"].to_numpy(str)) if languages else [], table["c"].to_numpy(int)] = table["n"].to_numpy(float)
+    for i in range(len(languages)):
+        counts[i, arrow["c"][i].values.to_numpy()] = arrow["n"][i].values.to_numpy()
     grams = counts[:, : len(SIZES) * BUCKETS].reshape(len(languages), len(SIZES), BUCKETS)
     return Model(languages, grams, counts[:, len(SIZES) * BUCKETS :])
 
