@@ -23,9 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without its repeated chunks of lines; n_chars follows the text."""
+    """Every document without its repeated chunks and passages of lines; n_chars follows the text."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = linededup.dedup_lines(docs, carry=others).withColumn("n_chars", F.length("text").cast("long"))
+    out = linededup.dedup_lines(docs, carry=others, passages=True).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
 
 

@@ -229,6 +229,58 @@ def test_line_dedup(spark, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def brute_passages(rows, words=linededup.LONG_WORDS):
+    """Lines in a run of ``words`` words or more, from a line with a word to one, that occurs at an earlier place."""
+    seen, gone = set(), {}
+    for k, t in sorted(rows):
+        lines, drop = t.split("\n"), set()
+        size = [len(x.split()) for x in lines]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if size[a] and size[b - 1] and sum(size[a:b]) >= words:
+                    run = "\n".join(lines[a:b])
+                    if run in seen:
+                        drop |= set(range(a, b))
+                    seen.add(run)
+        gone[k] = drop
+    return gone
+
+
+@pytest.mark.parametrize(("n", "size"), [(2, 30), (3, 20), (4, 15), (6, 10), (20, 4)])
+def test_line_dedup_passages(spark, n, size):
+    rng = random.Random(n)
+    fresh = lambda n, size: [" ".join(f"f{rng.randint(0, 10**9)}" for _ in range(size)) for _ in range(n)]
+    rows = []
+    for i in range(25):  # one passage in two texts, at any place; a blank line inside some
+        passage = fresh(n, size)
+        passage[1:1] = [""] * (i % 3)
+        rows += [(2 * i + x, "\n".join(fresh(rng.randint(0, 6), 9) + passage + fresh(rng.randint(0, 6), 9))) for x in (0, 1)]
+    got = {r.doc_id: r for r in linededup.dedup_lines(table(spark, rows), passages=True).collect()}
+    want = brute_passages(rows)
+    for i, t in rows:  # fresh lines are never repeated, so nothing but the passages goes
+        assert got[i].text == "\n".join(x for j, x in enumerate(t.split("\n")) if j not in want[i])
+        assert got[i].n_removed == len(want[i]) == (i % 2) * (n + i // 2 % 3)
+
+
+def test_line_dedup_removes_all_that_brute_force_removes(spark):
+    rng = random.Random(9)
+    pool = [" ".join(f"w{rng.randint(0, 500)}" for _ in range(rng.choice([0, 1, 4, 12, 25, 60]))) for _ in range(25)]
+    rows = []
+    for i in range(40):
+        at = rng.randrange(20)
+        rows.append((i, "\n".join([rng.choice(pool) + f" {rng.randint(0, 9)}" for _ in range(4)] + pool[at : at + rng.randint(2, 8)] + [rng.choice(pool)] * rng.randint(0, 9))))
+    got = {r.doc_id: r for r in linededup.dedup_lines(table(spark, rows), passages=True).collect()}
+    want, stays = brute_passages(rows), set()
+    for i, t in rows:
+        left = got[i].text.split("\n")
+        stays |= set(left)
+        most = [x for j, x in enumerate(t.split("\n")) if j not in want[i]]
+        rest = iter(most)
+        assert all(x in rest for x in left if x) and got[i].n_removed >= len(want[i])
+    assert sum(map(len, want.values())) > 50
+    assert {x for _, t in rows for x in t.split("\n") if x} <= stays  # every line stays somewhere
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
