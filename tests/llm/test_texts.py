@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -281,6 +282,27 @@ def test_line_dedup_removes_all_that_brute_force_removes(spark):
     assert {x for _, t in rows for x in t.split("\n") if x} <= stays  # every line stays somewhere
 
 
+@pytest.mark.parametrize("passages", [False, True])
+def test_line_dedup_of_equal_lines_moves_no_more_than_the_text(spark, passages):
+    line = " ".join(["same"] * 10)
+    texts = {1: [line] * 20_000, 2: ["own"] + [line] * 20_000, 3: [f"{line} {i % 3}" for i in range(20_000)], 4: ["a"] + [""] * 20_000 + ["b " * 60]}
+    for lines in texts.values():
+        data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+        a, b, _, _, _, _ = linededup.chunks(data, np.array([0, len(data)]), passages)
+        assert len(a) <= 4 * len(lines)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(table(spark, [(i, "\n".join(x)) for i, x in texts.items()]), passages=passages).collect()}
+    assert all(set(got[i].split("\n")) <= set(texts[i]) for i in texts)
+    assert {x for t in got.values() for x in t.split("\n")} == {x for lines in texts.values() for x in lines}
+    if passages:
+        assert got[1] == line and got[2] == "own" and len(got[3].split("\n")) == 3
+    # what is compared follows the text: places of each run and its first place
+    n = 20_000
+    named = [(a, m, a % 3) for a in range(1, n) for m in (5, n - a)]
+    lists = pa.array([[{"c": a * linededup.NAME + m, "fk": 1, "fc": f * linededup.NAME + m} for a, m, f in named]])
+    runs = next(linededup._runs([pa.RecordBatch.from_arrays([pa.array([1]), lists], ["k", "cs"])]))
+    assert (runs["c"].to_numpy() % linededup.NAME).sum() <= 8 * n
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
