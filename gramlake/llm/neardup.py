@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 from gramlake.llm.common import LOWER, U64, cut, grams, mix, ranges, read, span_hashes, spans, text_slices, to_signed
 from gramlake.llm.components import components, forest
 
-#: Words of a shingle, and the least percentage of the union that the intersection of linked sets has.
+#: Words of a shingle, and the least percentage of the union that the intersection of linked sets has where none is given.
 SHINGLE, PERCENT = 5, 85
-#: Coordinates of a sketch, its bands and rows of a band. A pair at 0.85 misses all bands with probability 4e-7.
-SKETCH, BANDS, ROWS = 128, 25, 5
-#: Coordinates that must agree before full sets are compared: at 0.85, fewer do with probability below 1e-5.
-AGREE = 88
+#: Coordinates of a sketch.
+SKETCH = 128
+#: Most probability that a pair at the threshold misses all bands, and that too few of its coordinates agree.
+MISS, DISAGREE = 5e-7, 1.1e-6
 #: Documents, and text bytes, of one piece of a large group; two pieces meet in one comparison.
 PIECE_ROWS, PIECE_BYTES = 1500, 16_000_000
 
@@ -26,6 +27,26 @@ IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
+def banding(percent: int) -> tuple[int, int, int]:
+    """Bands, rows of a band, and coordinates that must agree before full sets are compared, for links at ``percent``.
+
+    The most rows and then the least bands with which a pair at the threshold misses all with probability MISS at most:
+    25 of 5 and 88 for 85, 28 of 4 and 79 for 80. Low thresholds, which no banding of SKETCH coordinates meets, are refused.
+    """
+    s = percent / 100
+    for rows in range(SKETCH, 0, -1):
+        hit = s**rows
+        bands = 1 if hit >= 1 else math.ceil(math.log(MISS) / math.log1p(-hit))
+        if bands * rows <= SKETCH:
+            break
+    else:
+        raise ValueError(f"no banding finds links at {percent} %")
+    below, agree = 0.0, 0
+    while agree < SKETCH and below + (p := math.comb(SKETCH, agree) * s**agree * (1 - s) ** (SKETCH - agree)) < DISAGREE:
+        below, agree = below + p, agree + 1
+    return bands, rows, agree
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted different shingle hashes of each text, side by side, and each text's first one (n + 1)."""
     starts, ends, first = spans(data, offsets, IS_WORD)
@@ -73,20 +94,23 @@ def sketches(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.reshape(n, SKETCH)
 
 
-def _sketch_batches(batches):
-    names = ["k", "n", "f1", "f2", "sketch", "bands"]
-    for batch, data, offsets in text_slices(batches, "t"):
-        sets, first = shingle_sets(data, offsets)
-        n = np.diff(first)
-        s = sketches(sets, first)
-        sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(sets ^ U64(c)), dtype=U64)]) for c in (0x1234567, 0x89ABCDEF01)]
-        prints = [x[first[1:]] - x[first[:-1]] for x in sums]
-        bands = np.stack([grams(s[:, b * ROWS : (b + 1) * ROWS].ravel(), ROWS)[::ROWS] + U64(b) if len(s) else np.zeros(0, U64) for b in range(BANDS)], 1)
-        low = np.ascontiguousarray((s & U64(255)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), *(pa.array(to_signed(p)) for p in prints), pa.array([r.tobytes() for r in low], pa.binary()), pa.ListArray.from_arrays(np.arange(0, (len(n) + 1) * BANDS, BANDS, dtype=np.int32), to_signed(mix(bands).ravel()))],
-            names,
-        )
+def _sketch_batches(n_bands: int, rows: int):
+    def sketch(batches):
+        names = ["k", "n", "f1", "f2", "sketch", "bands"]
+        for batch, data, offsets in text_slices(batches, "t"):
+            sets, first = shingle_sets(data, offsets)
+            n = np.diff(first)
+            s = sketches(sets, first)
+            sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(sets ^ U64(c)), dtype=U64)]) for c in (0x1234567, 0x89ABCDEF01)]
+            prints = [x[first[1:]] - x[first[:-1]] for x in sums]
+            bands = np.stack([grams(s[:, b * rows : (b + 1) * rows].ravel(), rows)[::rows] + U64(b) if len(s) else np.zeros(0, U64) for b in range(n_bands)], 1)
+            low = np.ascontiguousarray((s & U64(255)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n), *(pa.array(to_signed(p)) for p in prints), pa.array([r.tobytes() for r in low], pa.binary()), pa.ListArray.from_arrays(np.arange(0, (len(n) + 1) * n_bands, n_bands, dtype=np.int32), to_signed(mix(bands).ravel()))],
+                names,
+            )
+
+    return sketch
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -125,69 +149,78 @@ def _tiles(rows: DataFrame, group: str, pieces) -> DataFrame:
     return met.repartition(group, "ti", "tj").sortWithinPartitions(group, "ti", "tj")
 
 
-def _alike(batches):
-    """Links of sketches that agree in AGREE coordinates, as the least star edges of each tile."""
-    for t in runs(batches, ["g", "ti", "tj"]):
-        keys = t["k"].to_numpy()
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        m = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(keys), SKETCH)[order]
-        left, right = [], []
-        label = np.arange(len(keys))
-        for i in range(len(keys) - 1):
-            hit = np.flatnonzero((m[i + 1 :] == m[i]).sum(axis=1) >= AGREE) + i + 1
-            hit = hit[label[hit] != label[i]]
-            if len(hit):
+def _alike(agree: int):
+    """Links of sketches that agree in ``agree`` coordinates, as the least star edges of each tile."""
+
+    def alike(batches):
+        for t in runs(batches, ["g", "ti", "tj"]):
+            keys = t["k"].to_numpy()
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            m = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(keys), SKETCH)[order]
+            left, right = [], []
+            label = np.arange(len(keys))
+            for i in range(len(keys) - 1):
+                hit = np.flatnonzero((m[i + 1 :] == m[i]).sum(axis=1) >= agree) + i + 1
+                hit = hit[label[hit] != label[i]]
+                if len(hit):
+                    left.append(np.full(len(hit), i))
+                    right.append(hit)
+                    label[hit] = label[i]  # a shortcut only: forest() below has the last word
+            label = forest(len(keys), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(keys))
+            moved = np.flatnonzero(keys[label] != keys)
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[label[moved]]), pa.array(keys[moved])], ["a", "b"])
+
+    return alike
+
+
+def _linked(percent: int):
+    """Links of full shingle sets, as the least star edges of each tile: intersections come from inverted lists."""
+
+    def linked(batches):
+        for t in runs(batches, ["g", "ti", "tj"]):
+            t = t.sort_by("k")
+            keys = t["k"].to_numpy()
+            raw = [x.encode("utf-8") for x in t["t"].to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64)
+            parts, sizes = [], []
+            at = 0
+            while at < len(raw):  # bounded numpy steps
+                end = at + 1
+                while end < len(raw) and offsets[end + 1] - offsets[at] < 2_000_000:
+                    end += 1
+                sets, first = shingle_sets(np.frombuffer(b"".join(raw[at:end]), np.uint8), offsets[at : end + 1] - offsets[at])
+                parts.append(sets)
+                sizes.append(np.diff(first))
+                at = end
+            sets, size = np.concatenate(parts), np.concatenate(sizes)
+            first = np.concatenate([[0], np.cumsum(size)])
+            n = len(keys)
+            _, word = np.unique(sets, return_inverse=True)
+            order = np.argsort(word, kind="stable")
+            owner = np.repeat(np.arange(n), size)[order]  # of each shingle, the texts that have it, in order
+            begin = np.concatenate([[0], np.cumsum(np.bincount(word))])
+            left, right = [], []
+            for i in range(n):
+                w = word[first[i] : first[i + 1]]
+                common = np.bincount(owner[ranges(begin[w], begin[w + 1] - begin[w])], minlength=n)
+                hit = np.flatnonzero((100 * common >= percent * (size[i] + size - common)) & (size > 0))
+                hit = hit[hit > i]
                 left.append(np.full(len(hit), i))
                 right.append(hit)
-                label[hit] = label[i]  # a shortcut only: forest() below has the last word
-        label = forest(len(keys), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(keys))
-        moved = np.flatnonzero(keys[label] != keys)
-        if len(moved):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[label[moved]]), pa.array(keys[moved])], ["a", "b"])
+            label = forest(n, np.concatenate(left), np.concatenate(right))
+            moved = np.flatnonzero(keys[label] != keys)
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[label[moved]]), pa.array(keys[moved])], ["a", "b"])
 
+    return linked
 
-def _linked(batches):
-    """Links of full shingle sets, as the least star edges of each tile: intersections come from inverted lists."""
-    for t in runs(batches, ["g", "ti", "tj"]):
-        t = t.sort_by("k")
-        keys = t["k"].to_numpy()
-        raw = [x.encode("utf-8") for x in t["t"].to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64)
-        parts, sizes = [], []
-        at = 0
-        while at < len(raw):  # bounded numpy steps
-            end = at + 1
-            while end < len(raw) and offsets[end + 1] - offsets[at] < 2_000_000:
-                end += 1
-            sets, first = shingle_sets(np.frombuffer(b"".join(raw[at:end]), np.uint8), offsets[at : end + 1] - offsets[at])
-            parts.append(sets)
-            sizes.append(np.diff(first))
-            at = end
-        sets, size = np.concatenate(parts), np.concatenate(sizes)
-        first = np.concatenate([[0], np.cumsum(size)])
-        n = len(keys)
-        _, word = np.unique(sets, return_inverse=True)
-        order = np.argsort(word, kind="stable")
-        owner = np.repeat(np.arange(n), size)[order]  # of each shingle, the texts that have it, in order
-        begin = np.concatenate([[0], np.cumsum(np.bincount(word))])
-        left, right = [], []
-        for i in range(n):
-            w = word[first[i] : first[i + 1]]
-            common = np.bincount(owner[ranges(begin[w], begin[w + 1] - begin[w])], minlength=n)
-            hit = np.flatnonzero((100 * common >= PERCENT * (size[i] + size - common)) & (size > 0))
-            hit = hit[hit > i]
-            left.append(np.full(len(hit), i))
-            right.append(hit)
-        label = forest(n, np.concatenate(left), np.concatenate(right))
-        moved = np.flatnonzero(keys[label] != keys)
-        if len(moved):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[label[moved]]), pa.array(keys[moved])], ["a", "b"])
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """``key``, n_shingles, component_id and kept (key = component_id) for every row.
 
+    Sets link whose intersection is at least ``percent`` % of their union; bands and the sketches' least agreement follow from it.
     Equal sets are one class from the start, by a 128-bit sum over the set. Class representatives meet
     in bands; buckets with the same members count once; sketches are compared inside tiles of a bounded
     number of rows, which yields candidate groups; inside these, full sets are compared exactly, again in
@@ -199,8 +232,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     keeps its row with a null component_id and kept true. Rows with equal keys are one document. Other
     columns are not read; an empty table gives no rows.
     """
+    bands, rows, agree = banding(percent)
     own = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
-    sketched = cut(own.mapInArrow(_sketch_batches, "k long, n long, f1 long, f2 long, sketch binary, bands array<long>"))
+    sketched = cut(own.mapInArrow(_sketch_batches(bands, rows), "k long, n long, f1 long, f2 long, sketch binary, bands array<long>"))
     filled = sketched.where("n > 0 and k is not null")
     classes = cut(filled.groupBy("n", "f1", "f2").agg(F.min("k").alias("rep")))
     heads = filled.join(classes.withColumnRenamed("rep", "k"), ["n", "f1", "f2", "k"], "left_semi")
@@ -208,11 +242,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     buckets = banded.groupBy("g").agg(F.count("*").alias("c"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("s"), F.min("k").alias("m")).where("c > 1")
     once = buckets.groupBy("c", "s", "m").agg(F.min("g").alias("g")).select("g", "c")
     members = banded.join(once, "g").join(heads.select("k", "sketch"), "k")
-    alike = _tiles(members.select("g", "k", "sketch", "c"), "g", F.ceil(F.col("c") / PIECE_ROWS)).select("g", "ti", "tj", "k", "sketch").mapInArrow(_alike, "a long, b long")
+    alike = _tiles(members.select("g", "k", "sketch", "c"), "g", F.ceil(F.col("c") / PIECE_ROWS)).select("g", "ti", "tj", "k", "sketch").mapInArrow(_alike(agree), "a long, b long")
     groups = components(alike).select(F.col("node").alias("k"), F.col("component").alias("g"))
     candidates = own.join(groups, "k").select("g", "k", "t", F.octet_length("t").alias("z"))
     weight = candidates.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / PIECE_ROWS), F.ceil(F.sum("z") / PIECE_BYTES)).alias("q"))
-    linked = _tiles(candidates.join(weight, "g"), "g", F.col("q")).select("g", "ti", "tj", "k", "t").mapInArrow(_linked, "a long, b long")
+    linked = _tiles(candidates.join(weight, "g"), "g", F.col("q")).select("g", "ti", "tj", "k", "t").mapInArrow(_linked(percent), "a long, b long")
     joined = components(linked).select(F.col("node").alias("rep"), "component")
     named = sketched.select("k", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").join(joined, "rep", "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("component", "rep", "k"))
@@ -220,7 +254,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
 SHINGLE_SQL = r"""

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from gramlake.llm import decontamination, language, linededup, neardup, packing, pii, quality, tokens, webtext
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -167,6 +168,24 @@ def test_near_duplicates(spark, empty, piece, monkeypatch):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_the_pipeline_link_at_80(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(30):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(150)]
+        rows.append((2 * i, " ".join(words)))
+        for at in (30, 75, 120):  # 15 of 146 shingles differ: 131 / 161 = 0.81
+            words[at] = f"z{rng.randint(0, 10**9)}"
+        rows.append((2 * i + 1, " ".join(words)))
+    left = corpus_pipeline.drop_near_duplicates(spark, table(spark, rows), "")
+    assert sorted(r.doc_id for r in left.collect()) == [2 * i for i in range(30)]
+    assert neardup.near_duplicates(table(spark, rows)).where("kept").count() == 60
+    assert neardup.banding(85) == (25, 5, 88)
+    for percent in (60, 80, 85, 95):
+        bands, n, _ = neardup.banding(percent)
+        assert bands * n <= neardup.SKETCH and (1 - (percent / 100) ** n) ** bands <= 5e-7
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     for n in (1, 3, 40, 2000):
