@@ -32,9 +32,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the least id."""
-    kept = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each group stays, the one of the least id (null ids last, then by place).
+
+    Rows are told apart by their place, not by their id: repeated rows and rows without an id are documents of their own.
+    Rows without a word link with nothing and stay. ``docs`` must come from files or a checkpoint, so that places hold.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = neardup.near_duplicates(rows, key="_row", percent=NEAR_PERCENT)
+    ids = rows.select("_row", "doc_id")
+    least = found.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m"))
+    return rows.join(least.select(F.col("m._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

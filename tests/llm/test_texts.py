@@ -186,6 +186,15 @@ def test_near_duplicates_of_the_pipeline_link_at_80(spark):
         assert bands * n <= neardup.SKETCH and (1 - (percent / 100) ** n) ** bands <= 5e-7
 
 
+def test_near_duplicates_of_the_pipeline_keep_one_row(spark, tmp_path):
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in "abc"]
+    rows = [(8, texts[0]), (8, texts[0]), (8, texts[1]), (None, texts[0]), (None, texts[2]), (None, texts[2]), (3, texts[1]), (None, ""), (None, ""), (5, None)]
+    table(spark, rows).repartition(3).write.parquet(f"{tmp_path}/docs")
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect()
+    want = [(8, texts[0]), (3, texts[1]), (None, texts[2]), (None, ""), (None, ""), (5, None)]
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted((i or 0, t or "") for i, t in want)
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     for n in (1, 3, 40, 2000):
