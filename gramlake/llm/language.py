@@ -87,8 +87,9 @@ class Model:
         begin, counts = first[:-1][order], counts[order]
         steps = int(counts[0]) if len(counts) else 0
         active = np.searchsorted(-counts, -np.arange(steps), side="left")  # texts with more than t words
-        came = np.empty(scores.shape, np.int8)
-        own = np.arange(scores.shape[1], dtype=np.int8)
+        kind = np.int8 if scores.shape[1] <= 128 else np.int32  # of a language's index
+        came = np.empty(scores.shape, kind)
+        own = np.arange(scores.shape[1], dtype=kind)
         value = np.zeros((len(counts), scores.shape[1]), np.float64)
         for t in range(steps):
             k = active[t]
@@ -98,7 +99,7 @@ class Model:
             stay = v >= top
             came[at] = np.where(stay, own, best[:, None])
             value[:k] = np.where(stay, v, top) + scores[at]
-        label = np.empty(len(scores), np.int8)
+        label = np.empty(len(scores), kind)
         now = value.argmax(axis=1)
         for t in range(steps - 1, -1, -1):
             k = active[t]

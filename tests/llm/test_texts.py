@@ -402,6 +402,16 @@ def test_viterbi_is_exact():
         assert list(got[a:b]) == list(best)
 
 
+def test_language_of_200_values(spark):
+    names = [f"l{i:03}" for i in range(200)]
+    words = {x: [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{c}" for c in "abcdefgh"] for i, x in enumerate(names)}
+    train = spark.createDataFrame([(x, " ".join(w * 5)) for x, w in words.items()], "lang string, text string")
+    model = language.train(train)
+    assert model.languages == names
+    got = language.identify(table(spark, [(i, " ".join(words[x])) for i, x in enumerate(names)]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == dict(enumerate(names))
+
+
 def test_quality(spark, empty):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choices("a clear sentence about rivers and stones in the valley".split(), k=40))
