@@ -12,12 +12,22 @@ from pyspark.sql import functions as F
 from gramlake.llm.common import cut, read
 from gramlake.llm.components import components, forest
 
-#: Vectors that a cell has on average, and of one part of a cell whose rows are held at once.
-CELL_ROWS, PART_ROWS = 4096, 2048
-#: Fewest and most pivots: they are broadcast.
-FEWEST_PIVOTS, MOST_PIVOTS = 8, 4096
-#: Slack on angles, far above their rounding error: it only adds replicas.
+#: Most rows and bytes of a part, whose vectors a task holds while others stream by.
+PART_ROWS, PART_BYTES = 8192, 32_000_000
+#: Rings of a cell, by angle to its pivot, that its parts are made of.
+RINGS = 16
+#: Fewest pivots and most bytes of them (they are broadcast); vectors that directions are taken from (they meet on the driver).
+FEWEST_PIVOTS, PIVOT_BYTES, DIRECTION_ROWS = 8, 16_000_000, 512
+#: Directions in which cosines are bounded before whole vectors are compared.
+DIRECTIONS = 24
+#: Slack on angles and chords, far above their rounding error: it only adds replicas.
 SLACK = 1e-6
+#: Bits of a part's number within its task's key; the rest is the role.
+HELD, PASSING = 0, 1
+
+
+def _units(m: np.ndarray) -> np.ndarray:
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -27,179 +37,270 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _units(m: np.ndarray) -> np.ndarray:
-    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+def _valid(vector) -> F.Column:
+    """Not null, without null, NaN or infinite components, and not zero."""
+    d = vector.cast("array<double>")
+    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists(d, lambda x: x != 0), F.lit(False))
 
 
-def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
+class Layout:
+    """Where vectors of one length live: pivots, what cells and rings reach, and which parts they are cut into.
 
+    Part ``first[cell] + ring group * slots[cell] + slot`` holds the vectors of a cell in some neighbouring
+    rings; where even one ring is too large, they are dealt to slots by hash.
+    """
 
-def _valid(vector) -> F.Column:
-    """Not null, without null, NaN or infinite components, and not zero."""
-    d = vector.cast("array<double>")
-    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists(d, lambda x: x != 0)
+    def __init__(self, pivots: np.ndarray, directions: np.ndarray, threshold: float):
+        self.pivots, self.directions = pivots, directions
+        self.theta, self.chord = math.acos(max(-1.0, min(1.0, threshold))), math.sqrt(max(0.0, 2 - 2 * threshold))
+        between = np.sqrt(np.maximum(0.0, 2 - 2 * pivots @ pivots.T))
+        self.between = np.where(between > 0, between, np.inf)
+
+    def measure(self, units: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cosines to all pivots, the nearest one, the angle to it, and that angle with equal ones told apart by hash."""
+        cosine = np.clip(units @ self.pivots.T, -1.0, 1.0)
+        home = cosine.argmax(axis=1)
+        angle = np.arccos(cosine[np.arange(len(home)), home])
+        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        return cosine, home, angle, angle + mixed * (0.1 * SLACK / (1 << 24))
+
+    def divide(self, cells: list, rows: int) -> None:
+        """Parts of at most about ``rows`` vectors from each cell's count, radius and RINGS + 1 quantiles of its angles."""
+        k = len(self.pivots)
+        self.radius, groups, self.slots = np.full(k, -1.0), np.zeros(k, np.int64), np.ones(k, np.int64)
+        self.cuts = np.zeros((k, RINGS + 1))
+        for r in cells:
+            wanted = -(-r.n // rows)
+            groups[r.home], self.slots[r.home] = min(RINGS, wanted), -(-wanted // RINGS)
+            self.radius[r.home], self.cuts[r.home] = r.radius, r.cuts
+        self.groups, self.parts = groups, groups * self.slots
+        self.first = np.concatenate([[0], np.cumsum(self.parts)])
+        self.n_parts = int(self.first[-1])
+        cell = np.repeat(np.arange(k), self.parts)
+        group = (np.arange(self.n_parts) - self.first[cell]) // self.slots[cell]
+        low, high = -(-group * RINGS // groups[cell]), -(-(group + 1) * RINGS // groups[cell])
+        self.cell, self.low, self.high = cell, self.cuts[cell, low], self.cuts[cell, high]
+        self.low[low == 0], self.high[high == RINGS] = 0.0, math.pi
+        self.high = np.minimum(self.high, self.radius[cell] + SLACK)
+
+    def own_part(self, home: np.ndarray, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        ring = (place[:, None] > self.cuts[home][:, 1:RINGS]).sum(axis=1)
+        slot = ((ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % self.slots[home]
+        return self.first[home] + ring * self.groups[home] // RINGS * self.slots[home] + slot
+
+    def visits(self, cosine: np.ndarray, home: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the other parts that may hold a vector which they link with, each two parts in one order only.
+
+        x can link with a member y of cell i only if angle(x, i) <= radius(i) + theta, angle(x, i) <=
+        angle(x, home) + 2 theta, x's distance to the plane between the two pivots is at most the chord of theta, and
+        angle(x, i) is within theta of the part's ring. All follow from the triangle inequality for x, y and pivots.
+        """
+        rows = np.arange(len(home))
+        angle, best = np.arccos(cosine), cosine[rows, home]
+        near = (self.parts > 0) & (angle <= self.radius + self.theta + SLACK) & (angle <= np.arccos(best)[:, None] + 2 * self.theta + SLACK)
+        near &= best[:, None] - cosine <= (self.chord + SLACK) * self.between[home]
+        near[rows, home] = True
+        row, cell = np.nonzero(near)
+        counts = self.parts[cell]
+        part = np.repeat(self.first[cell] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(int(counts.sum()))
+        row = np.repeat(row, counts)
+        at = angle[row, self.cell[part]]
+        keep = (at >= self.low[part] - self.theta - SLACK) & (at <= self.high[part] + self.theta + SLACK)
+        ahead = (part - own[row]) % self.n_parts  # half of the others follow on a circle: every two parts meet at one of them
+        keep &= (ahead > 0) & ((2 * ahead < self.n_parts) | ((2 * ahead == self.n_parts) & (own[row] < part)))
+        return row[keep], part[keep]
 
 
 class _Part:
-    """The held rows of one part of a cell: counts of links and links between ids, as other rows stream by."""
+    """The held rows of one part: counts of links and links between classes, as other rows stream by."""
 
-    def __init__(self, ids: np.ndarray, weights: np.ndarray, units: np.ndarray, threshold: float):
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, units: np.ndarray, directions: np.ndarray, threshold: float):
         self.ids, self.weights, self.units, self.threshold = ids, weights, units, threshold
-        self.narrow = units.astype(np.float32)
-        # how far a single-precision cosine can be off, and more
-        self.margin = 1e-6 + 3e-7 * units.shape[1] ** 0.5 + 1.2e-7 * units.shape[1]
-        self.links = weights - 1  # equal vectors
-        self.label = np.arange(len(ids))
-        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.directions, self.short = directions, self._shorten(units, directions)
+        self.links, self.label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        self.out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    @staticmethod
+    def _shorten(units: np.ndarray, directions: np.ndarray) -> np.ndarray:
+        """Coordinates in some directions and the length of what is left: their dot product bounds the cosine from above."""
+        p = units @ directions
+        return np.concatenate([p, np.sqrt(np.maximum(0.0, 1 - (p * p).sum(axis=1, keepdims=True)))], axis=1).astype(np.float32)
+
+    def _pairs(self, units: np.ndarray, short: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links of the first ``upto`` held rows with these rows: those that the bound leaves are compared in double precision."""
+        likely = self.short[:upto] @ short.T >= np.float32(self.threshold - 2e-5)
+        if not likely.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row, column = np.nonzero(likely)
+        some, there = np.unique(row), np.unique(column)
+        if 8 * len(row) >= len(some) * len(there):  # a dense corner
+            a, b = np.nonzero(self.units[some] @ units[there].T >= self.threshold)
+            return some[a], there[b]
+        keep = [np.einsum("ij,ij->i", self.units[row[i : i + 8192]], units[column[i : i + 8192]]) >= self.threshold for i in range(0, len(row), 8192)]
+        keep = np.concatenate(keep)
+        return row[keep], column[keep]
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Held rows left[i] and right[i] are in one component."""
+        pairs = np.unique(np.stack([left, right], 1)[left != right], axis=0)
+        if len(pairs):
+            n = len(self.ids)
+            self.label = forest(n, np.concatenate([np.arange(n), pairs[:, 0]]), np.concatenate([self.label, pairs[:, 1]]))
+
+    def meet_itself(self) -> None:
+        for at in range(0, len(self.ids), 256):
+            block = slice(at, at + 256)
+            row, column = self._pairs(self.units[block], self.short[block], at + 256)
+            column = column + at
+            once = row < column
+            row, column = row[once], column[once]
+            self.links += np.bincount(row, self.weights[column], len(self.ids)).astype(np.int64) + np.bincount(column, self.weights[row], len(self.ids)).astype(np.int64)
+            self._join(self.label[row], self.label[column])
 
     def meet(self, ids: np.ndarray, weights: np.ndarray, units: np.ndarray) -> None:
-        for at in range(0, len(ids), 1024):
-            block = slice(at, at + 1024)
-            s = self.narrow @ units[block].astype(np.float32).T
-            linked = s >= self.threshold + self.margin
-            row, column = np.nonzero((s >= self.threshold - self.margin) & ~linked)
-            if len(row):  # too close for single precision
-                exact = np.einsum("ij,ij->i", self.units[row], units[block][column]) >= self.threshold
-                linked[row[exact], column[exact]] = True
-            if not linked.any():
-                continue
-            other, w = ids[block], weights[block]
-            linked &= self.ids[:, None] != other[None, :]
-            self.links = self.links + linked @ w
-            linked &= self.ids[:, None] < other[None, :]  # the other way is found where the other row is held
-            row, column = np.nonzero(linked)
+        for at in range(0, len(ids), 256):
+            block = slice(at, at + 256)
+            row, column = self._pairs(units[block], self._shorten(units[block], self.directions), len(self.ids))
             if not len(row):
                 continue
-            first = np.full(linked.shape[1], len(self.ids))
+            other = ids[block]
+            self.links += np.bincount(row, weights[block][column], len(self.ids)).astype(np.int64)
+            seen = np.flatnonzero(np.bincount(column, minlength=len(other)))
+            count = np.bincount(column, self.weights[row], len(other)).astype(np.int64)[seen]
+            first = np.full(len(other), len(self.ids))
             np.minimum.at(first, column, self.label[row])
-            a, b = self.label[row], first[column]
-            differ = a != b
-            if differ.any():
-                pairs = np.unique(np.stack([a[differ], b[differ]], 1), axis=0)
-                self.label = forest(len(self.ids), np.concatenate([np.arange(len(self.ids)), pairs[:, 0]]), np.concatenate([self.label, pairs[:, 1]]))
-            seen = np.flatnonzero(first < len(self.ids))
-            self.edges.append((self.ids[first[seen]], other[seen]))
+            self._join(self.label[row], first[column])
+            self.out.append((other[seen], other[seen], count))
+            self.out.append((self.ids[first[seen]], other[seen], np.full(len(seen), -1)))
 
     def rows(self) -> pa.RecordBatch:
-        n = len(self.ids)
-        moved = np.flatnonzero(self.label != np.arange(n))
-        a = np.concatenate([self.ids, self.ids[self.label[moved]], *(x for x, _ in self.edges)])
-        b = np.concatenate([self.ids, self.ids[moved], *(x for _, x in self.edges)])
-        links = np.concatenate([self.links, np.full(len(a) - n, -1)]).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(links)], ["a", "b", "links"])
+        """Counts of links as (class, class, count), and a spanning set of links as (class, class, -1)."""
+        some, moved = np.flatnonzero(self.links), np.flatnonzero(self.label != np.arange(len(self.ids)))
+        parts = [*self.out, (self.ids[some], self.ids[some], self.links[some]), (self.ids[self.label[moved]], self.ids[moved], np.full(len(moved), -1))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts]).astype(np.int64)) for i in range(3)], ["a", "b", "links"])
 
 
 def similarity_join(vectors: DataFrame, threshold: float = 0.95, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """``key``, n_links, component_id and kept for every row: who has a cosine of at least ``threshold`` with whom.
 
-    Equal vectors are one row with a weight. Pivots (a hashed sample, at most MOST_PIVOTS) partition the
-    vectors by least angle; a vector x of another cell can link with a member y of cell i only if
-    angle(x, i) <= radius(i) + theta and angle(x, i) <= angle(x, own) + 2 theta, so only those x are
-    copied to cell i. Each part of a cell (at most about PART_ROWS held rows) meets the cell's rows as
-    they stream by: blocks of cosines in single precision, in double precision where that isn't certain.
-    Links are counted for held rows only and are never made into rows; what leaves a part is one count
-    for each held row and a spanning set of links. Shuffles: the copies once, and the components.
+    What links are different vectors and different (key, vector) pairs: equal vectors are one class, whose weight is the
+    number of different keys that have it. Pivots (a hashed sample) partition the classes by least angle; cells are cut
+    into parts of neighbouring rings around their pivot; a class is copied to those parts of other cells that the
+    triangle inequality cannot exclude (``Layout.visits``), of every two parts to one. Each part meets the rows that
+    stream by: cosines are bounded from above in a few directions that hold most of the vectors' lengths, and the whole
+    vectors are compared in double precision where the bound leaves a link possible. Links are counted and never made
+    into rows; what leaves a part is the counts that aren't 0 and a spanning set of links. Shuffles: the copies once,
+    and the components. On vectors without any structure nothing excludes cells, and the work is quadratic.
 
     Vectors that are null, empty or zero or hold null or non-finite components have n_links 0 and
-    themselves as component; vectors of different lengths don't link. A null key keeps its row, with a
-    null component_id, kept true, and links with nothing. Rows with equal keys are one node. Other
-    columns are not read; an empty table gives no rows.
+    themselves as component; vectors of different lengths don't link. Repeated rows (equal keys and vectors) are one
+    vector, of which each row gets the result; rows with equal keys and different vectors are different vectors, which may
+    link. component_id is the least key in reach. A null key keeps its row, with a null component_id, kept true, and links
+    with nothing. Other columns are not read; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     every = vectors.select(vectors[key].cast("long").alias("k"), vectors[vector].alias("v"))
-    valid = every.where(_valid(F.col("v")) & F.col("k").isNotNull())
-    classes = cut(valid.groupBy("v").agg(F.min("k").alias("rep"), F.count("*").alias("w")))
-    results = []
-    for dim in sorted(r.d for r in classes.select(F.size("v").alias("d")).distinct().collect()):  # lengths, not rows
-        results.append(_join_length(spark, classes.where(F.size("v") == dim), dim, threshold))
-    if results:
-        found = results[0]
-        for r in results[1:]:
-            found = found.union(r)
-        found = cut(found)
-        counts = found.where("links >= 0").groupBy(F.col("a").alias("rep")).agg(F.max("links").alias("links"))
-        joined = components(found.where("links < 0").select("a", "b")).select(F.col("node").alias("rep"), "component")
-        by_class = classes.join(counts, "rep").join(joined, "rep", "left")
-        known = valid.join(by_class, "v").groupBy("k").agg(F.max("links").alias("links"), F.min(F.coalesce("component", "rep")).alias("component"))
-        out = every.select("k").join(known, "k", "left")
+    known = _valid(F.col("v")) & F.col("k").isNotNull()
+    valid = every.where(known)
+    classes = cut(valid.groupBy("v").agg(F.min("k").alias("rep"), F.count_distinct("k").alias("w")).withColumn("c", F.monotonically_increasing_id()))
+    lengths = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # lengths, not rows
+    found = None
+    for r in lengths:
+        one = _join_length(spark, classes.where(F.size("v") == r.d), r.d, r.n, threshold)
+        found = one if found is None else found.union(one)
+    alone = every.where(~known).select("k", F.lit(0).cast("long").alias("links"), F.col("k").alias("component"))
+    if found is None:
+        out = alone
     else:
-        out = every.select("k", F.lit(0).cast("long").alias("links"), F.col("k").alias("component"))
-    component = F.coalesce("component", "k")
-    return out.select(F.col("k").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("k") == component, F.lit(True)).alias("kept"))
-
-
-def _join_length(spark: SparkSession, classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """Counts and spanning links between the different vectors of one length: a, b, links (-1 for a link)."""
-    n = classes.count()
-    wanted = min(MOST_PIVOTS, max(FEWEST_PIVOTS, math.ceil(n / CELL_ROWS)))
-    sample = classes.select("rep", "v").where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30)) < min(1 << 30, math.ceil((wanted + 4 * wanted**0.5 + 8) / n * (1 << 30)))).orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(wanted).collect()
-    pivots = _units(np.array([r.v for r in sample or classes.select("v").limit(1).collect()], np.float64))
-    shared, theta = spark.sparkContext.broadcast(pivots), math.acos(max(-1.0, min(1.0, threshold)))
-    kind = classes.schema["v"].dataType.simpleString()
-
-    def homes(batches):
+        found = cut(found)
+        counts = found.where("links >= 0").groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("more"))
+        joined = components(found.where("links < 0").select("a", "b")).select(F.col("node").alias("c"), "component")
+        least = joined.join(classes.select("c", "rep"), "c").groupBy("component").agg(F.min("rep").alias("least"))
+        named = joined.join(least, "component").select("c", "least")
+        by_class = classes.join(counts, "c", "left").join(named, "c", "left")
+        by_class = by_class.select("v", (F.col("w") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("least", "rep").alias("component"))
+        out = valid.join(by_class, "v").select("k", "links", "component").union(alone)
+    return out.select(F.col("k").alias(key), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("k") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def _layout(classes: DataFrame, dim: int, n: int, threshold: float, rows: int) -> Layout:
+    """Pivots and directions from bounded samples by hash."""
+    wanted = min(max(FEWEST_PIVOTS, PIVOT_BYTES // (8 * dim)), max(FEWEST_PIVOTS, math.ceil(n / rows)))
+    most = max(wanted, DIRECTION_ROWS)
+    share = min(1 << 30, math.ceil((most + 4 * most**0.5 + 8) / n * (1 << 30)))
+    order = F.xxhash64("c", F.lit(3))
+    sample = classes.select("c", "v").where(F.pmod(order, F.lit(1 << 30)) < share).orderBy(order, "c").limit(most).collect()
+    units = _units(np.array([r.v for r in sample or classes.select("v").limit(1).collect()], np.float64))
+    _, _, directions = np.linalg.svd(units, full_matrices=False)
+    return Layout(np.unique(units[:wanted], axis=0), directions[:DIRECTIONS].T.copy(), threshold)
+
+
+def _join_length(spark: SparkSession, classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
+    """Counts and spanning links between the ``n`` different vectors of one length: a, b, links (-1 for a link)."""
+    part_rows = max(1, min(PART_ROWS, PART_BYTES // (8 * dim)))
+    layout = _layout(classes, dim, n, threshold, part_rows)
+    sent = spark.sparkContext.broadcast(layout)
+
+    def places(batches):
         for batch in batches:
-            angle = _angles(_units(_matrix(batch.column(2), dim)), shared.value)
-            home = angle.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(angle.min(axis=1))], ["home", "angle"])
+            _, home, angle, place = sent.value.measure(_units(_matrix(batch.column(1), dim)), batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(angle), pa.array(place)], ["home", "angle", "place"])
 
-    cells = classes.select("rep", "w", "v").mapInArrow(homes, "home int, angle double").groupBy("home").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # one row a pivot
-    radius, parts = np.full(len(pivots), -1.0), np.zeros(len(pivots), np.int64)
-    for r in cells:
-        radius[r.home], parts[r.home] = r.radius, -(-r.n // PART_ROWS)
-    limits = spark.sparkContext.broadcast((radius, parts))
+    placed = classes.select("c", "v").mapInArrow(places, "home int, angle double, place double").groupBy("home")
+    steps = F.array(*[F.lit(i / RINGS) for i in range(RINGS + 1)])
+    cells = placed.agg(F.count("*").alias("n"), F.max("angle").alias("radius"), F.percentile_approx("place", steps, 10_000).alias("cuts")).collect()  # one row a pivot
+    layout.divide(cells, part_rows)
+    dealt = spark.sparkContext.broadcast(layout)
+    wide = np.float32 if classes.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
 
     def copies(batches):
-        """Each vector as a held row of one part of its cell (role 0), and as a passing row (role 1) of every part that may link with it."""
-        radius, parts = limits.value
-        names = ["cell", "part", "role", "rep", "w", "v"]
+        """Each vector as a held row of its own part, and as a passing row of the parts that may link with it."""
+        own = dealt.value
         for whole in batches:
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                angle = _angles(_units(_matrix(batch.column(2), dim)), shared.value)
-                rows = np.arange(batch.num_rows)
-                home, rep = angle.argmin(axis=1), batch.column(0).to_numpy()
-                near = (parts > 0) & (angle <= radius + theta + SLACK) & (angle <= angle.min(axis=1)[:, None] + 2 * theta + SLACK)
-                near[rows, home] = True
-                row, cell = np.nonzero(near)
-                row, cell = np.repeat(row, parts[cell]), np.repeat(cell, parts[cell])
-                change = np.flatnonzero(np.diff(row * len(parts) + cell, prepend=-1))
-                part = np.arange(len(row)) - np.repeat(change, np.diff(np.append(change, len(row))))
-                mixed = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                own = (mixed % np.maximum(parts[home], 1).astype(np.uint64)).astype(np.int64)
-                row, cell = np.concatenate([rows, row]), np.concatenate([home, cell])
-                part, role = np.concatenate([own, part]), np.concatenate([np.zeros(len(rows), np.int8), np.ones(len(part), np.int8)])
-                taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part), pa.array(role), *taken.columns], names)
+                m, c = _matrix(batch.column(2), dim), batch.column(0).to_numpy()
+                cosine, home, _, place = own.measure(_units(m), c)
+                part = own.own_part(home, place, c)
+                row, other = own.visits(cosine, home, part)
+                raw = m.astype(wide)
+                taken = np.concatenate([np.arange(len(c)), row])
+                role = np.repeat(np.array([HELD, PASSING], np.int8), [len(c), len(row)])
+                data = pa.Array.from_buffers(pa.binary(dim * wide().itemsize), len(c), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+                index = pa.array(taken)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([part, other])), pa.array(role), batch.column(0).take(index), batch.column(1).take(index), data.take(index)], ["part", "role", "c", "w", "b"])
 
     def join(batches):
         now, held, part = None, [], None
         for whole in batches:
             for batch in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
-                key = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
-                role = batch.column(2).to_numpy()
-                edges = np.flatnonzero(np.diff(key) | np.diff(role)) + 1
-                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+                number, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                edges = np.flatnonzero(np.diff(number) | np.diff(role)) + 1
+                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(number)], strict=True):
                     if a == b:
                         continue
-                    rows = (batch.column(3).to_numpy()[a:b], batch.column(4).to_numpy()[a:b], _units(_matrix(batch.column(5).slice(a, b - a), dim)))
-                    if key[a] != now:
-                        if part is not None:
+                    if number[a] != now:
+                        if held:
+                            part = part or begin(held)
                             yield part.rows()
-                        now, held, part = key[a], [], None
-                    if role[a] == 0:
+                        now, held, part = number[a], [], None
+                    m = np.frombuffer(b"".join(batch.column(4).slice(a, b - a).to_pylist()), wide).reshape(b - a, dim).astype(np.float64)
+                    rows = (batch.column(2).to_numpy()[a:b], batch.column(3).to_numpy()[a:b], _units(m))
+                    if role[a] == HELD:
                         held.append(rows)
-                        continue
-                    if part is None and held:
-                        part = _Part(*(np.concatenate([h[i] for h in held]) for i in range(3)), threshold)
-                    if part is not None:
+                    elif held:
+                        part = part or begin(held)
                         part.meet(*rows)
-        if part is not None:
-            yield part.rows()
+        if held:
+            yield (part or begin(held)).rows()
+
+    def begin(held):
+        part = _Part(*(np.concatenate([h[i] for h in held]) for i in range(3)), dealt.value.directions, threshold)
+        held[1:] = []  # the part has its own copy
+        part.meet_itself()
+        return part
 
-    spread = classes.select("rep", "w", "v").mapInArrow(copies, f"cell int, part long, role byte, rep long, w long, v {kind}")
-    dealt = spread.repartition("cell", "part").sortWithinPartitions("cell", "part", "role")
-    return dealt.mapInArrow(join, "a long, b long, links long")
+    spread = classes.select("c", "w", "v").mapInArrow(copies, "part long, role byte, c long, w long, b binary")
+    return spread.repartition("part").sortWithinPartitions("part", "role").mapInArrow(join, "a long, b long, links long")
 
 
 def op1_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:

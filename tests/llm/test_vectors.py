@@ -11,26 +11,38 @@ from gramlake.llm.components import components, forest
 
 
 def brute(rows, threshold=0.95):
-    ok = {i: np.array(v, float) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
-    links = {i: set() for i, _ in rows}
+    """Sorted (key, n_links, component, kept) of every row, over different (key, vector) pairs."""
+    ok = {(i, tuple(v)): np.array(v, float) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    links = {x: set() for x in ok}
     for a, x in ok.items():
         for b, y in ok.items():
             if a != b and len(x) == len(y) and x @ y / (math.sqrt(x @ x) * math.sqrt(y @ y)) >= threshold:
                 links[a].add(b)
-    out = {}
-    for i in links:
-        seen, todo = {i}, [i]
+    found = {}
+    for x in links:
+        seen, todo = {x}, [x]
         while todo:
-            for j in links[todo.pop()] - seen:
-                seen.add(j)
-                todo.append(j)
-        out[i] = (len(links[i]), min(seen), i == min(seen))
-    return out
+            for y in links[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        found[x] = (len(links[x]), min(k for k, _ in seen))
+    out = []
+    for i, v in rows:
+        n, c = found.get((i, tuple(v or ())), (0, i))
+        out.append((-1 if i is None else i, n, -1 if c is None else c, i == c))
+    return sorted(out)
 
 
-@pytest.mark.parametrize("part", [embeddings.PART_ROWS, 5])
-def test_join_equals_brute_force(spark, part, monkeypatch):
+def joined(df, **more):
+    return sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, -1 if r.component_id is None else r.component_id, r.kept) for r in embeddings.similarity_join(df, **more).collect())
+
+
+@pytest.mark.parametrize(("part", "pivots"), [(embeddings.PART_ROWS, 8), (5, 8), (3, 1)])
+def test_join_equals_brute_force(spark, part, pivots, monkeypatch):
     monkeypatch.setattr(embeddings, "PART_ROWS", part)
+    monkeypatch.setattr(embeddings, "FEWEST_PIVOTS", pivots)
+    if pivots == 1:  # one cell: rings and slots alone
+        monkeypatch.setattr(embeddings, "PIVOT_BYTES", 0)
     rng = np.random.default_rng(0)
     rows = [(1, None), (2, []), (3, [0.0] * 8), (4, [1.0, None] + [0.0] * 6), (5, [math.nan] + [1.0] * 7), (6, [math.inf] + [1.0] * 7), (7, [1.0, 2.0]), (8, [2.0, 4.0])]
     for c in range(6):
@@ -38,18 +50,30 @@ def test_join_equals_brute_force(spark, part, monkeypatch):
         rows += [(100 * (c + 1) + i, (centre + rng.normal(scale=0.25, size=8)).tolist()) for i in range(20)]
     rows += [(900 + i, rng.normal(size=8).tolist()) for i in range(60)]
     rows += [(2000 + i, rows[20][1]) for i in range(4)] + [(2100, [2 * x for x in rows[20][1]])]
+    rows += [(3000 + i, np.eye(8)[i % 8].tolist()) for i in range(16)]
+    # repeated rows, one key with vectors that link and with some that don't, and no key
+    rows += [rows[30], rows[30], (105, rows[22][1]), (105, rows[23][1]), (105, rows[50][1]), (900, rows[8][1]), (None, rows[20][1])]
     df = spark.createDataFrame([(i, v, 0, "x", 1.0) for i, v in rows], "vec_id long, embedding array<double>, label int, k string, w double")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.similarity_join(df).collect()}
-    assert got == brute(rows)
+    assert joined(df) == brute(rows)
+    assert joined(df, threshold=0.6) == brute(rows, 0.6)
+
+
+def test_join_of_many_close_vectors(spark, monkeypatch):
+    """A group of near copies, none equal, over many parts: all links are counted, none is a row."""
+    monkeypatch.setattr(embeddings, "PART_ROWS", 60)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=64)
+    rows = [(i, (base + rng.normal(scale=0.05, size=64)).tolist()) for i in range(400)] + [(1000 + i, rng.normal(size=64).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert joined(df) == sorted([(i, 399, 0, i == 0) for i in range(400)] + [(1000 + i, 0, 1000 + i, True) for i in range(200)])
 
 
 def test_join_edges(spark):
     schema = "vec_id long, embedding array<float>"
-    assert embeddings.similarity_join(spark.createDataFrame([], schema)).count() == 0
-    none = embeddings.similarity_join(spark.createDataFrame([(1, None), (2, [0.0])], schema)).collect()
-    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in none) == [(1, 0, 1, True), (2, 0, 2, True)]
-    odd = embeddings.similarity_join(spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (9, [1.0, 0.0])], schema)).collect()
-    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in odd) == [(0, 0, 0, True), (4, 1, 4, True), (9, 1, 4, False)]
+    assert joined(spark.createDataFrame([], schema)) == []
+    assert joined(spark.createDataFrame([(1, None), (2, [0.0])], schema)) == [(1, 0, 1, True), (2, 0, 2, True)]
+    assert joined(spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (9, [1.0, 0.0])], schema)) == [(-1, 0, -1, True), (4, 1, 4, True), (9, 1, 4, False)]
+    assert joined(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0])], schema)) == [(1, 0, 1, True), (1, 0, 1, True)]
 
 
 def test_components(spark):
