@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 
@@ -15,15 +16,24 @@ from gramlake.llm.common import map_texts, read
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes template".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-NOISE = set("head script style textarea title noscript iframe xmp noembed noframes template nav header footer aside form button select option input label menu dialog svg canvas audio video object embed map".split())
-NOISE_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
+#: Tags that mark words inside a text and are not counted.
+FORMAT = set("b big br cite code em font i mark q s small span strike strong sub sup tt u wbr".split())
+#: What a reader doesn't see as text: neither densities nor texts know of it.
+UNSEEN = set("head script style textarea title noscript iframe xmp noembed noframes template button select option input label svg canvas audio video object embed map".split())
+#: Elements and roles whose text is not the article's.
+ASIDE = set("nav header footer aside form menu dialog".split())
+ASIDE_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
+#: Those that some pages wrap around everything.
+WRAPPERS = {"form", "dialog"}
+MAIN, MAIN_ROLES = {"article", "main"}, {"article", "main"}
 #: Elements that a start tag closes when one of them is open, up to the bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of class and id names that mark what isn't the article.
-NOISE_WORDS = set(
-    "ad ads advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright discussion disqus footer footnav gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup site-header site-footer skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
-)
-KEEP = {"html", "body", "article", "main"}
+#: Words of class and id names that settle what becomes of a minor block inside the article's subtree.
+HINTS = set("ad ads advert adverts advertisement comment comments cookie cookies disqus newsletter notice promo sidebar sponsored subscribe".split())
+#: Sum of densities under which a page holds a few sentences, too little for densities to tell its parts apart.
+FEW = 1000.0
+#: Share of the article's sum of densities that a part beside it has at least; what has less is a minor part.
+BESIDE = 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -31,37 +41,32 @@ _WORDS = re.compile(r"[a-z0-9]+(?:[A-Z](?![a-z]))*|[A-Z][a-z0-9]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "unseen", "aside", "main", "hinted", "chars", "link_chars", "tags", "link_tags", "links", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
+        self.tag, self.parent = tag, parent
         self.children: list = []  # nodes and strings in page order
-        self.chars = self.link_chars = self.tags = self.link_tags = 0
+        self.unseen = tag in UNSEEN or (parent is not None and parent.unseen)
+        self.aside, self.main, self.hinted = tag in ASIDE, tag in MAIN, False
+        self.chars = self.link_chars = self.tags = self.link_tags = self.links = 0
         self.density = self.total = 0.0
+        for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
+            name, value = name.lower(), a or b or c
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
+                self.unseen = True
+            elif name == "role":
+                self.aside |= value.lower().strip() in ASIDE_ROLES
+                self.main |= value.lower().strip() in MAIN_ROLES
+            elif name in ("class", "id"):
+                self.hinted |= any(w.lower() in HINTS for w in _WORDS.findall(value))
 
-
-def is_noise(tag: str, attributes: str) -> bool:
-    """By element name, role, visibility, or the words of its class and id."""
-    if tag in NOISE:
-        return True
-    if not attributes or tag in KEEP:
-        return False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name == "role" and value.lower().strip() in NOISE_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in NOISE_WORDS for w in _WORDS.findall(value)):
-            return True
-    return False
+    def seen(self) -> list[Node]:
+        return [x for x in self.children if type(x) is Node and not x.unseen]
 
 
 def parse(page: str) -> Node:
-    """The page's tree, with the end tags that HTML implies; what is noise is marked, and so is all below it."""
-    root = top = Node("html", None, False)
+    """The page's tree, with the end tags that HTML implies; what nobody sees is marked, and so is all below it."""
+    root = top = Node("html", None)
     stack = [root]
     at, n = 0, len(page)
     while at < n:
@@ -92,12 +97,12 @@ def parse(page: str) -> Node:
         elif tag == "body":
             _close(stack, {"head"}, set())
         top = stack[-1]
-        node = Node(tag, top, top.noise or is_noise(tag, attributes))
+        node = Node(tag, top, attributes)
         top.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
-            node.noise = True
+            node.unseen = True
         elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCK - VOID:
             stack.append(node)
             top = node
@@ -117,68 +122,93 @@ def _close(stack: list[Node], tags: set[str], bounds: set[str]) -> None:
 
 
 def weigh(root: Node) -> list[Node]:
-    """Counts and densities of every node that isn't noise, children before parents."""
-    order, todo = [], [(root, False)]
+    """Counts, densities and sums of densities of every node that is seen, children before parents.
+
+    A node's density is its characters per tag, itself included and FORMAT left out, times the logarithm of its characters per linked
+    character and tags per link, to a base that grows with the page's share of linked text. Text in ASIDE elements
+    counts as linked, but for a form that holds nine tenths of the page.
+    """
+    order, todo = [], [root]
     while todo:
-        node, linked = todo.pop()
-        linked = linked or node.tag == "a"
-        order.append((node, linked))
-        todo += [(x, linked) for x in node.children if type(x) is Node and not x.noise]
+        node = todo.pop()
+        order.append(node)
+        todo += node.seen()
     order.reverse()
-    for node, linked in order:
+    for node in order:
         for x in node.children:
             if type(x) is str:
-                size = len(x.strip())
-                node.chars += size
-                node.link_chars += size * linked
-            elif not x.noise:
+                node.chars += len(x.strip())
+            elif not x.unseen:
                 node.chars += x.chars
+                node.tags += x.tags + (x.tag not in FORMAT)
+                node.links += x.links + (x.tag == "a")
+    whole = order[-1].chars
+    linked = {root: False}
+    for node in reversed(order):  # parents before children
+        node.aside &= node.tag not in WRAPPERS or 10 * node.chars <= 9 * whole
+        own = linked[node] = node.aside or node.tag == "a" or (node.parent is not None and linked[node.parent])
+        node.link_chars, node.link_tags = (node.chars, node.links) if own else (0, 0)
+    for node in order:
+        if not linked[node]:
+            for x in node.seen():
                 node.link_chars += x.link_chars
-                node.tags += x.tags + 1
                 node.link_tags += x.link_tags + (x.tag == "a")
-    body = order[-1][0]
-    share = body.link_chars / body.chars if body.chars else 0.0
-    for node, _ in order:
-        c, lc = node.chars, node.link_chars
+    share = order[-1].link_chars / whole if whole else 0.0
+    for node in order:
+        c, lc, t = node.chars, node.link_chars, node.tags + 1
         if c:
-            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-            inside = (c / max(1, lc)) * (max(1, node.tags) / max(1, node.link_tags))
-            node.density = c / max(1, node.tags) * max(0.0, math.log(max(inside, 1.0)) / math.log(base) if base > 1 else math.log(max(inside, 1.0)))
-    for node, _ in order:
-        node.total = sum(x.density for x in node.children if type(x) is Node and not x.noise) or node.density * 0.5
-    return [node for node, _ in order]
+            base = 1 + math.log(c / max(1, c - lc) * lc + share * c + math.e)
+            node.density = c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, node.link_tags))) / math.log(base)
+    for node in order:
+        inner = node.seen()
+        node.total = sum(x.density for x in inner) if any(x.tag in BLOCK for x in inner) else node.density / 2
+    return order
+
 
+def is_box(node: Node, threshold: float, minor: float) -> bool:
+    """A block of links that is less dense than the threshold, or one that by its names is no part of the article and is a minor one."""
+    if node.aside or node.hinted:
+        return node.total < minor
+    return node.links > 2 and 2 * node.link_chars > node.chars and node.density < threshold
 
-def main_nodes(root: Node) -> list[Node]:
-    """The subtree with the largest sum of child densities, and what lies beside its path as densely.
 
-    The least density on the way from the body to that subtree is the threshold: while the parent's
-    other text reaches it, the parent as a whole is the article.
+def main_nodes(root: Node) -> tuple[list[Node], float, float]:
+    """The subtree with the largest sum of child densities and what lies beside its path as densely, in page order; the threshold; and a minor sum.
+
+    The threshold is the least density on the way from that subtree to the body. A part beside the way belongs to the
+    article if it holds blocks, reaches the threshold, and has BESIDE of the article's sum. Where all sums are
+    below FEW, the page's one article or main element is taken, if there is one.
     """
     nodes = weigh(root)
     best = max(reversed(nodes), key=lambda x: x.total)
     if not best.chars:
-        return []
-    path = [best]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
+        return [], 0.0, 0.0
+    if best.total < FEW:
+        named = [x for x in nodes if x.main and x.chars and not any(y.main for y in _ways_up(x.parent))]
+        if len(named) == 1:
+            best = named[0]
+    path = [*_ways_up(best)]
+    if any(x.aside for x in path):
+        return [], 0.0, 0.0
     threshold = min(x.density for x in path if x.chars)
-    for k, node in enumerate(path):
-        if node.tag in ("article", "main") or node.tag == "body":
-            return [node]
-        parent = node.parent
-        if parent is None:
-            break
-        beside = [x for x in parent.children if type(x) is Node and not x.noise and x is not node and x.chars]
-        loose = any(type(x) is str and x.strip() for x in parent.children)
-        inside = any(x.tag in ("article", "main") for x in path[k + 1 :])
-        if not (inside or loose or not beside or any(x.density >= threshold for x in beside)):
-            return [node]
-    return [path[-1]]
+    found = [best]
+    for node, parent in itertools.pairwise(path):
+        others = [x for x in parent.seen() if x is not node and x.density >= threshold and x.total >= BESIDE * best.total and not (x.aside or x.hinted) and any(y.tag in BLOCK for y in x.seen())]
+        if others:
+            kept = {id(x) for x in others}
+            before = [x for x in itertools.takewhile(lambda x: x is not node, parent.children) if id(x) in kept]
+            found = [*before, *found, *others[len(before) :]]
+    return found, threshold, BESIDE * best.total
+
+
+def _ways_up(node: Node | None):
+    while node is not None:
+        yield node
+        node = node.parent
 
 
-def blocks(node: Node) -> list[str]:
-    """Text of the blocks in page order, character references decoded and white space turned into single spaces."""
+def blocks(node: Node, threshold: float = 0.0, minor: float = 0.0) -> list[str]:
+    """Text of the blocks in page order but for boxes, character references decoded and white space turned into single spaces."""
     out: list[str] = []
     line: list[str] = []
 
@@ -197,7 +227,7 @@ def blocks(node: Node) -> list[str]:
             close()
         elif type(x) is str:
             line.append(x)
-        elif not x.noise:
+        elif not x.unseen and (x is node or not is_box(x, threshold, minor)):
             if x.tag in BLOCK:
                 close()
                 todo.append(None)
@@ -209,13 +239,16 @@ def blocks(node: Node) -> list[str]:
 
 
 def extract_text(page: str) -> str:
-    return "\n".join(b for node in main_nodes(parse(page)) for b in blocks(node))
+    found, threshold, minor = main_nodes(parse(page))
+    return "\n".join(b for node in found for b in blocks(node, threshold, minor))
 
 
 def extract_main_text(pages: DataFrame, html_column: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``carry``, text and n_chars (code points) of every page.
 
-    One pass, no shuffle; one page at a time. Null, empty and text-less pages give an empty text;
+    The text is that of the subtree with the largest sum of text densities, without boxes of links or of other marked
+    parts that are less dense than the way to it, and of parts beside it that are like it. Names of elements, roles and
+    classes settle only what densities leave open. One pass, no shuffle; one page at a time. Null, empty and text-less pages give an empty text;
     unclosed and stray tags are read as HTML reads them; repeated rows are read each; other columns,
     whatever their names, are not read; an empty table gives no rows.
     """
