@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramlake.llm.bpe import LETTER, char_classes, code_points
-from gramlake.llm.common import LOWER, U64, crc_mod, map_texts, mix, ranges, read, spans, text_slices
+from gramlake.llm.common import LOWER, U64, crc_mod, map_texts, mix, ranges, read, span_hashes, spans, text_slices
 
 #: Buckets for each n-gram size (hashed), the sizes, the smoothing and the cost of switching language, in nats.
 BUCKETS, SIZES, SMOOTH, SWITCH = 1 << 16, (2, 3, 4), 0.5, 6.0
+#: How near sums of scores may come to each other before their order is left to the steps themselves.
+TIE = 1e-3
 #: A script belongs to a language from this share of its letters.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
@@ -33,44 +37,54 @@ IS_LETTER[65:91] = IS_LETTER[97:123] = IS_LETTER[128:] = True
 
 
 class Words:
-    """Letter runs of a slice of texts: where they are, their n-gram codes and their script."""
+    """Letter runs of a slice of texts: where they are, which of the different ones each is, and those ones' n-gram codes and script.
+
+    Words recur, so n-grams are hashed once for each different word (by its 64-bit hash).
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.starts, self.ends, self.first = spans(data, offsets, IS_LETTER)
-        lengths = self.ends - self.starts
-        self.lengths = lengths
-        # words side by side with one blank between them: n-grams see word edges and nothing of their neighbours
-        self.at = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0, np.int64)
-        total = int(lengths.sum())
-        text = np.full(total + len(lengths) + 4, 32, U64)
-        place = np.arange(total) + np.repeat(np.arange(len(lengths)), lengths) + 1
-        text[place] = LOWER[data[ranges(self.starts, lengths)]]
+        self.starts, ends, self.first = spans(data, offsets, IS_LETTER)
+        self.lengths = ends - self.starts
+        _, place, self.which = np.unique(span_hashes(LOWER[data], self.starts, ends), return_index=True, return_inverse=True)
+        starts, self.sizes = self.starts[place], self.lengths[place]
+        # different words side by side with blanks between them: n-grams see word edges and nothing of their neighbours
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64) if len(place) else np.zeros(0, np.int64)
+        total = int(self.sizes.sum())
+        blanks = max(SIZES) - 2
+        text = np.full(total + blanks * len(place) + 4, 32, U64)
+        letter = np.arange(total) + blanks * np.repeat(np.arange(len(place)), self.sizes) + 1
+        text[letter] = LOWER[data[ranges(starts, self.sizes)]]
         self.codes = []
         for size in SIZES:
             code = np.full(total, size, U64)
             for j in range(size):
-                code = code * U64(0x100000001B3) + text[place - 1 + j]
+                code = code * U64(0x100000001B3) + text[letter - 1 + j]
             self.codes.append((mix(code) & U64(BUCKETS - 1)).astype(np.int32))
-        self.script = np.full(len(lengths), LATIN, np.int8)
-        if len(data) and data.max() >= 128:
-            points, at = code_points(data)
+        self.script = np.full(len(place), LATIN, np.int8)
+        wide = np.flatnonzero(data >= 128)
+        if len(wide):
+            points, byte = code_points(data)
             foreign = np.flatnonzero(points >= 0x370)
             kind = _SCRIPT[np.searchsorted(_STARTS, points[foreign], side="right") - 1]
-            letter = char_classes()[points[foreign]] == LETTER
-            word = np.searchsorted(self.starts, at[foreign[letter]], side="right") - 1
-            self.script[word[::-1]] = kind[letter][::-1]  # a word's first letter outside Latin decides
+            is_letter = char_classes()[points[foreign]] == LETTER
+            word = np.searchsorted(self.starts, byte[foreign[is_letter]], side="right") - 1
+            self.script[self.which[word[::-1]]] = kind[is_letter][::-1]  # a word's first letter outside Latin decides
 
 
 class Model:
     """Log-probabilities of n-grams for each language, and each language's scripts."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, scripts: np.ndarray):
-        self.languages = languages
-        smooth = counts + SMOOTH
-        self.logs = np.log(smooth / smooth.sum(axis=2, keepdims=True)).astype(np.float32) / len(SIZES)  # language, size, bucket
+    def __init__(self, languages: list[str], logs: np.ndarray, scripts: np.ndarray):
+        self.languages, self.logs = languages, logs  # language, size, bucket
         self.allowed = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=1, keepdims=True))  # language, script
         self.allowed[:, ~self.allowed.any(axis=0)] = True
 
+    @staticmethod
+    def weigh(counts: np.ndarray) -> np.ndarray:
+        """Smoothed log-probabilities of n-grams (size, bucket), each size with its share."""
+        smooth = counts + SMOOTH
+        return (np.log(smooth / smooth.sum(axis=-1, keepdims=True)) / len(SIZES)).astype(np.float32)
+
     def scores(self, words: Words) -> np.ndarray:
         """Words by languages."""
         out = np.empty((len(words.at), len(self.languages)), np.float32)
@@ -78,36 +92,82 @@ class Model:
             total = sum(self.logs[i, j][code] for j, code in enumerate(words.codes))
             out[:, i] = np.add.reduceat(total, words.at) if len(words.at) else 0
         out[~self.allowed.T[words.script]] -= 1000
+        return out[words.which]
+
+    def steady(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The language in which each text stays best throughout, -1 where no such language is certain.
+
+        Leaving the language of the largest sum for a run of words gains at most the sum of the others' lead over it and
+        costs two switches, or one at an end of the text, or none for the whole text. Where no run gains that much, staying
+        is what Viterbi finds.
+        """
+        n, counts = len(first) - 1, np.diff(first)
+        out = np.full(n, -1)
+        some = np.flatnonzero(counts)
+        if not len(some) or scores.shape[1] < 2:
+            out[some] = 0
+            return out
+        begin, wide = first[some], np.repeat(np.arange(len(some)), counts[some])
+        best = np.add.reduceat(scores, begin, axis=0, dtype=np.float64).argmax(axis=1)
+        rest = scores.astype(np.float64)
+        own = rest[np.arange(len(rest)), best[wide]].copy()
+        rest[np.arange(len(rest)), best[wide]] = -np.inf
+        lead = rest.max(axis=1) - own
+        sums = np.cumsum(lead)
+        before = np.concatenate([[0.0], sums])[begin]  # of each text's words from 1 on
+        sums -= before[wide]
+        head = np.maximum.reduceat(sums, begin)
+        # the largest sum of a run that ends at each word: sums less the least one before it, in the same text
+        shift = wide * (2 * np.abs(sums).max() + 1.0)
+        previous = np.concatenate([[0.0], sums[:-1]])
+        previous[begin] = 0.0
+        least = np.minimum.accumulate(previous - shift) + shift
+        inner = np.maximum.reduceat(sums - least, begin)
+        total = sums[np.append(begin[1:], len(sums)) - 1]
+        tail = total - np.minimum.reduceat(previous, begin)
+        sure = (inner < 2 * SWITCH - TIE) & (head < SWITCH - TIE) & (tail < SWITCH - TIE) & (total < -TIE)
+        out[some[sure]] = best[sure]
         return out
 
     def labels(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Viterbi over each text's words, all texts of the slice in step; staying is free, switching costs SWITCH."""
-        counts = np.diff(first)
-        order = np.argsort(-counts, kind="stable")
-        begin, counts = first[:-1][order], counts[order]
-        steps = int(counts[0]) if len(counts) else 0
-        active = np.searchsorted(-counts, -np.arange(steps), side="left")  # texts with more than t words
+        """Viterbi over each text's words; staying is free, switching costs SWITCH. Steady texts need no steps."""
+        steady, counts = self.steady(scores, first), np.diff(first)
         kind = np.int8 if scores.shape[1] <= 128 else np.int32  # of a language's index
-        came = np.empty(scores.shape, kind)
-        own = np.arange(scores.shape[1], dtype=kind)
-        value = np.zeros((len(counts), scores.shape[1]), np.float64)
-        for t in range(steps):
-            k = active[t]
-            v, at = value[:k], begin[:k] + t
-            best = v.argmax(axis=1)
-            top = v[np.arange(k), best][:, None] - SWITCH
-            stay = v >= top
-            came[at] = np.where(stay, own, best[:, None])
-            value[:k] = np.where(stay, v, top) + scores[at]
-        label = np.empty(len(scores), kind)
-        now = value.argmax(axis=1)
-        for t in range(steps - 1, -1, -1):
-            k = active[t]
-            at = begin[:k] + t
-            label[at] = now[:k]
-            now[:k] = came[at, now[:k]]
+        label = np.repeat(steady, counts).astype(kind)
+        mixed = np.flatnonzero(steady < 0)
+        if counts[mixed].sum():
+            at = ranges(first[mixed], counts[mixed])
+            label[at] = self._steps(scores[at], np.concatenate([[0], np.cumsum(counts[mixed])]), kind)
         return label
 
+    @staticmethod
+    def _steps(scores: np.ndarray, first: np.ndarray, kind: type) -> np.ndarray:
+        """All texts in step, word by word, the longest texts first, so that a step's words lie side by side."""
+        counts = np.diff(first)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place = np.lexsort((np.repeat(rank, counts), ranges(np.zeros(len(counts), np.int64), counts)))
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(ranges(np.zeros(len(counts), np.int64), counts)))]).tolist()
+        by_step = scores[place].astype(np.float64)
+        stay, best = np.empty(scores.shape, bool), np.empty(len(scores), kind)
+        value = np.zeros((len(counts), scores.shape[1]))
+        for a, b in itertools.pairwise(bounds):
+            v = value[: b - a]
+            best[a:b] = v.argmax(axis=1)
+            top = v.max(axis=1, keepdims=True) - SWITCH
+            np.greater_equal(v, top, out=stay[a:b])
+            np.maximum(v, top, out=v)
+            v += by_step[a:b]
+        label, now, rows = np.empty(len(scores), kind), value.argmax(axis=1), np.arange(len(counts))
+        for a, b in itertools.pairwise(bounds[::-1]):
+            some = now[: a - b]
+            label[b:a] = some
+            some[:] = np.where(stay[b:a][rows[: a - b], some], some, best[b:a])
+        out = np.empty(len(scores), kind)
+        out[place] = label
+        return out
+
 
 def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Model:
     """Count n-grams and scripts of each language over all given rows with a language; sums meet by (language, code).
@@ -121,28 +181,28 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Model:
         sums: dict[str, np.ndarray] = {}
         for batch, data, offsets in text_slices(batches, "t"):
             words = Words(data, offsets)
-            letters = np.diff(np.append(words.at, words.codes[0].shape[0])) if len(words.at) else np.zeros(0, np.int64)
             names = np.array(batch.column(0).to_pylist(), dtype=object)
-            row = np.searchsorted(words.first, np.arange(len(words.at)), side="right") - 1
+            row = np.searchsorted(words.first, np.arange(len(words.which)), side="right") - 1
             for name in set(names.tolist()):
-                mine = (names == name)[row]
-                by_letter = np.repeat(mine, letters)
+                times = np.bincount(words.which[(names == name)[row]], minlength=len(words.at))
+                by_letter = np.repeat(times, words.sizes)
                 own = sums.setdefault(name, np.zeros(width, np.int64))
                 for j, code in enumerate(words.codes):
-                    own[j * BUCKETS : (j + 1) * BUCKETS] += np.bincount(code[by_letter], minlength=BUCKETS)
-                own[len(SIZES) * BUCKETS :] += np.bincount(words.script[mine], weights=letters[mine], minlength=len(SCRIPTS)).astype(np.int64)
+                    own[j * BUCKETS : (j + 1) * BUCKETS] += np.bincount(code, by_letter, BUCKETS).astype(np.int64)
+                own[len(SIZES) * BUCKETS :] += np.bincount(words.script, times * words.sizes, len(SCRIPTS)).astype(np.int64)
         for name, own in sums.items():
             code = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(own[code])], ["l", "c", "n"])
 
     table = named.mapInArrow(count, "l string, c int, n long").groupBy("l", "c").agg(F.sum("n").alias("n")).groupBy("l").agg(F.collect_list("c").alias("c"), F.collect_list("n").alias("n"))
     arrow = table.toArrow().sort_by("l")  # one row a language, of at most width numbers
-    languages = arrow["l"].to_pylist()
-    counts = np.zeros((len(languages), width))
+    languages, grams = arrow["l"].to_pylist(), len(SIZES) * BUCKETS
+    logs, scripts = np.empty((len(languages), len(SIZES), BUCKETS), np.float32), np.zeros((len(languages), len(SCRIPTS)))
     for i in range(len(languages)):
-        counts[i, arrow["c"][i].values.to_numpy()] = arrow["n"][i].values.to_numpy()
-    grams = counts[:, : len(SIZES) * BUCKETS].reshape(len(languages), len(SIZES), BUCKETS)
-    return Model(languages, grams, counts[:, len(SIZES) * BUCKETS :])
+        counts = np.zeros(width)
+        counts[arrow["c"][i].values.to_numpy()] = arrow["n"][i].values.to_numpy()
+        logs[i], scripts[i] = Model.weigh(counts[:grams].reshape(len(SIZES), BUCKETS)), counts[grams:]
+    return Model(languages, logs, scripts)
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
