@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlake.llm.common import LOWER, U64, grams, map_texts, ranges, read, span_hashes, spans, text_slices, to_signed
+from gramlake.llm.common import LOWER, U64, cut, grams, map_texts, ranges, read, span_hashes, spans, text_slices, to_signed
 
 #: Words of a window that counts as a hit, of a k-gram, and k-grams that a winnowing window spans:
 #: WINDOW = GRAM + SPAN - 1, so that every shared window shares its least k-gram.
@@ -47,63 +47,84 @@ def winnow(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return position, g[position]
 
 
+def _places(start: np.ndarray, size: int, first: np.ndarray) -> np.ndarray:
+    """Which starts (ordered or not, none negative) have ``size`` words of one text ahead of them."""
+    text = np.searchsorted(first, start, side="right") - 1
+    return (text < len(first) - 1) & (start + size <= first[np.minimum(text + 1, len(first) - 1)])
+
+
+def around(at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Starts of the windows, each once and inside one text, that hold the k-grams at ``at``: what a hit is extended to."""
+    start = np.unique((at[:, None] - np.arange(SPAN)).ravel())
+    start = start[start >= 0]
+    ends = start + WINDOW
+    text = np.searchsorted(first, start, side="right") - 1
+    return start[ends <= first[text + 1]] if len(start) else start
+
+
+def windows(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, size and hash of the windows of items: WINDOW words, or all of them where there are fewer."""
+    lengths = np.diff(first)
+    starts, sizes, hashes = [], [], []
+    for size in (*sorted({int(n) for n in lengths if 0 < n < WINDOW}), WINDOW):
+        some = lengths >= WINDOW if size == WINDOW else lengths == size
+        start = ranges(first[:-1][some], lengths[some] - size + 1)
+        starts.append(start)
+        sizes.append(np.full(len(start), size))
+        hashes.append(window_hash(words, size)[start])
+    return tuple(map(np.concatenate, (starts, sizes, hashes)))
+
+
+def window_hash(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every ``size`` consecutive words; windows of different sizes don't meet."""
+    return grams(words, size) ^ U64(size * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
 class Items:
-    """A bounded set of benchmark items: their words, fingerprints and short whole-item windows."""
+    """A bounded set of benchmark items: their fingerprints, and each different window with the items that have it.
+
+    A document's fingerprint that is one of the benchmark's is extended to the windows around it, which are looked up
+    once each: how often a k-gram or a window occurs in the benchmark doesn't matter.
+    """
 
     def __init__(self, ids: list, texts: list[str]):
         self.ids = ids
         raw = [t.encode("utf-8") for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64)
-        self.words, self.first = word_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        position, prints = winnow(self.words, self.first)
-        order = np.argsort(prints, kind="stable")
-        self.prints, self.position = prints[order], position[order]
-        self.item = np.searchsorted(self.first, self.position, side="right") - 1
+        words, first = word_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        self.prints = np.unique(winnow(words, first)[1])
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.prints & U64((1 << 20) - 1)).astype(np.int64)] = True
-        self.short = {}
-        lengths = np.diff(self.first)
-        for size in sorted({int(n) for n in lengths if 0 < n < WINDOW}):
-            which = np.flatnonzero(lengths == size)
-            g = grams(self.words, size)[self.first[which]]
-            order = np.argsort(g, kind="stable")
-            self.short[size] = (g[order], which[order])
+        start, size, hashes = windows(words, first)
+        self.sizes = sorted(set(size[size < WINDOW].tolist()))
+        self.windows, which = np.unique(hashes, return_inverse=True)
+        item = np.searchsorted(first, start, side="right") - 1
+        pairs = np.unique(np.stack([which, item], 1), axis=0) if len(which) else np.zeros((0, 2), np.int64)
+        self.item, self.first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
 
     def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which words lie in a window that occurs, and the different (text, item) pairs of such windows, as an n x 2 array."""
         change = np.zeros(len(words) + 1, np.int32)
-        pairs = []
         at, prints = winnow(words, first)
         likely = self.maybe[(prints & U64((1 << 20) - 1)).astype(np.int64)]
-        at, prints = at[likely], prints[likely]
-        low, high = np.searchsorted(self.prints, prints, "left"), np.searchsorted(self.prints, prints, "right")
-        p, e = np.repeat(at, high - low), ranges(low, high - low)
-        if len(p):
-            q, item = self.position[e], self.item[e]
-            text = np.searchsorted(first, p, side="right") - 1
-            # extend: words that agree from WINDOW - GRAM before the k-gram to WINDOW - 1 after its start
-            reach = np.arange(GRAM - WINDOW, WINDOW)
-            dp, dq = p[:, None] + reach, q[:, None] + reach
-            inside = (dp >= first[text][:, None]) & (dp < first[text + 1][:, None]) & (dq >= self.first[item][:, None]) & (dq < self.first[item + 1][:, None])
-            same = inside & (words[np.clip(dp, 0, len(words) - 1)] == self.words[np.clip(dq, 0, len(self.words) - 1)])
-            run = np.concatenate([np.zeros((len(p), 1), np.int32), np.cumsum(same, axis=1, dtype=np.int32)], axis=1)
-            row, start = np.nonzero(run[:, WINDOW:] - run[:, : len(reach) - WINDOW + 1] == WINDOW)
-            begin = p[row] + reach[start]
-            np.add.at(change, begin, 1)
-            np.add.at(change, begin + WINDOW, -1)
-            pairs.append(np.stack([text[row], item[row]], 1))
-        for size, (known, which) in self.short.items():
-            g = grams(words, size)
-            low, high = np.searchsorted(known, g, "left"), np.searchsorted(known, g, "right")
-            found = np.flatnonzero(high > low)
-            text = np.searchsorted(first, found, side="right") - 1
-            keep = found + size <= first[text + 1]
-            found, text = found[keep], text[keep]
-            np.add.at(change, found, 1)
-            np.add.at(change, found + size, -1)
-            n = (high - low)[found]
-            pairs.append(np.stack([np.repeat(text, n), which[ranges(low[found], n)]], 1))
-        return np.cumsum(change[:-1]) > 0, np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        at = at[likely][np.isin(prints[likely], self.prints)]
+        found = [(around(at, first), WINDOW)] + [(np.arange(max(0, len(words) - size + 1)), size) for size in self.sizes]
+        pairs = []
+        for start, size in found:
+            start = start[_places(start, size, first)] if size < WINDOW else start
+            if not len(start) or not len(self.windows):
+                continue
+            hashes = window_hash(words, size)[start]
+            row = np.minimum(np.searchsorted(self.windows, hashes), len(self.windows) - 1)
+            same = self.windows[row] == hashes
+            start, row = start[same], row[same]
+            np.add.at(change, start, 1)
+            np.add.at(change, start + size, -1)
+            pairs.append(np.stack([np.searchsorted(first, start, side="right") - 1, row], 1))
+        both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        n = self.first[both[:, 1] + 1] - self.first[both[:, 1]] if len(both) else np.zeros(0, np.int64)
+        out = np.stack([np.repeat(both[:, 0], n), self.item[ranges(self.first[both[:, 1]], n)]], 1) if len(both) else both
+        return np.cumsum(change[:-1]) > 0, np.unique(out, axis=0)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -111,8 +132,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     A window is WINDOW consecutive item words (a shorter item is one window); a document word in any
     occurrence of a window is hit. While the benchmark's texts stay within ``broadcast_bytes`` its
-    fingerprints are broadcast and documents are matched in one pass without a shuffle; beyond that both
-    sides' fingerprints are joined, and only pairs that share one are compared. Null texts have no words
+    fingerprints are broadcast and documents are matched in one pass without a shuffle; beyond that the documents'
+    fingerprints meet the benchmark's different ones, and the windows around those that are there meet the different
+    windows (``_joined``). Both give the same results. Null texts have no words
     and items without words or id match nothing; equal items each count; repeated rows each get their
     result; empty tables on either side give no hits.
     """
@@ -142,74 +164,84 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     return map_texts(docs, work, "n_words long, n_hit long, n_items long, items array<string>", text, carry)
 
 
-def _prints(df: DataFrame, key: str) -> DataFrame:
-    """Different fingerprints of each text as key, print."""
+def _rows(df: DataFrame, kind: str, work, columns: str) -> DataFrame:
+    """Rows that ``work(words, first, hits)`` makes of each run of texts: key k, and its columns. Column p, if there is one, is a list for each text."""
+    names = ["k", *(c.split()[0] for c in columns.split(","))]
 
-    def work(batches):
+    def run(batches):
         for batch, data, offsets in text_slices(batches, "t"):
             words, first = word_hashes(data, offsets)
-            at, prints = winnow(words, first)
-            row = np.searchsorted(first, at, side="right") - 1
-            both = np.unique(np.stack([row.astype(U64), prints], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(both[:, 0].astype(np.int64))), pa.array(to_signed(both[:, 1].copy()))], ["k", "p"])
+            lists = batch.column(batch.schema.get_field_index("p")) if "p" in batch.schema.names else None
+            row, *values = work(words, first, lists)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(v) for v in values)], names)
 
-    return df.select(df[key].alias("k"), df["t"]).mapInArrow(work, f"k {df.schema[key].dataType.simpleString()}, p long")
+    return df.mapInArrow(run, f"k {kind}, {columns}")
 
 
-def _short(df: DataFrame, key: str, sizes: list[int], whole: bool) -> DataFrame:
-    """Grams of the sizes of short items (whole: of texts of just that many words), print."""
+def _prints(words, first, _):
+    """Different fingerprints of each text."""
+    at, prints = winnow(words, first)
+    both = np.unique(np.stack([(np.searchsorted(first, at, side="right") - 1).astype(U64), prints], 1), axis=0)
+    return both[:, 0].astype(np.int64), to_signed(both[:, 1].copy())
 
-    def work(batches):
-        for batch, data, offsets in text_slices(batches, "t"):
-            words, first = word_hashes(data, offsets)
-            for size in sizes:
-                g = grams(words, size)
-                at = np.arange(len(g))
-                row = np.searchsorted(first, at, side="right") - 1
-                keep = at + size <= first[row + 1]
-                if whole:
-                    keep &= np.diff(first)[row] == size
-                both = np.unique(np.stack([row[keep].astype(U64), mix_size(g[keep], size)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(both[:, 0].astype(np.int64))), pa.array(to_signed(both[:, 1].copy()))], ["k", "p"])
 
-    return df.select(df[key].alias("k"), df["t"]).mapInArrow(work, f"k {df.schema[key].dataType.simpleString()}, p long")
+def _windows(words, first, _):
+    """Different windows of each item."""
+    start, _, hashes = windows(words, first)
+    both = np.unique(np.stack([(np.searchsorted(first, start, side="right") - 1).astype(U64), hashes], 1), axis=0)
+    return both[:, 0].astype(np.int64), to_signed(both[:, 1].copy())
 
 
-def _count_words():
-    return lambda data, offsets: (pa.array(np.diff(word_hashes(data, offsets)[1])),)
+def _extended(sizes: list[int]):
+    """Windows around the fingerprints listed for each text, and those of short items' sizes: start, size, hash."""
+
+    def work(words, first, lists):
+        at, prints = winnow(words, first)
+        owner = np.searchsorted(first, at, side="right") - 1
+        count = np.array([0 if x is None else len(x) for x in lists.to_pylist()], np.int64)
+        listed = np.stack([np.repeat(np.arange(len(count)), count).astype(U64), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64)], 1)
+        own = np.stack([owner.astype(U64), prints], 1)
+        _, which = np.unique(np.concatenate([listed, own]), axis=0, return_inverse=True)
+        at = at[np.isin(which.ravel()[len(listed) :], which.ravel()[: len(listed)])]
+        parts = [(around(at, first), WINDOW)]
+        for size in sizes:
+            start = np.arange(max(0, len(words) - size + 1))
+            parts.append((start[_places(start, size, first)], size))
+        start = np.concatenate([p for p, _ in parts])
+        hashes = np.concatenate([window_hash(words, size)[p] for p, size in parts])
+        text = np.searchsorted(first, start, side="right") - 1
+        return text, start - first[text], np.repeat([size for _, size in parts], [len(p) for p, _ in parts]), to_signed(hashes)
+
+    return work
 
 
-def mix_size(g: np.ndarray, size: int) -> np.ndarray:
-    return g ^ U64(size * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+def _count_words():
+    return lambda data, offsets: (pa.array(np.diff(word_hashes(data, offsets)[1])),)
 
 
 def _joined(docs: DataFrame, items: DataFrame, text: str, carry: tuple[str, ...]) -> DataFrame:
-    """The same for a benchmark of any size: fingerprints joined by hash, then pairs of texts compared."""
+    """The same for a benchmark of any size; equal texts are one, and nothing is compared pair by pair.
+
+    Shuffles: fingerprints, which meet the benchmark's different ones; the texts, with those found; and the windows around
+    them, which meet the benchmark's different windows. A boilerplate k-gram or window is one row of the benchmark's side, so
+    that a hot one costs its own rows alone; the skewed side of a join can be split.
+    """
     keyed = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(docs[text], F.lit("")).alias("t")).withColumn("d", F.sha2("t", 256))
-    texts = keyed.select("d", "t").dropDuplicates(["d"])
-    items = items.withColumn("q", F.sha2("t", 256))
-    wordings = items.select("q", "t").dropDuplicates(["q"])
-    lengths = map_texts(wordings, _count_words, "n long", "t", ("q",)).where(F.col("n").between(1, WINDOW - 1)).select("n").distinct()
+    texts = keyed.select(F.col("d").alias("k"), "t").dropDuplicates(["k"])
+    named = items.select(F.col("i").cast("string").alias("k"), "t")
+    of_items = cut(_rows(named, "string", _windows, "w long").distinct())
+    lengths = map_texts(named, _count_words, "n long", "t", ("k",)).where(F.col("n").between(1, WINDOW - 1)).select("n").distinct()
     sizes = sorted(r.n for r in lengths.collect())  # fewer than WINDOW values
-    left = _prints(texts, "d").union(_short(texts, "d", sizes, False)).toDF("d", "p")
-    right = _prints(wordings, "q").union(_short(wordings, "q", sizes, True)).toDF("q", "p")
-    pairs = left.join(right, "p").select("d", "q").distinct()
-    both = pairs.join(texts, "d").join(wordings.withColumnRenamed("t", "u"), "q")
-
-    def compare(batches):
-        for batch in batches:
-            for d, q, t, u in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                words, first = word_hashes(np.frombuffer(t.encode("utf-8"), np.uint8), np.array([0, len(t.encode("utf-8"))]))
-                hit, found = Items([q], [u]).hits(words, first)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([q]), pa.array([np.flatnonzero(hit).tolist()], pa.list_(pa.int64()))], ["d", "q", "at"])
-
-    found = both.select("d", "q", "t", "u").mapInArrow(compare, "d string, q string, at array<long>")
-    n_hit = found.select("d", F.explode("at").alias("at")).distinct().groupBy("d").agg(F.count("*").alias("n_hit"))
-    named = found.select("d", "q").join(items.select("q", F.col("i").cast("string").alias("i")), "q").groupBy("d").agg(F.sort_array(F.collect_set("i")).alias("items"))
-
+    known = _rows(named, "string", _prints, "p long").select("p").distinct()
+    found = _rows(texts, "string", _prints, "p long").join(known, "p", "left_semi").groupBy("k").agg(F.collect_list("p").alias("p"))
+    near = texts.join(found, "k", "left" if sizes else "inner").select("k", "t", "p")
+    hits = cut(_rows(near, "string", _extended(sizes), "s long, z long, w long").join(of_items.select("w").distinct(), "w", "left_semi"))
+    grow = lambda a, x: F.struct(F.greatest(a["end"], x["s"] + x["z"]).alias("end"), (a["n"] + F.greatest(x["s"] + x["z"] - F.greatest(a["end"], x["s"]), F.lit(0))).alias("n"))
+    places = hits.select("k", "s", "z").distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("s", "z"))).alias("a"))
+    n_hit = places.select(F.col("k").alias("d"), F.aggregate("a", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")), grow, lambda a: a["n"]).alias("n_hit"))
+    pairs = hits.select(F.col("k").alias("d"), "w").distinct().join(of_items.withColumnRenamed("k", "i"), "w").groupBy("d").agg(F.sort_array(F.collect_set("i")).alias("items"))
     n_words = map_texts(keyed, _count_words, "n_words long", "t", (*[f"c{i}" for i in range(len(carry))], "d"))
-    out = n_words.join(n_hit, "d", "left").join(named, "d", "left")
+    out = n_words.join(n_hit, "d", "left").join(pairs, "d", "left")
     none = F.array().cast("array<string>")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"))
 
