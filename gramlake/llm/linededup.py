@@ -19,7 +19,7 @@ LONG_WORDS = 50
 #: Words that the first or last lines of a chunk have at least to be looked up on their own, as ends of a passage.
 EDGE_WORDS = 16
 #: A chunk's name in its text: its first line times this, plus its number of lines.
-NAME = 1 << 24
+NAME = 1 << 31
 #: Stands for a null key while texts meet lists of chunks; null keys have no chunks.
 NO_KEY = -(1 << 63)
 _STEP = U64(0xC6BC279692B5C323)
