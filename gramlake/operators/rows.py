@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one kernel call; bounds the dense block of a design.
 BLOCK_ROWS = 4096
+#: Numbers of one piece of a sum.
+PIECE = 8192
 
 
 def numpy_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -27,11 +29,12 @@ def numpy_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return out
 
 
-def sum_rows(df: DataFrame, kernel: Callable[[dict[str, np.ndarray]], np.ndarray]) -> np.ndarray:
+def sum_rows(df: DataFrame, kernel: Callable[[dict[str, np.ndarray]], np.ndarray], first_block: bool = False) -> np.ndarray:
     """Sum of ``kernel(columns)`` over blocks of rows; the kernel returns a flat array of fixed length.
 
-    One pass: a task adds up its blocks and emits one row for each index, which meet in a map-side
-    combined sum. What reaches the driver is one array. An empty table gives an empty array.
+    One pass: a task adds up its blocks and emits the sum as binary pieces of PIECE numbers, which are added up
+    piece by piece as they stream by (one shuffle of a few rows a task). What reaches the driver is one array, a row
+    for each piece. With ``first_block``, each task reads its first block alone. An empty table gives an empty array.
     """
 
     def partial(batches):
@@ -40,14 +43,29 @@ def sum_rows(df: DataFrame, kernel: Callable[[dict[str, np.ndarray]], np.ndarray
             for batch in (whole.slice(i, BLOCK_ROWS) for i in range(0, whole.num_rows, BLOCK_ROWS)):
                 value = np.asarray(kernel(numpy_columns(batch)), float).ravel()
                 total = value if total is None else total + value
+                if first_block:
+                    break
+            if first_block and total is not None:
+                break
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "v"])
+            yield _pieces(enumerate(total[i : i + PIECE] for i in range(0, len(total), PIECE)))
 
-    got = df.mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(len(got))
-    for r in got:
-        out[r.i] = r.v
-    return out
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                value = np.frombuffer(raw)
+                sums[i] = sums[i] + value if i in sums else value
+        if sums:
+            yield _pieces(sums.items())
+
+    got = df.mapInArrow(partial, "i int, b binary").repartition("i").mapInArrow(add, "i int, b binary").collect()
+    return np.concatenate([np.zeros(0), *(np.frombuffer(r.b) for r in sorted(got, key=lambda r: r.i))])
+
+
+def _pieces(items) -> pa.RecordBatch:
+    index, raw = zip(*((i, v.tobytes()) for i, v in items), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(index, pa.int32()), pa.array(raw, pa.binary())], ["i", "b"])
 
 
 def sum_rows_by(df: DataFrame, keys: list[str], kernel: Callable[[dict[str, np.ndarray]], np.ndarray], length: int) -> DataFrame:
