@@ -70,17 +70,26 @@ def _meat(rows: DataFrame, plan, beta: np.ndarray, part: tuple[str, ...], y: int
     return r.g, np.array([[r[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
 
 
-def cluster_meat(within: DataFrame, bread: np.ndarray, beta: np.ndarray, x: list[str], y: str, cluster: list[str], n: float, k: int, stats: dict) -> np.ndarray:
-    """Clustered covariance of demeaned rows (one cluster column): scores sum up by cluster as plain columns."""
+def clustered_columns(within: DataFrame, bread: np.ndarray, beta: np.ndarray, x: list[str], y: str, cluster: list[str], n: float, k: int, stats: dict) -> np.ndarray:
+    """Clustered covariance of demeaned rows, by inclusion and exclusion: scores sum up by cluster as plain columns."""
+    from gramlake.operators.linear import subsets
+
     e = F.col(y)
     for name, b in zip(x, beta, strict=True):
         e = e - F.col(name) * F.lit(float(b))
-    sums = within.groupBy(cluster[0]).agg(*[F.sum(F.col(name) * F.col("w") * e).alias(f"s{i}") for i, name in enumerate(x)])
-    pairs = [(i, j) for i in range(len(x)) for j in range(len(x))]
-    r = sums.agg(F.count("*").alias("g"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in pairs]).first()
-    m = np.array([[r[f"m{i}_{j}"] for j in range(len(x))] for i in range(len(x))])
-    stats["n_clusters"] = r.g
-    return bread @ m @ bread * (n - 1) / (n - k) * r.g / (r.g - 1)
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    total, fewest = np.zeros((len(x), len(x))), math.inf
+    for part in subsets(cluster):
+        sums = within.groupBy(*part).agg(*[F.sum(F.col(name) * F.col("w") * e).alias(f"s{i}") for i, name in enumerate(x)])
+        r = sums.agg(F.count("*").alias("g"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in pairs]).first()
+        if r.g < 2:
+            raise ValueError("clustered errors need two clusters at least")
+        m = np.array([[r[f"m{min(i, j)}_{max(i, j)}"] for j in range(len(x))] for i in range(len(x))])
+        total += (-1) ** (len(part) + 1) * m * (n - 1) / (n - k) * r.g / (r.g - 1)
+        if len(part) == 1:
+            fewest = min(fewest, r.g)
+    stats["n_clusters"] = fewest
+    return bread @ total @ bread
 
 
 def default_lags(n: float) -> int:

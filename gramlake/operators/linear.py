@@ -53,21 +53,59 @@ class Gram:
         return self.m[self.k + self.q :, self.k : self.k + self.q]
 
 
-def gram(rows: DataFrame, plan: Plan) -> Gram:
-    """One pass over the prepared rows; one partial block a task. An empty table gives zeros."""
+def gram(rows: DataFrame, plan: Plan, shift: np.ndarray | None = None) -> Gram:
+    """One pass over the prepared rows, whose columns [X Y Z] are less ``shift`` if given. An empty table gives zeros."""
     with_z = bool(plan.design.instruments)
     k, q = len(plan.names), len(plan.design.y)
     width = k + q + (len(plan.z_names) if with_z else 0)
+    upper = np.triu_indices(width)
 
     def kernel(c):
-        parts = [plan.matrix(c), plan.outcomes(c)] + ([plan.matrix(c, "z")] if with_z else [])
-        m = np.concatenate(parts, 1)
-        return np.concatenate([[len(m), c["w"].sum(), np.log(c["w"]).sum()], (m.T @ (m * c["w"][:, None])).ravel()])
+        m = _whole(plan, c) if shift is None else _whole(plan, c) - shift
+        return np.concatenate([[len(m), c["w"].sum(), np.log(c["w"]).sum()], (m.T @ (m * c["w"][:, None]))[upper]])
 
     s = sum_rows(rows, kernel)
-    if not len(s):
-        s = np.zeros(3 + width * width)
-    return Gram(s[0], s[1], s[2], s[3:].reshape(width, width), k, q)
+    m = np.zeros((width, width))
+    if len(s):
+        m[upper] = s[3:]
+        m = np.triu(m) + np.triu(m, 1).T
+    return Gram(*(s[:3] if len(s) else np.zeros(3)), m, k, q)
+
+
+def _whole(plan: Plan, c: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([plan.matrix(c), plan.outcomes(c)] + ([plan.matrix(c, "z")] if plan.design.instruments else []), 1)
+
+
+def location(rows: DataFrame, plan: Plan) -> np.ndarray:
+    """Where the columns [X Y Z] lie: their means over each task's first block, 0 for the intercept.
+
+    Any constants near the means do: sums of products of what is less them don't cancel.
+    """
+    s = sum_rows(rows, lambda c: np.concatenate([[len(c["w"])], _whole(plan, c).sum(axis=0)]), first_block=True)
+    mean = s[1:] / s[0] if len(s) else np.zeros(len(plan.names) + len(plan.design.y) + len(plan.z_names))
+    if plan.design.intercept:
+        mean[0] = 0.0
+        if plan.design.instruments:
+            mean[len(plan.names) + len(plan.design.y)] = 0.0
+    return mean
+
+
+def solve_centred(rows: DataFrame, plan: Plan) -> list[tuple[np.ndarray, np.ndarray, dict]]:
+    """Coefficients, inverse and statistics for each outcome. With an intercept, sums are of columns less constants near their means."""
+    k = len(plan.names)
+    shift = location(rows, plan) if plan.design.intercept else np.zeros(k + len(plan.design.y) + len(plan.z_names))
+    g = gram(rows, plan, shift)
+    back = np.eye(k)  # from coefficients of shifted columns to those of the columns
+    if plan.design.intercept:
+        back[0, 1:] = -shift[1:k]
+    out = []
+    for j in range(len(plan.design.y)):
+        beta, bread = solve_scaled(g.xx, g.xy[:, j])
+        stats = statistics(g, beta, plan.names, j)
+        beta = back @ beta
+        beta[:1] += shift[k + j]
+        out.append((beta, back @ bread @ back.T, stats))
+    return out
 
 
 def solve_scaled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,21 +113,30 @@ def solve_scaled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = np.sqrt(np.clip(np.diag(a), 0, None))
     d[d == 0] = 1.0
     s = a / np.outer(d, d)
-    keep, k = [], len(s)
-    basis = np.zeros((0, 0))
-    for j in range(k):  # a column joins if its part that the others don't explain is not nil
-        v = s[keep, j] if keep else np.zeros(0)
-        rest = s[j, j] - (v @ np.linalg.solve(basis, v) if keep else 0.0)
-        if rest > 1e-10:
-            keep.append(j)
-            basis = s[np.ix_(keep, keep)]
+    keep = independent(s)
     inverse = np.zeros_like(s)
-    if keep:
-        inverse[np.ix_(keep, keep)] = np.linalg.inv(basis)
+    if len(keep):
+        inverse[np.ix_(keep, keep)] = np.linalg.inv(s[np.ix_(keep, keep)])
     inverse = inverse / np.outer(d, d)
     return inverse @ b, inverse
 
 
+def independent(s: np.ndarray, least: float = 1e-10) -> np.ndarray:
+    """Columns of a scaled symmetric matrix whose part that earlier ones don't explain is over ``least``: a Cholesky factor that skips the others."""
+    try:
+        if (np.diag(np.linalg.cholesky(s)) ** 2 > least).all():
+            return np.arange(len(s))
+    except np.linalg.LinAlgError:
+        pass
+    rest, keep = s.copy(), []
+    for j in range(len(s)):
+        if rest[j, j] > least:
+            keep.append(j)
+            column = rest[j:, j] / math.sqrt(rest[j, j])
+            rest[j:, j:] -= np.outer(column, column)
+    return np.array(keep, int)
+
+
 @dataclass
 class Fit:
     """A fitted model: coefficients, their covariance, statistics, and what is needed to go on."""
@@ -157,9 +204,7 @@ def ols(df: DataFrame, design: Design, cov_type: str = "OLS_SMALL", cluster: lis
 
     plan = design.fit(df)
     rows = plan.rows(df, keep=list(dict.fromkeys(cluster or [])))
-    g = gram(rows, plan)
-    beta, bread = solve_scaled(g.xx, g.xy[:, y])
-    stats = statistics(g, beta, plan.names, y)
+    beta, bread, stats = solve_centred(rows, plan)[y]
     fit = Fit(plan.names, beta, bread * 0, stats["df_resid"], stats, bread, plan)
     fit.cov = covariance.of(rows, fit, cov_type, cluster, y)
     if cov_type == "CLUSTER":
@@ -170,13 +215,7 @@ def ols(df: DataFrame, design: Design, cov_type: str = "OLS_SMALL", cluster: lis
 def multi_outcome(df: DataFrame, design: Design) -> list[Fit]:
     """One pass, one right side for each outcome."""
     plan = design.fit(df)
-    g = gram(plan.rows(df), plan)
-    out = []
-    for j in range(len(design.y)):
-        beta, bread = solve_scaled(g.xx, g.xy[:, j])
-        stats = statistics(g, beta, plan.names, j)
-        out.append(Fit(plan.names, beta, bread * stats["sigma2"], stats["df_resid"], stats, bread, plan))
-    return out
+    return [Fit(plan.names, beta, bread * stats["sigma2"], stats["df_resid"], stats, bread, plan) for beta, bread, stats in solve_centred(plan.rows(df), plan)]
 
 
 def ridge(df: DataFrame, design: Design, alpha: float, free: tuple[str, ...] = ("Intercept",), normalize: bool = False) -> Fit:
@@ -194,8 +233,7 @@ def ridge(df: DataFrame, design: Design, alpha: float, free: tuple[str, ...] = (
 def lm_fast(df: DataFrame, design: Design) -> np.ndarray:
     """Coefficients alone."""
     plan = design.fit(df)
-    g = gram(plan.rows(df), plan)
-    return solve_scaled(g.xx, g.xy[:, 0])[0]
+    return solve_centred(plan.rows(df), plan)[0][0]
 
 
 def absorb_gram(df: DataFrame, design: Design, by: list[str]) -> tuple[Plan, Gram, int]:
@@ -210,20 +248,17 @@ def absorb_gram(df: DataFrame, design: Design, by: list[str]) -> tuple[Plan, Gra
     for c in by:
         known = known.where(F.col(c).isNotNull())
     rows = plan.rows(known, keep=keyed)
-    total = gram(rows, plan)
+    shift = location(rows, plan)  # deviations don't depend on it, their rounding does
+    total = gram(rows, plan, shift)
     with_z = bool(design.instruments)
-
-    def block(c):
-        return np.concatenate([plan.matrix(c), plan.outcomes(c)] + ([plan.matrix(c, "z")] if with_z else []), 1)
-
     width = total.m.shape[0]
     plain = [plan.plain(), [F.col(f"y{i}") for i in range(len(design.y))], plan.plain("z") if with_z else []]
     if all(p is not None for p in plain) and width <= 40:
         columns = [c for p in plain for c in p]
-        grouped = rows.groupBy(*[f"g{i}" for i in range(len(by))]).agg(F.sum("w").alias("_w"), *[F.sum(c * F.col("w")).alias(f"_s{i}") for i, c in enumerate(columns)])
+        grouped = rows.groupBy(*[f"g{i}" for i in range(len(by))]).agg(F.sum("w").alias("_w"), *[F.sum((c - F.lit(float(shift[i]))) * F.col("w")).alias(f"_s{i}") for i, c in enumerate(columns)])
         sums = grouped.select(F.array("_w", *[f"_s{i}" for i in range(width)]).alias("v"))
     else:
-        sums = sum_rows_by(rows, [f"g{i}" for i in range(len(by))], lambda c: np.concatenate([c["w"][:, None], block(c) * c["w"][:, None]], 1), 1 + width)
+        sums = sum_rows_by(rows, [f"g{i}" for i in range(len(by))], lambda c: np.concatenate([c["w"][:, None], (_whole(plan, c) - shift) * c["w"][:, None]], 1), 1 + width)
 
     def between(c):
         v = c["v"]
@@ -246,7 +281,7 @@ def absorb_ols(df: DataFrame, design: Design, by: list[str], cluster: list[str]
     if cluster:
         within = demean(df, design, by, keep=cluster)
         x, y = [f"x{i}" for i in range(len(plan.names))], "y0"
-        fit.cov = covariance.cluster_meat(within, fit.bread, fit.params, x, y, cluster, g.n, len(beta) + groups, fit.stats)
+        fit.cov = covariance.clustered_columns(within, fit.bread, fit.params, x, y, cluster, g.n, len(beta) + groups, fit.stats)
         fit.df_resid = fit.stats["n_clusters"] - 1
     return fit
 
@@ -385,42 +420,54 @@ def sure(df: DataFrame, designs: dict[str, Design], cluster: str) -> Fit:
     return Fit(names, np.concatenate(betas), bread @ meat @ bread, clusters - 1, {"n": n, "n_clusters": clusters}, bread)
 
 
-def fit_many(df: DataFrame, keys: list[str], y: str, x: list[str], weights: str | None = None) -> DataFrame:
+def fit_many(df: DataFrame, keys: list[str], y: str, x: list[str], weights: str | None = None, intercept: bool = True) -> DataFrame:
     """One least-squares fit for each key: keys, n, r2, and coef, std_err arrays in the order Intercept, x.
 
-    Sums of products by key (map-side combined, one shuffle), then batches of small systems are solved at
-    once on the executors. Groups with too few rows or dependent columns have null coefficients.
+    Built-in aggregates by key (map-side combined, one shuffle): covariances, which don't cancel, where there is an
+    intercept and no weights, and else sums of products. Batches of small systems are solved at once on the executors.
+    Without an intercept r2 is uncentred. Groups with too few rows or dependent columns have null coefficients.
     """
-    names = ["_one", *x]
     w = F.col(weights).cast("double") if weights else F.lit(1.0)
     rows = df.select(*keys, F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in x], F.col(y).cast("double").alias("_y"), w.alias("_w"))
     ok = F.lit(True)
     for c in [*x, "_y", "_w"]:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    columns = [*names, "_y"]
+    centred = intercept and weights is None
+    columns = [*x, "_y"] if centred or not intercept else ["_one", *x, "_y"]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums = rows.where(ok & (F.col("_w") > 0)).groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.col(columns[i]) * F.col(columns[j]) * F.col("_w")).alias(f"s{a}") for a, (i, j) in enumerate(pairs)])
-    k = len(names)
+    means = [F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)] if centred else []
+    product = (lambda a, b: F.covar_pop(a, b) * F.count("*")) if centred else (lambda a, b: F.sum(F.col(a) * F.col(b) * F.col("_w")))
+    sums = rows.where(ok & (F.col("_w") > 0)).groupBy(*keys).agg(F.count("*").alias("n"), *[product(columns[i], columns[j]).alias(f"s{a}") for a, (i, j) in enumerate(pairs)], *means)
+    k = len(columns) - 1
     schema = ", ".join([f"`{f}` {df.schema[f].dataType.simpleString()}" for f in keys] + ["n long, r2 double, coef array<double>, std_err array<double>"])
 
     def solve(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = numpy_columns(batch.select([f"s{a}" for a in range(len(pairs))]))
+            c = numpy_columns(batch.select([f.name for f in batch.schema if f.name not in keys]))
             m = np.zeros((batch.num_rows, k + 1, k + 1))
             for a, (i, j) in enumerate(pairs):
                 m[:, i, j] = m[:, j, i] = c[f"s{a}"]
-            n = batch.column(len(keys)).to_numpy().astype(float)
+            n = c["n"].astype(float)
+            free = n - k - centred
             d = np.sqrt(np.maximum(m[:, range(k), range(k)], 1e-300))
             s = m[:, :k, :k] / (d[:, :, None] * d[:, None, :])
-            good = (n > k) & (np.abs(np.linalg.det(s)) > 1e-10)
+            good = (free > 0) & (np.abs(np.linalg.det(s)) > 1e-10)
             s[~good] = np.eye(k)
             inverse = np.linalg.inv(s) / (d[:, :, None] * d[:, None, :])
             beta = np.einsum("gij,gj->gi", inverse, m[:, :k, k])
             ssr = np.maximum(m[:, k, k] - np.einsum("gi,gi->g", beta, m[:, :k, k]), 0)
-            sst = m[:, k, k] - m[:, 0, k] ** 2 / np.maximum(m[:, 0, 0], 1e-300)
-            se = np.sqrt(np.maximum(inverse[:, range(k), range(k)], 0) * (ssr / np.maximum(n - k, 1))[:, None])
+            sst = m[:, k, k] if centred or not intercept else m[:, k, k] - m[:, 0, k] ** 2 / np.maximum(m[:, 0, 0], 1e-300)
+            if centred:  # the intercept and its variance from the means
+                mean = np.stack([c[f"m{i}"] for i in range(k + 1)], 1)
+                whole = np.zeros((len(n), k + 1, k + 1))
+                whole[:, 1:, 1:] = inverse
+                whole[:, 0, 1:] = whole[:, 1:, 0] = -np.einsum("gij,gj->gi", inverse, mean[:, :k])
+                whole[:, 0, 0] = 1 / n - np.einsum("gi,gi->g", whole[:, 0, 1:], mean[:, :k])
+                beta = np.concatenate([(mean[:, k] - np.einsum("gi,gi->g", beta, mean[:, :k]))[:, None], beta], 1)
+                inverse = whole
+            se = np.sqrt(np.maximum(np.einsum("gii->gi", inverse), 0) * (ssr / np.maximum(free, 1))[:, None])
             with np.errstate(divide="ignore", invalid="ignore"):
                 r2 = np.where(good & (sst > 0), 1 - ssr / sst, np.nan)
             lists = [[v.tolist() if g else None for v, g in zip(part, good, strict=True)] for part in (beta, se)]
@@ -429,6 +476,86 @@ def fit_many(df: DataFrame, keys: list[str], y: str, x: list[str], weights: str
     return sums.mapInArrow(solve, schema)
 
 
+def level_ols(df: DataFrame, y: str, by: list[str], slopes: list[str] = (), x: list[str] = (), weights: str | None = None) -> tuple[Fit, DataFrame]:
+    """Least squares with a dummy for each level of ``by``, with slopes of its own for ``slopes``, and common slopes for ``x``.
+
+    For any number of levels: the normal equations are small blocks, one a level, bordered by the common slopes. Sums by
+    level are built-in aggregates (map-side combined, one shuffle); blocks are eliminated where they lie; only sums as wide
+    as ``x`` reach the driver. Returns the fit of the common slopes, and a table of ``by``, n, coef, std_err (arrays: the
+    level's constant, then its slopes; one constant for every level and no common one). Rows with a null in any of these
+    columns are left out; a column that is dependent within its level gets 0.
+    """
+    columns = ["_one", *(f"_s{i}" for i in range(len(slopes))), *(f"_x{i}" for i in range(len(x))), "_y"]
+    m, p = 1 + len(slopes), len(x)
+    w = F.col(weights).cast("double") if weights else F.lit(1.0)
+    values = [F.lit(1.0), *[F.col(c).cast("double") for c in (*slopes, *x, y)]]
+    rows = df.select(*by, *[v.alias(c) for v, c in zip(values, columns, strict=True)], w.alias("_w"))
+    ok = F.col("_w") > 0
+    for c in by:
+        ok = ok & F.col(c).isNotNull()
+    for c in [*columns[1:], "_w"]:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rows = rows.where(ok)
+    first = sum_rows(rows.select(*columns), lambda c: np.concatenate([[len(c["_one"])], *([c[n].sum()] for n in columns)]), first_block=True)
+    shift = first[1:] / first[0] if len(first) else np.zeros(len(columns))
+    shift[0] = 0.0  # constants of levels take up any shift
+    of_shifted = [F.col(c) - F.lit(float(v)) if v else F.col(c) for c, v in zip(columns, shift, strict=True)]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.sum(of_shifted[i] * of_shifted[j] * F.col("_w")) for i, j in pairs]).alias("v")).persist()
+    index = np.zeros((len(columns), len(columns)), int)
+    for a, (i, j) in enumerate(pairs):
+        index[i, j] = index[j, i] = a
+
+    def eliminate(v):
+        """Each level's inverse block, its slopes on the common columns and on y, and what is left of the border."""
+        whole = v[:, index]
+        block, border = whole[:, :m, :m], whole[:, :m, m:]
+        inverse = np.zeros_like(block)
+        for i, b in enumerate(block):
+            inverse[i] = solve_scaled(b, np.zeros(m))[1]
+        onto = inverse @ border
+        return inverse, onto, whole[:, m:, m:] - np.einsum("gij,gik->gjk", border, onto)
+
+    try:
+
+        def left(c):
+            inverse, _, rest = eliminate(c["v"])
+            return np.concatenate([[c["n"].sum(), (np.einsum("gii->gi", inverse) > 0).sum()], rest.sum(axis=0).ravel()])
+
+        s = sum_rows(sums.select("n", "v"), left)
+        n, used, rest = (s[0], s[1], s[2:].reshape(p + 1, p + 1)) if len(s) else (0.0, 0.0, np.zeros((p + 1, p + 1)))
+        gamma, v = solve_scaled(rest[:p, :p], rest[:p, p])
+        ssr = max(float(rest[p, p] - gamma @ rest[:p, p]), 0.0)
+        free = n - used - np.count_nonzero(np.diag(v))
+        sigma2 = ssr / free if free > 0 else math.nan
+        fit = Fit(list(x), gamma, v * sigma2, free, {"n": n, "ssr": ssr, "df_resid": free, "sigma2": sigma2}, v)
+        kinds = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
+
+        def level(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                inverse, onto, _ = eliminate(numpy_columns(batch.select(["v"]))["v"])
+                coef = onto[:, :, p] - onto[:, :, :p] @ gamma
+                # back to columns that aren't shifted: constant = y's shift - slopes times theirs
+                back = np.eye(m)
+                back[0, 1:] = -shift[1:m]
+                coef = coef @ back.T
+                coef[:, 0] += shift[-1] - shift[m : m + p] @ gamma
+                turned = back @ onto[:, :, :p]
+                turned[:, 0, :] += shift[m : m + p]
+                var = np.einsum("gii->gi", back @ inverse @ back.T) + np.einsum("gij,jk,gik->gi", turned, v, turned)
+                se = np.sqrt(np.maximum(var, 0) * sigma2)
+                lists = [pa.array(part.tolist(), pa.list_(pa.float64())) for part in (coef, se)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(by) + 1], *lists], [*by, "n", "coef", "std_err"])
+
+        from gramlake.operators.state import cut
+
+        return fit, cut(sums.mapInArrow(level, f"{kinds}, n long, coef array<double>, std_err array<double>"))
+    finally:
+        sums.unpersist()
+
+
 def shapley_r2(df: DataFrame, y: str, terms: list[str], samples: int | None = None, seed: int = 1) -> DataFrame:
     """term, value, share of R2 that each term earns: over all subsets, or over ``samples`` orderings. Always with intercept.
 
