@@ -420,7 +420,7 @@ def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1
             if scale is None:
                 s = _median_abs(rows, plan, beta, n) / special.norm_ppf(0.75)
                 if s <= 0:
-                    s = 1e-12
+                    raise ValueError("more than half of the residuals are 0: there is no scale")
             if change < tol:
                 break
 
@@ -440,7 +440,7 @@ def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1
     inv = solve_scaled(xx, np.zeros(k))[1]
     winv = solve_scaled(xdx, np.zeros(k))[1]
     psi2 = t[1] * s * s / dfr
-    cov = {"H1": kk**2 * psi2 / m**2 * inv, "H2": kk * psi2 / m * winv, "H3": psi2 / kk * winv @ xx @ winv, "SANDWICH": winv @ meat @ winv * s * s}[cov_type]
+    cov = {"H1": kk**2 * psi2 / m**2 * inv, "H2": kk * psi2 / m * winv, "H3": psi2 / kk * winv @ xx @ winv, "SANDWICH": winv @ meat @ winv * s * s * n / dfr}[cov_type]
     return Fit(plan.names, beta, cov, dfr, {"n": n, "scale": s, "cost": t[0], "iterations": iteration + 1, "df_resid": dfr}, inv, plan, use_t=False)
 
 

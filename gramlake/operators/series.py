@@ -80,20 +80,34 @@ def ar_css(df: DataFrame, value: str, by: list[str], order: list[str], p: int) -
     return fit_many(lagged, by, value, [f"{value}_l{k}" for k in range(1, p + 1)])
 
 
+#: Powers of the time index (from 1) of each trend.
+TRENDS = {"n": (), "c": (0,), "t": (1,), "ct": (0, 1), "ctt": (0, 1, 2)}
+
+
 def autoreg(df: DataFrame, value: str, by: list[str], order: list[str], lag_list: list[int], trend: str = "c", periods: tuple[int, ...] = (), exog: tuple[str, ...] = ()) -> DataFrame:
-    """Regression on lags with a trend (n is without intercept's use: c, ct, ctt), seasonal dummies and other columns; by key."""
+    """Regression on lags with a trend (n, c, t, ct or ctt), seasonal dummies and other columns; by key.
+
+    Coefficients are in the order constant (if the trend has one), lags, other columns, powers of time, seasons. A period
+    that a larger one is a multiple of is left out; dummies leave out the first phase, but the first period keeps
+    it where there is no constant.
+    """
     from gramlake.operators.windows import lags, time_index
 
+    if trend not in TRENDS:
+        raise ValueError(f"trend must be one of {', '.join(TRENDS)}")
     d = time_index(lags(df.where(F.col(value).isNotNull()), value, lag_list, by, order), by, order, "_t")
     x = [f"{value}_l{k}" for k in lag_list] + list(exog)
-    for power in range(1, len(trend.replace("c", "")) + 1):
-        d = d.withColumn(f"trend{power}", F.pow(F.col("_t") + 1.0, power))
-        x.append(f"trend{power}")
-    for s in periods:
-        for k in range(1, s):
+    constant = 0 in TRENDS[trend]
+    for power in TRENDS[trend]:
+        if power:
+            d = d.withColumn(f"trend{power}", F.pow(F.col("_t") + 1.0, power))
+            x.append(f"trend{power}")
+    kept = [s for s in sorted(set(periods)) if s > 1 and not any(q != s and q % s == 0 for q in periods)]
+    for i, s in enumerate(kept):
+        for k in range(0 if i == 0 and not constant else 1, s):
             d = d.withColumn(f"s{s}_{k}", (F.col("_t") % s == k).cast("double"))
             x.append(f"s{s}_{k}")
-    return fit_many(d, by, value, x)
+    return fit_many(d, by, value, x, intercept=constant)
 
 
 def ardl(df: DataFrame, value: str, by: list[str], order: list[str], lag_list: list[int], regressors: dict[str, int], causal: bool = False) -> DataFrame:
@@ -266,10 +280,9 @@ def loess(y: np.ndarray, window: int, weights: np.ndarray | None = None) -> np.n
     for i in range(n):
         a = min(max(i - q // 2, 0), n - q)
         s = slice(a, a + q)
-        h = max(abs(t[s] - i).max(), 1.0) * 1.005
+        h = max(i - a, a + q - i) * 1.005  # to the window's first position and the one after its last
         w = (1 - (np.abs(t[s] - i) / h) ** 3) ** 3
-        if weights is not None:
-            w = w * weights[s] + 1e-6
+        w = (w if weights is None else w * weights[s]) + 1e-6
         u = t[s] - i
         m0, m1, m2 = w.sum(), w @ u, w @ (u * u)
         det = m0 * m2 - m1 * m1
@@ -277,17 +290,22 @@ def loess(y: np.ndarray, window: int, weights: np.ndarray | None = None) -> np.n
     return out
 
 
-def _seasonal_median(x: np.ndarray, period: int, window: int) -> np.ndarray:
-    """Median of same-phase values within ``window`` cycles on either side, less its mean over a period."""
+def _seasonal_median(x: np.ndarray, period: int, window: float) -> np.ndarray:
+    """Median of same-phase values within ``window`` cycles on either side; of all of them if the window covers them."""
     out = np.empty(len(x))
     for k in range(period):
         own = x[k::period]
-        out[k::period] = [np.median(own[max(i - window, 0) : i + window + 1]) for i in range(len(own))]
+        out[k::period] = np.median(own) if window >= len(own) and len(own) else [np.median(own[max(i - int(window), 0) : i + int(window) + 1]) for i in range(len(own))]
     return out
 
 
-def stl(df: DataFrame, value: str, by: list[str], order: list[str], periods: list[int], swindow: int = 7, twindow: int | None = None, robust: bool = True, rounds: int = 3) -> DataFrame:
-    """by, order, value, trend, seasonal_<p>, resid: LOWESS trend and moving same-phase medians, bisquare reweighting; one series in memory."""
+def stl(df: DataFrame, value: str, by: list[str], order: list[str], periods: list[int], swindow: float = math.inf, twindow: int | None = None, robust: bool = True, rounds: int = 3) -> DataFrame:
+    """by, order, value, trend, seasonal_<p>, resid: a LOWESS trend and same-phase medians, fitted in turn; one series in memory.
+
+    Each of ``rounds`` inner rounds smooths the series less its seasons, then takes the seasons of each period from
+    what is left. With ``robust``, all of it is done once more with bisquare weights of the residuals on the trend.
+    The trend's window is one and a half of the longest period if not given, made odd, and at least 3.
+    """
     names = [f"seasonal_{p}" for p in periods]
     kinds = ", ".join(f"`{o}` {df.schema[o].dataType.simpleString()}" for o in order)
 
@@ -295,19 +313,17 @@ def stl(df: DataFrame, value: str, by: list[str], order: list[str], periods: lis
         y = pdf[value].to_numpy(float)
         n = len(y)
         seasonal = {p: np.zeros(n) for p in periods}
-        trend, w = np.zeros(n), np.ones(n)
-        width = twindow or int(1.5 * max(periods)) + 1
-        for _ in range(rounds):
-            for p in periods:
-                rest = y - trend - sum(v for q, v in seasonal.items() if q != p)
-                s = _seasonal_median(rest, p, swindow)
-                seasonal[p] = s - np.convolve(np.pad(s, (p // 2, p - 1 - p // 2), mode="edge"), np.ones(p) / p, "valid")[:n] if n >= p else s * 0
-            total = sum(seasonal.values())
-            trend = loess(y - total, max(width, 3), w)
-            if robust:
-                r = y - total - trend
-                m = 6 * np.median(np.abs(r))
-                w = np.clip(1 - (r / m) ** 2, 0, 1) ** 2 if m > 0 else np.ones(n)
+        trend, w = np.zeros(n), None
+        width = twindow or int(1.5 * max(periods)) | 1
+        for outer in range(1 + robust):
+            for _ in range(rounds):
+                trend = loess(y - sum(seasonal.values()), min(n, max(3, width)), w)
+                for p in periods:
+                    seasonal[p] = _seasonal_median(y - trend - sum(v for q, v in seasonal.items() if q != p), p, swindow)
+            if robust and not outer:
+                r = np.abs(y - trend - sum(seasonal.values()))
+                m = 6 * np.median(r)
+                w = np.clip(1 - (r / m) ** 2, 0, 1) ** 2 if m > 6e-6 else np.ones(n)
         out = pdf[list(order)].reset_index(drop=True)
         out["value"], out["trend"] = y, trend
         for p, name in zip(periods, names, strict=True):
