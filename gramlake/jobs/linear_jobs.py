@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from gramlake.jobs.solve_sql import basis, t_quantile, two_sided_p
 from gramlake.operators import covariance, linear
 from gramlake.operators.terms import Design, bs, cat, cheb, monomials, null_report, num, poly, seasonal, standardize, trend
 from gramlake.sources.tables import table
@@ -139,6 +140,41 @@ def absorb_cluster_lineitem(spark, d):
     return linear.absorb_ols(_line(spark, d), PRICE, ["l_suppkey"], cluster=["l_orderkey"]).table(spark, digits=3).select("term", "std_err")
 
 
+def _absorb_clustered(groups):
+    sql, names = _ABSORB + ", e as (select c.*, dy - b1 * da - b2 * db as r from c cross join b)", []
+    for i, (g, sign) in enumerate(groups):
+        sql += f", u{i} as (select {g}, sum(r * da) as ga, sum(r * db) as gb from e group by all), k{i} as (select {sign} * (select (n - 1.0) / (n - 2 - (select count(*) from g)) from b) * count(*) / (count(*) - 1.0) as f, sum(ga * ga) as maa, sum(ga * gb) as mab, sum(gb * gb) as mbb from u{i})"
+        names.append(f"select f * maa as maa, f * mab as mab, f * mbb as mbb from k{i}")
+    return sql + ", k as (select sum(maa) as maa, sum(mab) as mab, sum(mbb) as mbb from (" + " union all ".join(names) + ")) select t.term, round(sqrt(t.v), 3) as std_err from b cross join k, lateral (values ('l_quantity', i11 * i11 * maa + 2 * i11 * i12 * mab + i12 * i12 * mbb), ('l_discount', i12 * i12 * maa + 2 * i12 * i22 * mab + i22 * i22 * mbb)) as t(term, v)"
+
+
+@query("l4_absorb_two_way_cluster_lineitem", _absorb_clustered([("l_orderkey", 1), ("l_partkey", 1), ("l_orderkey, l_partkey", -1)]))
+def absorb_two_way_lineitem(spark, d):
+    return linear.absorb_ols(_line(spark, d), PRICE, ["l_suppkey"], cluster=["l_orderkey", "l_partkey"]).table(spark, digits=3).select("term", "std_err")
+
+
+@query(
+    "p7_wide_slopes_lineitem",
+    """with g as (select l_suppkey, count(*) as n, avg(l_quantity) as mx, avg(l_extendedprice) as my, var_pop(l_quantity) * count(*) as xx, covar_pop(l_quantity, l_extendedprice) * count(*) as xy, var_pop(l_extendedprice) * count(*) as yy from lineitem group by 1),
+s as (select sum(yy - xy * xy / xx) / (sum(n) - 2 * count(*)) as s2 from g)
+select l_suppkey, n, round(my - xy / xx * mx, 3) as level, round(xy / xx, 4) as slope, round(sqrt(s2 * (1.0 / n + mx * mx / xx)), 3) as level_se, round(sqrt(s2 / xx), 4) as slope_se from g cross join s""",
+)
+def wide_slopes(spark, d):
+    _, levels = linear.level_ols(_line(spark, d), "l_extendedprice", ["l_suppkey"], slopes=["l_quantity"])
+    return levels.select("l_suppkey", "n", *[F.round(F.col(c)[i], 3 + i).alias(f"{name}{end}") for c, end in (("coef", ""), ("std_err", "_se")) for i, name in enumerate(("level", "slope"))])
+
+
+@query(
+    "p6_wide_dummies_lineitem",
+    """with g as (select l_partkey, count(*) as n, avg(l_quantity) as mx, avg(l_extendedprice) as my from lineitem group by 1),
+c as (select l_quantity - mx as x, l_extendedprice - my as y from lineitem join g using (l_partkey)), b as (select sum(x * y) / sum(x * x) as b, sum(x * x) as xx, sum(y * y) - sum(x * y) ** 2 / sum(x * x) as ssr, count(*) - 1 - (select count(*) from g) as free from c)
+select l_partkey, g.n, round(my - b * mx, 3) as level, round(sqrt(ssr / free * (1.0 / g.n + mx * mx / xx)), 3) as level_se, round(b, 4) as slope, round(sqrt(ssr / free / xx), 5) as slope_se from g cross join b""",
+)
+def wide_dummies(spark, d):
+    fit, levels = linear.level_ols(_line(spark, d), "l_extendedprice", ["l_partkey"], x=["l_quantity"])
+    return levels.select("l_partkey", "n", F.round(F.col("coef")[0], 3).alias("level"), F.round(F.col("std_err")[0], 3).alias("level_se"), F.lit(round(float(fit.params[0]), 4)).alias("slope"), F.lit(round(float(fit.bse[0]), 5)).alias("slope_se"))
+
+
 @query("j3_absorbed_effects_lineitem", _ABSORB + " select l_suppkey, g.n, round(my - b1 * ma - b2 * mb, 2) as effect from g cross join b")
 def effects_lineitem(spark, d):
     df = _line(spark, d)
@@ -300,7 +336,10 @@ def slopes(spark, d):
     return _rows(spark, [(lv[0], round(float(v), 3)) for lv, v in zip(levels, b, strict=True)], "l_returnflag string, slope double")
 
 
-@query("p9_bspline_lineitem")
+_KNOTS = ["(q0 - 1e-6)"] * 4 + ["q1", "q2"] + ["(q3 + 1e-6)"] * 4
+
+
+@query("p9_bspline_lineitem", "with q as (select min(l_quantity) as q0, quantile_cont(l_quantity, 1 / 3.0) as q1, quantile_cont(l_quantity, 2 / 3.0) as q2, max(l_quantity) as q3 from lineitem) select l_orderkey, l_linenumber, " + ", ".join(f"round({b}, 6) as v{i}" for i, b in enumerate(basis("l_quantity", _KNOTS, 3)[1:])) + " from lineitem cross join q")
 def bspline_rows(spark, d):
     return _design_rows(spark, d, [bs("l_quantity", 5)])
 
@@ -355,15 +394,19 @@ def delta_lineitem(spark, d):
     return _rows(spark, [(round(r["value"], 5), round(r["std_err"], 4))], "value double, std_err double")
 
 
-@query("h4_fieller_lineitem")
+_TABLE = _TWO.format(w="1.0") + ", s2 as (select *, ssr / (n - 3) as s2, ma * i11 + mb * i12 as ra, ma * i12 + mb * i22 as rb from f), se as (select *, s2 * (1 / sw + ma * ra + mb * rb) as v0, -s2 * ra as c01 from s2)"
+_TABLE_T = _TABLE + f", tt as (select t.term, t.coef, sqrt(t.v) as std_err, t.coef / sqrt(t.v) as t, n - 3.0 as free from se, lateral (values ('Intercept', b0, v0), ('l_quantity', b1, s2 * i11), ('l_discount', b2, s2 * i22)) as t(term, coef, v)), pp as (select *, {two_sided_p('t', 'free')} as p, {t_quantile('free')} as q from tt)"
+
+
+@query("h4_fieller_lineitem", _TABLE + f", a as (select b0, b1, {t_quantile('(n - 3.0)')} as t, v0, s2 * i11 as v1, c01 from se), k as (select *, b0 * b0 - t * t * v0 as aa, b1 * b0 - t * t * c01 as bb, b1 * b1 - t * t * v1 as cc from a) select round(b1 / b0, 6) as ratio, round((bb - sqrt(bb * bb - aa * cc)) / aa, 6) as lo, round((bb + sqrt(bb * bb - aa * cc)) / aa, 6) as hi from k")
 def fieller_lineitem(spark, d):
     r = linear.fieller(linear.ols(_line(spark, d), PRICE), 1, 0)
-    return _rows(spark, [(float(r["ratio"]), float(r["lo"]), float(r["hi"]))], "ratio double, lo double, hi double")
+    return _rows(spark, [tuple(round(float(r[k]), 6) for k in ("ratio", "lo", "hi"))], "ratio double, lo double, hi double")
 
 
-@query("h5_conf_int_lineitem")
+@query("h5_conf_int_lineitem", _TABLE_T + " select term, " + ", ".join(f"round({c}, 3) as {c}" for c in ("coef", "std_err", "t", "p")) + ", round(coef - q * std_err, 3) as ci_lo, round(coef + q * std_err, 3) as ci_hi from pp")
 def intervals_lineitem(spark, d):
-    return linear.ols(_line(spark, d), PRICE).table(spark)
+    return linear.ols(_line(spark, d), PRICE).table(spark, digits=3)
 
 
 @query("c6_hac_panel_events", """

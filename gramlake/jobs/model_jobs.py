@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from gramlake.jobs.solve_sql import ROBUST_SUMS, least_squares, newton, robust
 from gramlake.operators import draws as D
 from gramlake.operators import irls, linear, mle, moments_fits, penalized, resample, series, smooth
+from gramlake.operators.state import folder
 from gramlake.operators.terms import Design, num
 from gramlake.sources.tables import table
 from gramlake.streaming import fits as streams
@@ -99,10 +100,13 @@ def glm_hc1(spark, d):
     return irls.glm(_line(spark, d), Design(["returned"], [num("q")]), "binomial", cov_type="HC1").table(spark, digits=6).select("term", "std_err")
 
 
-@query("g1_gamma_log_orders")
+_GAMMA = "with d as (select o_totalprice as y, (o_custkey % 10) / 10.0 as x from orders), " + newton("d", ["x"], ["(select ln(avg(y)) from d)", "0.0::double"], "exp(eta)", "(y - mu) / mu", "1.0")
+
+
+@query("g1_gamma_log_orders", _GAMMA + ", e as (select x, y / exp(b0 + b1 * x) - 1 as r from d cross join n10), q as (select count(*) as n, sum(r * r) / (count(*) - 2) as phi, avg(x) as mx, var_pop(x) * count(*) as xx from e) select t.term, round(t.coef, 6) as coef, round(t.se, 6) as std_err from q cross join n10, lateral (values ('Intercept', b0, sqrt(phi * (1.0 / n + mx * mx / xx))), ('x', b1, sqrt(phi / xx))) as t(term, coef, se)")
 def gamma_log(spark, d):
     df = table(spark, d, "orders").withColumn("x", (F.col("o_custkey") % 10) / 10.0)
-    return irls.glm(df, Design(["o_totalprice"], [num("x")]), "gamma", "log").table(spark)
+    return irls.glm(df, Design(["o_totalprice"], [num("x")]), "gamma", "log").table(spark, digits=6).select("term", "coef", "std_err")
 
 
 @query("g4_glm_elastic_net_lineitem")
@@ -110,9 +114,10 @@ def glm_net(spark, d):
     return irls.glm(_line(spark, d), Design(["returned"], [num("q"), num("l_discount")]), "binomial", penalty=(0.01, 0.5)).table(spark)
 
 
-@query("g5_residual_inclusion_lineitem")
+@query("g5_residual_inclusion_lineitem", "with f as (select regr_slope(l_quantity / 10.0, l_partkey) as a1, regr_intercept(l_quantity / 10.0, l_partkey) as a0 from lineitem), d as (select cast(l_returnflag = 'R' as double) as y, a0 + a1 * l_partkey as h, l_quantity / 10.0 - a0 - a1 * l_partkey as r from lineitem cross join f), " + newton("d", ["h", "r"], ["0.0::double"] * 3, "1 / (1 + exp(-eta))", "y - mu", "mu * (1 - mu)", 8) + " select t.term, round(t.coef, 4) as coef from n8, lateral (values ('q', b1), ('_resid', b2 - b1)) as t(term, coef)")
 def two_sri(spark, d):
-    return irls.residual_inclusion(_line(spark, d), Design(["returned"], [num("q")], instruments=[num("l_partkey")]), "q", "binomial").table(spark)
+    fit = irls.residual_inclusion(_line(spark, d), Design(["returned"], [num("q")], instruments=[num("l_partkey")]), "q", "binomial", tol=1e-12)
+    return fit.table(spark, digits=4).where("term <> 'Intercept'").select("term", "coef")
 
 
 @query("g6_marginal_effects_lineitem", _LOGIT_ROWS + " select 'q' as term, round(avg(v * b1), 8) as effect from f")
@@ -135,18 +140,22 @@ def glm_predict(spark, d):
     return irls.predict(fit, df).select("l_orderkey", "l_linenumber", F.round("mu", 6).alias("mu"))
 
 
+_PRICE_ROWS = "select l_extendedprice as y, l_quantity::double as x, l_orderkey, l_linenumber from lineitem"
+
 for _n in ("HuberT", "TukeyBiweight", "TrimmedMean", "AndrewWave", "RamsayE"):
 
     def _robust(spark, d, n=_n):
-        return irls.rlm(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")]), n).table(spark)
+        return irls.rlm(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")]), n, tol=1e-11, max_iter=80).table(spark, digits=3).select("term", "coef", "std_err")
 
-    query(f"b1_rlm_{_n.lower()}_lineitem")(_robust)
+    query(f"b1_rlm_{_n.lower()}_lineitem", f"with {robust(_PRICE_ROWS, _n)}{ROBUST_SUMS} select t.term, round(t.coef, 3) as coef, round(kk * sqrt(p2 * t.i) / abs(m), 3) as std_err from v, lateral (values ('Intercept', b0, i00), ('l_quantity', b1, i11)) as t(term, coef, i)")(_robust)
 
 
-@query("b2_rlm_covariances_lineitem")
+@query("b2_rlm_covariances_lineitem", f"""with {robust(_PRICE_ROWS, "HuberT")}{ROBUST_SUMS},
+h as (select *, n * w01 * w01 + 2 * sx * w01 * w11 + sxx * w11 * w11 as h11, n * w00 * w00 + 2 * sx * w00 * w01 + sxx * w01 * w01 as h00, pp * w01 * w01 + 2 * mx * w01 * w11 + mxx * w11 * w11 as q11, pp * w00 * w00 + 2 * mx * w00 * w01 + mxx * w01 * w01 as q00 from v)
+select t.cov, round(sqrt(t.a), 4) as se0, round(sqrt(t.b), 4) as se1 from h, lateral (values ('H1', kk * kk * p2 / (m * m) * i00, kk * kk * p2 / (m * m) * i11), ('H2', kk * p2 / m * w00, kk * p2 / m * w11), ('H3', p2 / kk * h00, p2 / kk * h11), ('SANDWICH', q00 * s * s * n / (n - 2), q11 * s * s * n / (n - 2))) as t(cov, a, b)""")
 def rlm_cov(spark, d):
     df, design = _line(spark, d), Design(["l_extendedprice"], [num("l_quantity")])
-    return _out(spark, [(c, *map(float, irls.rlm(df, design, "HuberT", c).bse)) for c in ("H1", "H2", "H3", "SANDWICH")], "cov string, se0 double, se1 double")
+    return _out(spark, [(c, *map(float, irls.rlm(df, design, "HuberT", c, tol=1e-11, max_iter=80).bse)) for c in ("H1", "H2", "H3", "SANDWICH")], "cov string, se0 double, se1 double")
 
 
 @query("q1_quantile_regression_orders")
@@ -219,10 +228,10 @@ def nlls_linear(spark, d):
     return spark.createDataFrame([(n, round(float(b), 1)) for n, b in zip(fit.names, fit.params, strict=True)], "term string, coef double")
 
 
-@query("v2_nlls_exponential_customer")
+@query("v2_nlls_exponential_customer", f"with d as ({_COUNTS}), " + newton("d", ["x"], ["(select ln(avg(y)) from d)", "0.0::double"], "exp(eta)", "(y - mu) * mu", "mu * mu", 25) + ", e as (select x, y - exp(b0 + b1 * x) as r, exp(b0 + b1 * x) as mu from d cross join n25), q as (select count(*) as n, sum(mu * mu) as a, sum(mu * mu * x) as b, sum(mu * mu * x * x) as c, sum(mu * mu * r * r) as ma, sum(mu * mu * r * r * x) as mb, sum(mu * mu * r * r * x * x) as mc from e) select t.term, round(t.coef, 4) as coef, round(sqrt(n / (n - 2.0) * t.v) / abs(a * c - b * b), 4) as std_err from q cross join n25, lateral (values ('b0', b0, c * c * ma - 2 * b * c * mb + b * b * mc), ('b1', b1, b * b * ma - 2 * a * b * mb + a * a * mc)) as t(term, coef, v)")
 def nlls_exp(spark, d):
-    fit = moments_fits.nlls(_orders_per_customer(spark, d), "n", ["bal"], lambda c, t: np.exp(np.clip(t[0] + t[1] * c["bal"], -30, 30)), np.array([1.0, 0.0]), cov_type="HC1")
-    return fit.table(spark)
+    fit = moments_fits.nlls(_orders_per_customer(spark, d), "n", ["bal"], lambda c, t: np.exp(np.clip(t[0] + t[1] * c["bal"], -30, 30)), np.array([1.0, 0.0]), ["b0", "b1"], cov_type="HC1")
+    return fit.table(spark, digits=4).select("term", "coef", "std_err")
 
 
 @query("v3_nlls_elastic_net_lineitem")
@@ -264,10 +273,19 @@ def hurdle(spark, d):
     return _out(spark, zip(["Intercept", "x"], map(float, fits["zero"].params), strict=True), "term string, coef double")
 
 
-@query("d5_hurdle_mean_customer")
+_POSITIVE = f"with c as ({_COUNTS.replace('as y,', 'as y, c_custkey,')}), d as (select * from c where y > 0), z as (select *, (y > 0)::double as u from c), " + newton("d", ["x"], ["(select ln(avg(y)) from d)", "0.0::double"], "exp(eta)", "y - mu / (1 - exp(-mu))", "mu / (1 - exp(-mu)) * (1 + mu - mu / (1 - exp(-mu)))", 12)
+
+
+@query("d3_hurdle_positive_customer", _POSITIVE + " select t.term, round(t.coef, 4) as coef from n12, lateral (values ('Intercept', b0), ('x', b1)) as t(term, coef)")
+def hurdle_positive(spark, d):
+    fits = mle.hurdle(_orders_per_customer(spark, d), "n", [num("bal")], "zt_poisson")
+    return _out(spark, zip(["Intercept", "x"], map(float, fits["positive"].params[:2]), strict=True), "term string, coef double")
+
+
+@query("d5_hurdle_mean_customer", _POSITIVE + ", " + newton("z", ["x"], ["0.0::double", "0.0::double"], "1 / (1 + exp(-eta))", "u - mu", "mu * (1 - mu)", 10, "l") + ", m as (select c_custkey, 1 / (1 + exp(-(l10.b0 + l10.b1 * x))) as p, exp(n12.b0 + n12.b1 * x) as mu from c cross join n12 cross join l10) select c_custkey, round(p * mu / (1 - exp(-mu)), 4) as mean from m")
 def hurdle_mean(spark, d):
     df = _orders_per_customer(spark, d)
-    return mle.hurdle_mean(mle.hurdle(df, "n", [num("bal")], "zt_poisson"), df).select("c_custkey", F.round("mean", 6).alias("mean"))
+    return mle.hurdle_mean(mle.hurdle(df, "n", [num("bal")], "zt_poisson"), df).select("c_custkey", F.round("mean", 4).alias("mean"))
 
 
 @query("d6_average_effect_customer")
@@ -369,9 +387,16 @@ def _daily(spark, d):
     return table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("value"))
 
 
-@query("t6_burg_events")
+_HOURLY = "h as (select event_type, date_trunc('hour', ts) as hour, avg(value) as value from events group by 1, 2), c as (select *, value - avg(value) over (partition by event_type) as c, row_number() over w - 1 as t, lag(value) over w as l1, lag(value, 2) over w as l2 from h where value is not null window w as (partition by event_type order by hour))"
+_BURG = f"""with {_HOURLY}, p1 as (select *, lag(c) over (partition by event_type order by t) as v from c), k1 as (select event_type, 2 * sum(c * v) / sum(c * c + v * v) as k1 from p1 where v is not null group by 1),
+p2 as (select event_type, t, c - k1 * v as f, v - k1 * c as b, k1 from p1 join k1 using (event_type)), p3 as (select *, lag(b) over (partition by event_type order by t) as v from p2), k2 as (select event_type, 2 * sum(f * v) / sum(f * f + v * v) as k2 from p3 where t >= 2 group by 1),
+a as (select event_type, count(*) + 2 as n, any_value(k1 - k2 * k1) as a1, any_value(k2) as a2, sum((f - k2 * v) ** 2) / count(*) as s2 from p3 join k2 using (event_type) where t >= 2 group by 1)"""
+
+
+@query("t6_burg_events", _BURG + " select event_type, n, round(a1, 6) as ar1, round(a2, 6) as ar2, round(s2, 6) as sigma2 from a")
 def burg(spark, d):
-    return series.ar_burg(_daily(spark, d), "value", ["event_type"], ["hour"], 2)
+    a = series.ar_burg(_daily(spark, d), "value", ["event_type"], ["hour"], 2)
+    return a.select("event_type", "n", *[F.round(F.col("ar")[k], 6).alias(f"ar{k + 1}") for k in (0, 1)], F.round("sigma2", 6).alias("sigma2"))
 
 
 @query("t7_ar_mle_events")
@@ -379,25 +404,43 @@ def ar_mle(spark, d):
     return series.ar_mle(_daily(spark, d), "value", ["event_type"], ["hour"], 1)
 
 
-@query("t8_autoreg_events")
-def autoreg(spark, d):
-    return series.autoreg(_daily(spark, d), "value", ["event_type"], ["hour"], [1, 2], "ct")
+def _fits(out, n):
+    """Coefficients and errors of ``fit_many`` as columns."""
+    return out.where("coef is not null").select("event_type", "n", *[F.round(F.col(c)[i], 6).alias(f"{short}{i}") for c, short in (("coef", "b"), ("std_err", "s")) for i in range(n)])
 
 
-@query("t9_ardl_events")
+def _fits_sql(n, tag=""):
+    return f" select event_type, n, {', '.join(f'round({c}{i}, 6) as {c}{i}' for c in 'bs' for i in range(n))} from fit{tag}"
+
+
+for _trend, _more in (("n", []), ("c", []), ("t", ["(t + 1.0)"]), ("ct", ["(t + 1.0)"]), ("ctt", ["(t + 1.0)", "((t + 1.0) ** 2)"])):
+
+    def _autoreg(spark, d, trend=_trend, n=2 + len(_more) + _trend.startswith("c")):
+        return _fits(series.autoreg(_daily(spark, d), "value", ["event_type"], ["hour"], [1, 2], trend), n)
+
+    query(f"t8_autoreg_{_trend}_events", f"with {_HOURLY}, " + least_squares("c", "value", ["l1", "l2", *_more], ["event_type"], _trend.startswith("c")) + _fits_sql(2 + len(_more) + _trend.startswith("c")))(_autoreg)
+
+
+@query("t8_autoreg_seasonal_events", f"with {_HOURLY}, " + least_squares("c", "value", ["l1", *[f"(t % 4 = {k})::double" for k in (1, 2, 3)]], ["event_type"]) + _fits_sql(5))
+def autoreg_seasonal(spark, d):
+    return _fits(series.autoreg(_daily(spark, d), "value", ["event_type"], ["hour"], [1], "c", (2, 4)), 5)
+
+
+@query("t9_ardl_events", f"with {_HOURLY}, x as (select *, hour(hour)::double as x, lag(hour(hour)::double) over (partition by event_type order by hour) as x1 from c), " + least_squares("x", "value", ["l1", "x", "x1"], ["event_type"]) + _fits_sql(4))
 def ardl(spark, d):
     e = _daily(spark, d).withColumn("x", F.hour("hour").cast("double"))
-    return series.ardl(e, "value", ["event_type"], ["hour"], [1], {"x": 1})
+    return _fits(series.ardl(e, "value", ["event_type"], ["hour"], [1], {"x": 1}), 4)
 
 
-@query("t10_arma_events")
+@query("t10_arma_events", f"with {_HOURLY}, x as (select event_type, hour, value, {', '.join(f'lag(value, {k}) over w as v{k}' for k in range(1, 7))} from c window w as (partition by event_type order by hour)), " + least_squares("x", "value", [f"v{k}" for k in range(1, 7)], ["event_type"], tag="1") + f", r as (select x.*, value - b0 - {' - '.join(f'b{k} * v{k}' for k in range(1, 7))} as e from x join fit1 using (event_type)), q as (select *, lag(e) over (partition by event_type order by hour) as e1 from r), " + least_squares("q", "value", ["v1", "e1"], ["event_type"]) + _fits_sql(3))
 def arma(spark, d):
-    return series.arma(_daily(spark, d), "value", ["event_type"], ["hour"], 1, 1)
+    return _fits(series.arma(_daily(spark, d), "value", ["event_type"], ["hour"], 1, 1), 3)
 
 
-@query("t11_forecast_events")
+@query("t11_forecast_events", _BURG + """, w as (select event_type, avg(value) as mu, arg_max(c, t) as c1, arg_max(l1, t) - avg(value) as c2 from c group by 1), s as (select *, 1.0 as p0, a1 as p1, a1 * c1 + a2 * c2 as f1 from a join w using (event_type)), s2_ as (select *, a1 * f1 + a2 * c1 as f2, a1 * p1 + a2 as p2 from s), s3 as (select *, a1 * f2 + a2 * f1 as f3, a1 * p2 + a2 * p1 as p3 from s2_), s4 as (select *, a1 * f3 + a2 * f2 as f4, a1 * p3 + a2 * p2 as p4 from s3), s5 as (select *, a1 * f4 + a2 * f3 as f5 from s4)
+select event_type, t.step, round(mu + t.f, 6) as mean, round(s2 * t.v, 6) as variance from s5, lateral (values (1, f1, 1.0), (2, f2, 1 + p1 ** 2), (3, f3, 1 + p1 ** 2 + p2 ** 2), (4, f4, 1 + p1 ** 2 + p2 ** 2 + p3 ** 2), (5, f5, 1 + p1 ** 2 + p2 ** 2 + p3 ** 2 + p4 ** 2)) as t(step, f, v)""")
 def forecast(spark, d):
-    return series.forecast(_daily(spark, d), "value", ["event_type"], ["hour"], 2, 5)
+    return series.forecast(_daily(spark, d), "value", ["event_type"], ["hour"], 2, 5).select("event_type", F.col("step").cast("int").alias("step"), F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
 @query("t12_stl_events")
@@ -405,7 +448,10 @@ def stl(spark, d):
     return series.stl(_daily(spark, d), "value", ["event_type"], ["hour"], [24], twindow=51, rounds=2)
 
 
-@query("l9_glsar_events")
+_PRAIS = """s{i} as materialized (select sum(o * o) as aa, sum(o * x_) as ab, sum(x_ * x_) as bb, sum(o * y_) as ay, sum(x_ * y_) as by_ from (select case when t >= 1 then 1 - rho else sqrt(1 - rho * rho) end as o, case when t >= 1 then x - rho * xl else sqrt(1 - rho * rho) * x end as x_, case when t >= 1 then y - rho * yl else sqrt(1 - rho * rho) * y end as y_ from d cross join k{j})), b{i} as materialized (select (bb * ay - ab * by_) / (aa * bb - ab * ab) as b0, (aa * by_ - ab * ay) / (aa * bb - ab * ab) as b1 from s{i}), k{i} as materialized (select sum((y - b0 - b1 * x) * (yl - b0 - b1 * xl)) / sum((yl - b0 - b1 * xl) ** 2) as rho from d cross join b{i} where t >= 1)"""
+
+
+@query("l9_glsar_events", "with v as (select user_id, ts, event_id, value as y, (event_id % 7)::double as x from events where value is not null), d as materialized (select *, row_number() over w - 1 as t, lag(y) over w as yl, lag(x) over w as xl from v window w as (partition by user_id order by ts, event_id)), k0 as (select 0.0::double as rho), " + ", ".join(_PRAIS.format(i=i + 1, j=i) for i in range(4)) + " select t.term, round(t.value, 4) as value from k4 cross join b4, lateral (values ('rho', rho), ('x', b1)) as t(term, value)")
 def glsar(spark, d):
     e = table(spark, d, "events").withColumn("x", (F.col("event_id") % 7).cast("double"))
     r = series.glsar(e, "value", ["x"], ["user_id"], ["ts", "event_id"], 1, 4)
@@ -426,10 +472,10 @@ def hac_series(spark, d):
     return spark.createDataFrame([("x", round(float(np.sqrt(cov[1, 1])), 6))], "term string, std_err double")
 
 
-@query("b3_robust_weights_lineitem")
+@query("b3_robust_weights_lineitem", f"with {robust(_PRICE_ROWS, 'HuberT')} select l_orderkey, l_linenumber, round(w, 6) as weight from e")
 def robust_rows(spark, d):
     df = _line(spark, d)
-    fit = irls.rlm(df, Design(["l_extendedprice"], [num("l_quantity")]))
+    fit = irls.rlm(df, Design(["l_extendedprice"], [num("l_quantity")]), tol=1e-11, max_iter=80)
     return irls.row_weights(fit, df, "HuberT").select("l_orderkey", "l_linenumber", F.round("weight", 6).alias("weight"))
 
 
@@ -473,7 +519,7 @@ def links(spark, d):
 
 @query("s2_saved_fit_lineitem", "select 'Intercept' as term, round(regr_intercept(l_extendedprice, l_quantity), 3) as coef from lineitem union all select 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 3) from lineitem")
 def saved(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gramlake-")
+    base = folder(spark)
     path = f"{base.rstrip('/')}/fit-{uuid.uuid4().hex}"
     linear.ols(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")])).save(path, spark)
     return linear.Fit.load(path, spark).table(spark, digits=3).select("term", "coef")
@@ -494,9 +540,9 @@ def smooth_direct(spark, d):
     return smooth.kernel_smooth_direct(_line(spark, d), "l_quantity", "l_extendedprice", [10.0, 20.0, 30.0, 40.0], 2.0).withColumn("y", F.round("y", 3))
 
 
-@query("e4_lowess_lineitem")
+@query("e4_lowess_lineitem", "with g as (select unnest([5.0, 15.0, 25.0, 35.0, 45.0])::double as g), d as (select g, l_quantity - g as u, l_extendedprice as y, row_number() over (partition by g order by abs(l_quantity - g)) as r, floor(0.3 * count(*) over (partition by g)) as k from lineitem cross join g), h as (select g, max(abs(u)) filter (where r = k) * 1.005 as h from d group by 1), w as (select d.*, (1 - abs(u / h) ** 3) ** 3 as w from d join h using (g) where abs(u) < h), s as (select g, sum(w) as s0, sum(w * u) as s1, sum(w * u * u) as s2, sum(w * y) as t0, sum(w * u * y) as t1 from w group by 1) select g as x, round((s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1), 2) as y from s")
 def lowess(spark, d):
-    return smooth.lowess(_line(spark, d), "l_quantity", "l_extendedprice", [5.0, 15.0, 25.0, 35.0, 45.0], 0.3)
+    return smooth.lowess(_line(spark, d), "l_quantity", "l_extendedprice", [5.0, 15.0, 25.0, 35.0, 45.0], 0.3).withColumn("y", F.round("y", 2))
 
 
 @query("y1_y2_blm_lineitem", "select t.term, round(t.m, 3) as mean from (select regr_intercept(l_extendedprice, l_quantity) as a, regr_slope(l_extendedprice, l_quantity) as b from lineitem), lateral (values ('Intercept', a), ('l_quantity', b)) as t(term, m)")
@@ -524,9 +570,9 @@ def rhat(spark, d):
     return D.rhat(_draws(spark, d)).select("param", F.round("rhat", 6).alias("rhat"))
 
 
-@query("y4_ess_batch_means_events")
+@query("y4_ess_batch_means_events", _DRAWS + ", t as (select unnest([0.3, 0.5, 0.7])::double as tau), p as (select d.*, tau, count(*) over (partition by param, chain, tau) as n from d cross join t), q as (select *, floor(pow(n, tau)) as b from p), m as (select param, chain, tau, floor(draw / b) as batch, avg(value) as m from q where draw < floor(n / b) * b group by all), v as (select param, tau, var_samp(m) / count(*) as v from m group by all), w as (select param, max(v) as v from v group by 1) select param, round(var_samp(value) / any_value(w.v), 4) as ess from d join w using (param) group by 1")
 def ess(spark, d):
-    return D.ess_batch_means(_draws(spark, d), [0.3, 0.5, 0.7])
+    return D.ess_batch_means(_draws(spark, d), [0.3, 0.5, 0.7]).withColumn("ess", F.round("ess", 4))
 
 
 @query("y5_geweke_events", _DRAWS + ", q as (select *, draw / count(*) over (partition by param, chain) as q from d), g as (select param, chain, avg(value) filter (where q < 0.1) as a, avg(value) filter (where q >= 0.5) as b, var_samp(value) filter (where q < 0.1) / count(*) filter (where q < 0.1) as va, var_samp(value) filter (where q >= 0.5) / count(*) filter (where q >= 0.5) as vb from q group by 1, 2) select param, chain, round((a - b) / sqrt(va + vb), 5) as z from g")
@@ -554,7 +600,7 @@ def simulated(spark, d):
 @query("x1_streaming_gram_events", "select round(regr_intercept(value, event_id % 7), 4) as intercept, round(regr_slope(value, event_id % 7), 4) as slope from events where value is not null")
 def stream_gram(spark, d):
     source = table(spark, d, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gramlake-")
+    base = folder(spark)
     root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
     state = stream.withColumn("x", (F.col("event_id") % 7).cast("double"))
