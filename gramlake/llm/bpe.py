@@ -10,18 +10,29 @@ which starts anew at a bounded size. Pre-tokens are found and looked up in numpy
 from __future__ import annotations
 
 import functools
+import os
+import pickle
 
 import numpy as np
+import pyarrow as pa
 import regex
-from tokenizers import Tokenizer
+from pyspark.sql import SparkSession
 
 from gramlake.llm.common import U64, ranges, span_hashes
 
 #: Pre-tokens that a worker's table holds besides the proven ones before it starts anew.
-MEMO_ROWS = 1_500_000
+MEMO_ROWS = 900_000
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 
 
+def load(path: str):
+    """The library's tokenizer, without threads of its own; only workers need it."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def byte_letters() -> dict[int, str]:
     """The printable stand-in that byte-level vocabularies use for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -31,7 +42,7 @@ def byte_letters() -> dict[int, str]:
 
 def proven_tokens(path: str) -> dict[bytes, int]:
     """Vocabulary strings that, encoded alone by the library, are exactly their own single token."""
-    library = Tokenizer.from_file(path)
+    library = load(path)
     back = {c: b for b, c in byte_letters().items()}
     added = {t.content for t in library.get_added_tokens_decoder().values()}
     candidates = []
@@ -42,8 +53,12 @@ def proven_tokens(path: str) -> dict[bytes, int]:
                 candidates.append((raw, raw.decode("utf-8"), token))
             except UnicodeDecodeError:
                 continue
-    encoded = library.encode_batch([s for _, s, _ in candidates], add_special_tokens=False)
-    return {raw: token for (raw, _, token), e in zip(candidates, encoded, strict=True) if e.ids == [token]}
+    out = {}
+    for at in range(0, len(candidates), 1000):  # a bounded number of encodings at once
+        part = candidates[at : at + 1000]
+        encoded = library.encode_batch([s for _, s, _ in part], add_special_tokens=False)
+        out |= {raw: token for (raw, _, token), e in zip(part, encoded, strict=True) if e.ids == [token]}
+    return out
 
 
 @functools.cache
@@ -170,7 +185,7 @@ class Encoder:
     """Ids of whole texts, equal to the library's encode(text, add_special_tokens=False)."""
 
     def __init__(self, proven: Proven):
-        library = Tokenizer.from_file(proven.path)
+        library = load(proven.path)
         self.merge, self.letters = library.model.tokenize, byte_letters()
         special = {t.content.encode("utf-8"): i for i, t in library.get_added_tokens_decoder().items()}
         self.special = special
@@ -256,10 +271,14 @@ class Encoder:
 
 
 class Proven:
-    """A vocabulary's path and its proven table; hashable, so that a worker builds its encoder once."""
+    """A vocabulary's path and its proven table, packed; hashable, so that a worker builds its encoder once."""
+
+    def __init__(self, path: str, packed: bytes):
+        self.path, self.packed = path, packed
 
-    def __init__(self, path: str):
-        self.path, self.table = path, proven_tokens(path)
+    @property
+    def table(self) -> dict[bytes, int]:
+        return pickle.loads(self.packed)
 
     def __hash__(self):
         return hash(self.path)
@@ -268,6 +287,16 @@ class Proven:
         return self.path == other.path
 
 
+def prove(spark: SparkSession, path: str) -> Proven:
+    """The proven table of a vocabulary, made by one task: the driver gets its bytes (of at most the vocabulary's size) alone."""
+
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(proven_tokens(path))] * batch.num_rows, pa.binary())], ["table"])
+
+    return Proven(path, bytes(spark.range(0, 1, 1, 1).mapInArrow(work, "table binary").first().table))
+
+
 @functools.lru_cache(maxsize=1)
 def encoder(proven: Proven) -> Encoder:
     """One encoder for each Python worker."""

@@ -21,11 +21,13 @@ U64 = np.uint64
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared checkpoint folder; a folder of our own only where none is set."""
+    """Cut the lineage in the folder of spark.checkpoint.dir; where none is set, in one of our own in local mode, and nowhere on a cluster."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (context.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gramlake-"))
     return df.checkpoint()
 

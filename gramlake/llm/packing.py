@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from gramlake.llm.bpe import Proven, encoder
+from gramlake.llm.bpe import encoder, prove
 from gramlake.llm.common import read, text_slices
 
 #: Partly filled windows that a task keeps before it closes them all; bounds its memory.
@@ -106,7 +106,7 @@ def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, text: str
     Null and empty texts are ``end_id`` alone; repeated rows are packed each; a null key is kept; other
     columns are not read; an empty table gives no rows.
     """
-    proven = df.sparkSession.sparkContext.broadcast(Proven(path))
+    proven = df.sparkSession.sparkContext.broadcast(prove(df.sparkSession, path))
     kind = df.schema[key].dataType
 
     def work(batches):

@@ -7,7 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gramlake.llm.bpe import Proven, encoder
+from gramlake.llm.bpe import encoder, prove
 from gramlake.llm.common import map_texts, read
 
 
@@ -20,7 +20,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", carry: tuple[str,
     tokens, as the library treats them by default. Repeated rows are counted each; other columns,
     whatever their names, are not read.
     """
-    proven = df.sparkSession.sparkContext.broadcast(Proven(path))
+    proven = df.sparkSession.sparkContext.broadcast(prove(df.sparkSession, path))
 
     def work():
         own = encoder(proven.value)
