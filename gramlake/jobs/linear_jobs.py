@@ -194,6 +194,18 @@ def iv_lineitem(spark, d):
     return linear.iv_2sls(_line(spark, d), design).table(spark, digits=2).where("term <> 'Intercept'").select("term", "coef")
 
 
+@query(
+    "l5_iv_absorb_lineitem",
+    """with g as (select l_suppkey, avg(l_extendedprice) as my, avg(l_quantity) as mx, avg(l_partkey) as mz from lineitem group by 1),
+c as (select l_extendedprice - my as y, l_quantity - mx as x, l_partkey - mz as z from lineitem join g using (l_suppkey)),
+s as (select sum(z * y) / sum(z * x) as b, sum(z * z) / (sum(z * x) ** 2) as v, count(*) - 1 - (select count(*) from g) as free from c)
+select 'l_quantity' as term, round(any_value(b), 2) as coef, round(sqrt(sum((y - b * x) ** 2) / any_value(free) * any_value(v)), 2) as std_err from c cross join s""",
+)
+def iv_absorb_lineitem(spark, d):
+    design = Design(["l_extendedprice"], [num("l_quantity")], instruments=[num("l_partkey")])
+    return linear.iv_absorb(_line(spark, d), design, ["l_suppkey"]).table(spark, digits=2).select("term", "coef", "std_err")
+
+
 @query("l6_first_stage_lineitem", "select 'l_quantity' as term, round(regr_r2(l_quantity, l_partkey), 8) as r2, round(regr_r2(l_quantity, l_partkey) / (1 - regr_r2(l_quantity, l_partkey)) * (count(*) - 2), 4) as f from lineitem")
 def first_stage_lineitem(spark, d):
     s = linear.iv_2sls(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")], instruments=[num("l_partkey")])).stats["first_stage"]

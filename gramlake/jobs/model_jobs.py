@@ -120,11 +120,31 @@ def two_sri(spark, d):
     return fit.table(spark, digits=4).where("term <> 'Intercept'").select("term", "coef")
 
 
-@query("g6_marginal_effects_lineitem", _LOGIT_ROWS + " select 'q' as term, round(avg(v * b1), 8) as effect from f")
+_LOGIT_COV = ", i as (select *, haa * hbb - hab * hab as det from (select sum(v) as haa, sum(v * x) as hab, sum(v * x * x) as hbb from f))"
+
+
+@query("g6_marginal_effects_lineitem", _LOGIT_ROWS + _LOGIT_COV + ", j as (select avg(v * b1) as effect, avg(v * (1 - 2 * mu) * b1) as j0, avg(v * (1 - 2 * mu) * x * b1 + v) as j1 from f) select 'q' as term, round(effect, 8) as effect, round(sqrt((j0 * j0 * hbb - 2 * j0 * j1 * hab + j1 * j1 * haa) / det), 8) as std_err from j cross join i")
 def margins(spark, d):
     df = _line(spark, d)
     fit = irls.glm(df, Design(["returned"], [num("q")]), "binomial")
-    return spark.createDataFrame([(k, round(v[0], 8)) for k, v in irls.marginal_effects(fit, df, ["q"]).items()], "term string, effect double")
+    return spark.createDataFrame([(k, round(v[0], 8), round(v[1], 8)) for k, v in irls.marginal_effects(fit, df, ["q"]).items()], "term string, effect double, std_err double")
+
+
+for _at, _middle in (("mean", "avg(x)"), ("median", "quantile_cont(x, 0.5)")):
+
+    def _margins_at(spark, d, at=_at):
+        df = _line(spark, d)
+        fit = irls.glm(df, Design(["returned"], [num("q")]), "binomial")
+        return spark.createDataFrame([(k, round(v[0], 8), round(v[1], 8)) for k, v in irls.marginal_effects(fit, df, ["q"], at=at).items()], "term string, effect double, std_err double")
+
+    query(f"g6_effect_at_{_at}_lineitem", _LOGIT_ROWS + _LOGIT_COV + f", m as (select any_value(b0) as b0, any_value(b1) as b1, {_middle} as x from f), w as (select *, 1 / (1 + exp(-(b0 + b1 * x))) as mu from m), j as (select mu * (1 - mu) * b1 as effect, mu * (1 - mu) * (1 - 2 * mu) * b1 as j0, mu * (1 - mu) * ((1 - 2 * mu) * x * b1 + 1) as j1 from w) select 'q' as term, round(effect, 8) as effect, round(sqrt((j0 * j0 * hbb - 2 * j0 * j1 * hab + j1 * j1 * haa) / det), 8) as std_err from j cross join i")(_margins_at)
+
+
+@query("g8_glm_bootstrap_lineitem")
+def glm_boot(spark, d):
+    df = _line(spark, d)
+    fit, _ = irls.glm_bootstrap(irls.glm(df, Design(["returned"], [num("q")]), "binomial"), df, ["l_orderkey", "l_linenumber"], 200)
+    return fit.table(spark)
 
 
 @query("g7_gam_orders")
@@ -554,15 +574,15 @@ def blm(spark, d):
 
 
 def _draws(spark, d):
-    """Values of events as draws: users are chains, types are parameters."""
+    """Values of events as draws: users are chains, types are parameters, so that chains grow in number with the table."""
     from pyspark.sql import Window
 
-    e = table(spark, d, "events").where("value is not null").withColumn("chain", (F.col("user_id") % 4).cast("int"))
+    e = table(spark, d, "events").where("value is not null").withColumn("chain", F.col("user_id"))
     w = Window.partitionBy("chain", "event_type").orderBy("event_id")
     return e.select("chain", (F.row_number().over(w) - 1).cast("long").alias("draw"), F.col("event_type").alias("param"), "value")
 
 
-_DRAWS = "with d as (select cast(user_id % 4 as int) as chain, row_number() over (partition by user_id % 4, event_type order by event_id) - 1 as draw, event_type as param, value from events where value is not null)"
+_DRAWS = "with d as (select user_id as chain, row_number() over (partition by user_id, event_type order by event_id) - 1 as draw, event_type as param, value from events where value is not null)"
 
 
 @query("y3_rhat_events", _DRAWS + ", p as (select *, floor(count(*) over (partition by param, chain) / 2) as s from d), q as (select *, floor(draw / s) as seg from p where draw < 2 * s), g as (select param, chain, seg, count(*) as n, avg(value) as m, var_samp(value) as v from q group by 1, 2, 3), a as (select param, avg(n) as n, count(*) as k, avg(v) as w, var_samp(m) * avg(n) as b from g group by 1) select param, round(sqrt(((n - 1) / n * w + b / n) / w), 6) as rhat from a")
@@ -580,9 +600,9 @@ def geweke(spark, d):
     return D.geweke(_draws(spark, d)).withColumn("z", F.round("z", 5))
 
 
-@query("y6_draws_summary_events", _DRAWS + " select param, count(*) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd, round(quantile_cont(value, 0.5), 6) as median from d where draw >= 10 and (draw - 10) % 2 = 0 group by 1")
+@query("y6_draws_summary_events", _DRAWS + " select param, count(*) as n, round(avg(value), 8) as mean, round(stddev_samp(value), 8) as sd, round(quantile_cont(value, 0.5), 6) as median from d where draw >= 10 and (draw - 10) % 2 = 0 group by 1")
 def summary(spark, d):
-    return D.draws_summary(_draws(spark, d), 10, 2).select("param", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round("median", 6).alias("median"))
+    return D.draws_summary(_draws(spark, d), 10, 2).select("param", "n", F.round("mean", 8).alias("mean"), F.round("sd", 8).alias("sd"), F.round("median", 6).alias("median"))
 
 
 @query("y7_transform_draws_events", _DRAWS + ", w as (select chain, draw, max(value) filter (where param = 'click') as a, max(value) filter (where param = 'view') as b from d group by 1, 2) select chain, draw, 'difference' as param, round(a - b, 6) as value from w")

@@ -95,26 +95,31 @@ def merge_nations(spark, d):
     return joins.merge_tables([n, c, s], ["k"], "left")
 
 
-_KNOTS = "with k as (select cast(l_partkey as double) as x, avg(l_extendedprice) as y from lineitem where l_partkey % 10 = 0 group by 1)"
+_KNOTS = "with p as (select p_partkey, p_partkey + 0.5::double as v from part), k as (select cast(l_partkey as double) as x, avg(l_extendedprice) as y from lineitem group by 1)"
+
+
+def _halves(spark, d):
+    """Places between the knots, one for each part."""
+    return table(spark, d, "part").select("p_partkey", (F.col("p_partkey") + 0.5).alias("v"))
 
 
 def _knots(spark, d):
-    return table(spark, d, "lineitem").where("l_partkey % 10 = 0").groupBy(F.col("l_partkey").cast("double").alias("x")).agg(F.avg("l_extendedprice").alias("y"))
+    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").cast("double").alias("x")).agg(F.avg("l_extendedprice").alias("y"))
 
 
-@query("j4_interpolate_previous_part", _KNOTS + " select p_partkey, round(y, 4) as y from part asof left join k on cast(p_partkey as double) >= k.x")
+@query("j4_interpolate_previous_part", _KNOTS + " select p_partkey, round(y / 7, 4) as y from p asof left join k on v >= k.x")
 def previous(spark, d):
-    return joins.interpolate(table(spark, d, "part").select("p_partkey"), "p_partkey", _knots(spark, d), "x", "y", "previous").withColumn("y", F.round("y", 4))
+    return joins.interpolate(_halves(spark, d), "v", _knots(spark, d), "x", "y", "previous").select("p_partkey", F.round(F.col("y") / 7, 4).alias("y"))
 
 
-@query("j4_interpolate_linear_part", _KNOTS + ", a as (select p_partkey, k.x as x0, k.y as y0 from part asof left join k on cast(p_partkey as double) >= k.x), b as (select p_partkey, k.x as x1, k.y as y1 from part asof left join k on cast(p_partkey as double) <= k.x) select p_partkey, round(case when x0 = x1 then y0 else y0 + (y1 - y0) * (p_partkey - x0) / (x1 - x0) end / 7, 4) as y from a join b using (p_partkey)")
+@query("j4_interpolate_linear_part", _KNOTS + ", a as (select p_partkey, v, k.x as x0, k.y as y0 from p asof left join k on v >= k.x), b as (select p_partkey, k.x as x1, k.y as y1 from p asof left join k on v <= k.x) select p_partkey, round(case when x0 = x1 then y0 else y0 + (y1 - y0) * (v - x0) / (x1 - x0) end / 7, 4) as y from a join b using (p_partkey)")
 def linear_knots(spark, d):
-    return joins.interpolate(table(spark, d, "part").select("p_partkey"), "p_partkey", _knots(spark, d), "x", "y", "linear").withColumn("y", F.round(F.col("y") / 7, 4))
+    return joins.interpolate(_halves(spark, d), "v", _knots(spark, d), "x", "y", "linear").select("p_partkey", F.round(F.col("y") / 7, 4).alias("y"))
 
 
 @query("j5_spline_part")
 def spline(spark, d):
-    return joins.spline_eval(table(spark, d, "part").select("p_partkey"), "p_partkey", _knots(spark, d), "x", "y")
+    return joins.spline_eval(_halves(spark, d), "v", _knots(spark, d), "x", "y").select("p_partkey", "y")
 
 
 @query("o1_coef_table_lineitem")

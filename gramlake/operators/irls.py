@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gramlake.functions import special
 from gramlake.operators.linear import Fit, solve_scaled
-from gramlake.operators.rows import sum_rows
+from gramlake.operators.rows import numpy_columns, sum_rows
 from gramlake.operators.terms import Design, Plan
 
 _EPS = 1e-10
@@ -277,10 +277,13 @@ def predict(fit: Fit, df: DataFrame, name: str = "mu") -> DataFrame:
     return fit.plan.predictions(df, fit.params, name, fit.link.column)
 
 
-def marginal_effects(fit: Fit, df: DataFrame, columns: list[str], kind: str = "dydx") -> dict[str, tuple[float, float]]:
-    """Average effects of numeric terms that enter linearly, with delta-method errors: dydx, eydx, dyex or eyex. One pass."""
+def marginal_effects(fit: Fit, df: DataFrame, columns: list[str], kind: str = "dydx", at: str = "all") -> dict[str, tuple[float, float]]:
+    """Effects of numeric terms that enter linearly, with delta-method errors: dydx, eydx, dyex or eyex.
+
+    ``at``: averaged over all rows (one pass), or at the mean or the median of every design column.
+    """
     plan, beta, g = fit.plan, fit.params, fit.link
-    k, at = len(beta), [plan.names.index(c) for c in columns]
+    k, where = len(beta), [plan.names.index(c) for c in columns]
     rows = plan.rows(df)
 
     def slope(eta):
@@ -288,13 +291,12 @@ def marginal_effects(fit: Fit, df: DataFrame, columns: list[str], kind: str = "d
         d = 1 / g.derivative(eta, mu)
         return d / mu if kind.startswith("ey") else d
 
-    def kernel(c):
-        x, w = plan.matrix(c), c["w"]
+    def effects(x, w):
         eta = x @ beta
         f, h = slope(eta), 1e-5
         fp = (slope(eta + h) - slope(eta - h)) / (2 * h)
         out = [[w.sum()]]
-        for j in at:
+        for j in where:
             scale = x[:, j] if kind.endswith("ex") else 1.0
             out.append([(w * f * scale * beta[j]).sum()])
             jac = (x * (w * fp * scale * beta[j])[:, None]).sum(0)
@@ -302,7 +304,20 @@ def marginal_effects(fit: Fit, df: DataFrame, columns: list[str], kind: str = "d
             out.append(jac)
         return np.concatenate(out)
 
-    s = sum_rows(rows, kernel)
+    if at == "all":
+        s = sum_rows(rows, lambda c: effects(plan.matrix(c), c["w"]))
+    elif at == "mean":
+        s = sum_rows(rows, lambda c: np.concatenate([[c["w"].sum()], c["w"] @ plan.matrix(c)]))
+        s = effects((s[1:] / s[0])[None, :], np.ones(1))
+    elif at == "median":
+        from gramlake.operators.aggregates import exact_quantile
+
+        plain = plan.plain()
+        if plain is None:
+            raise ValueError("dummies have no median")
+        s = effects(np.array([[1.0 if i == 0 and plan.design.intercept else exact_quantile(rows, c, 0.5) for i, c in enumerate(plain)]]), np.ones(1))
+    else:
+        raise ValueError("at is all, mean or median")
     result = {}
     for i, c in enumerate(columns):
         a = 1 + i * (k + 1)
@@ -311,6 +326,30 @@ def marginal_effects(fit: Fit, df: DataFrame, columns: list[str], kind: str = "d
     return result
 
 
+def glm_bootstrap(fit: Fit, df: DataFrame, key: list[str], replicates: int, kind: str = "bayesian", seed: int = 0) -> tuple[Fit, np.ndarray]:
+    """Draws of a generalized linear model's coefficients, and the fit with their covariance: all replicates in one pass.
+
+    Each replicate is one Newton step from the fit under that replicate's row weights, which come from hashes of ``key``.
+    """
+    from gramlake.operators.resample import replicate_sums
+
+    plan, beta, g, k = fit.plan, fit.params, fit.link, len(fit.params)
+
+    def kernel(c):
+        x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
+        eta = x @ beta
+        mu = g.inverse(eta)
+        v, d = variance(fit.family, mu, 1.0, eta), g.derivative(eta, mu)
+        score = x * (c["w"] * (y - mu) / (d * v))[:, None]
+        return np.concatenate([score, (x[:, :, None] * (x * (c["w"] / (d * d * v))[:, None])[:, None, :]).reshape(len(x), -1)], 1)
+
+    _, s = replicate_sums(plan.rows(df, keep=[F.xxhash64(*key).alias("_h")]), [], kernel, replicates, kind, seed)
+    draws = np.stack([beta + solve_scaled(r[k:].reshape(k, k), r[:k])[0] for r in s])
+    out = Fit(fit.names, beta, np.atleast_2d(np.cov(draws.T)), fit.df_resid, fit.stats, fit.bread, plan, use_t=fit.use_t)
+    out.link, out.family = g, fit.family
+    return out, draws
+
+
 def residual_inclusion(df: DataFrame, design: Design, endogenous: str, family: str, order: int = 1, **more) -> Fit:
     """IV for a nonlinear model: first-stage residuals of ``endogenous`` on the instruments enter with powers 1..order."""
     from gramlake.operators.linear import ols
@@ -365,35 +404,51 @@ def _psi(kind: str, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return z * z / 2, np.ones_like(z), np.ones_like(z)
 
 
-def _median_abs(rows: DataFrame, plan: Plan, beta: np.ndarray, n: float) -> float:
-    """Median of |y - X beta| by passes that count bins of shrinking brackets, for both middle ranks at once."""
+def _median_abs(rows: DataFrame, plan: Plan, beta: np.ndarray, n: float, near: float = 0.0, spread: float = 0.5) -> float:
+    """Median of |y - X beta| by passes that count bins of shrinking brackets, for both middle ranks at once.
+
+    The first bracket is ``near`` by ``spread`` on either side if the ranks lie in it, and powers of two otherwise.
+    """
     bins = 4096
     ranks = np.array([(n - 1) // 2, n // 2])
     resid = lambda c: np.abs(plan.outcomes(c)[:, 0] - plan.matrix(c) @ beta)
 
-    def count(c):  # powers of two first
-        e = np.clip(np.floor(np.log2(np.maximum(resid(c), 1e-300))).astype(int) + 1024, 0, 2047)
-        return np.bincount(e, minlength=2048)
-
-    h = sum_rows(rows, count)
-    at = np.searchsorted(np.cumsum(h), ranks, side="right")
-    below = np.array([h[:i].sum() for i in at])
-    low, high = np.where(at > 0, 2.0 ** (at - 1024.0), 0.0), 2.0 ** (at - 1023.0)
-    for _ in range(4):
+    def counted(low, high):
+        """Rows below each bracket, and in each of its bins."""
         width = (high - low) / bins
 
-        def fine(c, low=low, width=width):
+        def fine(c):
             r = resid(c)[:, None]
             b = np.floor((r - low) / width)
-            return np.stack([np.bincount(b[(b[:, k] >= 0) & (b[:, k] < bins), k].astype(int), minlength=bins) for k in (0, 1)]).ravel()
-
-        h = sum_rows(rows, fine).reshape(2, bins)
-        at = np.array([min(int(np.searchsorted(np.cumsum(h[k]) + below[k], ranks[k], side="right")), bins - 1) for k in (0, 1)])
-        below = below + np.array([h[k, : at[k]].sum() for k in (0, 1)])
-        low = low + at * width
-        high = low + width
-        if (width < 1e-13 * np.maximum(high, 1e-300)).all():
+            return np.stack([np.concatenate([[(b[:, k] < 0).sum()], np.bincount(b[(b[:, k] >= 0) & (b[:, k] < bins), k].astype(int), minlength=bins)]) for k in (0, 1)]).ravel()
+
+        h = sum_rows(rows, fine).reshape(2, bins + 1)
+        return h[:, 0], np.cumsum(h[:, 1:], axis=1) + h[:, :1], width
+
+    def closer(low, high):
+        below, total, width = counted(low, high)
+        if (below > ranks).any() or (total[:, -1] <= ranks).any():
+            return None
+        at = np.array([int(np.searchsorted(total[k], ranks[k], side="right")) for k in (0, 1)])
+        return low + at * width, low + (at + 1) * width
+
+    bracket = closer(np.full(2, near * (1 - spread)), np.full(2, near * (1 + spread))) if near > 0 else None
+    if bracket is None:
+
+        def count(c):  # powers of two first
+            e = np.clip(np.floor(np.log2(np.maximum(resid(c), 1e-300))).astype(int) + 1024, 0, 2047)
+            return np.bincount(e, minlength=2048)
+
+        at = np.searchsorted(np.cumsum(sum_rows(rows, count)), ranks, side="right")
+        bracket = np.where(at > 0, 2.0 ** (at - 1024.0), 0.0), 2.0 ** (at - 1023.0)
+    for _ in range(4):
+        low, high = bracket
+        if (high - low < 1e-13 * np.maximum(high, 1e-300)).all():
             break
+        bracket = closer(low, high) or bracket  # a bracket as fine as its numbers: rounding moves ranks out of it
+        if bracket[0] is low:
+            break
+    low, high = bracket
     return float(((low + high) / 2).mean())
 
 
@@ -401,7 +456,7 @@ def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1
     """M-estimation by IRLS with the MAD scale of each step, from counting passes over a cached projection."""
     plan = design.fit(df)
     rows = plan.rows(df).persist(StorageLevel.MEMORY_AND_DISK)
-    k, beta, s = len(plan.names), None, scale
+    k, beta, s, median, spread = len(plan.names), None, scale, 0.0, 0.5
     try:
         for iteration in range(max_iter):
 
@@ -418,7 +473,9 @@ def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1
             change = np.max(np.abs(new - beta) / np.maximum(1, np.abs(new))) if beta is not None else math.inf
             beta = new
             if scale is None:
-                s = _median_abs(rows, plan, beta, n) / special.norm_ppf(0.75)
+                before, median = median, _median_abs(rows, plan, beta, n, median, spread)
+                spread = min(0.5, max(1e-7, 20 * abs(median - before) / max(median, 1e-300)))
+                s = median / special.norm_ppf(0.75)
                 if s <= 0:
                     raise ValueError("more than half of the residuals are 0: there is no scale")
             if change < tol:
@@ -456,10 +513,14 @@ def row_weights(fit: Fit, df: DataFrame, norm: str, name: str = "weight") -> Dat
 # --- quantile regression ---
 
 
+#: Rows of the sample that quantile fits start from.
+START_ROWS = 20_000
+
+
 def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_type: str = "IID", k: float = 1e-5, max_iter: int = 200, xtol: float = 1e-6, ftol: float = 1e-8) -> dict[float, Fit]:
     """IRLS on the smoothed check loss, all quantiles in the same pass; a step along each direction is chosen on a grid in another pass.
 
-    The residuals' weights are those of a Huber-like surrogate with |z| cut at 1e-10, relative to the outcome's deviation.
+    Steps start from the fit of a sample of about START_ROWS rows on the driver; all that is returned is of all rows. The residuals' weights are those of a Huber-like surrogate with |z| cut at 1e-10, relative to the outcome's deviation.
     """
     steps = np.array([0.05, 0.25, 0.5, 1, 1.5, 3, 5, 10, 20])
     plan = design.fit(df)
@@ -476,37 +537,48 @@ def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_ty
         s = sum_rows(rows, start)
         n, sd = s[0], math.sqrt(max(s[2] / s[0] - (s[1] / s[0]) ** 2, 1e-300))
         beta = np.tile(solve_scaled(s[3 : 3 + p * p].reshape(p, p), s[3 + p * p :])[0], (q, 1))
-        cost, done = np.full(q, math.inf), np.zeros(q, bool)
-        for iteration in range(max_iter):
 
-            def gram(c, beta=beta):
-                x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
-                out = []
-                for b, t in zip(beta, tau, strict=True):
-                    z = (y - x @ b) / sd
-                    a = np.where(z >= 0, t, 1 - t)
-                    w = c["w"] * a * np.where(np.abs(z) < k, 1 / k, 1 / np.maximum(np.abs(z), 1e-10))
-                    xw = x * w[:, None]
-                    out += [(x.T @ xw).ravel(), xw.T @ y]
-                return np.concatenate(out)
-
-            s = sum_rows(rows, gram).reshape(q, p * p + p)
-            direction = np.stack([solve_scaled(v[: p * p].reshape(p, p), v[p * p :])[0] - b for v, b in zip(s, beta, strict=True)])
-
-            def costs(c, beta=beta, direction=direction):
-                x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
-                r, d = y[:, None] - x @ beta.T, x @ direction.T
-                return np.stack([(c["w"][:, None] * check(r - h * d, tau)).sum(0) for h in [0.0, *steps]])
-
-            v = sum_rows(rows, costs).reshape(len(steps) + 1, q)
-            best = v.argmin(axis=0)
-            move = np.where(best > 0, np.concatenate([[0.0], steps])[best], 0.0)
-            new = beta + move[:, None] * direction * ~done[:, None]
-            change = np.max(np.abs(new - beta) / np.maximum(1, np.abs(new)), axis=1)
-            done |= (change < xtol) | (v[0] - v.min(axis=0) < ftol * np.maximum(1e-300, v[0]))
-            beta, cost = new, v.min(axis=0)
-            if done.all():
-                break
+        def descend(total, beta):
+            """Steps until no quantile moves; ``total`` sums a kernel over the rows."""
+            done = np.zeros(q, bool)
+            for iteration in range(max_iter):
+
+                def gram(c, beta=beta):
+                    x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
+                    out = []
+                    for b, t in zip(beta, tau, strict=True):
+                        z = (y - x @ b) / sd
+                        a = np.where(z >= 0, t, 1 - t)
+                        w = c["w"] * a * np.where(np.abs(z) < k, 1 / k, 1 / np.maximum(np.abs(z), 1e-10))
+                        xw = x * w[:, None]
+                        out += [(x.T @ xw).ravel(), xw.T @ y]
+                    return np.concatenate(out)
+
+                s = total(gram).reshape(q, p * p + p)
+                direction = np.stack([solve_scaled(v[: p * p].reshape(p, p), v[p * p :])[0] - b for v, b in zip(s, beta, strict=True)])
+
+                def costs(c, beta=beta, direction=direction):
+                    x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
+                    r, d = y[:, None] - x @ beta.T, x @ direction.T
+                    return np.stack([(c["w"][:, None] * check(r - h * d, tau)).sum(0) for h in [0.0, *steps]])
+
+                v = np.asarray(total(costs)).reshape(len(steps) + 1, q)
+                best = v.argmin(axis=0)
+                move = np.where(best > 0, np.concatenate([[0.0], steps])[best], 0.0)
+                new = beta + move[:, None] * direction * ~done[:, None]
+                change = np.max(np.abs(new - beta) / np.maximum(1, np.abs(new)), axis=1)
+                done |= (change < xtol) | (v[0] - v.min(axis=0) < ftol * np.maximum(1e-300, v[0]))
+                beta = new
+                if done.all():
+                    break
+            return beta, v.min(axis=0), iteration
+
+        # the start for the passes over all rows: a fit of a bounded sample
+        some = rows.sample(False, min(1.0, START_ROWS / n), 1).limit(2 * START_ROWS).toArrow().combine_chunks()
+        if some.num_rows > 10 * p:
+            columns = numpy_columns(some.to_batches()[0])
+            beta, _, _ = descend(lambda f: np.asarray(f(columns)).ravel(), beta)
+        beta, cost, iteration = descend(lambda f: sum_rows(rows, f), beta)
         fits = {}
         for b, t, best_cost in zip(beta, taus, cost, strict=True):
             mad = _median_abs(rows, plan, b, n) / special.norm_ppf(0.75)

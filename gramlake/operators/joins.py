@@ -95,6 +95,19 @@ def _large(df: DataFrame, value: str, knots: DataFrame, x: str, y: str, kind: st
     return rows.join(found.select("_id", out.alias(name)), "_id").drop("_id", "_v", "_b")
 
 
+def _tridiagonal(low: np.ndarray, diagonal: np.ndarray, high: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """One sweep down and one up, in time and memory of the number of knots."""
+    low, diagonal, high, r = (v.tolist() for v in (low, diagonal, high, r))
+    for i in range(1, len(r)):
+        f = low[i] / diagonal[i - 1]
+        diagonal[i] -= f * high[i - 1]
+        r[i] -= f * r[i - 1]
+    r[-1] /= diagonal[-1]
+    for i in range(len(r) - 2, -1, -1):
+        r[i] = (r[i] - high[i] * r[i + 1]) / diagonal[i]
+    return np.array(r)
+
+
 def spline_coefficients(kx: np.ndarray, ky: np.ndarray, bc: str = "not-a-knot") -> np.ndarray:
     """Cubic spline pieces: rows (a, b, c, d) of a + b u + c u2 + d u3 with u = x - knot. Natural, clamped or not-a-knot ends."""
     n, h, d = len(kx), np.diff(kx), np.diff(ky) / np.diff(kx)
@@ -104,20 +117,20 @@ def spline_coefficients(kx: np.ndarray, ky: np.ndarray, bc: str = "not-a-knot")
         c = (d[1] - d[0]) / (h[0] + h[1])
         b0 = d[0] - c * h[0]
         return np.array([[ky[0], b0, c, 0.0], [ky[1], b0 + 2 * c * h[0], c, 0.0]])
-    m = np.zeros((n, n))
+    # one equation a knot: low * c before + diagonal * c + high * c after = r; end conditions are put into their neighbours
+    low, diagonal, high = np.zeros(n), np.ones(n), np.zeros(n)
     r = np.zeros(n)
-    for i in range(1, n - 1):
-        m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        r[i] = 3 * (d[i] - d[i - 1])
-    if bc == "natural":
-        m[0, 0] = m[-1, -1] = 1
-    elif bc == "clamped":
-        m[0, :2], r[0] = (2 * h[0], h[0]), 3 * d[0]
-        m[-1, -2:], r[-1] = (h[-1], 2 * h[-1]), -3 * d[-1]
-    else:
-        m[0, :3] = h[1], -(h[0] + h[1]), h[0]
-        m[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    c = np.linalg.solve(m, r)
+    low[1:-1], diagonal[1:-1], high[1:-1], r[1:-1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:], 3 * np.diff(d)
+    if bc == "clamped":
+        diagonal[0], high[0], r[0] = 2 * h[0], h[0], 3 * d[0]
+        diagonal[-1], low[-1], r[-1] = 2 * h[-1], h[-1], -3 * d[-1]
+    elif bc != "natural":  # c0 = ((h0 + h1) c1 - h0 c2) / h1, and the same from the other end
+        diagonal[1], high[1], low[1] = diagonal[1] + h[0] * (h[0] + h[1]) / h[1], h[1] - h[0] ** 2 / h[1], 0.0
+        diagonal[-2], low[-2], high[-2] = diagonal[-2] + h[-1] * (h[-1] + h[-2]) / h[-2], h[-2] - h[-1] ** 2 / h[-2], 0.0
+    c = _tridiagonal(low, diagonal, high, r)
+    if bc not in ("natural", "clamped"):
+        c[0] = ((h[0] + h[1]) * c[1] - h[0] * c[2]) / h[1]
+        c[-1] = ((h[-1] + h[-2]) * c[-2] - h[-1] * c[-3]) / h[-2]
     return np.stack([ky[:-1], d - h * (2 * c[:-1] + c[1:]) / 3, c[:-1], np.diff(c) / (3 * h)], 1)
 
 

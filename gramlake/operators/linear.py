@@ -286,6 +286,16 @@ def absorb_ols(df: DataFrame, design: Design, by: list[str], cluster: list[str]
     return fit
 
 
+def iv_absorb(df: DataFrame, design: Design, by: list[str]) -> Fit:
+    """Two-stage least squares with one absorbed effect: from the within-group sums of instruments, regressors and outcome alone."""
+    plan, g, groups = absorb_gram(df, design, by)
+    pi, _ = solve_scaled(g.zz, g.zx)
+    a = pi.T @ g.zx
+    beta, bread = solve_scaled((a + a.T) / 2, pi.T @ g.zy[:, 0])
+    stats = statistics(g, beta, plan.names, extra_df=groups)
+    return Fit(plan.names, beta, bread * stats["sigma2"], stats["df_resid"], stats | {"groups": groups}, bread, plan)
+
+
 def demean(df: DataFrame, design: Design, by: list[str], keep: list[str] = ()) -> DataFrame:
     """Rows with y and X less their (weighted) group means: y0, x0.., w, ``by``, ``keep``. A shuffle on ``by``.
 

@@ -164,3 +164,90 @@ def test_special_functions():
     assert float(special.trigamma(1.0)) == pytest.approx(math.pi**2 / 6, abs=1e-9)
     assert special.norm_ppf(0.975) == pytest.approx(1.959963985, abs=1e-8)
     assert special.t_ppf(0.975, 5) == pytest.approx(2.570581836, abs=1e-6)
+
+
+def test_sums_far_from_zero(spark):
+    """Means that are large against the deviations: as good as numpy on centred columns."""
+    rng = np.random.default_rng(3)
+    x, z = 1e7 + rng.normal(size=500), -3e6 + rng.normal(size=500)
+    y = 5e8 + 0.3 * (x - 1e7) - 0.2 * (z + 3e6) + rng.normal(size=500)
+    df = spark.createDataFrame([(float(a), float(b), float(c), i % 7) for i, (a, b, c) in enumerate(zip(x, z, y, strict=True))], "x double, z double, y double, g int").repartition(5)
+    u = np.stack([np.ones(500), x - x.mean(), z - z.mean()], 1)
+    beta, *_ = np.linalg.lstsq(u, y - y.mean(), rcond=None)
+    ssr = ((y - y.mean() - u @ beta) ** 2).sum()
+    fit = linear.ols(df, Design(["y"], [num("x"), num("z")]))
+    assert fit.params[1:] == pytest.approx(beta[1:], rel=1e-7) and fit.stats["ssr"] == pytest.approx(ssr, rel=1e-7)
+    many = linear.fit_many(df, ["g"], "y", ["x", "z"]).collect()
+    for r in many:
+        own = np.arange(500) % 7 == r.g
+        want, *_ = np.linalg.lstsq(np.stack([np.ones(own.sum()), x[own] - 1e7, z[own] + 3e6], 1), y[own] - 5e8, rcond=None)
+        assert r.coef[1:] == pytest.approx(want[1:], rel=1e-6)
+    within = linear.absorb_ols(df, Design(["y"], [num("x"), num("z")]), ["g"])
+    d = np.eye(7)[np.arange(500) % 7]
+    want, *_ = np.linalg.lstsq(np.concatenate([d, u[:, 1:]], 1), y - y.mean(), rcond=None)
+    assert within.params == pytest.approx(want[7:], rel=1e-7)
+
+
+def test_polynomial_of_high_degree(spark):
+    """Powers up to 5 of numbers far from 0, against an orthogonal basis."""
+    x = np.linspace(100, 120, 200)
+    y = ((x - 110) / 10) ** 5 + 2 * ((x - 110) / 10) ** 2
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip((x - 110) / 10 + 3, y, strict=True)], "x double, y double")
+    fit = linear.ols(df, Design(["y"], [poly("x", 5)]))
+    assert fit.stats["r2"] == pytest.approx(1.0, abs=1e-8) and fit.params[-1] == pytest.approx(1.0, rel=1e-4)
+
+
+def test_dependent_columns_get_nothing():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 6))
+    x[:, 3] = x[:, 0] + x[:, 1]
+    x[:, 5] = 0
+    a = x.T @ x
+    beta, inverse = linear.solve_scaled(a, a @ np.arange(6.0))
+    assert beta[3] == beta[5] == 0 and (inverse[3] == 0).all()
+    assert beta[[0, 1, 2, 4]] == pytest.approx([3, 4, 2, 4])
+    assert linear.independent(np.eye(300)).tolist() == list(range(300))
+
+
+def test_long_sums_come_in_pieces(spark):
+    from gramlake.operators import rows
+
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v")).repartition(7)
+    n = 2 * rows.PIECE + 5
+    got = rows.sum_rows(df, lambda c: np.concatenate([np.full(n - 1, c["v"].sum()), [len(c["v"])]]))
+    assert len(got) == n and (got[:-1] == 499500).all() and got[-1] == 1000
+    assert 0 < rows.sum_rows(df, lambda c: np.array([len(c["v"])]), first_block=True)[0] <= 1000
+    assert len(rows.sum_rows(df.limit(0), lambda c: np.zeros(3))) == 0
+
+
+@pytest.mark.parametrize("weights", [None, "w"])
+def test_levels_equal_dummies(spark, frame, weights):
+    """A constant and a slope for each level, and a common slope, against all dummies at once."""
+    rows = [r for r in frame.collect() if r.id < 300]
+    levels = sorted({r.g for r in rows})
+    d = np.array([[float(r.g == v) for v in levels] for r in rows])
+    x, z, y = (np.array([getattr(r, c) for r in rows]) for c in "xzy")
+    w = np.array([r.w for r in rows]) if weights else np.ones(300)
+    m = np.concatenate([d, d * x[:, None], z[:, None]], 1)
+    inverse = np.linalg.inv(m.T @ (m * w[:, None]))
+    beta = inverse @ (m.T @ (w * y))
+    e = y - m @ beta
+    se = np.sqrt(np.diag(inverse) * (w * e * e).sum() / (300 - m.shape[1]))
+    fit, table = linear.level_ols(frame.where("id < 300"), "y", ["g"], ["x"], ["z"], weights)
+    k = len(levels)
+    assert fit.params == pytest.approx(beta[-1:]) and fit.bse == pytest.approx(se[-1:])
+    got = {r.g: r for r in table.collect()}
+    for i, v in enumerate(levels):
+        assert got[v].coef == pytest.approx([beta[i], beta[k + i]]) and got[v].std_err == pytest.approx([se[i], se[k + i]])
+    empty = linear.level_ols(frame.limit(0), "y", ["g"], x=["z"])
+    assert empty[1].count() == 0
+
+
+def test_absorbed_clusters_on_several_columns(frame):
+    """The same errors as of demeaned rows clustered by inclusion and exclusion, whatever the order of the columns."""
+    clean = frame.where("g is not null and id < 300").withColumn("c1", F.col("id") % 11).withColumn("c2", F.col("id") % 13)
+    design = Design(["y"], [num("x"), num("z")])
+    one, two, back = (linear.absorb_ols(clean, design, ["g"], cluster=c) for c in (["c1"], ["c1", "c2"], ["c2", "c1"]))
+    assert two.bse == pytest.approx(back.bse) and not np.allclose(one.bse, two.bse) and two.stats["n_clusters"] == 11
+    with pytest.raises(ValueError):
+        linear.absorb_ols(clean.withColumn("k", F.lit(1)), design, ["g"], cluster=["k"])

@@ -269,3 +269,83 @@ def test_relative_effects(frame):
     assert abs(q.params[1] - 2) < 0.5
     nonlinear = moments_fits.gmm_iv_nonlinear(frame, "y", ["x"], lambda c, t: t[0] + t[1] * c["x"], ["x"], np.zeros(2))
     assert np.allclose(nonlinear.params, linear.ols(frame, Design(["y"], [num("x")])).params, atol=1e-5)
+
+
+def test_trends_and_periods(spark):
+    rng = np.random.default_rng(4)
+    y = np.cumsum(rng.normal(size=60)) + 5
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(y)], "k string, t int, v double")
+    for trend, powers in series.TRENDS.items():
+        r = series.autoreg(df, "v", ["k"], ["t"], [1], trend).first()
+        m = np.stack([*([np.ones(59)] if 0 in powers else []), y[:-1], *((np.arange(1, 60) + 1.0) ** p for p in powers if p)], 1)
+        want, *_ = np.linalg.lstsq(m, y[1:], rcond=None)
+        assert r.coef == pytest.approx(want)
+    assert len(series.autoreg(df, "v", ["k"], ["t"], [1], "c", (2, 4)).first().coef) == 5
+    assert len(series.autoreg(df, "v", ["k"], ["t"], [1], "n", (4,)).first().coef) == 5
+    with pytest.raises(ValueError):
+        series.autoreg(df, "v", ["k"], ["t"], [1], "cttt")
+
+
+def test_decomposition_follows_its_steps(spark):
+    rng = np.random.default_rng(6)
+    t = np.arange(72)
+    y = 4 * np.sin(2 * np.pi * t / 12) + 0.15 * t + rng.normal(size=72)
+    y[30] += 40
+    df = spark.createDataFrame([("a", int(i), float(v)) for i, v in zip(t, y, strict=True)], "k string, t int, v double")
+    got = series.stl(df, "v", ["k"], ["t"], [12]).orderBy("t").toPandas()
+    season, w = np.zeros(72), None
+    for outer in range(2):
+        for _ in range(3):
+            trend = series.loess(y - season, 19, w)
+            season = np.array([np.median((y - trend)[i % 12 :: 12]) for i in t])
+        r = np.abs(y - trend - season)
+        w = np.clip(1 - (r / (6 * np.median(r))) ** 2, 0, 1) ** 2 if not outer else w
+    assert got["trend"].to_numpy() == pytest.approx(trend) and got["seasonal_12"].to_numpy() == pytest.approx(season)
+    assert abs(got["resid"][30]) > 30
+
+
+def test_robust_covariances(frame, data):
+    """All four kinds from their formulas."""
+    x = np.stack([np.ones(400), data["x"]], 1)
+    for kind in ("H1", "H2", "H3", "SANDWICH"):
+        fit = irls.rlm(frame, Design(["y"], [num("x")]), "HuberT", kind)
+        s = fit.stats["scale"]
+        z = (data["y"] - x @ fit.params) / s
+        psi, d = np.clip(z, -1.345, 1.345), (np.abs(z) <= 1.345).astype(float)
+        m, inv, w = d.mean(), np.linalg.inv(x.T @ x), np.linalg.inv(x.T @ (x * d[:, None]))
+        k = 1 + 2 / 400 * d.var() / m**2
+        p2 = (psi**2).sum() * s * s / 398
+        want = {"H1": k**2 * p2 / m**2 * inv, "H2": k * p2 / m * w, "H3": p2 / k * w @ x.T @ x @ w, "SANDWICH": w @ (x * (psi * psi)[:, None]).T @ x @ w * s * s * 400 / 398}[kind]
+        assert fit.cov == pytest.approx(want, rel=1e-6)
+
+
+def test_effects_and_bootstrap_of_a_logit(frame, data):
+    fit = irls.glm(frame, Design(["b"], [num("x")]), "binomial")
+    for at, x in (("mean", data["x"].mean()), ("median", np.median(data["x"]))):
+        mu = 1 / (1 + np.exp(-fit.params @ [1, x]))
+        v = mu * (1 - mu)
+        effect, se = irls.marginal_effects(fit, frame, ["x"], at=at)["x"]
+        j = np.array([v * (1 - 2 * mu) * fit.params[1], v * (1 - 2 * mu) * x * fit.params[1] + v])
+        assert effect == pytest.approx(v * fit.params[1]) and se == pytest.approx(math.sqrt(j @ fit.cov @ j), rel=1e-5)
+    robust = irls.glm(frame, Design(["b"], [num("x")]), "binomial", cov_type="HC1")
+    for kind in ("bayesian", "classical"):
+        boot, draws = irls.glm_bootstrap(fit, frame, ["id"], 800, kind)
+        assert boot.bse == pytest.approx(robust.bse, rel=0.15) and draws.shape == (800, 2)
+        assert (irls.glm_bootstrap(fit, frame.repartition(5), ["id"], 800, kind)[1] == pytest.approx(draws))
+
+
+def test_splines_solve_in_one_sweep():
+    rng = np.random.default_rng(8)
+    x = np.sort(rng.uniform(0, 10, 40))
+    y = rng.normal(size=40)
+    h = np.diff(x)
+    for bc in ("natural", "clamped", "not-a-knot"):
+        a, b, c, d = joins.spline_coefficients(x, y, bc).T
+        end = a + h * (b + h * (c + h * d)), b + h * (2 * c + 3 * h * d), 2 * c + 6 * h * d
+        assert end[0] == pytest.approx(y[1:]) and end[1][:-1] == pytest.approx(b[1:]) and end[2][:-1] == pytest.approx(2 * c[1:], abs=1e-8)
+        if bc == "natural":
+            assert abs(c[0]) < 1e-12 and abs(end[2][-1]) < 1e-8
+        elif bc == "clamped":
+            assert abs(b[0]) < 1e-10 and abs(end[1][-1]) < 1e-8
+        else:
+            assert d[0] == pytest.approx(d[1]) and d[-1] == pytest.approx(d[-2])
