@@ -107,10 +107,10 @@ def _candidates(text: Column) -> Column:
     """Tokens with digits: start and end of the core, the core, and the lexical patterns around it.
 
     One pattern is the two words before the token, in lower case, and the marks that open it; another the marks that
-    close it and the word after it. Whatever lies between tokens with digits is a piece; a context doesn't reach past one.
+    close it and the two words after it. Whatever lies between tokens with digits is a piece; a context doesn't reach past one.
     """
     before = lambda x: F.lower(F.when(F.length(x) <= NEAR, F.regexp_extract(x, r"((?:\S+\s+)?\S+)\s*$", 1)).otherwise(F.coalesce(F.nullif(F.regexp_extract(F.substring(x, -NEAR, NEAR), r"\s(\S+\s+\S+)\s*$", 1), F.lit("")), F.regexp_extract(x, r"(?<!\S)((?:\S++\s++)?\S++)\s*+$", 1))))
-    after = lambda x: F.lower(F.regexp_extract(x, r"^\s*+(\S++)", 1))
+    after = lambda x: F.lower(F.regexp_extract(x, r"^\s*+(\S++(?:\s++\S++)?)", 1))
     gaps = F.transform(F.split(text, _TOKEN, -1), lambda x: F.struct(F.length(x).alias("n"), before(x).alias("before"), after(x).alias("after")))
     found = F.regexp_extract_all(text, F.lit(_TOKEN), 0)
     following = lambda g: F.slice(F.concat(F.transform(g, lambda x: x["after"]), F.array(F.lit(""))), F.lit(2), F.size(g))
@@ -126,7 +126,7 @@ def _candidates(text: Column) -> Column:
         closing = F.substring(rest, F.length(inner) + 1, F.length(rest))
         start = x["s"] + F.length(opening)
         left, right = F.concat_ws(" ", x["before"], opening), F.concat_ws(" ", closing, x["after"])
-        return F.struct(start.alias("s"), (start + F.length(inner)).alias("e"), inner.alias("v"), F.filter(F.array(F.when(left != "", F.concat(F.lit("<"), left)), F.when(right != "", F.concat(F.lit(">"), right))), lambda p: p.isNotNull()).alias("ps"))
+        return F.struct(start.alias("s"), (start + F.length(inner)).alias("e"), inner.alias("v"), F.filter(F.array(F.when(F.trim(left) != "", F.concat(F.lit("<"), left)), F.when(F.trim(right) != "", F.concat(F.lit(">"), right))), lambda p: p.isNotNull()).alias("ps"))
 
     shaped = F.filter(F.transform(tokens, core), lambda x: (F.length(x["v"]) >= CORE_CHARS) & (F.length(F.regexp_replace(x["v"], "[^0-9]", "")) >= CORE_DIGITS))
     return F.when(text.rlike("[0-9]"), shaped).otherwise(F.array().cast("array<struct<s:int,e:int,v:string,ps:array<string>>>"))
