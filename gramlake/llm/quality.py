@@ -7,47 +7,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlake.llm.common import U64, crc_mod, map_texts, mix, read, span_hashes, spans
+from gramlake.llm.bpe import code_points
+from gramlake.llm.common import U64, crc_mod, grams, map_texts, mix, read, span_hashes, spans
 
 #: Hashed buckets of each kind of feature, vector length, passes and first learning rate.
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 6, 1.5
-#: Character n-grams, in bytes.
+#: Character n-grams, in code points.
 SIZES = (3, 4)
-#: The bucket of repeated words, after all others; and the number of buckets.
-REPEAT = (1 + len(SIZES)) * BUCKETS
-ALL = REPEAT + 1
-#: Most labelled rows that training looks at, a sample by hash of the id.
-TRAIN_ROWS = 5000
+#: The bucket of doubled words, after those of words, of pairs of neighbouring words, and of each n-gram size; and the number of buckets.
+DOUBLED = (2 + len(SIZES)) * BUCKETS
+ALL = DOUBLED + 1
+#: Most labelled rows that training looks at, a sample by hash of the id, and most bytes of their texts: they meet on the driver.
+TRAIN_ROWS, TRAIN_BYTES = 5000, 32_000_000
 
 IS_VISIBLE = np.ones(256, bool)
 IS_VISIBLE[[32, 9, 10, 11, 12, 13]] = False
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every feature and the text it is of: white-space words, pairs of equal neighbours, and byte n-grams inside one text.
+    """Bucket of every feature and the text it is of: white-space words, pairs of neighbouring words, and n-grams of code points, inside one text.
 
-    Of word pairs only those of a word and itself are features, all in one bucket: what repeats differs
-    from text to text, that it repeats doesn't.
+    A pair of a word and itself counts twice: as that pair, and as a doubled word, whichever it is: what repeats differs from text
+    to text, that it repeats doesn't.
     """
     starts, ends, first = spans(data, offsets, IS_VISIBLE)
     words = span_hashes(data, starts, ends)
-    codes = [(words & U64(BUCKETS - 1)).astype(np.int32)]
-    rows = [np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(first))]
-    twice = np.flatnonzero((words[1:] == words[:-1]) & (rows[0][1:] == rows[0][:-1]))
-    codes.append(np.full(len(twice), REPEAT, np.int32))
-    rows.append(rows[0][twice])
-    row_of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    wide = data.astype(U64)
-    for j, size in enumerate(SIZES, 1):
-        n = len(data) - size + 1
+    texts = np.arange(len(offsets) - 1, dtype=np.int32)
+    row = np.repeat(texts, np.diff(first))
+    together = row[1:] == row[:-1]
+    codes = [(words & U64(BUCKETS - 1)).astype(np.int32), (grams(words, 2)[together] & U64(BUCKETS - 1)).astype(np.int32) + np.int32(BUCKETS)]
+    rows = [row, row[1:][together]]
+    twice = np.flatnonzero(together & (words[1:] == words[:-1]))
+    codes.append(np.full(len(twice), DOUBLED, np.int32))
+    rows.append(row[1:][twice])
+    points, at = (data, None) if not len(data) or data.max() < 128 else code_points(data)
+    row = np.repeat(texts, np.diff(offsets if at is None else np.searchsorted(at, offsets)))
+    wide = points.astype(U64)
+    for j, size in enumerate(SIZES, 2):
+        n = len(points) - size + 1
         if n <= 0:
             continue
         code = np.full(n, size, U64)
         for i in range(size):
-            code = (code << U64(8)) | wide[i : i + n]
-        keep = row_of[:n] == row_of[size - 1 :]
+            code = (code << U64(21)) ^ (code >> U64(43)) ^ wide[i : i + n]
+        keep = row[:n] == row[size - 1 :]
         codes.append((mix(code[keep]) & U64(BUCKETS - 1)).astype(np.int32) + np.int32(j * BUCKETS))
-        rows.append(row_of[:n][keep])
+        rows.append(row[:n][keep])
     return np.concatenate(codes), np.concatenate(rows)
 
 
@@ -94,18 +99,28 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     return Model(vectors @ (weights[1] - weights[0]), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most about ``rows`` labelled texts, a repeatable sample by hash of the key.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model:
+    """Fit on at most ``rows`` labelled texts of at most ``size`` bytes in all, a repeatable sample by hash of the key.
 
-    Labels other than 0 and 1 and null texts are left out; with none left, or one class, every score is
-    that class's share (one half without labels).
+    Labels are taken in the order of their keys' hashes; a text that would pass ``size`` is left out. Labels other than 0
+    and 1 and null texts are left out; with none left, or one class, every score is that class's share (one half without labels).
     """
+    place = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1 << 62))
     known = labels.where(labels[label].isin(0, 1) & labels[key].isNotNull()).select(labels[key].alias("k"), labels[label].cast("int").alias("y"))
     n = known.count()
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    sample = docs.select(docs[key].alias("k"), docs[text].alias("t")).where("t is not null").join(F.broadcast(known), "k")  # bounded by rows
-    table = sample.toPandas().sort_values(["k", "t", "y"])
+    if n > rows:  # a little more than is wanted, by hash; the rest goes in order
+        known = known.where(place < int((1 << 62) * min(1.0, (rows + 5 * rows**0.5) / n)))
+    known = known.withColumn("h", place).orderBy("h", "k", "y").limit(rows)
+    texts = docs.select(docs[key].alias("k"), docs[text].alias("t")).where("t is not null")
+    sample = texts.join(F.broadcast(known), "k")  # bounded by rows
+    sizes = sample.select("h", "k", "y", F.octet_length("t").alias("z"), F.xxhash64("t").alias("x")).toPandas().sort_values(["h", "k", "y", "x"]).head(rows)
+    total, last = 0, None
+    for h, z in zip(sizes["h"], sizes["z"], strict=True):
+        total += z if z <= size else 0
+        if total > size:
+            break
+        last = h
+    table = sample.where((F.col("h") <= int(last)) & (F.octet_length("t") <= size)).toPandas().sort_values(["h", "k", "t", "y"]) if last is not None else sizes.head(0)
     y = table["y"].to_numpy(int)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(ALL), 0.0 if not len(y) else 30.0 * (2 * y[0] - 1))
@@ -115,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 def score(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry``, score (0 to 1) and predicted (1 from 0.5 on) of every whole text.
 
-    One pass, no shuffle; the model (3 x BUCKETS numbers) is broadcast. Null and empty texts get the
+    One pass, no shuffle; the model (4 x BUCKETS numbers) is broadcast. Null and empty texts get the
     score of the bias alone; repeated rows each get theirs; other columns are not read; an empty table
     gives no rows.
     """
