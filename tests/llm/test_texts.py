@@ -81,6 +81,46 @@ def test_sum_of_squares_rule():
     assert p.level.sum() == 1 and p.level[9] == 1 and len(p.rows) == 2
 
 
+def test_packing_places_as_the_rule_says():
+    """Every placement has the least sum of squared counts of partly filled windows among all that are possible."""
+    rng = random.Random(21)
+    p = packing.SumOfSquares(12, 0)
+    for i in range(300):
+        level = p.level.copy()
+        size = rng.randint(1, 11)
+        squares = lambda lv: int((lv[1:12] ** 2).sum())
+        sums = {}
+        for h in [0, *np.flatnonzero(level[1:12]) + 1]:
+            if h + size <= 12:
+                new = level.copy()
+                new[h] -= h > 0
+                new[h + size] += h + size < 12
+                sums[h] = squares(new)
+        p._place((i, 0, np.zeros(size, "<u4"), size))
+        assert squares(p.level) == min(sums.values())
+    placed = sum(r[2] for r in p.rows) + sum(len(x[2]) for windows in p.open.values() for w in windows for x in w)
+    assert p.n_open == p.level.sum() == sum(map(len, p.open.values())) and placed > 0
+    p.close()
+    assert not p.n_open and sum(r[2] for r in p.rows) == placed
+
+
+def test_packing_with_few_open_windows(spark, monkeypatch):
+    """Closing all windows early changes placements and loses nothing."""
+    monkeypatch.setattr(packing, "OPEN_WINDOWS", 3)
+    p = packing.SumOfSquares(2048, 0)
+    rng = random.Random(22)
+    sizes = [rng.randint(1, 5000) for _ in range(200)]
+    for i, n in enumerate(sizes):
+        p.add(i, np.full(n, i, "<u4"))
+    p.close()
+    got = {}
+    for key, start, length, *_ in p.rows:
+        got.setdefault(key, []).append((start, length))
+    for i, n in enumerate(sizes):
+        parts = sorted(got[i])
+        assert [a for a, _ in parts] == [sum(b for _, b in parts[:j]) for j in range(len(parts))] and sum(b for _, b in parts) == n
+
+
 WINDOW_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -384,6 +424,53 @@ def test_pii_contexts_find_unseen_identifiers(spark):
     assert all(len(got[i]) == 1 for i in range(6))
 
 
+def test_pii_contexts_of_any_length(spark):
+    """Long tokens, long words before them, and words after them alone."""
+    digest = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    word = "w" * 300
+    rows = [(i, f"{word} key: {digest(i)} and more") for i in range(5)] + [(20, f"{word} key: {'A1-' * 200}7 x")]
+    rows += [(30 + i, f"x{i} {digest(30 + i)} expires tomorrow") for i in range(9)] + [(60, "something else entirely QQ-5512-77 expires tomorrow")]
+    got = {r.doc_id: [x.m for x in r.added] for r in pii.find_pii(table(spark, rows)).collect()}
+    assert got[20] == ["A1-" * 200 + "7"] and got[60] == ["QQ-5512-77"]
+
+
+def brute_scores(edges):
+    """Patterns' and instances' scores until nothing changes, from sets."""
+    patterns, seeds = {}, {}
+    for p, v, seed in edges:
+        patterns.setdefault(p, set()).add(v)
+        seeds[v] = max(seeds.get(v, 0), seed)
+    score, before = dict.fromkeys(patterns, 0.0), None
+    others = lambda v, p: 1.0 if seeds[v] else 1 - np.prod([1 - 0.999 * score[q] for q in patterns if q != p and v in patterns[q]])
+    for _ in range(pii.MOST_ROUNDS):
+        new = {}
+        for p, vs in patterns.items():
+            own = [others(v, p) for v in vs]
+            new[p] = np.mean(own) if sum(x >= pii.INSTANCE_SCORE for x in own) >= pii.SUPPORT else 0.0
+        before, score = score, new
+        if before != dict.fromkeys(patterns, 0.0) and max(abs(score[p] - before[p]) for p in patterns) <= pii.SETTLED:
+            break
+    return {(p, v): (score[p], others(v, None)) for p, vs in patterns.items() for v in vs}
+
+
+def test_pii_scores_equal_brute_force(spark):
+    rng = random.Random(13)
+    seeds = {f"v{i}": int(rng.random() < 0.4) for i in range(60)}
+    edges = sorted({(f"p{rng.randint(0, 14)}", f"v{rng.randint(0, 59)}") for _ in range(260)})
+    edges += [("own", f"u{i}") for i in range(9)] + [("chain", f"v{i}") for i in range(4)]  # a pattern without any seed stays 0
+    edges = [(p, v, seeds.get(v, 0)) for p, v in sorted(set(edges))]
+    got = {(r.p, r.v): (r.ps, r.vs) for r in pii._score(spark.createDataFrame(edges + edges[:40], "p string, v string, seed int")).collect()}
+    want = brute_scores(edges)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert got["own", "u0"] == (0.0, 0.0)
+
+
+def test_pii_of_many_matches_is_not_quadratic(spark):
+    text = "a@b.cc 1.2.3.4 " * 40_000
+    found = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(found.base) == 80_000 and found.base[-1].e == len(text) - 1
+
+
 def test_language(spark, empty):
     words = {"en": "the and of with this that there house", "de": "der und nicht schön über haus straße ist", "ru": "это не только потому что было дом", "el": "και δεν είναι στο σπίτι με την"}
     rng = random.Random(7)
@@ -477,6 +564,37 @@ def test_quality(spark, empty):
     assert quality.score(empty, quality.train(empty, labels)).count() == 0
 
 
+def test_quality_features_equal_brute_force():
+    texts = ["a b b  c\nétat", "", "x", "日本語 日本語", "ab"]
+    raw = [t.encode() for t in texts]
+    code, row = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    for i, t in enumerate(texts):
+        words = t.split()
+        want = [words, list(zip(words, words[1:], strict=False)), *([t[j : j + n] for j in range(len(t) - n + 1)] for n in quality.SIZES)]
+        own = code[row == i]
+        for kind, items in enumerate(want):
+            buckets = own[own // quality.BUCKETS == kind]
+            assert len(buckets) == len(items) and len(set(buckets.tolist())) == len(set(items))  # equal ones meet, and nothing else
+        assert (own == quality.DOUBLED).sum() == sum(a == b for a, b in want[1])
+
+
+def test_quality_sample_is_bounded(spark):
+    rows = [(i, ("good stone river " if i % 2 else "buy$ now$ cheap$ ") * 30) for i in range(600)] + [(9999, "x " * 200_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)] + [(9999, 1)], "doc_id long, quality int")
+    sizes = []
+    fit = quality.fit
+    try:
+        quality.fit = lambda texts, y: sizes.append((len(texts), sum(map(len, texts)))) or fit(texts, y)
+        models = [quality.train(table(spark, rows), labels, rows=100), quality.train(table(spark, rows), labels, size=20_000), quality.train(table(spark, rows), labels, size=20_000)]
+    finally:
+        quality.fit = fit
+    assert sizes[0][0] == 100 and 15_000 < sizes[1][1] <= 20_000 and sizes[1] == sizes[2]
+    assert (models[1].value == models[2].value).all()
+    for model in models:
+        got = quality.score(table(spark, rows[:-1]), model).collect()
+        assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>"</script></head><body class="has-sidebar">
 <nav><ul><li><a href=/>Home</a></ul></nav><div id="cookie-notice">We use cookies, a lot of cookies on this site.</div>
 <main><h1>Head &amp; line</h1><p>First   paragraph with <b>bold</b> text,\n enough of it to count.<p>Second&nbsp;one follows <a href="x">a link</a> and goes on for a while.
