@@ -112,17 +112,34 @@ def solve_scaled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Solution and inverse of a symmetric system, columns scaled first; a dependent column gets 0, the later one of a set."""
     d = np.sqrt(np.clip(np.diag(a), 0, None))
     d[d == 0] = 1.0
-    s = a / np.outer(d, d)
-    keep = independent(s)
-    inverse = np.zeros_like(s)
-    if len(keep):
-        inverse[np.ix_(keep, keep)] = np.linalg.inv(s[np.ix_(keep, keep)])
-    inverse = inverse / np.outer(d, d)
+    inverse = _sweep(a / np.outer(d, d)) / np.outer(d, d)
     return inverse @ b, inverse
 
 
+#: Columns up to which systems are solved without BLAS, whose threads cost small systems more than they bring.
+SMALL = 512
+
+
+def _sweep(s: np.ndarray, least: float = 1e-10) -> np.ndarray:
+    """Inverse of a scaled symmetric matrix; 0 for columns whose part that earlier ones don't explain is ``least`` or less."""
+    if len(s) > SMALL:
+        keep = independent(s, least)
+        out = np.zeros_like(s)
+        out[np.ix_(keep, keep)] = np.linalg.inv(s[np.ix_(keep, keep)])
+        return out
+    out, keep = s.copy(), np.zeros(len(s), bool)
+    for j in range(len(s)):
+        pivot = out[j, j]
+        if pivot > least:
+            row, column = out[j] / pivot, out[:, j].copy()
+            out -= column[:, None] * row
+            out[j], out[:, j], out[j, j] = row, -column / pivot, 1 / pivot
+            keep[j] = True
+    return np.where(keep[:, None] & keep, out, 0.0)
+
+
 def independent(s: np.ndarray, least: float = 1e-10) -> np.ndarray:
-    """Columns of a scaled symmetric matrix whose part that earlier ones don't explain is over ``least``: a Cholesky factor that skips the others."""
+    """The columns that ``_sweep`` keeps: a Cholesky factor that skips the others."""
     try:
         if (np.diag(np.linalg.cholesky(s)) ** 2 > least).all():
             return np.arange(len(s))
@@ -133,7 +150,7 @@ def independent(s: np.ndarray, least: float = 1e-10) -> np.ndarray:
         if rest[j, j] > least:
             keep.append(j)
             column = rest[j:, j] / math.sqrt(rest[j, j])
-            rest[j:, j:] -= np.outer(column, column)
+            rest[j:, j:] -= column[:, None] * column
     return np.array(keep, int)
 
 

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 #: Categorical levels up to which level indices come from a broadcast table; beyond it from a shuffled join.
 BROADCAST_LEVELS = 200_000
+#: Levels of one categorical term up to which its dummies are columns of a kernel's block; with more, ``linear.level_ols`` and
+#: absorbed effects take them, which hold no level on the driver.
+MOST_LEVELS = 5_000
 
 
 @dataclass
@@ -186,7 +189,9 @@ class Design:
             levels, full = [], self.intercept
             for t in done:
                 if t.by:
-                    rows = df.select(*[F.col(c).cast("string").alias(c) for c in t.by]).distinct().collect()  # k levels
+                    rows = df.select(*[F.col(c).cast("string").alias(c) for c in t.by]).distinct().limit(MOST_LEVELS + 1).collect()
+                    if len(rows) > MOST_LEVELS:
+                        raise ValueError(f"more than {MOST_LEVELS} levels of {', '.join(t.by)}: use level_ols or absorb_ols")
                     found = sorted(tuple(r) for r in rows)
                     levels.append(found)
                 else:

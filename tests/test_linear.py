@@ -197,7 +197,7 @@ def test_polynomial_of_high_degree(spark):
     assert fit.stats["r2"] == pytest.approx(1.0, abs=1e-8) and fit.params[-1] == pytest.approx(1.0, rel=1e-4)
 
 
-def test_dependent_columns_get_nothing():
+def test_dependent_columns_get_nothing(monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(50, 6))
     x[:, 3] = x[:, 0] + x[:, 1]
@@ -206,7 +206,10 @@ def test_dependent_columns_get_nothing():
     beta, inverse = linear.solve_scaled(a, a @ np.arange(6.0))
     assert beta[3] == beta[5] == 0 and (inverse[3] == 0).all()
     assert beta[[0, 1, 2, 4]] == pytest.approx([3, 4, 2, 4])
-    assert linear.independent(np.eye(300)).tolist() == list(range(300))
+    assert linear.independent(np.eye(300)).tolist() == list(range(300)) and linear.independent(a).tolist() == [0, 1, 2, 4]
+    small = linear._sweep(a / np.abs(a).max())
+    monkeypatch.setattr(linear, "SMALL", 3)
+    assert linear._sweep(a / np.abs(a).max()) == pytest.approx(small, rel=1e-8)
 
 
 def test_long_sums_come_in_pieces(spark):
