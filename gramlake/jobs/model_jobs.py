@@ -463,9 +463,27 @@ def forecast(spark, d):
     return series.forecast(_daily(spark, d), "value", ["event_type"], ["hour"], 2, 5).select("event_type", F.col("step").cast("int").alias("step"), F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
-@query("t12_stl_events")
+def _stl_sql(period: int, window: int, rounds: int) -> str:
+    """Two outer passes of ``rounds`` inner ones, each a LOWESS trend and medians of phases."""
+    out, half = [_HOURLY, "s0 as materialized (select event_type, hour, t, value as y, 0.0::double as season, 0.0::double as trend, 1.0::double as w, count(*) over (partition by event_type) as n from c)"], window // 2
+    for k in range(1, 2 * rounds + 1):
+        out.append(f"a{k} as (select *, least(n, {window}) as q, least(greatest(t - {half}, 0), n - least(n, {window})) as a from s{k - 1})")
+        out.append(f"p{k} as (select i.event_type, i.t, j.t - i.t as u, j.y - j.season as z, pow(1 - pow(abs(j.t - i.t) / (greatest(i.t - i.a, i.a + i.q - i.t) * 1.005), 3), 3) * j.w + 1e-6 as w from a{k} i join s{k - 1} j on i.event_type = j.event_type and j.t >= i.a and j.t < i.a + i.q)")
+        out.append(f"m{k} as (select event_type, t, sum(w) as m0, sum(w * u) as m1, sum(w * u * u) as m2, sum(w * z) as t0, sum(w * u * z) as t1 from p{k} group by 1, 2)")
+        out.append(f"l{k} as materialized (select s.* exclude (trend), case when m0 * m2 - m1 * m1 > 1e-12 * m0 * m2 then (m2 * t0 - m1 * t1) / (m0 * m2 - m1 * m1) else t0 / m0 end as trend from s{k - 1} s join m{k} using (event_type, t))")
+        out.append(f"v{k} as materialized (select * exclude (season), median(y - trend) over (partition by event_type, t % {period}) as season from l{k})")
+        if k == rounds:
+            out.append(f"r{k} as materialized (select event_type, 6 * median(abs(y - trend - season)) as m from v{k} group by 1)")
+            out.append(f"s{k} as materialized (select v.* exclude (w), case when m > 6e-6 then pow(greatest(1 - pow((y - trend - season) / m, 2), 0), 2) else 1.0 end as w from v{k} v join r{k} using (event_type))")
+        else:
+            out.append(f"s{k} as (select * from v{k})")
+    return "with " + ", ".join(out) + f" select event_type, hour, round(y, 6) as value, round(trend, 6) as trend, round(season, 6) as seasonal_{period}, round(y - trend - season, 6) as resid from s{2 * rounds}"
+
+
+@query("t12_stl_events", _stl_sql(24, 51, 2))
 def stl(spark, d):
-    return series.stl(_daily(spark, d), "value", ["event_type"], ["hour"], [24], twindow=51, rounds=2)
+    out = series.stl(_daily(spark, d), "value", ["event_type"], ["hour"], [24], twindow=51, rounds=2)
+    return out.select("event_type", "hour", *[F.round(c, 6).alias(c) for c in ("value", "trend", "seasonal_24", "resid")])
 
 
 _PRAIS = """s{i} as materialized (select sum(o * o) as aa, sum(o * x_) as ab, sum(x_ * x_) as bb, sum(o * y_) as ay, sum(x_ * y_) as by_ from (select case when t >= 1 then 1 - rho else sqrt(1 - rho * rho) end as o, case when t >= 1 then x - rho * xl else sqrt(1 - rho * rho) * x end as x_, case when t >= 1 then y - rho * yl else sqrt(1 - rho * rho) * y end as y_ from d cross join k{j})), b{i} as materialized (select (bb * ay - ab * by_) / (aa * bb - ab * ab) as b0, (aa * by_ - ab * ay) / (aa * bb - ab * ab) as b1 from s{i}), k{i} as materialized (select sum((y - b0 - b1 * x) * (yl - b0 - b1 * xl)) / sum((yl - b0 - b1 * xl) ** 2) as rho from d cross join b{i} where t >= 1)"""
@@ -550,9 +568,9 @@ def kde(spark, d):
     return smooth.kde(table(spark, d, "orders"), "o_totalprice", gridsize=256)
 
 
-@query("e2_kernel_smooth_lineitem")
+@query("e2_kernel_smooth_lineitem", "with m as (select 1.069 * stddev_pop(l_quantity) * pow(count(*), -0.2) as h, min(l_quantity) as lo, (max(l_quantity) - min(l_quantity)) / 64 as width from lineitem), b as (select least(floor((l_quantity - lo) / width), 63) as j, count(*) as n, sum(l_extendedprice) as s, any_value(h) as h, any_value(lo) as lo, any_value(width) as width from lineitem cross join m group by 1), g as (select i, any_value(lo) + (i + 0.5) * any_value(width) as x, sum(n * exp(-0.5 * pow((i - j) * width / h, 2))) as p, sum(s * exp(-0.5 * pow((i - j) * width / h, 2))) as q from range(64) r(i) cross join b group by 1) select round(x, 6) as x, round(q / p, 3) as y from g")
 def smooth_binned(spark, d):
-    return smooth.kernel_smooth(_line(spark, d), "l_quantity", "l_extendedprice", 64)
+    return smooth.kernel_smooth(_line(spark, d), "l_quantity", "l_extendedprice", 64).select(F.round("x", 6).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query("e3_kernel_smooth_direct_lineitem", "with g as (select i * 10.0 as x from range(1, 5) t(i)), s as (select g.x, sum(exp(-0.5 * ((l_quantity - g.x) / 2.0) ** 2) * l_extendedprice) / sum(exp(-0.5 * ((l_quantity - g.x) / 2.0) ** 2)) as y from lineitem cross join g group by 1) select cast(x as double) as x, round(y, 3) as y from s")

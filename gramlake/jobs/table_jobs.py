@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gramlake.functions import columns as C
+from gramlake.jobs.solve_sql import least_squares, t_quantile, two_sided_p
 from gramlake.operators import aggregates, joins, linear, tables, windows
 from gramlake.operators.terms import Design, num
 from gramlake.sources.tables import read_table, table
@@ -122,10 +123,13 @@ def spline(spark, d):
     return joins.spline_eval(_halves(spark, d), "v", _knots(spark, d), "x", "y").select("p_partkey", "y")
 
 
-@query("o1_coef_table_lineitem")
+_THREE = "with " + least_squares("lineitem", "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]) + ", t as (select t.term, t.b as coef, t.s as std_err, t.b / t.s as t, n - 4.0 as free from fit, lateral (values ('Intercept', b0, s0), ('l_quantity', b1, s1), ('l_discount', b2, s2), ('l_tax', b3, s3)) as t(term, b, s))"
+
+
+@query("o1_coef_table_lineitem", _THREE + f", p as (select *, {two_sided_p('t', 'free')} as p, {t_quantile('free')} as q from t) select term, round(coef, 3) as coef, round(std_err, 3) as std_err, round(t, 3) as t, round(p, 3) as p, round(coef - q * std_err, 3) as ci_lo, round(coef + q * std_err, 3) as ci_hi from p order by p.p, term limit 3")
 def coefs(spark, d):
     fit = linear.ols(table(spark, d, "lineitem"), Design(["l_extendedprice"], [num("l_quantity"), num("l_discount"), num("l_tax")]))
-    return tables.coef_table(fit.table(spark), "p", top=3)
+    return tables.coef_table(fit.table(spark), "p", top=3).select("term", *[F.round(c, 3).alias(c) for c in ("coef", "std_err", "t", "p", "ci_lo", "ci_hi")])
 
 
 @query("o2_benjamini_hochberg_lineitem", "with p as (select l_suppkey, (l_suppkey * 7919 % 1009) / 100900.0 as p from (select distinct l_suppkey from lineitem)), r as (select *, row_number() over (order by p) as bh_rank, count(*) over () as m from p) select l_suppkey, bh_rank, p <= 0.05 * bh_rank / m as bh_flag, bh_rank <= (select coalesce(max(bh_rank), 0) from r where p <= 0.05 * bh_rank / m) as bh_reject from r")
