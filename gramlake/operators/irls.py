@@ -265,7 +265,7 @@ def glm(df: DataFrame, design: Design, family: str, link: str | None = None, cov
     finally:
         rows.unpersist()
     cov = bread @ meat @ bread * (n / (n - k)) if cov_type == "HC1" else bread @ xx @ bread * scale if penalty_matrix is not None else bread * scale
-    stats = {"n": n, "iterations": iteration + 1, "deviance": s[0], "pearson_chi2": s[1], "scale": scale, "llf": t[0], "llf_null": t[1], "null_deviance": t[2], "pseudo_r2": 1 - t[0] / t[1] if t[1] else math.nan, "df_resid": df_resid, "effective_df": float(np.trace(bread @ xx))}
+    stats = {"n": n, "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "deviance": s[0], "pearson_chi2": s[1], "scale": scale, "llf": t[0], "llf_null": t[1], "null_deviance": t[2], "pseudo_r2": 1 - t[0] / t[1] if t[1] else math.nan, "df_resid": df_resid, "effective_df": float(np.trace(bread @ xx))}
     fit = Fit(plan.names, beta, cov, df_resid, stats, bread, plan, use_t=not fixed)
     fit.link = g
     fit.family = family
@@ -498,7 +498,7 @@ def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1
     winv = solve_scaled(xdx, np.zeros(k))[1]
     psi2 = t[1] * s * s / dfr
     cov = {"H1": kk**2 * psi2 / m**2 * inv, "H2": kk * psi2 / m * winv, "H3": psi2 / kk * winv @ xx @ winv, "SANDWICH": winv @ meat @ winv * s * s * n / dfr}[cov_type]
-    return Fit(plan.names, beta, cov, dfr, {"n": n, "scale": s, "cost": t[0], "iterations": iteration + 1, "df_resid": dfr}, inv, plan, use_t=False)
+    return Fit(plan.names, beta, cov, dfr, {"n": n, "scale": s, "cost": t[0], "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": dfr}, inv, plan, use_t=False)
 
 
 def row_weights(fit: Fit, df: DataFrame, norm: str, name: str = "weight") -> DataFrame:
@@ -599,7 +599,7 @@ def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_ty
             else:
                 w = solve_scaled(xfx, np.zeros(p))[1]
                 cov = w @ xdx @ w
-            fits[t] = Fit(plan.names, b, cov, n - p, {"n": n, "cost": float(s[2]), "smoothed_cost": float(best_cost), "share_below": s[1] / n, "sparsity_density": f0, "iterations": iteration + 1, "df_resid": n - p}, inv, plan)
+            fits[t] = Fit(plan.names, b, cov, n - p, {"n": n, "cost": float(s[2]), "smoothed_cost": float(best_cost), "share_below": s[1] / n, "sparsity_density": f0, "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": n - p}, inv, plan)
         return fits
     finally:
         rows.unpersist()

@@ -222,7 +222,7 @@ def fit_mle(df: DataFrame, design: Design, model: str, inflation: Design | None
     inv = np.linalg.pinv(-hess)
     cov = inv @ outer @ inv if cov_type == "SANDWICH" else inv
     names = plan.names + ([f"inflate_{x}" for x in plan2.names] if plan2 else []) + ([shape] if shape else [])
-    fit = Fit(names, theta, cov, n - k, {"n": n, "llf": float(value), "aic": -2 * value + 2 * k, "bic": -2 * value + k * math.log(n), "iterations": iteration + 1, "df_resid": n - k}, inv, plan, use_t=False)
+    fit = Fit(names, theta, cov, n - k, {"n": n, "llf": float(value), "aic": -2 * value + 2 * k, "bic": -2 * value + k * math.log(n), "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": n - k}, inv, plan, use_t=False)
     fit.model, fit.plan2, fit.sizes = model, plan2, (k1, k2)
     return fit
 

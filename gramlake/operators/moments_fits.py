@@ -219,7 +219,7 @@ def nlls(df: DataFrame, y: str, columns: list[str], func: Callable, start: np.nd
     cov = inv * cost / (n - p) if cov_type == "NONROBUST" else inv @ meat @ inv * n / (n - p)
     if bounds and ((theta <= low) | (theta >= high)).any():
         cov = np.full((p, p), np.nan)
-    return Fit(names, theta, cov, n - p, {"n": n, "cost": float(cost), "iterations": iteration + 1, "df_resid": n - p}, inv)
+    return Fit(names, theta, cov, n - p, {"n": n, "cost": float(cost), "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": n - p}, inv)
 
 
 def pls(df: DataFrame, y: list[str], x: list[str], components: int) -> dict:
