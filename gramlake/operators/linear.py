@@ -17,6 +17,10 @@ from gramlake.operators.rows import numpy_columns, sum_rows, sum_rows_by
 from gramlake.operators.terms import Design, Plan, of
 
 
+#: Rows that tell where columns lie.
+LOCATION_ROWS = 256
+
+
 @dataclass
 class Gram:
     """Sums over rows of (z, x, y)(z, x, y)' with weights, and counts."""
@@ -77,12 +81,14 @@ def _whole(plan: Plan, c: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def location(rows: DataFrame, plan: Plan) -> np.ndarray:
-    """Where the columns [X Y Z] lie: their means over each task's first block, 0 for the intercept.
+    """Where the columns [X Y Z] lie: their means over the first LOCATION_ROWS rows, 0 for the intercept.
 
     Any constants near the means do: sums of products of what is less them don't cancel.
     """
-    s = sum_rows(rows, lambda c: np.concatenate([[len(c["w"])], _whole(plan, c).sum(axis=0)]), first_block=True)
-    mean = s[1:] / s[0] if len(s) else np.zeros(len(plan.names) + len(plan.design.y) + len(plan.z_names))
+    some = rows.limit(LOCATION_ROWS).toArrow().combine_chunks()
+    if not some.num_rows:
+        return np.zeros(len(plan.names) + len(plan.design.y) + len(plan.z_names))
+    mean = _whole(plan, numpy_columns(some.to_batches()[0])).mean(axis=0)
     if plan.design.intercept:
         mean[0] = 0.0
         if plan.design.instruments:
