@@ -529,8 +529,8 @@ def level_ols(df: DataFrame, y: str, by: list[str], slopes: list[str] = (), x: l
     for c in [*columns[1:], "_w"]:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     rows = rows.where(ok)
-    first = sum_rows(rows.select(*columns), lambda c: np.concatenate([[len(c["_one"])], *([c[n].sum()] for n in columns)]), first_block=True)
-    shift = first[1:] / first[0] if len(first) else np.zeros(len(columns))
+    some = rows.select(*columns).limit(LOCATION_ROWS).toArrow()
+    shift = np.array([np.mean(some[c].to_numpy()) if some.num_rows else 0.0 for c in columns])
     shift[0] = 0.0  # constants of levels take up any shift
     of_shifted = [F.col(c) - F.lit(float(v)) if v else F.col(c) for c, v in zip(columns, shift, strict=True)]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]

@@ -29,12 +29,12 @@ def numpy_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return out
 
 
-def sum_rows(df: DataFrame, kernel: Callable[[dict[str, np.ndarray]], np.ndarray], first_block: bool = False) -> np.ndarray:
+def sum_rows(df: DataFrame, kernel: Callable[[dict[str, np.ndarray]], np.ndarray]) -> np.ndarray:
     """Sum of ``kernel(columns)`` over blocks of rows; the kernel returns a flat array of fixed length.
 
     One pass: a task adds up its blocks and emits the sum as binary pieces of PIECE numbers, which are added up
     piece by piece as they stream by (one shuffle of a few rows a task). What reaches the driver is one array, a row
-    for each piece. With ``first_block``, each task reads its first block alone. An empty table gives an empty array.
+    for each piece. An empty table gives an empty array.
     """
 
     def partial(batches):
@@ -43,10 +43,6 @@ def sum_rows(df: DataFrame, kernel: Callable[[dict[str, np.ndarray]], np.ndarray
             for batch in (whole.slice(i, BLOCK_ROWS) for i in range(0, whole.num_rows, BLOCK_ROWS)):
                 value = np.asarray(kernel(numpy_columns(batch)), float).ravel()
                 total = value if total is None else total + value
-                if first_block:
-                    break
-            if first_block and total is not None:
-                break
         if total is not None:
             yield _pieces(enumerate(total[i : i + PIECE] for i in range(0, len(total), PIECE)))
 
