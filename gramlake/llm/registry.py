@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gramlake.llm import decontamination, embeddings, language, linededup, neardup, packing, pii, quality, tokens, webtext
+from gramlake.llm import conversations, decontamination, embeddings, language, linededup, neardup, packing, pii, quality, resampling, rules, tokens, webtext
 
-_MODULES = (embeddings, webtext, tokens, pii, neardup, quality, linededup, decontamination, language, packing)
+_MODULES = (embeddings, webtext, tokens, pii, neardup, quality, linededup, decontamination, language, packing, rules, resampling, conversations)
 
 
 def queries() -> dict:
