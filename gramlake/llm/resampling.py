@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlake.llm.common import LOWER, cut, map_texts, read, spans, text_slices
+from gramlake.llm.common import LOWER, U64, cut, map_texts, mix, read, spans, text_slices
 from gramlake.operators.windows import global_index
 
 #: Hashed buckets of words.
@@ -82,7 +82,7 @@ def bucket_counts(df: DataFrame, text: str = "text") -> np.ndarray:
 def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Each bucket's gain: 1000 times the smoothed log ratio of its target and source shares, rounded down."""
     s, t = source.astype(float), target.astype(float)
-    return np.floor(1000 * np.log((t + 1) * (t.sum() + BUCKETS) / ((s + 1) * (s.sum() + BUCKETS)))).astype(np.int64)
+    return np.floor(1000 * np.log((t + 1) * (s.sum() + BUCKETS) / ((s + 1) * (t.sum() + BUCKETS)))).astype(np.int64)
 
 
 def weigh(df: DataFrame, gain: np.ndarray, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -108,39 +108,76 @@ def noise(key: str, seed: int = SEED) -> Column:
     return F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296)))
 
 
-def kth(rows: DataFrame, keys: list[str], k: int, pivots: int = PIVOTS) -> tuple | None:
-    """The k-th least key (from 1) of ``keys``, longs without nulls, or None beyond the rows. Equal keys count each.
+def _compare(columns: list[np.ndarray], key: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows lie above a key, and which are equal to it."""
+    above, equal = np.zeros(len(columns[0]), bool), np.ones(len(columns[0]), bool)
+    for c, x in zip(columns, key, strict=True):
+        above |= equal & (c > x)
+        equal &= c == x
+    return above, equal
 
-    Random pivots split the rows left into those below, at and above each; one aggregate a round counts every part and draws
-    its next pivots (the rows of the least hash), so that a round is one scan that shuffles a few rows a task. The rows left
-    shrink to about 1 / (pivots + 1) a round, and no row is sorted or sent.
-    """
-    key = F.struct(*keys)
 
-    def literal(p: tuple) -> Column:
-        return F.struct(*[F.lit(int(x)).cast("long").alias(c) for c, x in zip(keys, p, strict=True)])
+def _round(rows: DataFrame, low: tuple | None, high: tuple | None, drawn: list[tuple], share: float, seed: int) -> list:
+    """For rows between low and high: how many lie below, at and above each of the pivots, and some random keys of each part."""
+    width = len(rows.columns)
+    limit = U64(min(int(share * 2**64), 2**64 - 1))
+
+    def each(batches):
+        total, sample = np.zeros(2 * len(drawn) + 1, np.int64), []
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            keep = np.ones(batch.num_rows, bool)
+            if low is not None:
+                keep &= _compare(columns, low)[0]
+            if high is not None:
+                above, equal = _compare(columns, high)
+                keep &= ~above & ~equal
+            columns = [c[keep] for c in columns]
+            part = np.zeros(len(columns[0]), np.int64)
+            for p in drawn:
+                above, equal = _compare(columns, p)
+                part += 2 * above + equal
+            total += np.bincount(part, minlength=len(total))
+            h = np.full(len(part), seed, U64)
+            for c in columns:
+                h = mix(h ^ c.view(U64))
+            at = np.flatnonzero(h <= limit)
+            sample.append(np.stack([part[at], *[c[at] for c in columns]]))
+        sample = np.concatenate(sample, axis=1) if sample else np.zeros((width + 1, 0), np.int64)
+        at = np.flatnonzero(total)
+        none = [None] * len(at)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, sample[0]])), pa.array([*total[at].tolist(), *[0] * sample.shape[1]], pa.int64())] + [pa.array([*none, *c.tolist()], pa.int64()) for c in sample[1:]], ["part", "n", *[f"c{i}" for i in range(width)]])
+
+    key = F.struct(*[f"c{i}" for i in range(width)])
+    out = rows.mapInArrow(each, ", ".join(["part long", "n long", *[f"c{i} long" for i in range(width)]]))
+    return out.groupBy("part").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("c0").isNotNull(), key)).alias("keys")).orderBy("part").collect()
+
 
+def kth(rows: DataFrame, keys: list[str], k: int, n: int, pivots: int = PIVOTS) -> tuple | None:
+    """The k-th least (from 1) of the ``n`` keys ``keys``, longs without nulls; None beyond the rows. Equal keys count each.
+
+    Random pivots split the rows that are left into those below, at and above each. A round is one scan, in which a task counts every part
+    and offers random keys of it as the next pivots, about 64 of a part in all; the driver gets these few. The rows
+    left shrink to about 1 / (pivots + 1) a round, and none is sorted or moved.
+    """
+    if k > n or k < 1:
+        return None
+    rows = rows.select(*keys)
     low = high = None
     drawn: list[tuple] = []
+    share = 64 / n
     for turn in range(10_000):
-        left = rows
-        if low is not None:
-            left = left.where(key > literal(low))
-        if high is not None:
-            left = left.where(key < literal(high))
-        part = F.lit(0)
-        for p in drawn:
-            part = part + F.when(key > literal(p), 2).when(key == literal(p), 1).otherwise(0)
-        found = left.groupBy(part.alias("part")).agg(F.count("*").alias("n"), *[F.min_by(key, F.xxhash64(*keys, F.lit(turn * pivots + i))).alias(f"p{i}") for i in range(pivots)]).orderBy("part").collect()
-        for r in found:  # at most 2 * pivots + 1
+        for r in _round(rows, low, high, drawn, share, turn):  # at most 2 * pivots + 1
             if k > r.n:
                 k -= r.n
                 continue
+            place = r.part // 2
             if r.part % 2:
-                return drawn[r.part // 2]
-            low = drawn[r.part // 2 - 1] if r.part else low
-            high = drawn[r.part // 2] if r.part // 2 < len(drawn) else high
-            drawn = sorted({tuple(r[f"p{i}"]) for i in range(pivots)})
+                return drawn[place]
+            low, high = drawn[place - 1] if place else low, drawn[place] if place < len(drawn) else high
+            found = sorted({tuple(x) for x in r["keys"]})
+            drawn = [found[(2 * i + 1) * len(found) // (2 * pivots)] for i in range(pivots)] if len(found) > pivots else found
+            share = 64 * (pivots + 1) / r.n if drawn else share * 64
             break
         else:
             return None
@@ -161,8 +198,8 @@ def resample(docs: DataFrame, target: DataFrame, text: str = "text", key: str =
     scored = cut(scored.select("*", (-F.col("score")).alias("k0"), F.col("doc_id").isNull().cast("long").alias("k1"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("k2"), F.monotonically_increasing_id().alias("k3")))
     keys = ["k0", "k1", "k2", "n_features", "weight", "k3"]
     may = F.col("n_features") >= least
-    k = percent * scored.where(may).count() // 100
-    last = kth(scored.where(may), keys, k) if k else None
+    n = scored.where(may).count()
+    last = kth(scored.where(may), keys, percent * n // 100, n)
     out = ["doc_id", "n_features", "weight", "score"]
     if last is None:
         return scored.select(*out, F.lit(None).cast("long").alias("rank"))
@@ -188,7 +225,7 @@ RESAMPLE_SQL = f"""
 with d as (select doc_id, {_WORDS} as ws from documents), w as (select doc_id, unnest(ws) as w from d), b as (select unnest({_WORDS}) as w from benchmark),
 h as (select w, {crc_sql("w")} % {BUCKETS} as k from (select w from w union select w from b)),
 s as (select k, count(*) as s from w join h using (w) group by k), t as (select k, count(*) as t from b join h using (w) group by k),
-g as (select k, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from b) + {BUCKETS})::double / ((coalesce(s, 0) + 1)::double * ((select count(*) from w) + {BUCKETS})::double))) as bigint) as gain from s full join t using (k)),
+g as (select k, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from w) + {BUCKETS})::double / ((coalesce(s, 0) + 1)::double * ((select count(*) from b) + {BUCKETS})::double))) as bigint) as gain from s full join t using (k)),
 x as (select doc_id, cast(sum(gain) as bigint) as weight from w join h using (w) join g using (k) group by doc_id),
 y as (select doc_id, cast(len(ws) as bigint) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('{SEED}:' || doc_id), 1, 8) as bigint) + 0.5) / 4294967296))) as bigint) as score from d left join x using (doc_id)),
 z as (select doc_id, row_number() over (order by score desc, doc_id) as r from y where n_features >= {LEAST_WORDS})

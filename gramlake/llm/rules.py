@@ -27,8 +27,8 @@ LOW, HIGH, REACH = 0.25, 0.75, 3.0
 RULES = {
     "word_length": ("word_chars / n_words", 0.75, True),
     "symbols": ("n_symbols / n_words", 0.02, False),
-    "dup_lines": ("n_dup_lines / n_lines", 0.05, False),
-    "repeat_words": ("n_repeat_words / n_words", 0.05, False),
+    "dup_lines": ("n_dup_lines / n_lines", 0.15, False),
+    "repeat_words": ("n_repeat_words / n_words", 0.10, False),
 }
 #: Bytes of group names and number of groups up to which thresholds are broadcast; beyond, they are joined in SALTS parts.
 BROADCAST_BYTES, BROADCAST_GROUPS, SALTS = 16_000_000, 100_000, 32
