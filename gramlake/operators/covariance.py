@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlake.operators.rows import sum_rows, sum_rows_by
+from gramlake.operators import sparse
+from gramlake.operators.rows import add_rows, sum_rows, sum_rows_by
 
 
 def of(rows: DataFrame, fit, kind: str, cluster: list[str] | None = None, y: int = 0) -> np.ndarray:
@@ -20,6 +21,20 @@ def of(rows: DataFrame, fit, kind: str, cluster: list[str] | None = None, y: int
         return bread * s["sigma2"]
     if kind in ("HC0", "HC1", "HC2", "HC3"):
 
+        lay = sparse.layout(plan, outcomes=False)
+        if lay.dummies >= sparse.WIDE:
+
+            def wide(c, total):
+                e = c["w"] * (c[f"y{y}"] - sparse.dot(plan, lay, c, beta))
+                if kind in ("HC2", "HC3"):
+                    h = np.clip(1 - c["w"] * sparse.quadratic(plan, lay, c, bread), 1e-12, None)
+                    e = e / (np.sqrt(h) if kind == "HC2" else h)
+                sparse.add_products(plan, lay, c, e * e, total)
+
+            if all((a, b) in lay.pairs for b in range(len(lay.terms)) for a in range(b)):
+                m = sparse.unpack(lay, add_rows(rows, lay.length, wide))
+                return bread @ m @ bread * (s["n"] / (s["n"] - k) if kind == "HC1" else 1.0)
+
         def meat(c):
             x = plan.matrix(c)
             e = c["w"] * (plan.outcomes(c)[:, y] - x @ beta)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlake.functions import special
-from gramlake.operators.linear import Fit, solve_scaled
+from gramlake.operators.linear import Fit, centred, solve_scaled
 from gramlake.operators.rows import numpy_columns, sum_rows
 from gramlake.operators.terms import Design, Plan
 
@@ -191,9 +191,11 @@ def glm(df: DataFrame, design: Design, family: str, link: str | None = None, cov
     """
     canonical, support, fixed = FAMILIES[family]
     g = Link(link or canonical, power, alpha)
-    plan = design.fit(df)
+    plan = whole = design.fit(df)
     rows = plan.rows(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        moved = centred(rows, plan)
+        plan = moved.plan
         bad = rows.where(~support(F.col("y0"))).limit(1).count()
         if bad:
             raise ValueError(f"outcomes outside the support of {family}")
@@ -266,7 +268,7 @@ def glm(df: DataFrame, design: Design, family: str, link: str | None = None, cov
         rows.unpersist()
     cov = bread @ meat @ bread * (n / (n - k)) if cov_type == "HC1" else bread @ xx @ bread * scale if penalty_matrix is not None else bread * scale
     stats = {"n": n, "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "deviance": s[0], "pearson_chi2": s[1], "scale": scale, "llf": t[0], "llf_null": t[1], "null_deviance": t[2], "pseudo_r2": 1 - t[0] / t[1] if t[1] else math.nan, "df_resid": df_resid, "effective_df": float(np.trace(bread @ xx))}
-    fit = Fit(plan.names, beta, cov, df_resid, stats, bread, plan, use_t=not fixed)
+    fit = moved.fit(Fit(plan.names, beta, cov, df_resid, stats, bread, plan, use_t=not fixed), whole)
     fit.link = g
     fit.family = family
     return fit
@@ -282,7 +284,9 @@ def marginal_effects(fit: Fit, df: DataFrame, columns: list[str], kind: str = "d
 
     ``at``: averaged over all rows (one pass), or at the mean or the median of every design column.
     """
-    plan, beta, g = fit.plan, fit.params, fit.link
+    inner = getattr(fit, "inner", fit)  # about the columns' means, where the delta method's sums don't cancel
+    plan, beta, g = inner.plan, inner.params, fit.link
+    moved = plan.shift.get("x", np.zeros(len(beta)))
     k, where = len(beta), [plan.names.index(c) for c in columns]
     rows = plan.rows(df)
 
@@ -297,7 +301,7 @@ def marginal_effects(fit: Fit, df: DataFrame, columns: list[str], kind: str = "d
         fp = (slope(eta + h) - slope(eta - h)) / (2 * h)
         out = [[w.sum()]]
         for j in where:
-            scale = x[:, j] if kind.endswith("ex") else 1.0
+            scale = x[:, j] + moved[j] if kind.endswith("ex") else 1.0
             out.append([(w * f * scale * beta[j]).sum()])
             jac = (x * (w * fp * scale * beta[j])[:, None]).sum(0)
             jac[j] += (w * f * scale).sum()
@@ -322,7 +326,7 @@ def marginal_effects(fit: Fit, df: DataFrame, columns: list[str], kind: str = "d
     for i, c in enumerate(columns):
         a = 1 + i * (k + 1)
         jac = s[a + 1 : a + 1 + k] / s[0]
-        result[c] = (float(s[a] / s[0]), float(math.sqrt(jac @ fit.cov @ jac)))
+        result[c] = (float(s[a] / s[0]), float(math.sqrt(jac @ inner.cov @ jac)))
     return result
 
 
@@ -333,7 +337,10 @@ def glm_bootstrap(fit: Fit, df: DataFrame, key: list[str], replicates: int, kind
     """
     from gramlake.operators.resample import replicate_sums
 
-    plan, beta, g, k = fit.plan, fit.params, fit.link, len(fit.params)
+    inner = getattr(fit, "inner", fit)
+    plan, beta, g, k = inner.plan, inner.params, fit.link, len(fit.params)
+    back = np.eye(k)
+    back[0, 1:] = -plan.shift["x"][1:] if "x" in plan.shift else 0.0
 
     def kernel(c):
         x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
@@ -344,8 +351,8 @@ def glm_bootstrap(fit: Fit, df: DataFrame, key: list[str], replicates: int, kind
         return np.concatenate([score, (x[:, :, None] * (x * (c["w"] / (d * d * v))[:, None])[:, None, :]).reshape(len(x), -1)], 1)
 
     _, s = replicate_sums(plan.rows(df, keep=[F.xxhash64(*key).alias("_h")]), [], kernel, replicates, kind, seed)
-    draws = np.stack([beta + solve_scaled(r[k:].reshape(k, k), r[:k])[0] for r in s])
-    out = Fit(fit.names, beta, np.atleast_2d(np.cov(draws.T)), fit.df_resid, fit.stats, fit.bread, plan, use_t=fit.use_t)
+    draws = np.stack([back @ (beta + solve_scaled(r[k:].reshape(k, k), r[:k])[0]) for r in s])
+    out = Fit(fit.names, fit.params, np.atleast_2d(np.cov(draws.T)), fit.df_resid, fit.stats, fit.bread, fit.plan, use_t=fit.use_t)
     out.link, out.family = g, fit.family
     return out, draws
 
@@ -454,10 +461,12 @@ def _median_abs(rows: DataFrame, plan: Plan, beta: np.ndarray, n: float, near: f
 
 def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1", scale: float | None = None, max_iter: int = 50, tol: float = 1e-6) -> Fit:
     """M-estimation by IRLS with the MAD scale of each step, from counting passes over a cached projection."""
-    plan = design.fit(df)
+    plan = whole = design.fit(df)
     rows = plan.rows(df).persist(StorageLevel.MEMORY_AND_DISK)
     k, beta, s, median, spread = len(plan.names), None, scale, 0.0, 0.5
     try:
+        moved = centred(rows, plan)
+        plan = moved.plan
         for iteration in range(max_iter):
 
             def step(c, beta=beta, s=s):
@@ -498,7 +507,7 @@ def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1
     winv = solve_scaled(xdx, np.zeros(k))[1]
     psi2 = t[1] * s * s / dfr
     cov = {"H1": kk**2 * psi2 / m**2 * inv, "H2": kk * psi2 / m * winv, "H3": psi2 / kk * winv @ xx @ winv, "SANDWICH": winv @ meat @ winv * s * s * n / dfr}[cov_type]
-    return Fit(plan.names, beta, cov, dfr, {"n": n, "scale": s, "cost": t[0], "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": dfr}, inv, plan, use_t=False)
+    return moved.fit(Fit(plan.names, beta, cov, dfr, {"n": n, "scale": s, "cost": t[0], "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": dfr}, inv, plan, use_t=False), whole)
 
 
 def row_weights(fit: Fit, df: DataFrame, norm: str, name: str = "weight") -> DataFrame:
@@ -523,20 +532,23 @@ def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_ty
     Steps start from the fit of a sample of about START_ROWS rows on the driver; all that is returned is of all rows. The residuals' weights are those of a Huber-like surrogate with |z| cut at 1e-10, relative to the outcome's deviation.
     """
     steps = np.array([0.05, 0.25, 0.5, 1, 1.5, 3, 5, 10, 20])
-    plan = design.fit(df)
+    plan = whole = design.fit(df)
     rows = plan.rows(df).persist(StorageLevel.MEMORY_AND_DISK)
     p, q = len(plan.names), len(taus)
     tau = np.array(taus)
     check = lambda r, t: r * (t - (r < 0))
     try:
+        moved = centred(rows, plan)
+        plan = moved.plan
 
         def start(c):
-            x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
+            x, y = plan.matrix(c), plan.outcomes(c)[:, 0] - moved.y[0]
             return np.concatenate([[len(x), y.sum(), (y * y).sum()], (x.T @ (x * c["w"][:, None])).ravel(), x.T @ (y * c["w"])])
 
         s = sum_rows(rows, start)
         n, sd = s[0], math.sqrt(max(s[2] / s[0] - (s[1] / s[0]) ** 2, 1e-300))
         beta = np.tile(solve_scaled(s[3 : 3 + p * p].reshape(p, p), s[3 + p * p :])[0], (q, 1))
+        beta[:, :1] += moved.y[0]
 
         def descend(total, beta):
             """Steps until no quantile moves; ``total`` sums a kernel over the rows."""
@@ -599,7 +611,7 @@ def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_ty
             else:
                 w = solve_scaled(xfx, np.zeros(p))[1]
                 cov = w @ xdx @ w
-            fits[t] = Fit(plan.names, b, cov, n - p, {"n": n, "cost": float(s[2]), "smoothed_cost": float(best_cost), "share_below": s[1] / n, "sparsity_density": f0, "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": n - p}, inv, plan)
+            fits[t] = moved.fit(Fit(plan.names, b, cov, n - p, {"n": n, "cost": float(s[2]), "smoothed_cost": float(best_cost), "share_below": s[1] / n, "sparsity_density": f0, "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": n - p}, inv, plan), whole)
         return fits
     finally:
         rows.unpersist()

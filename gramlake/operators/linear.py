@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramlake.functions.special import chi2_sf, f_sf, norm_ppf, t_ppf, t_sf
+from gramlake.operators import sparse
 from gramlake.operators.rows import numpy_columns, sum_rows, sum_rows_by
 from gramlake.operators.terms import Design, Plan, of
 
@@ -58,9 +59,15 @@ class Gram:
 
 
 def gram(rows: DataFrame, plan: Plan, shift: np.ndarray | None = None) -> Gram:
-    """One pass over the prepared rows, whose columns [X Y Z] are less ``shift`` if given. An empty table gives zeros."""
+    """One pass over the prepared rows, whose columns [X Y Z] are less ``shift`` if given. An empty table gives zeros.
+
+    From sparse.WIDE dummies on, these stay level indices.
+    """
     with_z = bool(plan.design.instruments)
     k, q = len(plan.names), len(plan.design.y)
+    lay = sparse.layout(plan)
+    if lay.dummies >= sparse.WIDE:
+        return Gram(*(lambda s, m: (*s, m))(*sparse.products(rows, plan, lay, shift)), k, q)
     width = k + q + (len(plan.z_names) if with_z else 0)
     upper = np.triu_indices(width)
 
@@ -81,37 +88,102 @@ def _whole(plan: Plan, c: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def location(rows: DataFrame, plan: Plan) -> np.ndarray:
-    """Where the columns [X Y Z] lie: their means over the first LOCATION_ROWS rows, 0 for the intercept.
+    """Where the columns [X Y Z] lie: their means over the first LOCATION_ROWS rows, 0 for the intercept and for dummies.
 
     Any constants near the means do: sums of products of what is less them don't cancel.
     """
+    width = len(plan.names) + len(plan.design.y) + len(plan.z_names)
     some = rows.limit(LOCATION_ROWS).toArrow().combine_chunks()
     if not some.num_rows:
-        return np.zeros(len(plan.names) + len(plan.design.y) + len(plan.z_names))
+        return np.zeros(width)
     mean = _whole(plan, numpy_columns(some.to_batches()[0])).mean(axis=0)
-    if plan.design.intercept:
-        mean[0] = 0.0
-        if plan.design.instruments:
-            mean[len(plan.names) + len(plan.design.y)] = 0.0
-    return mean
-
-
-def solve_centred(rows: DataFrame, plan: Plan) -> list[tuple[np.ndarray, np.ndarray, dict]]:
-    """Coefficients, inverse and statistics for each outcome. With an intercept, sums are of columns less constants near their means."""
-    k = len(plan.names)
-    shift = location(rows, plan) if plan.design.intercept else np.zeros(k + len(plan.design.y) + len(plan.z_names))
-    g = gram(rows, plan, shift)
-    back = np.eye(k)  # from coefficients of shifted columns to those of the columns
-    if plan.design.intercept:
-        back[0, 1:] = -shift[1:k]
+    return np.where(_movable(plan), mean, 0.0)
+
+
+def _movable(plan: Plan) -> np.ndarray:
+    return np.concatenate([plan.numeric(), np.ones(len(plan.design.y), bool)] + ([plan.numeric("z")] if plan.design.instruments else []))
+
+
+#: Deviations that a column's mean may lie from its constant before the sums are taken again about the mean.
+FAR = 100.0
+
+
+@dataclass
+class Centred:
+    """A design whose numeric columns are less constants near their means, and the way back.
+
+    With an intercept that changes no slope and no fit, only the intercept's meaning; without one nothing is shifted. Fits work
+    on ``plan``, whose sums of products don't cancel however far from 0 the columns lie, and are turned back at their end.
+    """
+
+    plan: Plan
+    y: np.ndarray
+    back: np.ndarray
+
+    @staticmethod
+    def at(plan: Plan, shift: np.ndarray) -> "Centred":
+        k, q = len(plan.names), len(plan.design.y)
+        if not plan.design.intercept:
+            shift = np.zeros_like(shift)
+        back = np.eye(k)  # from coefficients of shifted columns to those of the columns
+        if plan.design.intercept:
+            back[0, 1:] = -shift[1:k]
+        return Centred(plan.shifted(shift[:k], shift[k + q :] if plan.design.instruments else None), shift[k : k + q], back)
+
+    def fit(self, inner: "Fit", plan: Plan) -> "Fit":
+        """The fit of the columns as they are; what it was inside stays as ``inner``."""
+        out = replace(inner, params=self.back @ inner.params, cov=self.back @ inner.cov @ self.back.T, bread=None if inner.bread is None else self.back @ inner.bread @ self.back.T, plan=plan)
+        out.inner = inner
+        return out
+
+
+def centred(rows: DataFrame, plan: Plan) -> Centred:
+    """The design about its columns' means: one built-in aggregate over the (cached) rows of an iterative fit."""
+    width = len(plan.names) + len(plan.design.y) + len(plan.z_names)
+    names = []
+    for part in ("x", "z") if plan.design.instruments else ("x",):
+        names += [F.lit(0.0)] if plan.design.intercept else []
+        for i, (t, found, drop) in enumerate(plan._parts(part)):
+            names += [F.avg(f"{part}{i}_{j}") for j in range(len(t.names))] if found is None else [F.lit(0.0)] * (len(t.names) * (len(found) - drop))
+        if part == "x":
+            names += [F.avg(f"y{j}") for j in range(len(plan.design.y))]
+    used = [i for i, m in enumerate(_movable(plan)) if m]
+    shift = np.zeros(width)
+    if plan.design.intercept and used:
+        shift[used] = [v or 0.0 for v in rows.agg(*[names[i].alias(f"m{i}") for i in used]).first()]
+    return Centred.at(plan, shift)
+
+
+def centred_gram(rows: DataFrame, plan: Plan) -> tuple[Centred, Gram]:
+    """Sums over rows of columns less constants near their means: one pass, and another where the first rows lie elsewhere."""
+    k, q = len(plan.names), len(plan.design.y)
+    if not plan.design.intercept:
+        return Centred.at(plan, np.zeros(k + q + len(plan.z_names))), gram(rows, plan)
+    shift = location(rows, plan)
+    for _ in range(3):
+        c = Centred.at(plan, shift)
+        g = gram(rows, c.plan, np.concatenate([np.zeros(k), c.y, np.zeros(len(plan.z_names))]))
+        if not g.sw:
+            break
+        mean = g.m[0] / g.sw
+        deviation = np.sqrt(np.maximum(np.diag(g.m) / g.sw - mean * mean, 0))
+        far = _movable(plan) & (np.abs(mean) > FAR * deviation) & (np.abs(mean) > 1e-9 * np.abs(shift))
+        if not far.any():
+            break
+        shift = shift + np.where(_movable(plan), mean, 0.0)
+    return c, g
+
+
+def solve_centred(rows: DataFrame, plan: Plan) -> tuple[Centred, list["Fit"]]:
+    """The way back, and for each outcome the fit of the shifted columns, with coefficients, inverse and statistics."""
+    c, g = centred_gram(rows, plan)
     out = []
     for j in range(len(plan.design.y)):
         beta, bread = solve_scaled(g.xx, g.xy[:, j])
         stats = statistics(g, beta, plan.names, j)
-        beta = back @ beta
-        beta[:1] += shift[k + j]
-        out.append((beta, back @ bread @ back.T, stats))
-    return out
+        beta[:1] += c.y[j]
+        out.append(Fit(plan.names, beta, bread * stats["sigma2"], stats["df_resid"], stats, bread, c.plan))
+    return c, out
 
 
 def solve_scaled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +245,11 @@ class Fit:
     plan: Plan | None = None
     use_t: bool = True
 
+    def __post_init__(self):
+        """Says which columns had nothing of their own and got 0."""
+        if self.bread is not None and len(self.bread) == len(self.names):
+            self.stats["dropped"] = [n for n, v in zip(self.names, np.diag(self.bread), strict=True) if v == 0]
+
     @property
     def bse(self) -> np.ndarray:
         return np.sqrt(np.clip(np.diag(self.cov), 0, None))
@@ -227,36 +304,39 @@ def ols(df: DataFrame, design: Design, cov_type: str = "OLS_SMALL", cluster: lis
 
     plan = design.fit(df)
     rows = plan.rows(df, keep=list(dict.fromkeys(cluster or [])))
-    beta, bread, stats = solve_centred(rows, plan)[y]
-    fit = Fit(plan.names, beta, bread * 0, stats["df_resid"], stats, bread, plan)
+    c, fits = solve_centred(rows, plan)
+    fit = fits[y]
     fit.cov = covariance.of(rows, fit, cov_type, cluster, y)
     if cov_type == "CLUSTER":
         fit.df_resid = fit.stats["n_clusters"] - 1
-    return fit
+    return c.fit(fit, plan)
 
 
 def multi_outcome(df: DataFrame, design: Design) -> list[Fit]:
     """One pass, one right side for each outcome."""
     plan = design.fit(df)
-    return [Fit(plan.names, beta, bread * stats["sigma2"], stats["df_resid"], stats, bread, plan) for beta, bread, stats in solve_centred(plan.rows(df), plan)]
+    c, fits = solve_centred(plan.rows(df), plan)
+    return [c.fit(f, plan) for f in fits]
 
 
 def ridge(df: DataFrame, design: Design, alpha: float, free: tuple[str, ...] = ("Intercept",), normalize: bool = False) -> Fit:
     """Least squares with alpha on the diagonal, but for the free terms; ``normalize`` scales it by n times the column's variance."""
     plan = design.fit(df)
-    g = gram(plan.rows(df), plan)
+    c, g = centred_gram(plan.rows(df), plan) if "Intercept" in free else (Centred.at(plan, np.zeros(len(plan.names) + len(plan.design.y) + len(plan.z_names))), gram(plan.rows(df), plan))
     i = plan.names.index("Intercept") if "Intercept" in plan.names else None
     var = np.diag(g.xx) / g.sw - ((g.xx[:, i] / g.sw) ** 2 if i is not None else 0)
     load = np.array([0.0 if n in free else alpha * (g.n * v if normalize else 1.0) for n, v in zip(plan.names, var, strict=True)])
     beta, inverse = solve_scaled(g.xx + np.diag(load), g.xy[:, 0])
     stats = statistics(g, beta, plan.names)
-    return Fit(plan.names, beta, inverse @ g.xx @ inverse * stats["sigma2"], stats["df_resid"], stats, inverse, plan)
+    beta[:1] += c.y[0]
+    return c.fit(Fit(plan.names, beta, inverse @ g.xx @ inverse * stats["sigma2"], stats["df_resid"], stats, inverse, c.plan), plan)
 
 
 def lm_fast(df: DataFrame, design: Design) -> np.ndarray:
     """Coefficients alone."""
     plan = design.fit(df)
-    return solve_centred(plan.rows(df), plan)[0][0]
+    c, fits = solve_centred(plan.rows(df), plan)
+    return c.back @ fits[0].params
 
 
 def absorb_gram(df: DataFrame, design: Design, by: list[str]) -> tuple[Plan, Gram, int]:
@@ -353,13 +433,15 @@ def absorbed_effects(df: DataFrame, design: Design, by: list[str], fit: Fit) ->
 
 def iv_2sls(df: DataFrame, design: Design, cov_type: str = "OLS_SMALL") -> Fit:
     """Two-stage least squares from Z'Z, Z'X, Z'y and X'X alone; X-hat is never made for the coefficients."""
-    plan = design.fit(df)
+    plan = whole = design.fit(df)
     rows = plan.rows(df)
-    g = gram(rows, plan)
+    moved, g = centred_gram(rows, plan)
+    plan = moved.plan
     pi, _ = solve_scaled(g.zz, g.zx)
     a = pi.T @ g.zx
     beta, bread = solve_scaled((a + a.T) / 2, pi.T @ g.zy[:, 0])
     stats = statistics(g, beta, plan.names)
+    beta[:1] += moved.y[0]
     k = len(beta)
     cov = bread * stats["ssr"] / (g.n - k if cov_type == "OLS_SMALL" else g.n)
     if cov_type.startswith("HC"):
@@ -382,17 +464,19 @@ def iv_2sls(df: DataFrame, design: Design, cov_type: str = "OLS_SMALL") -> Fit:
             p0, _ = solve_scaled(g.zz[np.ix_(included, included)], g.zx[included, j])
             ssr0 = g.xx[j, j] - p0 @ g.zx[included, j]
             first[name] = {"r2": r2, "f": ((ssr0 - ssr) / len(excluded)) / (ssr / (g.n - len(plan.z_names)))}
-    return Fit(plan.names, beta, cov, g.n - k, stats | {"first_stage": first}, bread, plan)
+    return moved.fit(Fit(plan.names, beta, cov, g.n - k, stats | {"first_stage": first}, bread, plan), whole)
 
 
 def fgls(df: DataFrame, design: Design, iterations: int = 1) -> Fit:
     """Feasible GLS: regress log squared residuals on X, weigh by exp(-fit / 2), and fit again. Two passes an iteration."""
-    plan = design.fit(df)
+    plan = whole = design.fit(df)
     rows = plan.rows(df)
-    g = gram(rows, plan)
+    moved, g = centred_gram(rows, plan)
+    plan = moved.plan
     beta, bread = solve_scaled(g.xx, g.xy[:, 0])
     k, gamma = len(beta), np.zeros(len(beta))
     stats = statistics(g, beta, plan.names)
+    beta[:1] += moved.y[0]
     for _ in range(iterations):
 
         def logs(c, beta=beta):
@@ -404,7 +488,7 @@ def fgls(df: DataFrame, design: Design, iterations: int = 1) -> Fit:
         gamma = gamma + solve_scaled(s[: k * k].reshape(k, k), s[k * k :])[0]
 
         def weighted(c, gamma=gamma):
-            x, y = plan.matrix(c), plan.outcomes(c)
+            x, y = plan.matrix(c), plan.outcomes(c)[:, :1] - moved.y[:1]
             w = c["w"] * np.exp(-0.5 * (x @ gamma))
             m = np.concatenate([x, y], 1)
             return np.concatenate([[len(x), w.sum(), np.log(w).sum()], (m.T @ (m * w[:, None])).ravel()])
@@ -413,7 +497,8 @@ def fgls(df: DataFrame, design: Design, iterations: int = 1) -> Fit:
         g = Gram(s[0], s[1], s[2], s[3:].reshape(k + 1, k + 1), k, 1)
         beta, bread = solve_scaled(g.xx, g.xy[:, 0])
         stats = statistics(g, beta, plan.names)
-    return Fit(plan.names, beta, bread * stats["sigma2"], stats["df_resid"], stats | {"gamma": gamma.tolist()}, bread, plan)
+        beta[:1] += moved.y[0]
+    return moved.fit(Fit(plan.names, beta, bread * stats["sigma2"], stats["df_resid"], stats | {"gamma": (moved.back @ gamma).tolist()}, bread, plan), whole)
 
 
 def sure(df: DataFrame, designs: dict[str, Design], cluster: str) -> Fit:
@@ -421,10 +506,14 @@ def sure(df: DataFrame, designs: dict[str, Design], cluster: str) -> Fit:
     plans = {n: d.fit(df) for n, d in designs.items()}
     betas, breads, names, sizes = [], [], [], []
     valid = df.where(F.col(cluster).isNotNull())
+    back = np.zeros((0, 0))
     for n, d in designs.items():
-        g = gram(plans[n].rows(valid), plans[n])
+        c, g = centred_gram(plans[n].rows(valid), plans[n])
+        plans[n] = c.plan
         b, inv = solve_scaled(g.xx, g.xy[:, 0])
+        b[:1] += c.y[0]
         betas.append(b)
+        back = np.block([[back, np.zeros((len(back), len(b)))], [np.zeros((len(b), len(back))), c.back]])
         breads.append(inv)
         names += [f"{n}.{t}" for t in plans[n].names]
         sizes.append(g.n)
@@ -450,7 +539,7 @@ def sure(df: DataFrame, designs: dict[str, Design], cluster: str) -> Fit:
     clusters, meat = s[0], s[1:].reshape(width, width)
     n, k = min(sizes), max(len(b) for b in betas)
     meat *= (n - 1) / (n - k) * clusters / (clusters - 1)
-    return Fit(names, np.concatenate(betas), bread @ meat @ bread, clusters - 1, {"n": n, "n_clusters": clusters}, bread)
+    return Fit(names, back @ np.concatenate(betas), back @ bread @ meat @ bread @ back.T, clusters - 1, {"n": n, "n_clusters": clusters}, back @ bread @ back.T)
 
 
 def fit_many(df: DataFrame, keys: list[str], y: str, x: list[str], weights: str | None = None, intercept: bool = True) -> DataFrame:
@@ -509,7 +598,7 @@ def fit_many(df: DataFrame, keys: list[str], y: str, x: list[str], weights: str
     return sums.mapInArrow(solve, schema)
 
 
-def level_ols(df: DataFrame, y: str, by: list[str], slopes: list[str] = (), x: list[str] = (), weights: str | None = None) -> tuple[Fit, DataFrame]:
+def level_ols(df: DataFrame, y: str, by: list[str], slopes: list[str] = (), x: list[str] = (), weights: str | None = None, also: list[str] = ()) -> tuple[Fit, DataFrame]:
     """Least squares with a dummy for each level of ``by``, with slopes of its own for ``slopes``, and common slopes for ``x``.
 
     For any number of levels: the normal equations are small blocks, one a level, bordered by the common slopes. Sums by
@@ -517,7 +606,13 @@ def level_ols(df: DataFrame, y: str, by: list[str], slopes: list[str] = (), x: l
     as ``x`` reach the driver. Returns the fit of the common slopes, and a table of ``by``, n, coef, std_err (arrays: the
     level's constant, then its slopes; one constant for every level and no common one). Rows with a null in any of these
     columns are left out; a column that is dependent within its level gets 0.
+
+    ``also``: further categorical columns, of up to MOST_LEVELS levels in all, whose dummies (but each one's first) are common
+    columns, ``C(column)[level]``. Their border is sparse: a level of ``by`` has sums for those levels that occur with it, one
+    list a level; a task adds what eliminating its levels leaves to one square of the common columns.
     """
+    if also:
+        return _two_way(df, y, by, list(slopes), list(x), weights, list(also))
     columns = ["_one", *(f"_s{i}" for i in range(len(slopes))), *(f"_x{i}" for i in range(len(x))), "_y"]
     m, p = 1 + len(slopes), len(x)
     w = F.col(weights).cast("double") if weights else F.lit(1.0)
@@ -589,6 +684,113 @@ def level_ols(df: DataFrame, y: str, by: list[str], slopes: list[str] = (), x: l
         sums.unpersist()
 
 
+def _two_way(df: DataFrame, y: str, by: list[str], slopes: list[str], x: list[str], weights: str | None, also: list[str]) -> tuple[Fit, DataFrame]:
+    """``level_ols`` with further categorical columns."""
+    from gramlake.operators.rows import add_rows
+    from gramlake.operators.state import cut
+    from gramlake.operators.terms import MOST_LEVELS, finite
+
+    spark, m, p = df.sparkSession, 1 + len(slopes), len(x)
+    w = F.col(weights).cast("double") if weights else F.lit(1.0)
+    columns = ["_one", *(f"_s{i}" for i in range(len(slopes))), *(f"_x{i}" for i in range(p)), "_y"]
+    values = [F.lit(1.0), *[F.col(c).cast("double") for c in (*slopes, *x, y)]]
+    rows = df.select(*by, *[v.alias(c) for v, c in zip(values, columns, strict=True)], w.alias("_w"), *[F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(also)])
+    ok = F.col("_w") > 0
+    for c in [*by, *[f"_c{i}" for i in range(len(also))]]:
+        ok = ok & F.col(c).isNotNull()
+    for c in [*columns[1:], "_w"]:
+        ok = ok & finite(F.col(c))
+    rows = rows.where(ok)
+    names, at = list(x), 0
+    for i, c in enumerate(also):
+        found = sorted(r[0] for r in rows.select(f"_c{i}").distinct().limit(MOST_LEVELS + 1).collect())
+        if at + len(found) > MOST_LEVELS:
+            raise ValueError(f"more than {MOST_LEVELS} levels of {', '.join(also)}: let the widest be ``by``")
+        table = spark.createDataFrame([(v, at + j - 1 if j else -1) for j, v in enumerate(found)], f"_v{i} string, _i{i} int")
+        rows = rows.join(F.broadcast(table), F.col(f"_c{i}") == F.col(f"_v{i}"))
+        names += [f"C({c})[{v}]" for v in found[1:]]
+        at += max(len(found) - 1, 0)
+    q, k = at, p + at
+    some = rows.select(*columns).limit(LOCATION_ROWS).toArrow()
+    shift = np.array([np.mean(some[c].to_numpy()) if some.num_rows else 0.0 for c in columns])
+    shift[0] = 0.0
+    moved = [F.col(c) - F.lit(float(v)) if v else F.col(c) for c, v in zip(columns, shift, strict=True)]
+    narrow = rows.select(*by, *[c.alias(f"_m{i}") for i, c in enumerate(moved)], "_w", *[f"_i{i}" for i in range(len(also))]).persist()
+    width = len(columns)
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    index = np.zeros((width, width), int)
+    for a, (i, j) in enumerate(pairs):
+        index[i, j] = index[j, i] = a
+    try:
+        # sums of the dummies' columns by level of `by`, and over all rows: with the numeric columns, and with one another
+        dummy = F.explode(F.array(*[F.col(f"_i{i}") for i in range(len(also))])).alias("i")
+        each = narrow.select(*by, dummy, "_w", *[f"_m{i}" for i in range(width)]).where("i >= 0")
+        cross = each.groupBy(*by, "i").agg(F.array(*[F.sum(F.col(f"_m{j}") * F.col("_w")) for j in range(m)]).alias("v"))
+        lists = cross.groupBy(*by).agg(F.collect_list(F.struct("i", "v")).alias("l"))  # at most one entry for each dummy
+        sums = narrow.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col(f"_m{i}") * F.col(f"_m{j}") * F.col("_w")) for i, j in pairs]).alias("v"))
+        sums = sums.join(lists, by, "left").select(*by, "n", "v", F.coalesce(F.transform("l", lambda e: e["i"].cast("double")), F.array().cast("array<double>")).alias("i"), F.coalesce(F.flatten(F.transform("l", lambda e: e["v"])), F.array().cast("array<double>")).alias("c"))
+        sums = cut(sums)
+        total = np.zeros((k + 1, k + 1))
+        own = [*range(p), k]  # x and y among the common columns
+        for r in each.groupBy("i").agg(F.array(F.sum("_w"), *[F.sum(F.col(f"_m{m + j}") * F.col("_w")) for j in range(p + 1)]).alias("v")).collect():
+            total[p + r.i, p + r.i] = r.v[0]
+            total[p + r.i, own] = total[own, p + r.i] = r.v[1:]
+        for a in range(len(also)):
+            for b in range(a):
+                for r in narrow.where(f"_i{a} >= 0 and _i{b} >= 0").groupBy(f"_i{a}", f"_i{b}").agg(F.sum("_w").alias("s")).toLocalIterator():
+                    total[p + r[0], p + r[1]] = total[p + r[1], p + r[0]] = r.s
+
+        def eliminated(c):
+            """For each level its inverse block, the common columns that occur in it, and their border's image."""
+            for v, i, s in zip(c["v"], c["i"], c["c"], strict=True):
+                block = v[index]
+                inverse = solve_scaled(block[:m, :m], np.zeros(m))[1]
+                here = np.concatenate([np.arange(p), p + np.asarray(i, int), [k]]).astype(int)
+                border = np.concatenate([block[:m, m : m + p], np.reshape(s, (-1, m)).T, block[:m, m + p :]], 1)
+                yield block, inverse, here, border, inverse @ border
+
+        def left(c, out):
+            square = out[2:].reshape(k + 1, k + 1)
+            for block, inverse, here, border, onto in eliminated(c):
+                square[np.ix_(here, here)] -= border.T @ onto
+                square[np.ix_(own, own)] += block[m:, m:]
+                out[1] += np.count_nonzero(np.diag(inverse) > 0)
+            out[0] += c["n"].sum()
+
+        s = add_rows(sums.select("n", "v", "i", "c"), 2 + (k + 1) ** 2, left)
+        n, used, rest = s[0], s[1], s[2:].reshape(k + 1, k + 1) + total
+        gamma, v = solve_scaled(rest[:k, :k], rest[:k, k])
+        ssr = max(float(rest[k, k] - gamma @ rest[:k, k]), 0.0)
+        free = n - used - np.count_nonzero(np.diag(v))
+        sigma2 = ssr / free if free > 0 else math.nan
+        fit = Fit(names, gamma, v * sigma2, free, {"n": n, "ssr": ssr, "df_resid": free, "sigma2": sigma2}, v)
+        shared = spark.sparkContext.broadcast((gamma, v))  # as wide as the common columns, which are bounded
+        kinds = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
+        back = np.eye(m)
+        back[0, 1:] = -shift[1:m]
+
+        def level(batches):
+            gamma, v = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                coefs, errors = [], []
+                for _, inverse, here, _, onto in eliminated(numpy_columns(batch.select(["v", "i", "c"]))):
+                    common = here[:-1]
+                    coef = back @ (onto[:, -1] - onto[:, :-1] @ gamma[common])
+                    coef[0] += shift[-1] - shift[m : m + p] @ gamma[:p]
+                    turned = back @ onto[:, :-1]
+                    turned[0, :p] += shift[m : m + p]
+                    var = np.diag(back @ inverse @ back.T) + np.einsum("ij,jk,ik->i", turned, v[np.ix_(common, common)], turned)
+                    coefs.append(coef.tolist())
+                    errors.append(np.sqrt(np.maximum(var, 0) * sigma2).tolist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(by) + 1], *(pa.array(a, pa.list_(pa.float64())) for a in (coefs, errors))], [*by, "n", "coef", "std_err"])
+
+        return fit, cut(sums.mapInArrow(level, f"{kinds}, n long, coef array<double>, std_err array<double>"))
+    finally:
+        narrow.unpersist()
+
+
 def shapley_r2(df: DataFrame, y: str, terms: list[str], samples: int | None = None, seed: int = 1) -> DataFrame:
     """term, value, share of R2 that each term earns: over all subsets, or over ``samples`` orderings. Always with intercept.
 
@@ -598,7 +800,7 @@ def shapley_r2(df: DataFrame, y: str, terms: list[str], samples: int | None = No
 
     design = Design([y], [num(t) for t in terms])
     plan = design.fit(df)
-    g = gram(plan.rows(df), plan)
+    _, g = centred_gram(plan.rows(df), plan)
     p, spark = len(terms), df.sparkSession
     m = g.m - np.outer(g.m[0], g.m[0]) / g.m[0, 0]
     s, sy, sst = m[1 : p + 1, 1 : p + 1], m[1 : p + 1, p + 1], m[p + 1, p + 1]
@@ -698,12 +900,14 @@ def lift_ratio(fit: Fit, top: str, bottom: str, top_base: str, bottom_base: str)
 
 def leverage(fit: Fit, df: DataFrame, name: str = "leverage") -> DataFrame:
     """w x'(X'WX)^-1 x of every row of a numeric design, as an expression."""
+    inner = getattr(fit, "inner", fit)
     rows = [F.lit(1.0)] if fit.plan.design.intercept else []
     rows += [of(c) for t, found, _ in fit.plan._parts("x") for c in t.columns if found is None]
+    rows = [c - F.lit(float(v)) for c, v in zip(rows, inner.plan.shift.get("x", np.zeros(len(rows))), strict=True)]
     total = F.lit(0.0)
     for i, a in enumerate(rows):
         for j, b in enumerate(rows):
-            total = total + a * b * F.lit(float(fit.bread[i, j]))
+            total = total + a * b * F.lit(float(inner.bread[i, j]))
     return df.withColumn(name, total * (F.col(fit.plan.design.weights) if fit.plan.design.weights else F.lit(1.0)))
 
 

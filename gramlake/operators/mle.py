@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlake.functions.special import gammaln
-from gramlake.operators.linear import Fit
+from gramlake.operators.linear import Fit, centred
 from gramlake.operators.rows import sum_rows
 from gramlake.operators.terms import Design
 
@@ -160,6 +160,7 @@ def fit_mle(df: DataFrame, design: Design, model: str, inflation: Design | None
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         check_support(rows, "y0", support)
+        moved = centred(rows, plan)
         k1, k2 = len(plan.names), len(plan2.names) if plan2 else 0
         k = k1 + k2 + bool(shape)
         mean, n = rows.agg(F.avg("y0"), F.count("*")).first()
@@ -175,7 +176,7 @@ def fit_mle(df: DataFrame, design: Design, model: str, inflation: Design | None
 
         def blocks(c):
             x2 = plan2.matrix({a.removeprefix("i_"): v for a, v in c.items() if a.startswith("i_")} | {"w": c["w"]}) if plan2 else None
-            return plan.matrix(c), x2, c["y0"], c["w"]
+            return moved.plan.matrix(c), x2, c["y0"], c["w"]
 
         def scalars(x1, x2, t, size):
             out = [x1 @ t[:k1]]
@@ -220,7 +221,9 @@ def fit_mle(df: DataFrame, design: Design, model: str, inflation: Design | None
     finally:
         rows.unpersist()
     inv = np.linalg.pinv(-hess)
-    cov = inv @ outer @ inv if cov_type == "SANDWICH" else inv
+    back = np.eye(k)
+    back[:k1, :k1] = moved.back
+    theta, cov, inv = back @ theta, back @ (inv @ outer @ inv if cov_type == "SANDWICH" else inv) @ back.T, back @ inv @ back.T
     names = plan.names + ([f"inflate_{x}" for x in plan2.names] if plan2 else []) + ([shape] if shape else [])
     fit = Fit(names, theta, cov, n - k, {"n": n, "llf": float(value), "aic": -2 * value + 2 * k, "bic": -2 * value + k * math.log(n), "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": n - k}, inv, plan, use_t=False)
     fit.model, fit.plan2, fit.sizes = model, plan2, (k1, k2)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramlake.functions.special import chi2_sf
-from gramlake.operators.linear import Fit, gram, solve_scaled
+from gramlake.operators.linear import Fit, centred_gram, solve_scaled
 from gramlake.operators.rows import sum_rows, sum_rows_by
 from gramlake.operators.terms import Design
 
@@ -21,10 +21,11 @@ def gmm_iv_linear(df: DataFrame, design: Design, method: str = "TWO_STEP", start
 
     The weight is the inverse of the uncentred mean of g g'; the covariance is the sandwich; J tests over-identification.
     """
-    plan = design.fit(df)
+    plan = whole = design.fit(df)
     rows = plan.rows(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        g = gram(rows, plan)
+        moved, g = centred_gram(rows, plan)
+        plan = moved.plan
         n, q = g.n, len(plan.z_names)
         w = np.linalg.inv(g.zz / n) if start == "2SLS" else np.eye(q)
 
@@ -34,7 +35,7 @@ def gmm_iv_linear(df: DataFrame, design: Design, method: str = "TWO_STEP", start
 
         def omega(b):
             def kernel(c):
-                m = plan.matrix(c, "z") * (c["w"] * (plan.outcomes(c)[:, 0] - plan.matrix(c) @ b))[:, None]
+                m = plan.matrix(c, "z") * (c["w"] * (plan.outcomes(c)[:, 0] - moved.y[0] - plan.matrix(c) @ b))[:, None]
                 return m.T @ m
 
             return sum_rows(rows, kernel).reshape(q, q) / n
@@ -57,7 +58,8 @@ def gmm_iv_linear(df: DataFrame, design: Design, method: str = "TWO_STEP", start
     mean = (g.zy[:, 0] - g.zx @ beta) / n
     over = q - len(beta)
     j = float(n * mean @ w @ mean)
-    return Fit(plan.names, beta, cov, n - len(beta), {"n": n, "j": j, "j_p": float(chi2_sf(j, over)) if over > 0 else math.nan, "df_resid": n - len(beta)}, bread, plan, use_t=False)
+    beta[:1] += moved.y[0]
+    return moved.fit(Fit(plan.names, beta, cov, n - len(beta), {"n": n, "j": j, "j_p": float(chi2_sf(j, over)) if over > 0 else math.nan, "df_resid": n - len(beta)}, bread, plan, use_t=False), whole)
 
 
 def gmm(df: DataFrame, columns: list[str], moments: Callable, start: np.ndarray, method: str = "TWO_STEP", cluster: str | None = None, max_iter: int = 100, tol: float = 1e-9) -> Fit:
@@ -230,12 +232,13 @@ def pls(df: DataFrame, y: list[str], x: list[str], components: int) -> dict:
     from gramlake.operators.terms import num
 
     plan = Design(y, [num(c) for c in x]).fit(df)
-    g = gram(plan.rows(df), plan)
+    moved, g = centred_gram(plan.rows(df), plan)
     n, k, q = g.n, len(x), len(y)
     mx, my = g.xx[0, 1:] / n, g.xy[0] / n
     xx = g.xx[1:, 1:] - n * np.outer(mx, mx)
     xy = g.xy[1:] - n * np.outer(mx, my)
     yy = g.yy - n * np.outer(my, my)
+    mx, my = mx + moved.plan.shift["x"][1:], my + moved.y
     w_all, p_all, q_all, s = [], [], [], xy.copy()
     r_all = []
     for _ in range(min(components, k)):

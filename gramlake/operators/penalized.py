@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.operators.linear import Fit, gram, ols, solve_scaled
+from gramlake.operators.linear import Fit, centred, centred_gram, gram, ols, solve_scaled
 from gramlake.operators.rows import sum_rows_by
 from gramlake.operators.terms import Design
 
@@ -40,7 +40,7 @@ def coordinate_descent(a: np.ndarray, b: np.ndarray, l1: np.ndarray, l2: np.ndar
 def elastic_net(df: DataFrame, design: Design, alpha: float, l1_ratio: float = 1.0, normalize: bool = False, refit: bool = False, free: tuple[str, ...] = ("Intercept",), positive: bool = False) -> Fit:
     """SSR / (2n) + alpha l1_ratio |b| + alpha (1 - l1_ratio) b^2 / 2 without a penalty on ``free``. One pass; refit adds OLS with HC1 on the support."""
     plan = design.fit(df)
-    g = gram(plan.rows(df), plan)
+    c, g = centred_gram(plan.rows(df), plan) if "Intercept" in free else (None, gram(plan.rows(df), plan))
     i = plan.names.index("Intercept") if "Intercept" in plan.names else None
     sd = np.sqrt(np.maximum(np.diag(g.xx) / g.sw - ((g.xx[:, i] / g.sw) ** 2 if i is not None else 0), 0))
     scale = np.where([n in free for n in plan.names], 0.0, sd if normalize else 1.0)
@@ -48,6 +48,9 @@ def elastic_net(df: DataFrame, design: Design, alpha: float, l1_ratio: float = 1
     a, b = g.xx / g.n, g.xy[:, 0] / g.n
     beta = coordinate_descent(a, b, l1, l2, positive=positive, start=_start(a, b, i))
     stats = {"n": g.n, "objective": objective(g, beta, l1, l2), "duality_gap": duality_gap(g, beta, l1, l2), "nonzero": int(np.count_nonzero(beta)), "df_resid": g.n - np.count_nonzero(beta)}
+    if c is not None:
+        beta = c.back @ beta
+        beta[:1] += c.y[0]
     fit = Fit(plan.names, beta, np.zeros((len(beta), len(beta))), stats["df_resid"], stats, None, plan)
     if refit:
         keep = [t for t, nm in zip(design.x, [n for n in plan.names if n != "Intercept"], strict=False) if beta[plan.names.index(nm)] != 0]
@@ -92,9 +95,10 @@ def cross_validate(df: DataFrame, design: Design, alphas: list[float], folds: in
     plan = design.fit(df)
     rows = plan.rows(df, keep=[F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(folds)).alias("fold")])
     k = len(plan.names)
+    moved = centred(rows, plan)
 
     def kernel(c):
-        m = np.concatenate([plan.matrix(c), plan.outcomes(c)], 1)
+        m = np.concatenate([moved.plan.matrix(c), plan.outcomes(c) - moved.y], 1)
         return np.concatenate([np.ones((len(m), 1)), ((m * c["w"][:, None])[:, :, None] * m[:, None, :]).reshape(len(m), -1)], 1)
 
     parts = {r.fold: np.array(r.v) for r in sum_rows_by(rows, ["fold"], kernel, 1 + (k + 1) ** 2).collect()}

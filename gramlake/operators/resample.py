@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlake.operators.linear import Fit, solve_scaled
+from gramlake.operators.linear import Fit, centred_gram, solve_scaled, statistics
 from gramlake.operators.rows import sum_rows, sum_rows_by
 from gramlake.operators.terms import Design
 
@@ -57,11 +57,13 @@ def bootstrap(df: DataFrame, design: Design, key: list[str], replicates: int, ki
     ``cluster``: one weight a cluster; one shuffle on it adds up cluster sums, and only these are weighted.
     Otherwise one pass over the rows.
     """
-    plan = design.fit(df)
-    k = len(plan.names)
+    whole = design.fit(df)
+    k = len(whole.names)
+    moved, g = centred_gram(whole.rows(df), whole)
+    plan = moved.plan
 
     def products(c):
-        m = np.concatenate([plan.matrix(c), plan.outcomes(c)[:, :1]], 1)
+        m = np.concatenate([plan.matrix(c), plan.outcomes(c)[:, :1] - moved.y[0]], 1)
         return (m[:, :, None] * (m * c["w"][:, None])[:, None, :]).reshape(len(m), -1)
 
     if cluster:
@@ -73,13 +75,12 @@ def bootstrap(df: DataFrame, design: Design, key: list[str], replicates: int, ki
         total, s = replicate_sums(rows, [], products, replicates, kind, seed)
     m = s.reshape(replicates, k + 1, k + 1)
     draws = np.stack([solve_scaled(x[:k, :k], x[:k, k])[0] for x in m])
-    from gramlake.operators.linear import gram, statistics
-
-    g = gram(rows, plan)
+    draws[:, :1] += moved.y[0]
     beta, bread = solve_scaled(g.xx, g.xy[:, 0])
     stats = statistics(g, beta, plan.names)
-    cov = np.atleast_2d(np.cov(draws.T))
-    return Fit(plan.names, beta, cov, stats["df_resid"], stats, bread, plan), draws
+    beta[:1] += moved.y[0]
+    fit = Fit(plan.names, beta, np.atleast_2d(np.cov(draws.T)), stats["df_resid"], stats, bread, plan)
+    return moved.fit(fit, whole), draws @ moved.back.T
 
 
 def draws_table(spark, names: list[str], draws: np.ndarray) -> DataFrame:

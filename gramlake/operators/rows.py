@@ -16,11 +16,13 @@ PIECE = 8192
 
 
 def numpy_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    """Columns as arrays: numbers as doubles (null is NaN), lists of doubles as matrices, others as objects."""
+    """Columns as arrays: numbers as doubles (null is NaN), lists of equal length as matrices, others as objects."""
     out = {}
     for name, column in zip(batch.schema.names, batch.columns, strict=True):
         kind = column.type
-        if pa.types.is_list(kind):
+        if pa.types.is_list(kind) and (column.null_count or batch.num_rows and np.ptp(column.value_lengths().to_numpy(zero_copy_only=False))):
+            out[name] = column.to_numpy(zero_copy_only=False)  # of several lengths: an array for each row
+        elif pa.types.is_list(kind):
             out[name] = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
         elif pa.types.is_floating(kind) or pa.types.is_integer(kind) or pa.types.is_boolean(kind):
             out[name] = column.cast(pa.float64()).to_numpy(zero_copy_only=False) if not pa.types.is_int64(kind) or column.null_count else column.to_numpy(zero_copy_only=False)
@@ -46,6 +48,36 @@ def sum_rows(df: DataFrame, kernel: Callable[[dict[str, np.ndarray]], np.ndarray
         if total is not None:
             yield _pieces(enumerate(total[i : i + PIECE] for i in range(0, len(total), PIECE)))
 
+    return _added(df, partial)
+
+
+def add_rows(df: DataFrame, length: int, kernel: Callable[[dict[str, np.ndarray], np.ndarray], None]) -> np.ndarray:
+    """The same for long sums of which a batch touches few numbers: ``kernel(columns, total)`` adds to its task's total in place.
+
+    Pieces that are all 0 stay where they are. An empty table gives zeros.
+    """
+
+    def partial(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                total = np.zeros(length) if total is None else total
+                kernel(numpy_columns(batch), total)
+        if total is not None:
+            pieces = [(i, total[a : a + PIECE]) for i, a in enumerate(range(0, length, PIECE))]
+            pieces = [(i, p) for i, p in pieces if p.any()]
+            if pieces:
+                yield _pieces(pieces)
+
+    out = np.zeros(length)
+    for i, p in _added(df, partial, whole=False):
+        out[i * PIECE : i * PIECE + len(p)] = p
+    return out
+
+
+def _added(df: DataFrame, partial: Callable, whole: bool = True):
+    """What the tasks' pieces add up to: one array, or with their places."""
+
     def add(batches):
         sums = {}
         for batch in batches:
@@ -56,6 +88,8 @@ def sum_rows(df: DataFrame, kernel: Callable[[dict[str, np.ndarray]], np.ndarray
             yield _pieces(sums.items())
 
     got = df.mapInArrow(partial, "i int, b binary").repartition("i").mapInArrow(add, "i int, b binary").collect()
+    if not whole:
+        return [(r.i, np.frombuffer(r.b)) for r in got]
     return np.concatenate([np.zeros(0), *(np.frombuffer(r.b) for r in sorted(got, key=lambda r: r.i))])
 
 

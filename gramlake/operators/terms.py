@@ -223,6 +223,7 @@ class Plan:
 
     def __init__(self, design: Design, blocks: dict):
         self.design, self.blocks = design, blocks
+        self.shift: dict[str, np.ndarray] = {}
         self.names = self._names("x")
         self.z_names = self._names("z") if design.instruments else []
 
@@ -231,7 +232,20 @@ class Plan:
         d = self.design
         bare = Design(list(d.y), [], instruments=[Term([], [])] if d.instruments else [], weights=d.weights, intercept=d.intercept)
         blocks = {p: ([Term(t.names, [], t.by) for t in done], levels, full) for p, (done, levels, full) in self.blocks.items()}
-        return {"design": bare, "blocks": blocks, "names": self.names, "z_names": self.z_names}
+        return {"design": bare, "blocks": blocks, "names": self.names, "z_names": self.z_names, "shift": self.shift}
+
+    def shifted(self, x: np.ndarray, z: np.ndarray | None = None) -> "Plan":
+        """The same plan with constants taken off the columns of its matrices."""
+        out = Plan.__new__(Plan)
+        out.__dict__.update(self.__dict__, shift={"x": x} | ({} if z is None else {"z": z}))
+        return out
+
+    def numeric(self, part: str = "x") -> np.ndarray:
+        """Which columns come from numbers alone: neither the intercept nor a dummy's."""
+        out = [False] if self.design.intercept else []
+        for t, found, drop in self._parts(part):
+            out += [True] * len(t.names) if found is None else [False] * (len(t.names) * (len(found) - drop))
+        return np.array(out, bool)
 
     def _parts(self, part: str):
         """Each term with its levels and how many of them are dropped for the constant."""
@@ -304,7 +318,8 @@ class Plan:
             seen = np.flatnonzero(level >= 0)
             dummies[seen, level[seen]] = 1.0
             out += [dummies] if values is None else [dummies * values[:, [j]] for j in range(values.shape[1])]
-        return np.concatenate(out, axis=1) if out else np.zeros((n, 0))
+        whole = np.concatenate(out, axis=1) if out else np.zeros((n, 0))
+        return whole - self.shift[part] if part in self.shift else whole
 
     def plain(self, part: str = "x") -> list[Column] | None:
         """The matrix columns as Columns of the prepared rows; None where a term has dummies."""
@@ -313,7 +328,7 @@ class Plan:
             if found is not None:
                 return None
             out += [F.col(f"{part}{i}_{j}") for j in range(len(t.names))]
-        return out
+        return [c - F.lit(float(v)) if v else c for c, v in zip(out, self.shift[part], strict=True)] if part in self.shift else out
 
     def outcomes(self, cols: dict[str, np.ndarray]) -> np.ndarray:
         return np.stack([cols[f"y{i}"] for i in range(len(self.design.y))], 1) if self.design.y else np.zeros((len(cols["w"]), 0))
