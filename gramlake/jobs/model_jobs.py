@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gramlake.jobs.solve_sql import ROBUST_SUMS, least_squares, newton, robust
 from gramlake.operators import draws as D
-from gramlake.operators import irls, linear, mle, moments_fits, penalized, resample, series, smooth
+from gramlake.operators import irls, linear, mle, moments_fits, penalized, series, smooth
 from gramlake.operators.state import folder
 from gramlake.operators.terms import Design, num
 from gramlake.sources.tables import table
@@ -140,13 +140,6 @@ for _at, _middle in (("mean", "avg(x)"), ("median", "quantile_cont(x, 0.5)")):
     query(f"g6_effect_at_{_at}_lineitem", _LOGIT_ROWS + _LOGIT_COV + f", m as (select any_value(b0) as b0, any_value(b1) as b1, {_middle} as x from f), w as (select *, 1 / (1 + exp(-(b0 + b1 * x))) as mu from m), j as (select mu * (1 - mu) * b1 as effect, mu * (1 - mu) * (1 - 2 * mu) * b1 as j0, mu * (1 - mu) * ((1 - 2 * mu) * x * b1 + 1) as j1 from w) select 'q' as term, round(effect, 8) as effect, round(sqrt((j0 * j0 * hbb - 2 * j0 * j1 * hab + j1 * j1 * haa) / det), 8) as std_err from j cross join i")(_margins_at)
 
 
-@query("g8_glm_bootstrap_lineitem")
-def glm_boot(spark, d):
-    df = _line(spark, d)
-    fit, _ = irls.glm_bootstrap(irls.glm(df, Design(["returned"], [num("q")]), "binomial"), df, ["l_orderkey", "l_linenumber"], 200)
-    return fit.table(spark)
-
-
 @query("g7_gam_orders")
 def gam(spark, d):
     df = table(spark, d, "orders").withColumn("u", F.col("o_custkey") % 100 / 10.0).withColumn("p", F.col("o_totalprice") / 1e5)
@@ -320,54 +313,6 @@ def poisson_mean(spark, d):
     return mle.predict_mean(mle.fit_mle(df, Design(["n"], [num("bal")]), "poisson"), df).select("c_custkey", F.round("mean", 6).alias("mean"))
 
 
-@query("r1_bayesian_bootstrap_lineitem")
-def bayes_boot(spark, d):
-    fit, draws = resample.bootstrap(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")]), ["l_orderkey", "l_linenumber"], 250)
-    return fit.table(spark)
-
-
-@query("r2_classical_bootstrap_lineitem")
-def classical_boot(spark, d):
-    fit, draws = resample.bootstrap(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")]), ["l_orderkey", "l_linenumber"], 250, "classical")
-    return resample.draws_table(spark, fit.names, draws)
-
-
-@query("r3_r4_block_bootstrap_lineitem")
-def block_boot(spark, d):
-    fit, _ = resample.bootstrap(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")]), [], 250, cluster="l_suppkey")
-    return fit.table(spark)
-
-
-@query("r5_joint_bootstrap_lineitem")
-def joint_boot(spark, d):
-    df = _line(spark, d)
-    tables = {n: resample.draws_table(spark, ["Intercept", "l_quantity"], resample.bootstrap(df, Design([y], [num("l_quantity")]), ["l_orderkey", "l_linenumber"], 100)[1]) for n, y in (("price", "l_extendedprice"), ("tax", "l_tax"))}
-    return resample.joint_covariance(tables)
-
-
-@query("r6_bootstrap_ratio_lineitem")
-def ratio_boot(spark, d):
-    w, s = resample.replicate_sums(_line(spark, d).select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"), ["l_orderkey", "l_linenumber"], lambda c: np.stack([c["l_extendedprice"], c["l_quantity"]], 1), 100)
-    return spark.createDataFrame([(i, float(a / b)) for i, (a, b) in enumerate(s)], "replicate int, ratio double")
-
-
-@query("r7_test_from_bootstrap_lineitem")
-def boot_test(spark, d):
-    fit, draws = resample.bootstrap(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")]), ["l_orderkey", "l_linenumber"], 200)
-    return resample.test_from_draws(resample.draws_table(spark, fit.names, draws))
-
-
-@query("r8_permutation_observed_lineitem", "select round(avg(l_extendedprice) filter (where l_returnflag = 'R') - avg(l_extendedprice) filter (where l_returnflag <> 'R'), 4) as effect from lineitem")
-def permuted(spark, d):
-    t = resample.permutation_test(_line(spark, d), "l_extendedprice", "returned", ["l_orderkey", "l_linenumber"], "l_suppkey", 5)
-    return t.where("permutation = 0").select(F.round("effect", 4).alias("effect"))
-
-
-@query("r8_permutation_draws_lineitem")
-def permutations(spark, d):
-    return resample.permutation_test(_line(spark, d), "l_extendedprice", "returned", ["l_orderkey", "l_linenumber"], "l_suppkey", 10)
-
-
 _SERIES = "with e as (select user_id, ts, event_id, value - avg(value) over (partition by user_id) as c from events where value is not null), l as (select *, lag(c, 1) over w as l1, lag(c, 2) over w as l2, lag(c, 3) over w as l3 from e window w as (partition by user_id order by ts, event_id)), a as (select user_id, count(*) as n, sum(c * c) / count(*) as a0, coalesce(sum(c * l1), 0) / count(*) as a1, coalesce(sum(c * l2), 0) / count(*) as a2, coalesce(sum(c * l3), 0) / count(*) as a3 from l group by 1)"
 _BY = (["user_id"], ["ts", "event_id"])
 

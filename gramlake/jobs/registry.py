@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gramlake.jobs import linear_jobs, model_jobs, table_jobs
+from gramlake.jobs import linear_jobs, model_jobs, resample_jobs, table_jobs
 
-_MODULES = (linear_jobs, table_jobs, model_jobs)
+_MODULES = (linear_jobs, table_jobs, model_jobs, resample_jobs)
 
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -330,12 +330,12 @@ def marginal_effects(fit: Fit, df: DataFrame, columns: list[str], kind: str = "d
     return result
 
 
-def glm_bootstrap(fit: Fit, df: DataFrame, key: list[str], replicates: int, kind: str = "bayesian", seed: int = 0) -> tuple[Fit, np.ndarray]:
+def glm_bootstrap(fit: Fit, df: DataFrame, key: list[str] | str, replicates: int, kind: str = "bayesian", seed: int = 0) -> tuple[Fit, np.ndarray]:
     """Draws of a generalized linear model's coefficients, and the fit with their covariance: all replicates in one pass.
 
     Each replicate is one Newton step from the fit under that replicate's row weights, which come from hashes of ``key``.
     """
-    from gramlake.operators.resample import replicate_sums
+    from gramlake.operators.resample import hashed, replicate_sums
 
     inner = getattr(fit, "inner", fit)
     plan, beta, g, k = inner.plan, inner.params, fit.link, len(fit.params)
@@ -350,7 +350,7 @@ def glm_bootstrap(fit: Fit, df: DataFrame, key: list[str], replicates: int, kind
         score = x * (c["w"] * (y - mu) / (d * v))[:, None]
         return np.concatenate([score, (x[:, :, None] * (x * (c["w"] / (d * d * v))[:, None])[:, None, :]).reshape(len(x), -1)], 1)
 
-    _, s = replicate_sums(plan.rows(df, keep=[F.xxhash64(*key).alias("_h")]), [], kernel, replicates, kind, seed)
+    _, s = replicate_sums(plan.rows(df, keep=[hashed(key).alias("_h")]), [], kernel, replicates, kind, seed)
     draws = np.stack([back @ (beta + solve_scaled(r[k:].reshape(k, k), r[:k])[0]) for r in s])
     out = Fit(fit.names, fit.params, np.atleast_2d(np.cov(draws.T)), fit.df_resid, fit.stats, fit.bread, fit.plan, use_t=fit.use_t)
     out.link, out.family = g, fit.family

@@ -46,9 +46,9 @@ def sum_rows(df: DataFrame, kernel: Callable[[dict[str, np.ndarray]], np.ndarray
                 value = np.asarray(kernel(numpy_columns(batch)), float).ravel()
                 total = value if total is None else total + value
         if total is not None:
-            yield _pieces(enumerate(total[i : i + PIECE] for i in range(0, len(total), PIECE)))
+            yield pieces_of(enumerate(total[i : i + PIECE] for i in range(0, len(total), PIECE)))
 
-    return _added(df, partial)
+    return add_pieces(df, partial)
 
 
 def add_rows(df: DataFrame, length: int, kernel: Callable[[dict[str, np.ndarray], np.ndarray], None]) -> np.ndarray:
@@ -67,15 +67,15 @@ def add_rows(df: DataFrame, length: int, kernel: Callable[[dict[str, np.ndarray]
             pieces = [(i, total[a : a + PIECE]) for i, a in enumerate(range(0, length, PIECE))]
             pieces = [(i, p) for i, p in pieces if p.any()]
             if pieces:
-                yield _pieces(pieces)
+                yield pieces_of(pieces)
 
     out = np.zeros(length)
-    for i, p in _added(df, partial, whole=False):
+    for i, p in add_pieces(df, partial, whole=False):
         out[i * PIECE : i * PIECE + len(p)] = p
     return out
 
 
-def _added(df: DataFrame, partial: Callable, whole: bool = True):
+def add_pieces(df: DataFrame, partial: Callable, whole: bool = True):
     """What the tasks' pieces add up to: one array, or with their places."""
 
     def add(batches):
@@ -85,7 +85,7 @@ def _added(df: DataFrame, partial: Callable, whole: bool = True):
                 value = np.frombuffer(raw)
                 sums[i] = sums[i] + value if i in sums else value
         if sums:
-            yield _pieces(sums.items())
+            yield pieces_of(sums.items())
 
     got = df.mapInArrow(partial, "i int, b binary").repartition("i").mapInArrow(add, "i int, b binary").collect()
     if not whole:
@@ -93,7 +93,7 @@ def _added(df: DataFrame, partial: Callable, whole: bool = True):
     return np.concatenate([np.zeros(0), *(np.frombuffer(r.b) for r in sorted(got, key=lambda r: r.i))])
 
 
-def _pieces(items) -> pa.RecordBatch:
+def pieces_of(items) -> pa.RecordBatch:
     index, raw = zip(*((i, v.tobytes()) for i, v in items), strict=True)
     return pa.RecordBatch.from_arrays([pa.array(index, pa.int32()), pa.array(raw, pa.binary())], ["i", "b"])
 
