@@ -100,27 +100,30 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model:
-    """Fit on at most ``rows`` labelled texts of at most ``size`` bytes in all, a repeatable sample by hash of the key.
+    """Fit on at most ``rows`` labelled texts of at most ``size`` bytes in all, a repeatable sample by hash.
 
-    Labels are taken in the order of their keys' hashes; a text that would pass ``size`` is left out. Labels other than 0
+    Both bounds are on what reaches the driver: different (key, label, text) rows in the order of hashes, so that keys with many
+    texts count as many; a text that would pass ``size`` is left out. Labels other than 0
     and 1 and null texts are left out; with none left, or one class, every score is that class's share (one half without labels).
     """
     place = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1 << 62))
-    known = labels.where(labels[label].isin(0, 1) & labels[key].isNotNull()).select(labels[key].alias("k"), labels[label].cast("int").alias("y"))
+    known = labels.where(labels[label].isin(0, 1) & labels[key].isNotNull()).select(labels[key].alias("k"), labels[label].cast("int").alias("y")).distinct()
     n = known.count()
     if n > rows:  # a little more than is wanted, by hash; the rest goes in order
         known = known.where(place < int((1 << 62) * min(1.0, (rows + 5 * rows**0.5) / n)))
     known = known.withColumn("h", place).orderBy("h", "k", "y").limit(rows)
     texts = docs.select(docs[key].alias("k"), docs[text].alias("t")).where("t is not null")
-    sample = texts.join(F.broadcast(known), "k")  # bounded by rows
-    sizes = sample.select("h", "k", "y", F.octet_length("t").alias("z"), F.xxhash64("t").alias("x")).toPandas().sort_values(["h", "k", "y", "x"]).head(rows)
-    total, last = 0, None
-    for h, z in zip(sizes["h"], sizes["z"], strict=True):
-        total += z if z <= size else 0
-        if total > size:
-            break
-        last = h
-    table = sample.where((F.col("h") <= int(last)) & (F.octet_length("t") <= size)).toPandas().sort_values(["h", "k", "t", "y"]) if last is not None else sizes.head(0)
+    sample = texts.join(F.broadcast(known), "k").select("h", "k", "y", "t", F.octet_length("t").alias("z"), F.xxhash64("t").alias("x"))  # labels are bounded by rows; texts aren't, where ids repeat
+    sizes = sample.select("h", "k", "y", "x", "z").distinct().orderBy(F.xxhash64("h", "x"), "k", "y", "x").limit(rows).collect()
+    taken, total = [], 0
+    for r in sizes:
+        if total + r.z <= size:
+            total += r.z
+            taken.append((r.k, r.y, r.x, r.z))
+    if not taken:
+        return Model(np.zeros(ALL), 0.0)
+    wanted = docs.sparkSession.createDataFrame(taken, sample.select("k", "y", "x", "z").schema)
+    table = sample.join(F.broadcast(wanted), ["k", "y", "x", "z"], "left_semi").dropDuplicates(["k", "y", "x", "z"]).toPandas().sort_values(["h", "k", "y", "t"])
     y = table["y"].to_numpy(int)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(ALL), 0.0 if not len(y) else 30.0 * (2 * y[0] - 1))
