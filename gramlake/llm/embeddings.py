@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlake.llm.common import cut, read
+from gramlake.llm.common import cut, ranges, read
 from gramlake.llm.components import components, forest
 
 #: Most rows and bytes of a part, whose vectors a task holds while others stream by.
@@ -22,7 +22,11 @@ FEWEST_PIVOTS, PIVOT_BYTES, DIRECTION_ROWS = 8, 16_000_000, 512
 DIRECTIONS = 24
 #: Slack on angles and chords, far above their rounding error: it only adds replicas.
 SLACK = 1e-6
-#: Bits of a part's number within its task's key; the rest is the role.
+#: Rows a part's held rows are copied to another task after.
+PASSING_ROWS = 16 * PART_ROWS
+#: Numbers of a slice of vectors by pivots, and bytes of one batch of copies.
+SLICE_NUMBERS, COPY_BYTES = 2_000_000, 16_000_000
+#: Roles of rows in a task.
 HELD, PASSING = 0, 1
 
 
@@ -53,8 +57,7 @@ class Layout:
     def __init__(self, pivots: np.ndarray, directions: np.ndarray, threshold: float):
         self.pivots, self.directions = pivots, directions
         self.theta, self.chord = math.acos(max(-1.0, min(1.0, threshold))), math.sqrt(max(0.0, 2 - 2 * threshold))
-        between = np.sqrt(np.maximum(0.0, 2 - 2 * pivots @ pivots.T))
-        self.between = np.where(between > 0, between, np.inf)
+        self.slice_rows = max(1, SLICE_NUMBERS // len(pivots))
 
     def measure(self, units: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Cosines to all pivots, the nearest one, the angle to it, and that angle with equal ones told apart by hash."""
@@ -88,6 +91,19 @@ class Layout:
         slot = ((ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % self.slots[home]
         return self.first[home] + ring * self.groups[home] // RINGS * self.slots[home] + slot
 
+    def share(self, passing: dict[int, int], most: int) -> None:
+        """Tasks of each part: one for every ``most`` rows that pass it by."""
+        n = np.array([passing.get(i, 0) for i in range(self.n_parts)], np.int64)
+        self.tasks = np.maximum(1, -(-n // most))
+        self.first_task = np.concatenate([[0], np.cumsum(self.tasks)[:-1]]).astype(np.int64)
+        self.first_tasks = set(self.first_task.tolist())
+
+    def place(self, m: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The part of each vector, and rows and parts of its visits."""
+        cosine, home, _, place = self.measure(_units(m), ids)
+        part = self.own_part(home, place, ids)
+        return part, *self.visits(cosine, home, part)
+
     def visits(self, cosine: np.ndarray, home: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and the other parts that may hold a vector which they link with, each two parts in one order only.
 
@@ -96,9 +112,12 @@ class Layout:
         angle(x, i) is within theta of the part's ring. All follow from the triangle inequality for x, y and pivots.
         """
         rows = np.arange(len(home))
+        used, at = np.unique(home, return_inverse=True)  # chords between the homes' pivots and all: no table of all pairs
+        between = np.sqrt(np.maximum(0.0, 2 - 2 * self.pivots[used] @ self.pivots.T))
+        between = np.where(between > 0, between, np.inf)[at]
         angle, best = np.arccos(cosine), cosine[rows, home]
         near = (self.parts > 0) & (angle <= self.radius + self.theta + SLACK) & (angle <= np.arccos(best)[:, None] + 2 * self.theta + SLACK)
-        near &= best[:, None] - cosine <= (self.chord + SLACK) * self.between[home]
+        near &= best[:, None] - cosine <= (self.chord + SLACK) * between
         near[rows, home] = True
         row, cell = np.nonzero(near)
         counts = self.parts[cell]
@@ -235,39 +254,61 @@ def _layout(classes: DataFrame, dim: int, n: int, threshold: float, rows: int) -
     return Layout(np.unique(units[:wanted], axis=0), directions[:DIRECTIONS].T.copy(), threshold)
 
 
+def _slices(batches, rows: int):
+    for whole in batches:
+        for i in range(0, whole.num_rows, rows):
+            yield whole.slice(i, rows)
+
+
 def _join_length(spark: SparkSession, classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
-    """Counts and spanning links between the ``n`` different vectors of one length: a, b, links (-1 for a link)."""
+    """Counts and spanning links between the ``n`` different vectors of one length: a, b, links (-1 for a link).
+
+    The rows that pass each part are counted first, and parts that many pass are held by several tasks.
+    """
     part_rows = max(1, min(PART_ROWS, PART_BYTES // (8 * dim)))
     layout = _layout(classes, dim, n, threshold, part_rows)
     sent = spark.sparkContext.broadcast(layout)
 
     def places(batches):
-        for batch in batches:
-            _, home, angle, place = sent.value.measure(_units(_matrix(batch.column(1), dim)), batch.column(0).to_numpy())
+        own = sent.value
+        for batch in _slices(batches, own.slice_rows):
+            _, home, angle, place = own.measure(_units(_matrix(batch.column(1), dim)), batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(angle), pa.array(place)], ["home", "angle", "place"])
 
     placed = classes.select("c", "v").mapInArrow(places, "home int, angle double, place double").groupBy("home")
     steps = F.array(*[F.lit(i / RINGS) for i in range(RINGS + 1)])
     cells = placed.agg(F.count("*").alias("n"), F.max("angle").alias("radius"), F.percentile_approx("place", steps, 10_000).alias("cuts")).collect()  # one row a pivot
     layout.divide(cells, part_rows)
+    counted = spark.sparkContext.broadcast(layout)
+
+    def passing(batches):
+        own, total = counted.value, np.zeros(counted.value.n_parts, np.int64)
+        for batch in _slices(batches, own.slice_rows):
+            total += np.bincount(own.place(_matrix(batch.column(1), dim), batch.column(0).to_numpy())[2], minlength=own.n_parts)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["part", "n"])
+
+    visitors = classes.select("c", "v").mapInArrow(passing, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()  # one row a part
+    layout.share({r.part: r.n for r in visitors}, PASSING_ROWS)
     dealt = spark.sparkContext.broadcast(layout)
     wide = np.float32 if classes.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
 
     def copies(batches):
         """Each vector as a held row of its own part, and as a passing row of the parts that may link with it."""
-        own = dealt.value
-        for whole in batches:
-            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                m, c = _matrix(batch.column(2), dim), batch.column(0).to_numpy()
-                cosine, home, _, place = own.measure(_units(m), c)
-                part = own.own_part(home, place, c)
-                row, other = own.visits(cosine, home, part)
-                raw = m.astype(wide)
-                taken = np.concatenate([np.arange(len(c)), row])
-                role = np.repeat(np.array([HELD, PASSING], np.int8), [len(c), len(row)])
-                data = pa.Array.from_buffers(pa.binary(dim * wide().itemsize), len(c), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
-                index = pa.array(taken)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([part, other])), pa.array(role), batch.column(0).take(index), batch.column(1).take(index), data.take(index)], ["part", "role", "c", "w", "b"])
+        own, size = dealt.value, dim * wide().itemsize
+        step = max(1, COPY_BYTES // size)
+        for batch in _slices(batches, own.slice_rows):
+            m, c = _matrix(batch.column(2), dim), batch.column(0).to_numpy()
+            part, row, other = own.place(m, c)
+            raw, w = m.astype(wide), batch.column(1).to_numpy()
+            again = np.repeat(np.arange(len(c)), own.tasks[part])  # held rows go to every task of their part
+            taken = np.concatenate([again, row])
+            task = np.concatenate([own.first_task[part][again] + ranges(np.zeros(len(c), np.int64), own.tasks[part]), own.first_task[other] + ((c[row].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % own.tasks[other]])
+            role = np.repeat(np.array([HELD, PASSING], np.int8), [len(again), len(row)])
+            for a in range(0, len(taken), step):
+                some = taken[a : a + step]
+                data = pa.Array.from_buffers(pa.binary(size), len(some), [None, pa.py_buffer(raw[some].tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(task[a : a + step]), pa.array(role[a : a + step]), pa.array(c[some]), pa.array(w[some]), data], ["part", "role", "c", "w", "b"])
 
     def join(batches):
         now, held, part = None, [], None
@@ -280,7 +321,7 @@ def _join_length(spark: SparkSession, classes: DataFrame, dim: int, n: int, thre
                         continue
                     if number[a] != now:
                         if held:
-                            part = part or begin(held)
+                            part = part or begin(held, now)
                             yield part.rows()
                         now, held, part = number[a], [], None
                     m = np.frombuffer(b"".join(batch.column(4).slice(a, b - a).to_pylist()), wide).reshape(b - a, dim).astype(np.float64)
@@ -288,15 +329,16 @@ def _join_length(spark: SparkSession, classes: DataFrame, dim: int, n: int, thre
                     if role[a] == HELD:
                         held.append(rows)
                     elif held:
-                        part = part or begin(held)
+                        part = part or begin(held, now)
                         part.meet(*rows)
         if held:
-            yield (part or begin(held)).rows()
+            yield (part or begin(held, now)).rows()
 
-    def begin(held):
+    def begin(held, task):
         part = _Part(*(np.concatenate([h[i] for h in held]) for i in range(3)), dealt.value.directions, threshold)
         held[1:] = []  # the part has its own copy
-        part.meet_itself()
+        if task in dealt.value.first_tasks:  # once for each part
+            part.meet_itself()
         return part
 
     spread = classes.select("c", "w", "v").mapInArrow(copies, "part long, role byte, c long, w long, b binary")

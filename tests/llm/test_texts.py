@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -595,6 +596,22 @@ def test_quality_sample_is_bounded(spark):
         assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
 
 
+def test_quality_sample_is_bounded_where_ids_repeat(spark):
+    """One id with very many texts: no more different rows than asked for reach the driver."""
+    rows = spark.range(60_000).selectExpr("id % 2 as doc_id", "concat('text number ', id % 30000, if(id % 2 = 0, ' fine words', ' $$$ junk')) as text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (0, 1)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    try:
+        quality.fit = lambda texts, y: seen.append((len(texts), len(set(texts)))) or fit(texts, y)
+        model = quality.train(rows, labels, rows=100)
+        again = quality.train(rows.repartition(7), labels, rows=100)
+    finally:
+        quality.fit = fit
+    assert seen and all(n <= 100 and n == different for n, different in seen)
+    assert (model.value == again.value).all()
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>"</script></head><body class="has-sidebar">
 <nav><ul><li><a href=/>Home</a></ul></nav><div id="cookie-notice">We use cookies, a lot of cookies on this site.</div>
 <main><h1>Head &amp; line</h1><p>First   paragraph with <b>bold</b> text,\n enough of it to count.<p>Second&nbsp;one follows <a href="x">a link</a> and goes on for a while.
@@ -712,6 +729,84 @@ def test_main_text_of_given_pages(sf):
     assert same >= 0.9 * n
 
 
+def _words(i, n=60):
+    return "<p>" + " ".join(f"word{i}x{j}" for j in range(n)) + ".</p>"
+
+
+_STORY = "<h1>Title here</h1>" + "".join(_words(i) for i in range(3))
+_TALK = "".join(f"<div class=comment><p>{' '.join(f'reply{i}y{j}' for j in range(50))}</p></div>" for i in range(30))
+_MENU = "<nav><ul><li><a href=/>Home</a></ul></nav>"
+
+
+@pytest.mark.parametrize("outer", ["div class=post", "article", "div class='post comments-open'"])
+@pytest.mark.parametrize("inside", [True, False])
+def test_comments_never_win(outer, inside):
+    talk, end = f"<div class='comments-area'>{_TALK}</div>", f"</{outer.split()[0]}>"
+    page = f"<body>{_MENU}<{outer}>{_STORY}{talk + end if inside else end + talk}</body>"
+    got = webtext.extract_text(page)
+    assert "word0x1" in got and "word2x59" in got and "reply" not in got
+
+
+def test_forms_around_pages_are_wrappers():
+    side = "<div id=side>" + "".join(f"<p><a href=/{i}>link number {i} of the list</a> and some words</p>" for i in range(20)) + "</div>"
+    page = f"<body><form action=/x><input type=hidden name=v><div class=content>{_STORY}</div></form>{side}</body>"
+    assert "word0x1" in webtext.extract_text(page) and "link number" not in webtext.extract_text(page)
+    signup = "<form><label>Name</label><input><p>Leave your name to get our letters every week.</p><button>Send</button></form>"
+    assert "letters" not in webtext.extract_text(f"<body><article>{_STORY}{signup}</article></body>")
+    assert webtext.extract_text(f"<body><div class=comments>{_STORY}</div></body>").startswith("Title here")  # a hint on all that there is
+
+
+def test_a_list_is_an_article():
+    items = "".join(f"<li>item {i} of the list here" for i in range(30))
+    advert = "<div><p>" + " ".join(f"buy{j}" for j in range(200)) + "</p></div>"
+    got = webtext.extract_text(f"<body><article><h1>The list</h1><ul>{items}</ul></article>{advert}</body>")
+    assert got.count("\n") == 30 and "buy" not in got
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "text", "<b>" * 100_000 + "</i>" * 100_000 + "text", "<p>a" * 100_000, "<table><tr><td>" * 60_000 + "x", "<ul>" * 50_000 + "<li>x" * 50_000, "<a " * 100_000, "<!-- " * 100_000])
+def test_time_grows_with_the_page(page):
+    began = time.process_time()
+    webtext.extract_text(page)
+    assert time.process_time() - began < 15  # the quadratic way took over half an hour
+
+
+def _choice(tree, linked=False):
+    """Nodes with their sums by definition, for the choice below: (sum, node) of all."""
+    out = []
+
+    def visit(node):
+        out.append(node)
+        for x in node.seen():
+            visit(x)
+
+    visit(tree)
+    return out
+
+
+def test_choice_of_nodes_equals_brute_force():
+    """Of all subtrees that don't lie apart, the one of the largest sum, a named one counting NAMED times."""
+    rng = random.Random(11)
+
+    def make(depth):
+        tag = rng.choice(["div", "div", "p", "section", "ul", "li", "article", "nav", "span", "a", "div class=comments", "div class=ad-slot", "footer"])
+        inner = [" ".join(["w"] * rng.randint(0, 30)) if depth > 3 or rng.random() < 0.4 else make(depth + 1) for _ in range(rng.randint(1, 4))]
+        return f"<{tag}>{''.join(inner)}</{tag.split()[0]}>"
+
+    for _ in range(200):
+        root = webtext.parse(f"<body>{make(0)}{make(0)}</body>")
+        found, _, _ = webtext.main_nodes(root)
+        nodes = _choice(root)
+        apart = lambda x: any(y.aside or y.hinted for y in webtext._ways_up(x))
+        mains = [x for x in nodes if x.main and not apart(x) and x.chars and not any(y.main for y in webtext._ways_up(x.parent))]
+        free = [x for x in nodes if not apart(x) and x.total > 0]
+        if not found:
+            assert not free
+            continue
+        value = lambda x: x.total * (webtext.NAMED if len(mains) == 1 and any(y is mains[0] for y in webtext._ways_up(x)) else 1.0)
+        best = max(map(value, free))
+        assert any(abs(value(x) - best) < 1e-9 for x in found) and not any(apart(x) for x in found)
+
+
 def test_main_text(spark):
     rows = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, "u", "plain text &lt;here&gt;"), (5, "u", "<p>unclosed <i>tag"), (5, "u", "<p>unclosed <i>tag"), (6, "u", "<html><body><nav>only menu</nav></body></html>"), (7, None, "<div>" * 3000 + "deep" + "</div>" * 10), (8, "u", "<!-- open comment <p>x</p>"), (9, "u", "<p>a</p><p>b &amp"), (10, "u", "<article><h2>x</h2><form><p>sign up</p></form><p>kept</p></article>")]
     pages = spark.createDataFrame([(*r, "t", 3) for r in rows], "page_id long, url string, html string, text string, n_chars int")

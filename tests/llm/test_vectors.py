@@ -68,6 +68,42 @@ def test_join_of_many_close_vectors(spark, monkeypatch):
     assert joined(df) == sorted([(i, 399, 0, i == 0) for i in range(400)] + [(1000 + i, 0, 1000 + i, True) for i in range(200)])
 
 
+def test_parts_that_many_pass_lie_in_several_tasks(spark, monkeypatch):
+    """Held rows are copied to tasks by the rows that pass; links are still counted once."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    want = joined(df)
+    monkeypatch.setattr(embeddings, "PART_ROWS", 40)
+    monkeypatch.setattr(embeddings, "PASSING_ROWS", 30)
+    monkeypatch.setattr(embeddings, "COPY_BYTES", 1000)
+    assert joined(df) == want and sum(r[1] for r in want) > 100
+
+
+def test_wide_vectors_with_many_visits(spark):
+    """768 dimensions and 120 parts: copies are cut by bytes, and pivots meet one another only as homes."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(40, 768))
+    rows = [(i, (base[i % 40] + rng.normal(scale=0.05 * (i % 3), size=768)).astype(np.float32).tolist()) for i in range(600)]
+    old, embeddings.PART_ROWS = embeddings.PART_ROWS, 5
+    try:
+        got = embeddings.similarity_join(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    finally:
+        embeddings.PART_ROWS = old
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(links.tolist()))
+
+
+def test_layout_holds_no_table_of_pivot_pairs():
+    rng = np.random.default_rng(8)
+    pivots = embeddings._units(rng.normal(size=(3000, 16)))
+    own = embeddings.Layout(pivots, np.eye(16)[:, :4], 0.95)
+    assert sum(v.nbytes for v in vars(own).values() if isinstance(v, np.ndarray)) < 2 * pivots.nbytes
+    assert own.slice_rows * len(pivots) <= embeddings.SLICE_NUMBERS
+
+
 def test_join_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert joined(spark.createDataFrame([], schema)) == []
@@ -107,4 +143,4 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
