@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gramlake.functions import special
 from gramlake.operators.rows import sum_rows
+from gramlake.operators.state import cut
 from gramlake.operators.terms import finite
 
 
@@ -85,6 +87,80 @@ def exact_quantile(df: DataFrame, value: Column, share: float, bins: int = 1024,
     return first if want[0] == want[1] or pos == want[0] else first + (pos - want[0]) * (rank(want[1]) - first)
 
 
+#: Values of a bracket that are sorted as one list, and bins that a larger one is counted in.
+KEEP, BINS = 50_000, 256
+
+
+def quantiles(df: DataFrame, value: Column, shares: list[float], by: list[str] = (), keep: int = KEEP, bins: int = BINS) -> DataFrame:
+    """by, n, q: the exact quantiles of every group (linear between order statistics), an array in the order of ``shares``.
+
+    Brackets of values, at first a group's whole range, are counted in bins until those that hold a wanted rank have ``keep`` values at
+    most; these alone are sorted, each bracket by itself. A pass adds up (group, bin) counts before it shuffles them, so a group
+    of any size sends a few numbers a task; rows meet their bracket by a join on the group, whose skewed side can be split, and only rows
+    of brackets that hold a wanted rank go on. Groups with no finite value aren't there; null is a group of its own.
+    """
+    by = list(by)
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], value.cast("double").alias("v"), F.lit("").alias("b")).where(finite(F.col("v")))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 0")
+    at = [F.lit(float(s)) * (F.col("n") - 1) for s in shares]
+    ranks = F.array_distinct(F.concat(F.array(*[F.floor(p) for p in at]), F.array(*[F.ceil(p) for p in at])))
+    sizes = cut(sizes.withColumn("ranks", ranks))
+    brackets = sizes.select(*keys, F.lit("").alias("b"), F.lit(0).cast("long").alias("below"), F.col("n").alias("m"), "lo", "hi", "ranks")
+    found = []
+
+    def met(rows: DataFrame, brackets: DataFrame) -> DataFrame:
+        other = brackets.select(*[F.col(c).alias(f"o_{c}") for c in brackets.columns])
+        on = rows["b"] == other["o_b"]
+        for k in keys:
+            on = on & rows[k].eqNullSafe(other[f"o_{k}"])
+        return rows.join(other, on).select(*keys, "v", *[F.col(f"o_{c}").alias(c) for c in brackets.columns if c not in keys])
+
+    for turn in itertools.count():
+        same = brackets.where("lo = hi").select(*keys, F.explode("ranks").alias("rank"), F.col("lo").alias("value"))
+        few = met(rows, brackets.where((F.col("m") <= keep) & (F.col("lo") < F.col("hi"))))
+        lists = few.groupBy(*keys, "b").agg(F.sort_array(F.collect_list("v")).alias("l"), F.first("below").alias("below"), F.first("ranks").alias("ranks"))  # keep values at most
+        sorted_ = lists.select(*keys, "below", "l", F.explode("ranks").alias("rank")).select(*keys, "rank", F.element_at("l", (F.col("rank") - F.col("below") + 1).cast("int")).alias("value"))
+        found += [same, sorted_]
+        more = brackets.where((F.col("m") > keep) & (F.col("lo") < F.col("hi")))
+        if not more.limit(1).count():
+            break
+        inside = met(rows, more).withColumn("part", _part(bins))
+        inside = cut(inside) if turn else inside  # after the first round, few rows are left
+        counts = inside.groupBy(*keys, "b", "part").agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"), F.first("below").alias("start"), F.first("ranks").alias("ranks"))
+        upto = F.sum("m").over(Window.partitionBy(*keys, "b").orderBy("part"))  # bins rows
+        below = counts.withColumn("below", F.col("start") + upto - F.col("m"))
+        wanted = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("m")))
+        brackets = cut(below.withColumn("ranks", wanted).where(F.size("ranks") > 0).select(*keys, F.concat_ws(".", "b", F.col("part").cast("string")).alias("b"), "below", "m", F.col("low").alias("lo"), F.col("high").alias("hi"), "ranks"))
+        rows = inside.select(*keys, "v", F.concat_ws(".", "b", F.col("part").cast("string")).alias("b"))
+    whole = found[0]
+    for f in found[1:]:
+        whole = whole.unionByName(f)
+    table = whole.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("values"))
+    named = table.select(*[F.col(k).alias(f"o_{k}") for k in keys], "values")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"o_{k}"))
+    joined = sizes.join(named, on)
+    q = F.transform(F.array(*[F.lit(float(s)) for s in shares]), lambda s: _between(s * (F.col("n") - 1)))
+    return joined.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "n", q.alias("q"))
+
+
+def _part(bins: int) -> Column:
+    """The bin of v in its bracket from lo to hi, never falling in v, lo and hi apart: even ones, in logarithms where a bracket spans magnitudes, and by sign first."""
+    v, lo, hi, half = F.col("v"), F.col("lo"), F.col("hi"), max(1, bins // 2)
+    even = lambda a, z, n: F.least(F.greatest(F.floor(a / z * n), F.lit(0)), F.lit(n - 1))
+    signed = F.when(v < 0, even(v - lo, -lo, half)).when(v == 0, half).otherwise(half + 1 + even(v, hi, half))
+    logs = F.when(lo > 0, even(F.log(v) - F.log(lo), F.log(hi) - F.log(lo), bins)).otherwise(even(F.log(-lo) - F.log(-v), F.log(-lo) - F.log(-hi), bins))
+    return F.when((lo <= 0) & (hi >= 0), signed).when((hi / lo > 4) | (lo / hi > 4), logs).otherwise(even(v - lo, hi - lo, bins)).cast("long")
+
+
+def _between(at: Column) -> Column:
+    """The value at a rank that may lie between two."""
+    low, high = F.floor(at), F.ceil(at)
+    return F.when(low == high, F.col("values")[low]).otherwise((high - at) * F.col("values")[low] + (at - low) * F.col("values")[high])
+
+
 def mad_scale(df: DataFrame, resid: Column) -> float:
     """Median of |r| over the normal's 0.75 quantile; not recentred."""
     return exact_quantile(df, F.abs(resid), 0.5) / special.norm_ppf(0.75)
@@ -140,10 +216,8 @@ def distribution_curve(spark, kind: str, lo: float, hi: float, points: int, **pa
 
 
 def hdi(df: DataFrame, x: str, level: float = 0.95, by: list[str] = (), points: int = 1001) -> DataFrame:
-    """by, lo, hi: the shortest interval between grid quantiles that holds ``level``. Exact quantiles in one aggregate."""
-    v = F.col(x).cast("double")
-    shares = ", ".join(repr(i / (points - 1)) for i in range(points))
-    q = df.where(finite(v)).groupBy(*by).agg(F.expr(f"percentile(cast(`{x}` as double), array({shares}))").alias("q"))
+    """by, lo, hi: the shortest interval between grid quantiles that holds ``level``. Exact quantiles by counting passes."""
+    q = quantiles(df, F.col(x), [i / (points - 1) for i in range(points)], by)
     gap = int(round(level * (points - 1)))
     ends = F.transform(F.sequence(F.lit(1), F.lit(points - gap)), lambda i: F.struct((F.element_at("q", i + gap) - F.element_at("q", i)).alias("w"), F.element_at("q", i).alias("lo"), F.element_at("q", i + gap).alias("hi")))
     return q.select(*by, F.array_min(ends).alias("e")).select(*by, "e.lo", "e.hi")

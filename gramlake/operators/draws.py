@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gramlake.operators.aggregates import quantiles
 from gramlake.operators.linear import Gram
 
 
@@ -76,8 +77,9 @@ def draws_summary(draws: DataFrame, burn_in: int = 0, thin: int = 1, level: floa
     """param, n, mean, sd, q_lo, median, q_hi after burn-in and thinning."""
     kept = draws.where((F.col("draw") >= burn_in) & ((F.col("draw") - burn_in) % thin == 0))
     a = (1 - level) / 2
-    q = F.expr(f"percentile(value, array({a}, 0.5, {1 - a}))")
-    return kept.groupBy("param").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), q[0].alias("q_lo"), q[1].alias("median"), q[2].alias("q_hi"))
+    moments = kept.groupBy("param").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    q = quantiles(kept, F.col("value"), [a, 0.5, 1 - a], ["param"]).select("param", "q")
+    return moments.join(q, "param").select("param", "n", "mean", "sd", *[F.col("q")[i].alias(c) for i, c in enumerate(("q_lo", "median", "q_hi"))])
 
 
 def transform_draws(draws: DataFrame, params: list[str], sql: str, name: str) -> DataFrame:
@@ -99,5 +101,6 @@ def simulate_test(spark, params: np.ndarray, cov: np.ndarray, func, draws: int =
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray([func(p) for p in params + z @ chol.T], float))], ["value"])
 
     t = spark.range(draws).mapInArrow(make, "value double")
-    r = t.agg(F.expr("percentile(value, array(0.025, 0.975))").alias("q"), F.avg((F.col("value") <= 0).cast("double")).alias("lo"), F.avg((F.col("value") >= 0).cast("double")).alias("hi"), F.stddev_samp("value").alias("sd")).first()
-    return {"value": float(func(np.asarray(params))), "lo": r.q[0], "hi": r.q[1], "sd": r.sd, "p": min(1.0, 2 * min(r.lo, r.hi)) if not math.isnan(r.lo) else math.nan}
+    q = quantiles(t, F.col("value"), [0.025, 0.975]).first().q
+    r = t.agg(F.avg((F.col("value") <= 0).cast("double")).alias("lo"), F.avg((F.col("value") >= 0).cast("double")).alias("hi"), F.stddev_samp("value").alias("sd")).first()
+    return {"value": float(func(np.asarray(params))), "lo": q[0], "hi": q[1], "sd": r.sd, "p": min(1.0, 2 * min(r.lo, r.hi)) if not math.isnan(r.lo) else math.nan}

@@ -116,7 +116,10 @@ def test_from_draws(table: DataFrame, level: float = 0.95) -> DataFrame:
     """term, lo, hi (quantiles of the draws) and the two-sided p of zero."""
     a = (1 - level) / 2
     low, high = F.avg((F.col("value") <= 0).cast("double")), F.avg((F.col("value") >= 0).cast("double"))
-    return table.groupBy("term").agg(F.expr(f"percentile(value, {a})").alias("lo"), F.expr(f"percentile(value, {1 - a})").alias("hi"), F.least(F.lit(1.0), 2 * F.least(low, high)).alias("p"))
+    from gramlake.operators.aggregates import quantiles
+
+    ends = quantiles(table, F.col("value"), [a, 1 - a], ["term"])
+    return ends.join(table.groupBy("term").agg(F.least(F.lit(1.0), 2 * F.least(low, high)).alias("p")), "term").select("term", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "p")
 
 
 #: Rows of a group, or of a part of one, that a task holds to find thresholds; and numbers of a step's block of rows by permutations.

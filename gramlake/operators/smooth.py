@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.operators.aggregates import histogram
+from gramlake.operators.aggregates import histogram, quantiles
 from gramlake.operators.rows import sum_rows
 from gramlake.operators.terms import finite
 
@@ -27,7 +27,7 @@ def _kernel(kind: str, u: np.ndarray) -> np.ndarray:
 def bandwidth(df: DataFrame, x: str, kind: str = "gaussian", rule: str = "normal_reference") -> float:
     """c * min(sd, IQR / 1.34) * n^(-1/5): c is 1.059 (scott), 0.9 (silverman) or the kernel's reference constant."""
     v = F.col(x).cast("double")
-    n, sd, q = df.where(finite(v)).agg(F.count("*"), F.stddev_samp(v), F.expr(f"percentile(cast(`{x}` as double), array(0.25D, 0.75D))")).first()
+    sd, (n, q) = df.where(finite(v)).agg(F.stddev_samp(v)).first()[0], quantiles(df, v, [0.25, 0.75]).first()
     spread = min(sd, (q[1] - q[0]) / 1.34) if q[1] > q[0] else sd
     c = {"scott": 1.059, "silverman": 0.9}.get(rule, REFERENCE[kind])
     return c * spread * n ** (-1 / 5)

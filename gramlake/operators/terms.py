@@ -150,7 +150,9 @@ def bs(column: str, df: int = 6, degree: int = 3, include_intercept: bool = Fals
     def fit(frame: DataFrame) -> Term:
         inner = df + (not include_intercept) - degree - 1
         shares = [0.0, *[(i + 1) / (inner + 1) for i in range(inner)], 1.0]
-        q = frame.agg(F.expr(f"percentile(cast(`{column}` as double), array({', '.join(map(repr, shares))}))").alias("q")).first().q
+        from gramlake.operators.aggregates import quantiles
+
+        q = quantiles(frame, F.col(column), shares).first().q
         knots = np.array([q[0] - 1e-6] * (degree + 1) + q[1:-1] + [q[-1] + 1e-6] * (degree + 1))
 
         @F.pandas_udf("array<double>")
