@@ -71,6 +71,10 @@ class Words:
             self.script[self.which[word[::-1]]] = kind[is_letter][::-1]  # a word's first letter outside Latin decides
 
 
+#: Bytes from which on a single text is labelled in pieces, and of a piece.
+LONG_BYTES, PIECE_BYTES = 4_000_000, 250_000
+
+
 class Model:
     """Log-probabilities of n-grams for each language, and each language's scripts."""
 
@@ -140,6 +144,44 @@ class Model:
             label[at] = self._steps(scores[at], np.concatenate([[0], np.cumsum(counts[mixed])]), kind)
         return label
 
+    def shares(self, data: np.ndarray, piece: int | None = None) -> tuple[bool, np.ndarray]:
+        """Whether a long text holds a letter, and the letters of each language in it, without ever scoring it whole.
+
+        A first run over its pieces keeps the best values at each piece's start; a second one goes back from the last piece to
+        the first, takes the steps of one piece again and follows them. Labels are those of ``labels``; memory is a piece's.
+        """
+        cuts, k = piece_ends(data, piece or PIECE_BYTES), len(self.languages)
+        value, starts, letters = np.zeros(k), [], False
+        for a, b in itertools.pairwise(cuts):
+            whole = np.array([0, b - a])
+            letters = letters or bool(has_letter(data[a:b], whole)[0])
+            starts.append(value)
+            value = self._forward(self.scores(Words(data[a:b], whole)), value)[0] if k else value
+        share = np.zeros(k + 1)
+        if k:
+            now = int(value.argmax())
+            for (a, b), value in zip(reversed([*itertools.pairwise(cuts)]), reversed(starts), strict=True):
+                words = Words(data[a:b], np.array([0, b - a]))
+                _, stay, best = self._forward(self.scores(words), value)
+                label = np.empty(len(best), np.int64)
+                for i in range(len(best) - 1, -1, -1):
+                    label[i] = now
+                    now = now if stay[i, now] else int(best[i])
+                share += np.bincount(label, words.lengths, k + 1)
+        return letters, share
+
+    @staticmethod
+    def _forward(scores: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best values after some words, and for each word where staying is as good as switching, and what to switch from."""
+        v, stay, best = value.copy(), np.empty(scores.shape, bool), np.empty(len(scores), np.int32)
+        for i, s in enumerate(scores):
+            best[i] = at = v.argmax()
+            top = v[at] - SWITCH
+            np.greater_equal(v, top, out=stay[i])
+            np.maximum(v, top, out=v)
+            v += s
+        return v, stay, best
+
     @staticmethod
     def _steps(scores: np.ndarray, first: np.ndarray, kind: type) -> np.ndarray:
         """All texts in step, word by word, the longest texts first, so that a step's words lie side by side."""
@@ -179,7 +221,8 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Model:
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch, data, offsets in text_slices(batches, "t"):
+        pieces = ((batch, data[a:b], np.array([0, b - a])) if len(offsets) == 2 else (batch, data, offsets) for batch, data, offsets in text_slices(batches, "t") for a, b in itertools.pairwise(piece_ends(data, LONG_BYTES) if len(offsets) == 2 else [0, len(data)]))
+        for batch, data, offsets in pieces:
             words = Words(data, offsets)
             names = np.array(batch.column(0).to_pylist(), dtype=object)
             row = np.searchsorted(words.first, np.arange(len(words.which)), side="right") - 1
@@ -205,6 +248,21 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Model:
     return Model(languages, logs, scripts)
 
 
+def piece_ends(data: np.ndarray, size: int) -> list[int]:
+    """Places that cut bytes into pieces of at least ``size``, each behind white space, so that no word is cut."""
+    ends, n = [0], len(data)
+    while ends[-1] < n:
+        at = ends[-1] + size
+        while at < n:
+            white = np.flatnonzero(data[at : at + size] <= 32)
+            if len(white):
+                at += int(white[0]) + 1
+                break
+            at += size
+        ends.append(min(at, n))
+    return ends
+
+
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text holds a letter of any script."""
     points, at = code_points(data)
@@ -229,13 +287,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str
 
         def run(data, offsets):
             n, k = len(offsets) - 1, len(own.languages)
-            known = has_letter(data, offsets)
-            share = np.zeros((n, k + 1))
-            if k:
-                words = Words(data, offsets)
-                label = own.labels(own.scores(words), words.first)
-                row = np.searchsorted(words.first, np.arange(len(label)), side="right") - 1
-                share = np.bincount(row * (k + 1) + label, weights=words.lengths, minlength=n * (k + 1)).reshape(n, k + 1)
+            if len(data) > LONG_BYTES and n == 1:
+                letters, share = own.shares(data)
+                known, share = np.array([letters]), share[None, :]
+            else:
+                known = has_letter(data, offsets)
+                share = np.zeros((n, k + 1))
+                if k:
+                    words = Words(data, offsets)
+                    label = own.labels(own.scores(words), words.first)
+                    row = np.searchsorted(words.first, np.arange(len(label)), side="right") - 1
+                    share = np.bincount(row * (k + 1) + label, weights=words.lengths, minlength=n * (k + 1)).reshape(n, k + 1)
             known &= share.sum(axis=1) > 0
             best = np.where(known, share.argmax(axis=1), k)
             score = np.where(known, share.max(axis=1) / np.maximum(1, share.sum(axis=1)), 0.0)

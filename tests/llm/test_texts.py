@@ -490,6 +490,30 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language.identify(table(spark, ODD), language.train(train.limit(0))).collect()} == {"und"}
 
 
+def test_long_texts_in_pieces():
+    """A text labelled piece by piece has the shares of the same text labelled whole; memory is a piece's."""
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    for k in (1, 2, 5):
+        model = language.Model([f"l{i}" for i in range(k)], rng.normal(-8, 1.5, (k, len(language.SIZES), language.BUCKETS)).astype(np.float32), np.ones((k, len(language.SCRIPTS))))
+        for text in ["", "1 2", " ".join("".join(rng.choice(list("abcdé日я"), rng.integers(1, 7))) for _ in range(700)), "x" * 3000 + " yz " * 50]:
+            data = np.frombuffer(text.encode(), np.uint8)
+            words = language.Words(data, np.array([0, len(data)]))
+            label = model.labels(model.scores(words), words.first)
+            want = np.bincount(label, words.lengths, k + 1)
+            for piece in (1, 50, 10**6):
+                letters, share = model.shares(data, piece)
+                assert letters == any(c.isalpha() for c in text) and share.tolist() == want.tolist()
+    many = language.Model([f"l{i}" for i in range(200)], rng.normal(-8, 1, (200, len(language.SIZES), language.BUCKETS)).astype(np.float32), np.ones((200, len(language.SCRIPTS))))
+    data = np.frombuffer(b"some words of a text that goes on and on " * 30_000, np.uint8)  # 270,000 words: 430 MB of scores if whole
+    tracemalloc.start()
+    _, share = many.shares(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert share.sum() == sum(map(len, b"some words of a text that goes on and on".split())) * 30_000 and peak < 250_000_000
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(1)
     model = language.Model(["a", "b", "c"], np.zeros((3, 3, language.BUCKETS), np.float32), np.ones((3, len(language.SCRIPTS))))
