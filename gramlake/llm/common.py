@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,31 @@ def cut(df: DataFrame) -> DataFrame:
         if folder is None and not (context.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gramlake-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    if _cuts:
+        _cuts[-1].append(out._jdf.logicalPlan().rdd().getCheckpointFile().get())
+    return out
+
+
+_cuts: list[list[str]] = []
+
+
+@contextmanager
+def cuts_within(spark: SparkSession) -> Iterator[list[str]]:
+    """The folders of the cuts made inside, in order; those still in the list at the end are removed."""
+    made: list[str] = []
+    _cuts.append(made)
+    try:
+        yield made
+    finally:
+        _cuts.pop()
+        remove(spark, made)
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
