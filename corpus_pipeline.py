@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramlake.llm import decontamination, language, linededup, neardup, packing
-from gramlake.llm.common import cut, read
+from gramlake.llm.common import cut, cuts_within, read, remove
 
 #: Least share of a document's letters that its language has.
 LANGUAGE_SHARE = 0.5
@@ -67,8 +67,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage kept is written once in the shared checkpoint folder for the next."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents; what a stage kept is written once in the shared checkpoint folder for the next.
+
+    Whatever a stage wrote on its way, and what it read, is removed when its result is written; the last result's input stays.
+    """
+    docs, before = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with cuts_within(spark) as made:
+            docs = cut(stage(spark, docs, sf_dir))
+            kept = [made.pop()]
+        remove(spark, before)
+        before = kept
     return STAGES[-1][1](spark, docs, sf_dir)
