@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gramlake.jobs.solve_sql import ROBUST_SUMS, least_squares, newton, robust
 from gramlake.operators import draws as D
-from gramlake.operators import irls, linear, mle, moments_fits, penalized, series, smooth
+from gramlake.operators import effects, irls, linear, mle, moments_fits, penalized, series, smooth
 from gramlake.operators.state import folder
 from gramlake.operators.terms import Design, num
 from gramlake.sources.tables import table
@@ -304,7 +304,32 @@ def hurdle_mean(spark, d):
 @query("d6_average_effect_customer")
 def effect(spark, d):
     df = _orders_per_customer(spark, d)
-    return _out(spark, [("bal", mle.average_effect(mle.fit_mle(df, Design(["n"], [num("bal")]), "nb2"), df, "bal"))], "term string, effect double")
+    return _out(spark, [("bal", mle.average_effect(mle.fit_mle(df, Design(["n"], [num("bal")]), "nb2"), df, "bal")[0])], "term string, effect double")
+
+
+_EFFECT = """, h as (select sum(mu) as haa, sum(mu * x) as hab, sum(mu * x * x) as hbb, avg(mu) as m0, avg(mu * x) as m1, any_value(b1) as b1 from f),
+g as (select *, m0 * b1 as effect, m0 * b1 as ja, m0 + m1 * b1 as jb, haa * hbb - hab * hab as det from h)"""
+
+
+@query("d6_effect_errors_customer", _steps(_COUNTS, f"select ln(avg(y)) as b0, 0.0::double as b1 from ({_COUNTS})", "exp(b0 + b1 * x)", "mu") + _EFFECT + " select 'bal' as term, round(effect, 6) as effect, round(sqrt((ja * ja * hbb - 2 * ja * jb * hab + jb * jb * haa) / det), 6) as std_err from g")
+def effect_errors(spark, d):
+    df = _orders_per_customer(spark, d)
+    effect, error = mle.average_effect(mle.fit_mle(df, Design(["n"], [num("bal")]), "poisson", cov_type="NONROBUST"), df, "bal")
+    return spark.createDataFrame([("bal", round(effect, 6), round(error, 6))], "term string, effect double, std_err double")
+
+
+@query(
+    "g6_row_effects_lineitem",
+    _LOGIT_ROWS
+    + """, h as (select sum(v) as haa, sum(v * x) as hab, sum(v * x * x) as hbb from f),
+r as (select l_orderkey, l_linenumber, v * b1 as effect, v * (1 - 2 * mu) * b1 as ja, v + x * v * (1 - 2 * mu) * b1 as jb, haa, hab, hbb from f cross join h)
+select l_orderkey, l_linenumber, round(effect, 5) as effect, round(sqrt((ja * ja * hbb - 2 * ja * jb * hab + jb * jb * haa) / (haa * hbb - hab * hab)), 5) as std_err from r""",
+)
+def row_effects(spark, d):
+    df = _line(spark, d)
+    fit = irls.glm(df, Design(["returned"], [num("q")]), "binomial")
+    out = effects.row_effects(fit, df, "q", irls.predict)
+    return out.select("l_orderkey", "l_linenumber", F.round("effect", 5).alias("effect"), F.round("std_err", 5).alias("std_err"))
 
 
 @query("d5_poisson_mean_customer", _steps(_COUNTS.replace("as y,", "as y, c_custkey,"), f"select ln(avg(y)) as b0, 0.0::double as b1 from ({_COUNTS})", "exp(b0 + b1 * x)", "mu") + " select c_custkey, round(mu, 6) as mean from f")
@@ -508,9 +533,30 @@ def saved(spark, d):
     return linear.Fit.load(path, spark).table(spark, digits=3).select("term", "coef")
 
 
-@query("e1_kde_orders")
+def _kde_sql(source: str, x: str, n: int, by: str = "") -> str:
+    """Counts in a group's bins, and the sum of kernels at each other bin."""
+    k = f"{by}, " if by else ""
+    same = f"a.{by} = b.{by}" if by else "true"
+    return f"""with v as (select {k}{x}::double as v from {source} where {x} is not null),
+m as (select {k}1.05922384 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34) * pow(count(*), -0.2) as h, min(v) as lo, max(v) as hi from v group by all),
+g as (select {k}h, lo - 4 * h as lo, (hi - lo + 8 * h) / {n} as width from m where h > 0),
+c as (select {', '.join(f'b.{x}' for x in ([by] if by else []) + ['h', 'lo', 'width'])}, least(greatest(floor((v - lo) / width), 0), {n - 1}) as j, count(*) as c from v a join g b on {same} group by all),
+d as (select {k}i, any_value(lo) + (i + 0.5) * any_value(width) as x, any_value(width) as width, sum(c * exp(-0.5 * ((i - j) * width / h) ** 2)) as d from c cross join range({n}) r(i) group by {k}i)
+select {k}round(x, 6) as x, round(d / (sum(d) over ({f'partition by {by}' if by else ''}) * width) * 1e6, 6) as density from d"""
+
+
+def _density(out):
+    return out.withColumn("x", F.round("x", 6)).withColumn("density", F.round(F.col("density") * 1e6, 6))
+
+
+@query("e1_kde_orders", _kde_sql("orders", "o_totalprice", 256))
 def kde(spark, d):
-    return smooth.kde(table(spark, d, "orders"), "o_totalprice", gridsize=256)
+    return _density(smooth.kde(table(spark, d, "orders"), "o_totalprice", gridsize=256))
+
+
+@query("e1_kde_by_type_events", _kde_sql("events", "value", 128, "event_type"))
+def kde_by(spark, d):
+    return _density(smooth.kde(table(spark, d, "events"), "value", gridsize=128, by=["event_type"]))
 
 
 @query("e2_kernel_smooth_lineitem", "with m as (select 1.069 * stddev_pop(l_quantity) * pow(count(*), -0.2) as h, min(l_quantity) as lo, (max(l_quantity) - min(l_quantity)) / 64 as width from lineitem), b as (select least(floor((l_quantity - lo) / width), 63) as j, count(*) as n, sum(l_extendedprice) as s, any_value(h) as h, any_value(lo) as lo, any_value(width) as width from lineitem cross join m group by 1), g as (select i, any_value(lo) + (i + 0.5) * any_value(width) as x, sum(n * exp(-0.5 * pow((i - j) * width / h, 2))) as p, sum(s * exp(-0.5 * pow((i - j) * width / h, 2))) as q from range(64) r(i) cross join b group by 1) select round(x, 6) as x, round(q / p, 3) as y from g")

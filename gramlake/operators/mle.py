@@ -290,11 +290,8 @@ def hurdle_mean(fits: dict[str, Fit], df: DataFrame, name: str = "mean") -> Data
     return out.withColumn(name, F.col("_p") * F.col("_m")).drop("_p", "_m")
 
 
-def average_effect(fit: Fit, df: DataFrame, column: str, h: float = 1e-4) -> float:
-    """Mean change of the predicted mean for a unit of a numeric column, by shifting it."""
-    moved: Column = F.col(column) + h
-    a = predict_mean(fit, df, "_a").agg(F.avg("_a")).first()[0]
-    b = predict_mean(fit, df.withColumn(column, moved), "_b").agg(F.avg("_b")).first()[0]
-    return (b - a) / h
-
+def average_effect(fit: Fit, df: DataFrame, column: str, secant: bool = False, weight: str | None = None) -> tuple[float, float]:
+    """Mean change of the predicted mean for a unit of a numeric column (or from 0 to 1), and its error. One aggregate."""
+    from gramlake.operators.effects import average_effects
 
+    return average_effects(fit, df, [column], predict_mean, (column,) if secant else (), weight=weight)[column]

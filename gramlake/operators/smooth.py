@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.operators.aggregates import histogram, quantiles
+from gramlake.operators.aggregates import quantiles
 from gramlake.operators.rows import sum_rows
 from gramlake.operators.terms import finite
 
@@ -26,44 +26,65 @@ def _kernel(kind: str, u: np.ndarray) -> np.ndarray:
 
 def bandwidth(df: DataFrame, x: str, kind: str = "gaussian", rule: str = "normal_reference") -> float:
     """c * min(sd, IQR / 1.34) * n^(-1/5): c is 1.059 (scott), 0.9 (silverman) or the kernel's reference constant."""
-    v = F.col(x).cast("double")
-    sd, (n, q) = df.where(finite(v)).agg(F.stddev_samp(v)).first()[0], quantiles(df, v, [0.25, 0.75]).first()
-    spread = min(sd, (q[1] - q[0]) / 1.34) if q[1] > q[0] else sd
+    return bandwidths(df, x, kind, rule).first().h
+
+
+def bandwidths(df: DataFrame, x: str, kind: str = "gaussian", rule: str = "normal_reference", by: list[str] = (), weight: str | None = None) -> DataFrame:
+    """by, h, lo, hi: every group's bandwidth and range; n is (sum w)^2 / sum w^2 with weights. Quartiles by counting passes, for all groups at once."""
+    v, w = F.col(x).cast("double"), F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.where(finite(v) & finite(w) & (w > 0))
     c = {"scott": 1.059, "silverman": 0.9}.get(rule, REFERENCE[kind])
-    return c * spread * n ** (-1 / 5)
+    spread = F.when(F.col("q")[1] > F.col("q")[0], F.least("_sd", (F.col("q")[1] - F.col("q")[0]) / 1.34)).otherwise(F.col("_sd"))
+    moments = rows.groupBy(*by).agg(F.stddev_samp(v).alias("_sd"), (F.pow(F.sum(w), 2) / F.sum(w * w)).alias("_n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    both = _met(moments, quantiles(rows, v, [0.25, 0.75], by).drop("n"), list(by))
+    return both.select(*by, (c * spread * F.pow("_n", F.lit(-0.2))).alias("h"), "lo", "hi")
 
 
-def kde(df: DataFrame, x: str, kind: str = "gaussian", bw: float | str = "normal_reference", gridsize: int = 1024, cut: float = 4.0, adjust: float = 1.0, by: list[str] = ()) -> DataFrame:
+def _met(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Rows next to their group's columns; null is a group too."""
+    other = groups.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], *[c for c in groups.columns if c not in by])
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & rows[c].eqNullSafe(other[f"_b{i}"])
+    return rows.join(other, on).drop(*[f"_b{i}" for i in range(len(by))])
+
+
+def kde(df: DataFrame, x: str, kind: str = "gaussian", bw: float | str = "normal_reference", gridsize: int = 1024, cut: float = 4.0, adjust: float = 1.0, by: list[str] = (), weight: str | None = None, clip: tuple[float, float] = (-math.inf, math.inf)) -> DataFrame:
     """by, x, density on gridsize bin midpoints over [min - cut h, max + cut h], normalised to integrate to 1.
 
-    Rows are counted into bins once (an aggregate); the convolution is over the bins of a group. One
-    bandwidth and one grid serve all groups.
+    Every group has its own bandwidth and grid. Rows are counted (or weighed) into their group's bins once, an aggregate that sends a group's bins
+    and no rows; a group's convolution works on its bins alone. ``clip`` leaves out values outside it and cuts grids
+    to it. Groups without a spread (one value) have no density and aren't there.
     """
-    h = (bandwidth(df, x, kind, bw) if isinstance(bw, str) else bw) * adjust
-    v = F.col(x).cast("double")
-    lo, hi = df.where(finite(v)).agg(F.min(v), F.max(v)).first()
-    lo, hi = lo - cut * h, hi + cut * h
-    width = (hi - lo) / gridsize
-    bins = histogram(df, x, lo, hi, gridsize, by=by)
-    vectors = bins.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "count"))), lambda s: s["count"].cast("double")).alias("_c"))  # gridsize numbers a group
-    reach = np.arange(-gridsize + 1, gridsize) * width
-    weights = _kernel(kind, reach / h) / h
+    by = list(by)
+    v, w = F.col(x).cast("double"), F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.where(finite(v) & finite(w) & (w > 0) & v.between(*map(float, clip)))
+    groups = bandwidths(rows, x, kind, bw if isinstance(bw, str) else "normal_reference", by, weight)
+    h = F.lit(float(bw)) if not isinstance(bw, str) else F.col("h")
+    groups = groups.withColumn("h", h * adjust).where("h > 0")
+    groups = groups.withColumn("lo", F.greatest(F.col("lo") - cut * F.col("h"), F.lit(float(clip[0])))).withColumn("width", (F.least(F.col("hi") + cut * F.col("h"), F.lit(float(clip[1]))) - F.col("lo")) / gridsize)
+    own = rows.select(*by, v.alias("_v"), w.alias("_w"))
+    placed = _met(own, groups.select(*by, "h", "lo", "width"), by).withColumn("bin", F.least(F.greatest(F.floor((F.col("_v") - F.col("lo")) / F.col("width")), F.lit(0)), F.lit(gridsize - 1)).cast("int"))
+    bins = placed.groupBy(*by, "h", "lo", "width", "bin").agg(F.sum("_w").alias("c"))
+    vectors = bins.groupBy(*by, "h", "lo", "width").agg(F.collect_list(F.struct("bin", "c")).alias("l"))  # gridsize entries a group
+    vectors = vectors.select(*by, "h", "lo", "width", F.transform("l", lambda e: e["bin"].cast("double")).alias("i"), F.transform("l", lambda e: e["c"]).alias("c"))
+    size = 1 << (3 * gridsize - 2).bit_length()
 
     @F.pandas_udf("array<double>")
-    def smooth(c):
+    def smooth(h, width, i, c):
         import pandas as pd
 
-        size = 1 << (3 * gridsize - 2).bit_length()
-        fw = np.fft.rfft(weights, size)
         out = []
-        for a in c:
-            d = np.fft.irfft(np.fft.rfft(np.asarray(a, float), size) * fw, size)[gridsize - 1 : 2 * gridsize - 1]
-            d = np.maximum(d, 0)
-            out.append((d / (d.sum() * width)).tolist())
+        for one, step, at, count in zip(h, width, i, c, strict=True):
+            a = np.zeros(gridsize)
+            a[np.asarray(at, int)] = count
+            weights = _kernel(kind, np.arange(-gridsize + 1, gridsize) * step / one) / one
+            d = np.maximum(np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(weights, size), size)[gridsize - 1 : 2 * gridsize - 1], 0)
+            out.append((d / (d.sum() * step)).tolist())
         return pd.Series(out)
 
-    points = vectors.select(*by, F.posexplode(smooth("_c")).alias("_i", "density"))
-    return points.select(*by, (F.lit(lo) + (F.col("_i") + 0.5) * width).alias("x"), "density")
+    points = vectors.select(*by, "lo", "width", F.posexplode(smooth("h", "width", "i", "c")).alias("_i", "density"))
+    return points.select(*by, (F.col("lo") + (F.col("_i") + 0.5) * F.col("width")).alias("x"), "density")
 
 
 def kernel_smooth_direct(df: DataFrame, x: str, y: str, grid: list[float], h: float | None = None, weight: str | None = None) -> DataFrame:
