@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gramlake.jobs.solve_sql import basis, t_quantile, two_sided_p
+from gramlake.jobs.solve_sql import basis, least_squares, t_quantile, two_sided_p
 from gramlake.operators import covariance, linear
 from gramlake.operators.terms import Design, bs, cat, cheb, monomials, null_report, num, poly, seasonal, standardize, trend
 from gramlake.sources.tables import table
@@ -182,6 +182,20 @@ def wide_dummies(spark, d):
     return levels.select("l_partkey", "n", F.round(F.col("coef")[0], 3).alias("level"), F.round(F.col("std_err")[0], 3).alias("level_se"), F.lit(round(float(fit.params[0]), 4)).alias("slope"), F.lit(round(float(fit.bse[0]), 5)).alias("slope_se"))
 
 
+_OTHER = ["x", "f1", "f2", "o1"]
+_TWO_TERMS = f"""with l as (select l_partkey as g, l_extendedprice::double as y, l_quantity::double as x, (l_returnflag = 'N')::double as f1, (l_returnflag = 'R')::double as f2, (l_linestatus = 'O')::double as o1 from lineitem),
+g as (select g, count(*) as n, avg(y) as y, {", ".join(f"avg({c}) as {c}" for c in _OTHER)} from l group by g), c as (select l.g, l.y - g.y as y, {", ".join(f"l.{c} - g.{c} as {c}" for c in _OTHER)} from l join g using (g)),
+{least_squares("c", "y", _OTHER, intercept=False)}, k as (select *, count(*) over () as groups from g)
+select g as l_partkey, n, round(y - {" - ".join(f"b{i} * {c}" for i, c in enumerate(_OTHER))}, 3) as level, round(b0, 4) as slope, round(b1, 3) as flag_n, round(s0 * sqrt((fit_n - 4.0) / (fit_n - 4 - groups)), 5) as slope_se from k cross join (select n as fit_n, * exclude (n) from fit)"""
+
+
+@query("p6_two_wide_terms_lineitem", _TWO_TERMS)
+def two_terms(spark, d):
+    fit, levels = linear.level_ols(_line(spark, d), "l_extendedprice", ["l_partkey"], x=["l_quantity"], also=["l_returnflag", "l_linestatus"])
+    b = dict(zip(fit.names, fit.params, strict=True))
+    return levels.select("l_partkey", "n", F.round(F.col("coef")[0], 3).alias("level"), F.lit(round(float(b["l_quantity"]), 4)).alias("slope"), F.lit(round(float(b["C(l_returnflag)[N]"]), 3)).alias("flag_n"), F.lit(round(float(fit.bse[0]), 5)).alias("slope_se"))
+
+
 @query("j3_absorbed_effects_lineitem", _ABSORB + " select l_suppkey, g.n, round(my - b1 * ma - b2 * mb, 2) as effect from g cross join b")
 def effects_lineitem(spark, d):
     df = _line(spark, d)

@@ -190,6 +190,25 @@ def pseudo(spark, d):
     return _out(spark, [(0.5, irls.pseudo_r1(df, "l_extendedprice", 0.5, f.stats["cost"]), float(f.stats["share_below"]))], "tau double, r1 double, share_below double")
 
 
+@query(
+    "n1_shrink_to_targets_lineitem",
+    """with m as (select count(*) as n, avg(l_extendedprice) as my, avg(l_quantity) as ma, avg(l_discount) as mb from lineitem),
+s as (select avg((l_quantity - ma) ** 2) as aa, avg((l_quantity - ma) * (l_discount - mb)) as ab, avg((l_discount - mb) ** 2) as bb, avg((l_quantity - ma) * (l_extendedprice - my)) as ay, avg((l_discount - mb) * (l_extendedprice - my)) as byy from lineitem cross join m),
+r as (select aa + 20.0 as p, ab as q, bb + 0.002 as r, ay - ab * 500.0 - aa * 1000.0 as u, byy - bb * 500.0 - ab * 1000.0 as v from s)
+select t.term, round(t.coef, 4) as coef from r, lateral (values ('l_quantity', 1000.0 + (r * u - q * v) / (p * r - q * q)), ('l_discount', 500.0 + (p * v - q * u) / (p * r - q * q))) as t(term, coef)""",
+)
+def shrink(spark, d):
+    design = Design(["l_extendedprice"], [num("l_quantity"), num("l_discount")])
+    fit = penalized.elastic_net(_line(spark, d), design, {"l_quantity": 20.0, "l_discount": 0.002}, 0.0, targets={"l_quantity": 1000.0, "l_discount": 500.0})
+    return fit.table(spark, digits=4).where("term <> 'Intercept'").select("term", "coef")
+
+
+@query("n1_lasso_to_target_lineitem", "with m as (select avg(l_extendedprice) as my, avg(l_quantity) as mx from lineitem), s as (select avg((l_quantity - mx) * (l_extendedprice - my)) as xy, avg((l_quantity - mx) ** 2) as xx from lineitem cross join m) select 'l_quantity' as term, round(900.0 + sign(xy - 900.0 * xx) * greatest(abs(xy - 900.0 * xx) - 5000.0, 0) / xx, 4) as coef from s")
+def lasso_target(spark, d):
+    fit = penalized.elastic_net(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")]), 5000.0, targets={"l_quantity": 900.0})
+    return fit.table(spark, digits=4).where("term <> 'Intercept'").select("term", "coef")
+
+
 @query("n1_lasso_lineitem", "with m as (select count(*) as n, avg(l_extendedprice) as my, avg(l_quantity) as mx from lineitem), s as (select sum((l_quantity - mx) * (l_extendedprice - my)) / any_value(n) as xy, sum((l_quantity - mx) * (l_quantity - mx)) / any_value(n) as xx from lineitem cross join m) select 'l_quantity' as term, round(sign(xy) * greatest(abs(xy) - 50.0, 0) / xx, 4) as coef from s")
 def lasso(spark, d):
     fit = penalized.elastic_net(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")]), 50.0)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.operators.linear import Fit, centred, centred_gram, gram, ols, solve_scaled
+from gramlake.operators.linear import Fit, Gram, centred, centred_gram, gram, ols, solve_scaled
 from gramlake.operators.rows import sum_rows_by
 from gramlake.operators.terms import Design
 
@@ -37,17 +37,29 @@ def coordinate_descent(a: np.ndarray, b: np.ndarray, l1: np.ndarray, l2: np.ndar
     return x
 
 
-def elastic_net(df: DataFrame, design: Design, alpha: float, l1_ratio: float = 1.0, normalize: bool = False, refit: bool = False, free: tuple[str, ...] = ("Intercept",), positive: bool = False) -> Fit:
-    """SSR / (2n) + alpha l1_ratio |b| + alpha (1 - l1_ratio) b^2 / 2 without a penalty on ``free``. One pass; refit adds OLS with HC1 on the support."""
+def elastic_net(df: DataFrame, design: Design, alpha: float | dict[str, float], l1_ratio: float | dict[str, float] = 1.0, normalize: bool = False, refit: bool = False, free: tuple[str, ...] = ("Intercept",), positive: bool = False, targets: dict[str, float] | None = None) -> Fit:
+    """SSR / (2n) + alpha l1_ratio |b - t| + alpha (1 - l1_ratio) (b - t)^2 / 2 without a penalty on ``free``. One pass; refit adds OLS with HC1 on the support.
+
+    ``alpha`` and ``l1_ratio`` may name values by term (others: 0 and 1), ``targets`` what coefficients shrink to (others: 0).
+    """
     plan = design.fit(df)
     c, g = centred_gram(plan.rows(df), plan) if "Intercept" in free else (None, gram(plan.rows(df), plan))
     i = plan.names.index("Intercept") if "Intercept" in plan.names else None
     sd = np.sqrt(np.maximum(np.diag(g.xx) / g.sw - ((g.xx[:, i] / g.sw) ** 2 if i is not None else 0), 0))
     scale = np.where([n in free for n in plan.names], 0.0, sd if normalize else 1.0)
-    l1, l2 = alpha * l1_ratio * scale, alpha * (1 - l1_ratio) * scale * scale
+    alphas = np.array([alpha.get(n, 0.0) if isinstance(alpha, dict) else alpha for n in plan.names])
+    ratios = np.array([l1_ratio.get(n, 1.0) if isinstance(l1_ratio, dict) else l1_ratio for n in plan.names])
+    target = np.array([(targets or {}).get(n, 0.0) for n in plan.names])
+    if target[np.array([n in free for n in plan.names])].any():
+        raise ValueError("a free term has no target")
+    l1, l2 = alphas * ratios * scale, alphas * (1 - ratios) * scale * scale
+    # in terms of the distance to the targets: the outcome is less what the targets explain
+    moved = Gram(g.n, g.sw, g.slw, g.m.copy(), g.k, g.q)
+    moved.xy[:, 0] = g.xy[:, 0] - g.xx @ target
+    moved.yy[0, 0] = g.yy[0, 0] - 2 * target @ g.xy[:, 0] + target @ g.xx @ target
     a, b = g.xx / g.n, g.xy[:, 0] / g.n
-    beta = coordinate_descent(a, b, l1, l2, positive=positive, start=_start(a, b, i))
-    stats = {"n": g.n, "objective": objective(g, beta, l1, l2), "duality_gap": duality_gap(g, beta, l1, l2), "nonzero": int(np.count_nonzero(beta)), "df_resid": g.n - np.count_nonzero(beta)}
+    beta = coordinate_descent(a, b, l1, l2, target, positive, _start(a, b - a @ target, i) + target)
+    stats = {"n": g.n, "objective": objective(moved, beta - target, l1, l2), "duality_gap": duality_gap(moved, beta - target, l1, l2), "nonzero": int(np.count_nonzero(beta)), "df_resid": g.n - np.count_nonzero(beta)}
     if c is not None:
         beta = c.back @ beta
         beta[:1] += c.y[0]
