@@ -441,6 +441,43 @@ def ardl(spark, d):
     return _fits(series.ardl(e, "value", ["event_type"], ["hour"], [1], {"x": 1}), 4)
 
 
+_ARMA_FIT = f"""{{hourly}}, x as (select event_type, hour, value, {', '.join(f'lag(value, {k}) over w as v{k}' for k in range(1, 7))} from c window w as (partition by event_type order by hour)), """ + least_squares("x", "value", [f"v{k}" for k in range(1, 7)], ["event_type"], tag="1") + f", r as (select x.*, value - b0 - {' - '.join(f'b{k} * v{k}' for k in range(1, 7))} as e from x join fit1 using (event_type)), q as (select *, lag(e) over (partition by event_type order by hour) as e1 from r), " + least_squares("q", "value", ["v1", "e1"], ["event_type"])
+
+
+def _ahead(spark, d, hours: int):
+    """The hours that follow each series' last one."""
+    last = _daily(spark, d).groupBy("event_type").agg(F.max("hour").alias("last"))
+    return last.select("event_type", F.explode(F.expr(f"sequence(last + interval 1 hour, last + interval {hours} hours, interval 1 hour)")).alias("hour")).withColumn("x", F.hour("hour").cast("double"))
+
+
+@query(
+    "t10_arma_forecast_events",
+    "with recursive " + _ARMA_FIT.replace("{hourly}", _HOURLY)
+    + """, z as (select event_type, arg_max(value, hour) as v, arg_max(e, hour) as e from q group by 1),
+ahead as (select event_type, 1 as step, b0 + b1 * v + b2 * e as mean, 1.0::double as total, b1 + b2 as psi, b0, b1, ssr / (n - 3) as s2 from z join fit using (event_type)
+  union all select event_type, step + 1, b0 + b1 * mean, total + psi * psi, psi * b1, b0, b1, s2 from ahead where step < 6)
+select event_type, cast(step as bigint) as step, round(mean, 4) as mean, round(s2 * total, 2) as variance from ahead""",
+)
+def arma_ahead(spark, d):
+    out = series.arma_forecast(_daily(spark, d), "value", ["event_type"], ["hour"], 1, 1, _ahead(spark, d, 6))
+    return out.select("event_type", "step", F.round("mean", 4).alias("mean"), F.round("variance", 2).alias("variance"))
+
+
+@query(
+    "t9_ardl_forecast_events",
+    f"with recursive {_HOURLY}, x as (select event_type, hour, value, lag(value) over (partition by event_type order by hour) as l1, hour(hour)::double as x from c), "
+    + least_squares("x", "value", ["l1", "x"], ["event_type"])
+    + """, z as (select event_type, arg_max(value, hour) as v, max(hour) as last from x group by 1),
+ahead as (select event_type, 1 as step, last, b0 + b1 * v + b2 * hour(last + interval 1 hour) as mean, b0, b1, b2 from z join fit using (event_type)
+  union all select event_type, step + 1, last, b0 + b1 * mean + b2 * hour(last + (step + 1) * interval 1 hour), b0, b1, b2 from ahead where step < 24)
+select event_type, cast(step as bigint) as step, round(mean, 4) as mean from ahead""",
+)
+def ardl_ahead(spark, d):
+    e = _daily(spark, d).withColumn("x", F.hour("hour").cast("double"))
+    out = series.arma_forecast(e, "value", ["event_type"], ["hour"], 1, 0, _ahead(spark, d, 24), ("x",))
+    return out.select("event_type", "step", F.round("mean", 4).alias("mean"))
+
+
 @query("t10_arma_events", f"with {_HOURLY}, x as (select event_type, hour, value, {', '.join(f'lag(value, {k}) over w as v{k}' for k in range(1, 7))} from c window w as (partition by event_type order by hour)), " + least_squares("x", "value", [f"v{k}" for k in range(1, 7)], ["event_type"], tag="1") + f", r as (select x.*, value - b0 - {' - '.join(f'b{k} * v{k}' for k in range(1, 7))} as e from x join fit1 using (event_type)), q as (select *, lag(e) over (partition by event_type order by hour) as e1 from r), " + least_squares("q", "value", ["v1", "e1"], ["event_type"]) + _fits_sql(3))
 def arma(spark, d):
     return _fits(series.arma(_daily(spark, d), "value", ["event_type"], ["hour"], 1, 1), 3)

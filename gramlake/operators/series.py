@@ -271,6 +271,77 @@ def forecast(df: DataFrame, value: str, by: list[str], order: list[str], p: int,
     return _per_series(df, value, by, order, f, "step long, mean double, variance double")
 
 
+def arma_forecast(df: DataFrame, value: str, by: list[str], order: list[str], p: int, q: int, future: DataFrame, exog: tuple[str, ...] = (), d: int = 0, long_ar: int | None = None) -> DataFrame:
+    """``by``, ``order``, step, mean and variance for every row of ``future``, which has these columns and ``exog``.
+
+    The fit is that of ``arma`` (innovations of a long autoregression, then one regression on lags of both) on the d-times differenced series,
+    with regressors of each row; with q = 0 it is an autoregression with regressors, whose lags the tables may hold as
+    columns. What a series leaves to its forecasts is p values, q innovations and d levels. These run over its future rows as the
+    state of one fold, which also sums psi weights for the variance; a series' future rows are one list. Series that are too short to
+    fit have null means; series without future rows aren't there.
+    """
+    from gramlake.operators.windows import _window, lags
+
+    every = list(range(1, max(p, q, 1) + 1))
+    base = df.where(F.col(value).isNotNull()).select(*by, *order, *exog, F.col(value).cast("double").alias("_d0"))
+    w = _window(by, order)
+    for i in range(d):
+        base = base.withColumn(f"_d{i + 1}", F.col(f"_d{i}") - F.lag(f"_d{i}").over(w))
+    rows = base.where(F.col(f"_d{d}").isNotNull()).withColumn("_v", F.col(f"_d{d}"))
+    if q:
+        m = max(long_ar or p + q + 4, 1)
+        lagged = lags(rows, "_v", list(range(1, max(m, p) + 1)), by, order)
+        first = fit_many(lagged, by, "_v", [f"_v_l{k}" for k in range(1, m + 1)]).select(*by, F.col("coef").alias("_c"))
+        joined, fitted = lagged.join(first, by), F.col("_c")[0]
+        for k in range(1, m + 1):
+            fitted = fitted + F.col("_c")[k] * F.col(f"_v_l{k}")
+        rows = lags(joined.withColumn("_e", F.col("_v") - fitted), "_e", list(range(1, q + 1)), by, order)
+    else:
+        rows = lags(rows.withColumn("_e", F.lit(0.0)), "_v", list(range(1, p + 1)), by, order)
+    x = [f"_v_l{k}" for k in range(1, p + 1)] + [f"_e_l{k}" for k in range(1, q + 1)] + list(exog)
+    fit = fit_many(rows, by, "_v", x).select(*by, F.col("n").alias("_n"), F.col("coef").alias("_b"))
+    hat = F.col("_b")[0]
+    for i, c in enumerate(x):
+        hat = hat + F.col("_b")[i + 1] * F.col(c)
+    last = _window(by, [F.col(c).desc() for c in order])
+    ranked = rows.withColumn("_r", F.row_number().over(last)).join(fit, by)
+    kept = F.when(F.col("_r") <= len(every), F.struct("_r", "_v", "_e"))
+    state = ranked.groupBy(*by, "_n", "_b").agg(F.sort_array(F.collect_list(kept)).alias("_s"), (F.sum(F.pow(F.col("_v") - hat, 2)) / (F.col("_n") - len(x) - 1)).alias("_s2"), *[F.max(F.when(F.col("_r") == 1, F.col(f"_d{i}"))).alias(f"_l{i}") for i in range(d)])
+    horizon = future.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(exog)]))).alias("_h"))
+    numbers = lambda items: F.array(*items) if items else F.array().cast("array<double>")
+    part = lambda name, n: numbers([F.col("_s")[k][name] for k in range(n)])
+    kind = "array<struct<mean:double,variance:double>>"
+    begin = F.struct(part("_v", p).alias("y"), part("_e", q).alias("e"), numbers([F.col(f"_l{i}") for i in range(d)]).alias("levels"), numbers([F.lit(0.0)] * p).alias("psi"), numbers([F.lit(0.0)] * d).alias("sums"), F.lit(0).alias("j"), F.lit(0.0).alias("total"), F.array().cast(kind).alias("out"))
+
+    def step(a, row):
+        mean = F.col("_b")[0]
+        for k in range(p):
+            mean = mean + F.col("_b")[k + 1] * a["y"][k]
+        for k in range(q):
+            mean = mean + F.col("_b")[p + k + 1] * a["e"][k]
+        for i in range(len(exog)):
+            mean = mean + F.col("_b")[p + q + i + 1] * row[f"x{i}"]
+        psi = F.lit(0.0)
+        for k in range(q):
+            psi = F.when(a["j"] == k + 1, F.col("_b")[p + k + 1]).otherwise(psi)
+        for k in range(p):
+            psi = psi + F.col("_b")[k + 1] * a["psi"][k]
+        psi = F.when(a["j"] == 0, 1.0).otherwise(psi)
+        level, levels, weight, sums = mean, [], psi, []
+        for i in reversed(range(d)):
+            level, weight = a["levels"][i] + level, a["sums"][i] + weight
+            levels.insert(0, level)
+            sums.insert(0, weight)
+        total = a["total"] + weight * weight
+        shift = lambda old, new, n: F.slice(F.concat(F.array(new), old), 1, n) if n else old
+        done = F.concat(a["out"], F.array(F.struct(level.alias("mean"), (F.col("_s2") * total).alias("variance"))))
+        return F.struct(shift(a["y"], mean, p).alias("y"), shift(a["e"], F.lit(0.0), q).alias("e"), numbers(levels).alias("levels"), shift(a["psi"], psi, p).alias("psi"), numbers(sums).alias("sums"), (a["j"] + 1).alias("j"), total.alias("total"), done.alias("out"))
+
+    folded = horizon.join(state, by, "left").withColumn("_f", F.aggregate("_h", begin, step, lambda a: a["out"]))
+    one = folded.select(*by, F.posexplode(F.arrays_zip(F.col("_h").alias("h"), F.col("_f").alias("f"))).alias("_i", "_z"))
+    return one.select(*by, *[F.col(f"_z.h.{c}").alias(c) for c in order], (F.col("_i") + 1).cast("long").alias("step"), "_z.f.mean", "_z.f.variance")
+
+
 def loess(y: np.ndarray, window: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Local lines with tricube weights on the nearest ``window`` positions."""
     n = len(y)
