@@ -660,6 +660,19 @@ def ess(spark, d):
     return D.ess_batch_means(_draws(spark, d), [0.3, 0.5, 0.7]).withColumn("ess", F.round("ess", 4))
 
 
+@query(
+    "y4_joint_ess_events",
+    _DRAWS
+    + """, j as (select chain, draw, max(value) filter (where param = 'click') as a, max(value) filter (where param = 'view') as b from d group by 1, 2), k as (select * from j where a is not null and b is not null),
+p as (select chain, a, b, row_number() over (partition by chain order by draw) - 1 as p, count(*) over (partition by chain) as n from k), t as (select unnest([0.3, 0.5])::double as tau), q as (select *, floor(pow(n, tau)) as size from p cross join t),
+m as (select tau, chain, avg(a) as a, avg(b) as b from q where p < floor(n / size) * size group by tau, chain, floor(p / size)),
+v as (select tau, (var_samp(a) * var_samp(b) - covar_samp(a, b) ** 2) / count(*) ** 2 as v from m group by tau)
+select round(sqrt((var_samp(a) * var_samp(b) - covar_samp(a, b) ** 2) / (select max(v) from v)), 4) as ess from k""",
+)
+def joint_ess(spark, d):
+    return spark.createDataFrame([(round(D.joint_ess(_draws(spark, d), ["click", "view"], [0.3, 0.5]), 4),)], "ess double")
+
+
 @query("y5_geweke_events", _DRAWS + ", q as (select *, draw / count(*) over (partition by param, chain) as q from d), g as (select param, chain, avg(value) filter (where q < 0.1) as a, avg(value) filter (where q >= 0.5) as b, var_samp(value) filter (where q < 0.1) / count(*) filter (where q < 0.1) as va, var_samp(value) filter (where q >= 0.5) / count(*) filter (where q >= 0.5) as vb from q group by 1, 2) select param, chain, round((a - b) / sqrt(va + vb), 5) as z from g")
 def geweke(spark, d):
     return D.geweke(_draws(spark, d)).withColumn("z", F.round("z", 5))

@@ -63,6 +63,37 @@ def ess_batch_means(draws: DataFrame, taus: list[float]) -> DataFrame:
     return draws.groupBy("param").agg(F.var_samp("value").alias("v")).join(worst, "param").select("param", (F.col("v") / F.col("vm")).alias("ess"))
 
 
+def joint_ess(draws: DataFrame, params: list[str], taus: list[float]) -> float:
+    """Effective size of all parameters together: the p-th root of the draws' generalized variance over that of their mean.
+
+    The mean's covariance is that of batch means, vectors of batches of n^tau draws of a chain; of the grid's, the largest determinant counts.
+    Draws that lack a parameter are left out. A window by chain and an aggregate for each tau; what reaches the driver is p x p numbers.
+    """
+    p = len(params)
+    wide = draws.where(F.col("param").isin(params)).groupBy("chain", "draw").pivot("param", params).agg(F.first("value")).na.drop()
+    names = [f"_v{i}" for i in range(p)]
+    wide = wide.select("chain", "draw", *[F.col(f"`{c}`").alias(n) for c, n in zip(params, names, strict=True)])
+    w = Window.partitionBy("chain")
+    placed = wide.withColumn("_p", F.row_number().over(w.orderBy("draw")) - 1).withColumn("_n", F.count("*").over(w)).persist()
+
+    def determinant(rows: DataFrame) -> tuple[float, int]:
+        r = rows.agg(F.count("*").alias("n"), *[F.covar_samp(names[i], names[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]).first()
+        m = [[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]
+        return (math.nan if r.n < 2 else float(np.linalg.det(np.array(m, float)))), r.n
+
+    try:
+        whole, _ = determinant(placed)
+        worst = 0.0
+        for tau in taus:
+            size = F.floor(F.pow("_n", F.lit(float(tau))))
+            batches = placed.where(F.col("_p") < F.floor(F.col("_n") / size) * size).groupBy("chain", F.floor(F.col("_p") / size).alias("batch")).agg(*[F.avg(c).alias(c) for c in names])
+            value, count = determinant(batches)
+            worst = max(worst, value / float(count) ** p) if count > 1 else worst
+    finally:
+        placed.unpersist()
+    return (whole / worst) ** (1 / p) if worst > 0 else math.nan
+
+
 def geweke(draws: DataFrame, first: float = 0.1, last: float = 0.5) -> DataFrame:
     """param, chain, z: difference of early and late means over their batch-free standard error."""
     w = Window.partitionBy("param", "chain")

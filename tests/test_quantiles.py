@@ -51,3 +51,14 @@ def test_call_sites(values, spark):
     assert low == high == 4.25
     plan = Design([], [bs("x", 5)], intercept=False).fit(hot)
     assert len(plan.names) == 5
+
+
+def test_joint_effective_size(spark):
+    """Independent draws count about as many as they are; one parameter's joint size is its own."""
+    rng = np.random.default_rng(17)
+    rows = [(c, i, p, float(v)) for c in range(4) for i, pair in enumerate(rng.multivariate_normal([0, 0], [[1, 0.6], [0.6, 2]], 900)) for p, v in zip("ab", pair, strict=True)]
+    df = spark.createDataFrame(rows, "chain long, draw long, param string, value double")
+    assert 1500 < draws.joint_ess(df, ["a", "b"], [0.4, 0.5]) < 4500
+    one = draws.ess_batch_means(df, [0.4, 0.5]).where("param = 'a'").first().ess
+    assert draws.joint_ess(df, ["a"], [0.4, 0.5]) == pytest.approx(one)
+    assert math.isnan(draws.joint_ess(df.limit(0), ["a", "b"], [0.5]))
