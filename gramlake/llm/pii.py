@@ -20,8 +20,10 @@ PATTERNS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-#: A white-space token with a digit: what may be an identifier.
-_TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: A number written with blanks: at most eight white-space tokens of digits and number marks, the first of which may begin with four letters.
+_NUMBER = r"[^\s\p{L}\p{N}]*+\p{L}{0,4}+[0-9][0-9()./+-]*+(?!\S*[\p{L}\p{N}])(?:\x20[0-9(][0-9()./-]*+(?!\S*[\p{L}\p{N}])){0,7}+\S*+"
+#: What may be an identifier: such a number, or else a white-space token with a digit or with an @ inside.
+_TOKEN = rf"(?<!\S)(?:{_NUMBER}|[^\s0-9@]++@\S++|[^\s0-9]*+[0-9]\S*+)"
 #: Least length of an identifier's core, the digits it has at least, and what is a seed by shape alone.
 CORE_CHARS, CORE_DIGITS, SEED_SHAPE = 6, 3, r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,128}$"
 #: Different well-scored identifiers that a pattern needs, and the scores that patterns and identifiers need.
@@ -104,10 +106,11 @@ def base_spans(text: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Tokens with digits: start and end of the core, the core, and the lexical patterns around it.
+    """What may be an identifier: start and end of its core, the core, and the lexical patterns around it.
 
+    The core has neither the marks that open a token (but for a plus sign) nor those that close it, as base spans have.
     One pattern is the two words before the token, in lower case, and the marks that open it; another the marks that
-    close it and the two words after it. Whatever lies between tokens with digits is a piece; a context doesn't reach past one.
+    close it and the two words after it. Whatever lies between such tokens is a piece; a context doesn't reach past one.
     """
     before = lambda x: F.lower(F.when(F.length(x) <= NEAR, F.regexp_extract(x, r"((?:\S+\s+)?\S+)\s*$", 1)).otherwise(F.coalesce(F.nullif(F.regexp_extract(F.substring(x, -NEAR, NEAR), r"\s(\S+\s+\S+)\s*$", 1), F.lit("")), F.regexp_extract(x, r"(?<!\S)((?:\S++\s++)?\S++)\s*+$", 1))))
     after = lambda x: F.lower(F.regexp_extract(x, r"^\s*+(\S++(?:\s++\S++)?)", 1))
@@ -120,7 +123,7 @@ def _candidates(text: Column) -> Column:
     tokens = _placed(pieces, lambda start, x: F.when(F.length(x["m"]) >= CORE_CHARS, F.struct(start.alias("s"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))), kind)
 
     def core(x):
-        opening = F.regexp_extract(x["m"], r"^[^\p{L}\p{N}]*+", 0)
+        opening = F.regexp_extract(x["m"], r"^[^\p{L}\p{N}]*?(?=\+?[\p{L}\p{N}])", 0)
         rest = F.substring(x["m"], F.length(opening) + 1, F.length(x["m"]))
         inner = F.regexp_replace(rest, r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
         closing = F.substring(rest, F.length(inner) + 1, F.length(rest))
@@ -128,8 +131,8 @@ def _candidates(text: Column) -> Column:
         left, right = F.concat_ws(" ", x["before"], opening), F.concat_ws(" ", closing, x["after"])
         return F.struct(start.alias("s"), (start + F.length(inner)).alias("e"), inner.alias("v"), F.filter(F.array(F.when(F.trim(left) != "", F.concat(F.lit("<"), left)), F.when(F.trim(right) != "", F.concat(F.lit(">"), right))), lambda p: p.isNotNull()).alias("ps"))
 
-    shaped = F.filter(F.transform(tokens, core), lambda x: (F.length(x["v"]) >= CORE_CHARS) & (F.length(F.regexp_replace(x["v"], "[^0-9]", "")) >= CORE_DIGITS))
-    return F.when(text.rlike("[0-9]"), shaped).otherwise(F.array().cast("array<struct<s:int,e:int,v:string,ps:array<string>>>"))
+    shaped = F.filter(F.transform(tokens, core), lambda x: F.length(x["v"]) >= CORE_CHARS)
+    return F.when(text.rlike("[0-9@]"), shaped).otherwise(F.array().cast("array<struct<s:int,e:int,v:string,ps:array<string>>>"))
 
 
 def _covered(candidates: Column, base: Column) -> Column:
@@ -172,17 +175,18 @@ def _score(instances: DataFrame) -> DataFrame:
 def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, base (array of base spans), added (array of discovered spans) for every row.
 
-    Base spans are found where they stand, without a shuffle. Seeds are tokens that hold a base span or
-    have a key's shape (SEED_SHAPE); the words and marks before and after them are patterns; patterns and tokens
-    score each other over the whole table; tokens of a high-scored pattern that no base span covers are
-    added as ``secret``. Shuffles: edges of tokens with digits, pre-aggregated, and one small row a
+    Base spans are found where they stand, without a shuffle. Seeds are tokens, or numbers written with blanks, that
+    hold a base span or have a key's shape (SEED_SHAPE); the words and marks before and after them are patterns; patterns
+    and tokens score each other over the whole table; tokens of a high-scored pattern that no base span covers are
+    added as ``secret``. Shuffles: edges of such tokens, pre-aggregated, and one small row a
     document. Null and empty texts have no spans; equal rows get equal results; rows that share a key but
     not a text are told apart by the text's hash; other columns are not read; an empty table gives no rows.
     """
     text_or_none = F.coalesce(docs[text], F.lit(""))
     own = docs.select(docs[key].alias("k"), F.xxhash64(text_or_none).alias("h"), F.length(text_or_none).alias("z"), base_spans(text_or_none).alias("base"), _candidates(text_or_none).alias("c"))
     own = cut(own)
-    apart = own.where(F.size("c") > 0).select("k", "h", "z", F.explode(_covered(F.col("c"), F.col("base"))).alias("c")).select("k", "h", "z", "c.*")
+    digits = F.length(F.regexp_replace("v", "[^0-9]", ""))
+    apart = own.where(F.size("c") > 0).select("k", "h", "z", F.explode(_covered(F.col("c"), F.col("base"))).alias("c")).select("k", "h", "z", "c.*").where(F.col("covered") | (digits >= CORE_DIGITS))
     apart = apart.select("k", "h", "z", "s", "e", "v", "covered", F.when(F.length("v") > LONG, F.sha2("v", 256)).otherwise(F.col("v")).alias("name"), F.explode("ps").alias("p"))
     graph = _score(apart.select("p", F.col("name").alias("v"), (F.col("covered") | F.col("v").rlike(SEED_SHAPE)).cast("int").alias("seed")))
     high = graph.where((F.col("ps") >= PATTERN_SCORE) & (F.col("vs") >= INSTANCE_SCORE)).select("p", F.col("v").alias("name"))
