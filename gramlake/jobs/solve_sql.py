@@ -108,3 +108,30 @@ def two_sided_p(t: str, free: str) -> str:
 def t_quantile(free: str, z: float = 1.959963984540054) -> str:
     """The 97.5 % quantile of Student's t with many degrees of freedom, by its expansion around the normal one."""
     return f"({z} + {(z**3 + z) / 4!r} / {free} + {(5 * z**5 + 16 * z**3 + 3 * z) / 96!r} / ({free} * {free}))"
+
+
+def spline_sql(knots: str, kind: str, bc: str = "", derivative: int = 0) -> str:
+    """p_partkey, y: the spline through k (x, y) at each v of p, from CTEs ``knots``: its tridiagonal system by one recursion down and one up."""
+    gaps = "s as (select row_number() over (order by x) - 1 as t, count(*) over () as n, x, y, lag(x) over o as x0, lag(y) over o as y0, lead(x) over o as x1, lead(y) over o as y1, lead(x, 2) over o as x2 from k window o as (order by x)), g as (select *, x - x0 as p, x1 - x as h, x2 - x1 as q, (y - y0) / (x - x0) as e, (y1 - y) / (x1 - x) as d from s)"
+    if kind == "quadratic":
+        ends, inner = "t = 0 or t >= n - 2", ("h / (p + h)", "2 + p / (p + h) + q / (h + q)", "h / (h + q)", "4 * d")
+        outer = ("0", "1", "0", "case when t = n - 1 then 0 else d end")
+    else:
+        ends, inner, outer = "t = 0 or t = n - 1", ("p", "2 * (p + h)", "h", "3 * (d - e)"), ("0", "1", "0", "0")
+        if bc == "clamped":
+            outer = ("case when t = 0 then 0 else p end", "2 * case when t = 0 then h else p end", "case when t = 0 then h else 0 end", "case when t = 0 then 3 * d else -3 * e end")
+        elif bc == "not-a-knot":
+            inner = ("case when t = 1 then 0 when t = n - 2 then p - h * h / p else p end", "2 * (p + h) + case when t = 1 then p * (p + h) / h when t = n - 2 then h * (p + h) / p else 0 end", "case when t = n - 2 then 0 when t = 1 then h - p * p / h else h end", "3 * (d - e)")
+    lines = ", ".join(f"(case when {ends} then {a} else {b} end)::double as {name}" for name, a, b in zip(("lo", "di", "hi", "r"), outer, inner, strict=True))
+    sweep = f"""a as materialized (select t, n, {lines} from g),
+down as (select t, di, hi, r from a where t = 0 union all select a.t, a.di - a.lo / b.di * b.hi, a.hi, a.r - a.lo / b.di * b.r from down b join a on a.t = b.t + 1),
+dm as materialized (select * from down), up as (select t, r / di as z from dm where t = (select max(t) from dm) union all select b.t, (b.r - b.hi * u.z) / b.di from up u join dm b on b.t = u.t - 1), um as materialized (select * from up)"""
+    if kind == "quadratic":
+        pieces = "w as (select g.*, z, lag(z) over (order by t) as zb from g join um using (t)), pc as (select case when t = 1 then x0 else (x0 + x) / 2 end as start, x as at, y as a, (zb * h + z * p) / (p + h) as b, (z - zb) / (p + h) as c, 0.0 as d from w where t between 1 and n - 2)"
+    else:
+        ends = "z"
+        if bc == "not-a-knot":
+            ends = "case when t = 0 then ((h + q) * lead(z) over o - h * lead(z, 2) over o) / q when t = n - 1 then ((p + p0) * lag(z) over o - p * lag(z, 2) over o) / p0 else z end"
+        pieces = f"v as (select g.*, z as z0, lag(p) over (order by t) as p0 from g join um using (t)), m as (select * exclude (z0), z0 as z from v), w0 as (select *, {ends} as c from m window o as (order by t)), w as (select *, lead(c) over (order by t) as cn from w0), pc as (select x as start, x as at, y as a, d - h * (2 * c + cn) / 3 as b, c, (cn - c) / (3 * h) as d from w where t < n - 1)"
+    value = ["a + u * (b + u * (c + u * d))", "b + u * (2 * c + 3 * u * d)", "2 * c + 6 * u * d", "6 * d"][derivative]
+    return knots.replace("with ", "with recursive ", 1) + f", {gaps}, {sweep}, {pieces}, f as (select * from pc order by start limit 1), j as (select p_partkey, v - coalesce(pc.at, f.at) as u, coalesce(pc.a, f.a) as a, coalesce(pc.b, f.b) as b, coalesce(pc.c, f.c) as c, coalesce(pc.d, f.d) as d from p asof left join pc on v >= pc.start cross join f) select p_partkey, round(({value}) / 7, 4) as y from j"

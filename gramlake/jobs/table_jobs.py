@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gramlake.functions import columns as C
-from gramlake.jobs.solve_sql import least_squares, t_quantile, two_sided_p
-from gramlake.operators import aggregates, joins, linear, tables, windows
+from gramlake.jobs.solve_sql import least_squares, spline_sql, t_quantile, two_sided_p
+from gramlake.operators import aggregates, joins, linear, splines, tables, windows
 from gramlake.operators.terms import Design, num
 from gramlake.sources.tables import read_table, table
 
@@ -118,9 +118,30 @@ def linear_knots(spark, d):
     return joins.interpolate(_halves(spark, d), "v", _knots(spark, d), "x", "y", "linear").select("p_partkey", F.round(F.col("y") / 7, 4).alias("y"))
 
 
-@query("j5_spline_part")
+@query("j5_spline_part", spline_sql(_KNOTS, "cubic", "not-a-knot"))
 def spline(spark, d):
-    return joins.spline_eval(_halves(spark, d), "v", _knots(spark, d), "x", "y").select("p_partkey", "y")
+    return _scaled(joins.spline_eval(_halves(spark, d), "v", _knots(spark, d), "x", "y"))
+
+
+@query("j5_natural_slope_part", spline_sql(_KNOTS, "cubic", "natural", 1))
+def natural_slope(spark, d):
+    return _scaled(joins.spline_eval(_halves(spark, d), "v", _knots(spark, d), "x", "y", "natural", 1))
+
+
+@query("j5_quadratic_part", spline_sql(_KNOTS, "quadratic"))
+def quadratic(spark, d):
+    return _scaled(joins.spline_eval(_halves(spark, d), "v", _knots(spark, d), "x", "y", kind="quadratic"))
+
+
+@query("j5_clamped_blocks_part", spline_sql(_KNOTS, "cubic", "clamped", 2))
+def clamped_blocks(spark, d):
+    """The second derivative by blocks, as for tables of knots beyond the broadcast."""
+    pieces = splines.pieces(_knots(spark, d), "cubic", "clamped", 1000)
+    return _scaled(splines.evaluate(_halves(spark, d), "v", pieces, 2))
+
+
+def _scaled(df):
+    return df.select("p_partkey", F.round(F.col("y") / 7, 4).alias("y"))
 
 
 _THREE = "with " + least_squares("lineitem", "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]) + ", t as (select t.term, t.b as coef, t.s as std_err, t.b / t.s as t, n - 4.0 as free from fit, lateral (values ('Intercept', b0, s0), ('l_quantity', b1, s1), ('l_discount', b2, s2), ('l_tax', b3, s3)) as t(term, b, s))"

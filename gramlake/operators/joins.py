@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gramlake.operators import splines
+
 #: Knots up to which interpolation broadcasts them; beyond it a sorted union finds the neighbours.
 BROADCAST_KNOTS = 1_000_000
 
@@ -134,21 +136,32 @@ def spline_coefficients(kx: np.ndarray, ky: np.ndarray, bc: str = "not-a-knot")
     return np.stack([ky[:-1], d - h * (2 * c[:-1] + c[1:]) / 3, c[:-1], np.diff(c) / (3 * h)], 1)
 
 
-def spline_eval(df: DataFrame, value: str, knots: DataFrame, x: str, y: str, bc: str = "not-a-knot", derivative: int = 0, name: str = "y") -> DataFrame:
-    """Adds the cubic spline through a knot table of checked size, or a derivative of it (1 to 3). Outside the knots the end pieces go on."""
+def spline_eval(df: DataFrame, value: str, knots: DataFrame, x: str, y: str, bc: str = "not-a-knot", derivative: int = 0, name: str = "y", kind: str = "cubic") -> DataFrame:
+    """Adds the spline through a knot table, or a derivative of it (1 to 3). Outside the knots the end pieces go on.
+
+    ``kind`` is linear, quadratic (a parabola around each inner knot, meeting midway between knots with equal slopes) or cubic.
+    Pieces of up to BROADCAST_KNOTS knots are broadcast; those of more are made and met in blocks (``splines``).
+    """
     small = _knots(knots, x, y)
-    if small is None or len(small[0]) < 2:
-        raise ValueError("a spline needs two knots at least, and BROADCAST_KNOTS at most")
+    if small is None:
+        clean = knots.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null").groupBy("x").agg(F.min("y").alias("y"))
+        return splines.evaluate(df, value, splines.pieces(clean, kind, bc), derivative, name)
     kx, ky = small
-    p = spline_coefficients(kx, ky, bc)
+    if len(kx) < 2:
+        raise ValueError("a spline needs two knots at least")
+    if kind == "cubic":
+        p = spline_coefficients(kx, ky, bc)
+        starts = at = kx[: len(p)]
+    else:
+        table = splines.pieces_of(kx, ky, kind, bc)
+        starts, at, p = table[:, 0], table[:, 1], table[:, 2:]
 
     @F.pandas_udf("double")
-    def at(v: pd.Series) -> pd.Series:
+    def of(v: pd.Series) -> pd.Series:
         v = v.to_numpy(float)
-        i = np.clip(np.searchsorted(kx, v, side="right") - 1, 0, len(p) - 1)
-        u = v - kx[i]
+        i = np.clip(np.searchsorted(starts, v, side="right") - 1, 0, len(p) - 1)
+        u = v - at[i]
         a, b, c, d = p[i].T
-        return pd.Series([a + u * (b + u * (c + u * d)), b + u * (2 * c + 3 * u * d), 2 * c + 6 * u * d, 6 * d][derivative])
-
-    return df.withColumn(name, at(F.col(value).cast("double")))
+        return pd.Series([a + u * (b + u * (c + u * d)), b + u * (2 * c + 3 * u * d), 2 * c + 6 * u * d, 6 * d + 0 * u][derivative])
 
+    return df.withColumn(name, of(F.col(value).cast("double")))
