@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from gramlake.jobs.solve_sql import ROBUST_SUMS, least_squares, newton, robust
+from gramlake.jobs.solve_sql import ROBUST_SUMS, least_squares, newton, quantile_line, robust
 from gramlake.operators import draws as D
 from gramlake.operators import effects, irls, linear, mle, moments_fits, penalized, series, smooth
 from gramlake.operators.state import folder
@@ -171,19 +171,34 @@ def rlm_cov(spark, d):
     return _out(spark, [(c, *map(float, irls.rlm(df, design, "HuberT", c, tol=1e-11, max_iter=80).bse)) for c in ("H1", "H2", "H3", "SANDWICH")], "cov string, se0 double, se1 double")
 
 
-@query("q1_quantile_regression_orders")
+_TAUS = {"a": 0.1, "b": 0.5, "c": 0.9}
+_PRICES = "select l_quantity::double as x, l_extendedprice::double as y from lineitem"
+
+
+@query("q1_quantile_regression_orders", "with q as (select unnest([0.25, 0.5, 0.75])::double as tau), b as (select 0.25::double as tau, quantile_disc(o_totalprice::double, 0.25) as b from orders union all select 0.5, quantile_disc(o_totalprice::double, 0.5) from orders union all select 0.75, quantile_disc(o_totalprice::double, 0.75) from orders) select tau, true as best, round(sum((o_totalprice - b) * (tau - (o_totalprice < b)::int)) / count(*), 4) as cost from orders cross join b group by tau")
 def quantiles(spark, d):
-    fits = irls.quantile_regression(table(spark, d, "orders"), Design(["o_totalprice"], []), [0.25, 0.5, 0.75])
-    return _out(spark, [(float(t), float(f.params[0]), float(f.stats["cost"])) for t, f in fits.items()], "tau double, q double, cost double")
+    """Where a share falls between two rows, every value between them is a minimum: ``best`` says that the fit's is one."""
+    df = table(spark, d, "orders")
+    fits = irls.quantile_regression(df, Design(["o_totalprice"], []), [0.25, 0.5, 0.75])
+    below = df.agg(*[F.count(F.when(F.col("o_totalprice") < float(f.params[0]) - 1e-6, 1)) for f in fits.values()], *[F.count(F.when(F.col("o_totalprice") <= float(f.params[0]) + 1e-6, 1)) for f in fits.values()], F.count("*")).first()
+    best = [bool(below[i] <= t * below[-1] <= below[i + len(fits)]) for i, t in enumerate(fits)]
+    return _out(spark, [(float(t), b, float(f.stats["cost"] / f.stats["n"])) for (t, f), b in zip(fits.items(), best, strict=True)], "tau double, best boolean, cost double")
+
+
+_SPARSITY = """, r as (select * from ra union all select * from rb union all select * from rc), h as (select tau, any_value(b0) as b0, any_value(b1) as b1, 0.9 * quantile_cont(abs(r), 0.5) / 0.6744897501960817 * count(*) ** -0.2 as h from r group by tau),
+s as (select tau, any_value(b0) as b0, any_value(b1) as b1, sum(f) as f0, sum(f * x) as f1, sum(f * x * x) as f2, sum(w) as w0, sum(w * x) as w1, sum(w * x * x) as w2 from (select r.tau, h.b0, h.b1, x, exp(-0.5 * (r / h) ** 2) / (h * sqrt(2 * pi())) as f, case when r >= 0 then r.tau else 1 - r.tau end as w from r join h using (tau)) group by tau),
+v as (select *, f0 * f2 - f1 * f1 as det from s), c as (select tau, b0, b1, sqrt((f2 * f2 * w0 - 2 * f1 * f2 * w1 + f1 * f1 * w2)) / det as s0, sqrt(f1 * f1 * w0 - 2 * f0 * f1 * w1 + f0 * f0 * w2) / det as s1 from v)
+select tau, 'Intercept' as term, round(b0, 2) as coef, round(s0, 2) as std_err from c union all select tau, 'l_quantity', round(b1, 2), round(s1, 2) from c"""
 
 
-@query("q2_quantile_slopes_lineitem")
+@query("q2_quantile_slopes_lineitem", "with " + ", ".join(quantile_line(_PRICES, t, k) for k, t in _TAUS.items()) + _SPARSITY)
 def quantile_slopes(spark, d):
     fits = irls.quantile_regression(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity")]), [0.1, 0.5, 0.9], "ROBUST")
-    return _out(spark, [(float(t), n, float(b), float(s)) for t, f in fits.items() for n, b, s in zip(f.names, f.params, f.bse, strict=True)], "tau double, term string, coef double, std_err double")
+    rows = [(float(t), n, float(b), float(s)) for t, f in fits.items() for n, b, s in zip(f.names, f.params, f.bse, strict=True)]
+    return _out(spark, rows, "tau double, term string, coef double, std_err double").select("tau", "term", F.round("coef", 2).alias("coef"), F.round("std_err", 2).alias("std_err"))
 
 
-@query("q3_pseudo_r1_lineitem")
+@query("q3_pseudo_r1_lineitem", "with " + quantile_line(_PRICES, 0.5, "b") + ", u as (select sum(abs(y - m)) as whole from db cross join (select quantile_disc(y, 0.5) as m from db)) select tau, round(1 - sum(abs(r)) / any_value(whole), 4) as r1, round(avg((r < 0)::int), 4) as share_below from rb cross join u group by tau")
 def pseudo(spark, d):
     df = _line(spark, d)
     f = irls.quantile_regression(df, Design(["l_extendedprice"], [num("l_quantity")]), [0.5])[0.5]

@@ -135,3 +135,20 @@ dm as materialized (select * from down), up as (select t, r / di as z from dm wh
         pieces = f"v as (select g.*, z as z0, lag(p) over (order by t) as p0 from g join um using (t)), m as (select * exclude (z0), z0 as z from v), w0 as (select *, {ends} as c from m window o as (order by t)), w as (select *, lead(c) over (order by t) as cn from w0), pc as (select x as start, x as at, y as a, d - h * (2 * c + cn) / 3 as b, c, (cn - c) / (3 * h) as d from w where t < n - 1)"
     value = ["a + u * (b + u * (c + u * d))", "b + u * (2 * c + 3 * u * d)", "2 * c + 6 * u * d", "6 * d"][derivative]
     return knots.replace("with ", "with recursive ", 1) + f", {gaps}, {sweep}, {pieces}, f as (select * from pc order by start limit 1), j as (select p_partkey, v - coalesce(pc.at, f.at) as u, coalesce(pc.a, f.a) as a, coalesce(pc.b, f.b) as b, coalesce(pc.c, f.c) as c, coalesce(pc.d, f.d) as d from p asof left join pc on v >= pc.start cross join f) select p_partkey, round(({value}) / 7, 4) as y from j"
+
+
+def quantile_line(source: str, tau: float, tag: str, rounds: int = 20) -> str:
+    """CTEs that end in z<tag>: one row of b0, b1, the line of least check loss through ``source`` (x, y).
+
+    The loss with the best intercept is convex in the slope: nine slopes in each of ``rounds`` intervals, every one a quarter of the last; the
+    line through the two rows nearest the end is the vertex.
+    """
+    out = [f"d{tag} as materialized ({source})", f"s{tag}0 as (select -10000.0::double as lo, 10000.0::double as hi)"]
+    for i in range(1, rounds + 1):
+        out.append(f"q{tag}{i} as materialized (select b1, any_value(width) as width, quantile_disc(y - b1 * x, {tau}) as b0 from d{tag} cross join (select lo + (hi - lo) * j / 8 as b1, (hi - lo) / 8 as width from s{tag}{i - 1} cross join range(9) r(j)) group by b1)")
+        out.append(f"s{tag}{i} as materialized (select arg_min(b1, cost) - any_value(width) as lo, arg_min(b1, cost) + any_value(width) as hi from (select b1, any_value(width) as width, sum((y - b0 - b1 * x) * ({tau} - (y - b0 - b1 * x < 0)::int)) as cost from d{tag} cross join q{tag}{i} group by b1))")
+    out.append(f"m{tag} as materialized (select b1, (select quantile_disc(y - b1 * x, {tau}) from d{tag} cross join (select (lo + hi) / 2 as b1 from s{tag}{rounds})) as b0 from (select (lo + hi) / 2 as b1 from s{tag}{rounds}))")
+    near = f"(select x, arg_min(y, r) as y, min(r) as r from (select x, y, abs(y - b0 - b1 * x) as r from d{tag} cross join m{tag}) group by x order by r limit 2)"
+    out.append(f"z{tag} as materialized (select min_by(y, x) - min(x) * (max_by(y, x) - min_by(y, x)) / (max(x) - min(x)) as b0, (max_by(y, x) - min_by(y, x)) / (max(x) - min(x)) as b1 from {near})")
+    out.append(f"r{tag} as materialized (select x, {tau}::double as tau, b0, b1, case when abs(y - b0 - b1 * x) < 1e-6 then 0.0 else y - b0 - b1 * x end as r from d{tag} cross join z{tag})")
+    return ", ".join(out)

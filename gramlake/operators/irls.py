@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlake.functions import special
+from gramlake.operators.checkloss import settle
 from gramlake.operators.linear import Fit, centred, solve_scaled
 from gramlake.operators.rows import numpy_columns, sum_rows
 from gramlake.operators.terms import Design, Plan
@@ -529,7 +530,8 @@ START_ROWS = 20_000
 def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_type: str = "IID", k: float = 1e-5, max_iter: int = 200, xtol: float = 1e-6, ftol: float = 1e-8) -> dict[float, Fit]:
     """IRLS on the smoothed check loss, all quantiles in the same pass; a step along each direction is chosen on a grid in another pass.
 
-    Steps start from the fit of a sample of about START_ROWS rows on the driver; all that is returned is of all rows. The residuals' weights are those of a Huber-like surrogate with |z| cut at 1e-10, relative to the outcome's deviation.
+    Steps start from the fit of a sample of about START_ROWS rows on the driver; all that is returned is of all rows. What the
+    steps end at is carried on to the exact minimum, a fit through as many rows as columns, which holds for all rows where ``exact`` says so (``checkloss``). The residuals' weights are those of a Huber-like surrogate with |z| cut at 1e-10, relative to the outcome's deviation.
     """
     steps = np.array([0.05, 0.25, 0.5, 1, 1.5, 3, 5, 10, 20])
     plan = whole = design.fit(df)
@@ -549,6 +551,7 @@ def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_ty
         n, sd = s[0], math.sqrt(max(s[2] / s[0] - (s[1] / s[0]) ** 2, 1e-300))
         beta = np.tile(solve_scaled(s[3 : 3 + p * p].reshape(p, p), s[3 + p * p :])[0], (q, 1))
         beta[:, :1] += moved.y[0]
+        used = np.diag(solve_scaled(s[3 : 3 + p * p].reshape(p, p), s[3 + p * p :])[1]) != 0
 
         def descend(total, beta):
             """Steps until no quantile moves; ``total`` sums a kernel over the rows."""
@@ -593,12 +596,14 @@ def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_ty
         beta, cost, iteration = descend(lambda f: sum_rows(rows, f), beta)
         fits = {}
         for b, t, best_cost in zip(beta, taus, cost, strict=True):
+            b, exact = settle(rows, plan, b, t, used, n)
             mad = _median_abs(rows, plan, b, n) / special.norm_ppf(0.75)
             h = max(0.9 * mad * n**-0.2, 1e-12)
 
             def density(c, b=b, t=t, h=h):
                 x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
                 r = y - x @ b
+                r = np.where(np.abs(r) < 1e-10 * sd, 0.0, r)  # rows on the fit
                 f = np.exp(-0.5 * (r / h) ** 2) / (h * math.sqrt(2 * math.pi))
                 d = np.where(r >= 0, t, 1 - t)
                 return np.concatenate([[f.sum(), (r < 0).sum(), check(r, t).sum()], (x.T @ x).ravel(), (x.T @ (x * f[:, None])).ravel(), (x.T @ (x * d[:, None])).ravel()])
@@ -611,7 +616,7 @@ def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_ty
             else:
                 w = solve_scaled(xfx, np.zeros(p))[1]
                 cov = w @ xdx @ w
-            fits[t] = moved.fit(Fit(plan.names, b, cov, n - p, {"n": n, "cost": float(s[2]), "smoothed_cost": float(best_cost), "share_below": s[1] / n, "sparsity_density": f0, "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": n - p}, inv, plan), whole)
+            fits[t] = moved.fit(Fit(plan.names, b, cov, n - p, {"n": n, "cost": float(s[2]), "smoothed_cost": float(best_cost), "exact": exact, "share_below": s[1] / n, "sparsity_density": f0, "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": n - p}, inv, plan), whole)
         return fits
     finally:
         rows.unpersist()
