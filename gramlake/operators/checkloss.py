@@ -71,58 +71,60 @@ def vertex(x: np.ndarray, r: np.ndarray, w: np.ndarray, g: np.ndarray, tau: floa
     return d / scale, proven
 
 
-def settle(rows: DataFrame, plan, beta: np.ndarray, tau: float, used: np.ndarray, n: float) -> tuple[np.ndarray, bool]:
-    """The exact fit from a near one, and whether it is proven: no row outside the last band changed sides. Two or three passes a round."""
-    p = len(beta)
-    keep = int(max(min(BAND_ROWS, BAND_NUMBERS // max(p, 1)), 4 * p))
+def settle(rows: DataFrame, plan, beta: np.ndarray, taus: np.ndarray, used: np.ndarray, n: float, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The exact fits from near ones, a row of ``beta`` for each of ``taus``, and which are proven: prices say so, and no row outside
+    the last band changed sides. Four passes a round, for all quantiles that aren't proven yet together."""
+    beta, p, proven = beta.copy(), beta.shape[1], np.zeros(len(taus), bool)
+    keep = int(max(min(BAND_ROWS, BAND_NUMBERS // max(p * len(taus), 1)), 4 * p))
 
     def resid(c, beta):
         x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
-        return x, y - x @ beta
+        return x, y[:, None] - x @ beta.T
 
-    for _ in range(ROUNDS):
-        if n <= keep:
-            band = np.inf
-        else:
+    for _ in range(rounds):
+        open_ = np.flatnonzero(~proven)
+        now, tau = beta[open_], taus[open_]
+        m = len(open_)
+        band = np.full(m, np.inf)
+        if n > keep:
 
-            def sizes(c, beta=beta):
-                b = np.clip(np.floor(np.log10(np.maximum(np.abs(resid(c, beta)[1]), 1e-300) / _LEAST) * _TEN), -1, _BINS * 2 - 1).astype(int) + 1
-                return np.bincount(b, minlength=_BINS * 2 + 1)
+            def sizes(c, now=now, m=m):
+                b = np.clip(np.floor(np.log10(np.maximum(np.abs(resid(c, now)[1]), 1e-300) / _LEAST) * _TEN), -1, _BINS * 2 - 1).astype(int) + 1
+                return np.stack([np.bincount(b[:, i], minlength=_BINS * 2 + 1) for i in range(m)]).ravel()
 
-            upto = np.cumsum(sum_rows(rows, sizes))
-            k = int(np.searchsorted(upto, keep, side="right"))  # the first bin that is too many
-            if k == 0:
-                return beta, False  # too many rows lie on the fit
-            band = _LEAST * 10 ** ((k - 1) / _TEN)
+            upto = np.cumsum(sum_rows(rows, sizes).reshape(m, -1), axis=1)
+            k = (upto <= keep).sum(axis=1)  # the first bin that is too many; 0: too many rows lie on the fit, and its band is empty
+            band = np.where(k > 0, _LEAST * 10 ** ((k - 1) / _TEN), 0.0)
 
-        def outside(c, beta=beta, band=band):
-            x, r = resid(c, beta)
-            far = np.abs(r) >= band
-            return (x[far] * (c["w"][far] * (tau - (r[far] < 0)))[:, None]).sum(0)
+        def outside(c, now=now, band=band, tau=tau):
+            x, r = resid(c, now)
+            return ((np.abs(r) >= band) * c["w"][:, None] * (tau - (r < 0))).T @ x
 
-        def near(batches, beta=beta, band=band):
+        def near(batches, now=now, band=band):
             for batch in batches:
                 if batch.num_rows:
                     c = numpy_columns(batch)
-                    x, r = resid(c, beta)
-                    i = np.abs(r) < band
-                    yield pa.RecordBatch.from_arrays([pa.array(r[i]), pa.array(c["w"][i]), pa.array(list(x[i]), pa.list_(pa.float64()))], ["r", "w", "x"])
-
-        g = sum_rows(rows, outside)
-        few = rows.mapInArrow(near, "r double, w double, x array<double>").orderBy("r", "w", "x").toArrow()  # keep rows at most
-        if few.num_rows <= p:
-            return beta, False
-        x = few.column("x").combine_chunks().flatten().to_numpy().reshape(few.num_rows, p)
-        d = np.zeros(p)
-        d[used], proven = vertex(x[:, used], few.column("r").to_numpy(), few.column("w").to_numpy(), g[used], tau)
-        if np.isinf(band):
-            return beta + d, proven
-
-        def crossed(c, beta=beta, band=band, d=d):
-            x, r = resid(c, beta)
-            return np.array([((np.abs(r) >= band) & ((r < 0) != (r - x @ d < 0))).sum()])
-
-        beta, moved = beta + d, sum_rows(rows, crossed)[0]
-        if not moved and proven:
-            return beta, True
-    return beta, False
+                    x, r = resid(c, now)
+                    row, which = np.nonzero(np.abs(r) < band)
+                    yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(r[row, which]), pa.array(c["w"][row]), pa.array(list(x[row]), pa.list_(pa.float64()))], ["i", "r", "w", "x"])
+
+        g = sum_rows(rows, outside).reshape(m, p)
+        few = rows.mapInArrow(near, "i int, r double, w double, x array<double>").toArrow().combine_chunks()  # keep rows a quantile at most
+        which, r, w = (few.column(c).to_numpy() for c in ("i", "r", "w"))
+        x = few.column("x").combine_chunks().flatten().to_numpy().reshape(-1, p) if few.num_rows else np.zeros((0, p))
+        priced, moves = np.zeros(m, bool), np.zeros((m, p))
+        for i in range(m):
+            at = np.flatnonzero(which == i)
+            if len(at) > p:
+                at = at[np.lexsort([*x[at].T, w[at], r[at]])]  # the same order whatever the partitions
+                moves[i, used], priced[i] = vertex(x[at][:, used], r[at], w[at], g[i][used], tau[i])
+
+        def crossed(c, now=now, band=band, moves=moves):
+            x, r = resid(c, now)
+            return ((np.abs(r) >= band) & ((r < 0) != (r - x @ moves.T < 0))).sum(0)
+
+        beta[open_] += moves
+        proven[open_] = priced & (np.isinf(band) | (np.asarray(sum_rows(rows, crossed)) == 0))
+        if proven.all() or not moves.any():
+            break
+    return beta, proven

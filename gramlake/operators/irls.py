@@ -530,8 +530,8 @@ START_ROWS = 20_000
 def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_type: str = "IID", k: float = 1e-5, max_iter: int = 200, xtol: float = 1e-6, ftol: float = 1e-8) -> dict[float, Fit]:
     """IRLS on the smoothed check loss, all quantiles in the same pass; a step along each direction is chosen on a grid in another pass.
 
-    Steps start from the fit of a sample of about START_ROWS rows on the driver; all that is returned is of all rows. What the
-    steps end at is carried on to the exact minimum, a fit through as many rows as columns, which holds for all rows where ``exact`` says so (``checkloss``). The residuals' weights are those of a Huber-like surrogate with |z| cut at 1e-10, relative to the outcome's deviation.
+    Steps start from the fit of a sample of about START_ROWS rows on the driver; all that is returned is of all rows. The
+    start, and where that lies too far off what the steps over all rows end at, is carried on to the exact minimum, a fit through as many rows as columns, which is proven for all rows where ``exact`` says so (``checkloss``). The residuals' weights are those of a Huber-like surrogate with |z| cut at 1e-10, relative to the outcome's deviation.
     """
     steps = np.array([0.05, 0.25, 0.5, 1, 1.5, 3, 5, 10, 20])
     plan = whole = design.fit(df)
@@ -593,10 +593,14 @@ def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_ty
         if some.num_rows > 10 * p:
             columns = numpy_columns(some.to_batches()[0])
             beta, _, _ = descend(lambda f: np.asarray(f(columns)).ravel(), beta)
-        beta, cost, iteration = descend(lambda f: sum_rows(rows, f), beta)
+        beta, exact = settle(rows, plan, beta, tau, used, n, 2)
+        iteration = 0
+        if not exact.all():  # the sample's fit lies too far off: steps over all rows lead nearer
+            near, _, iteration = descend(lambda f: sum_rows(rows, f), beta)
+            near, proven = settle(rows, plan, near, tau, used, n)
+            beta, exact = np.where(exact[:, None], beta, near), exact | proven
         fits = {}
-        for b, t, best_cost in zip(beta, taus, cost, strict=True):
-            b, exact = settle(rows, plan, b, t, used, n)
+        for b, t, sure in zip(beta, taus, exact, strict=True):
             mad = _median_abs(rows, plan, b, n) / special.norm_ppf(0.75)
             h = max(0.9 * mad * n**-0.2, 1e-12)
 
@@ -616,7 +620,7 @@ def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_ty
             else:
                 w = solve_scaled(xfx, np.zeros(p))[1]
                 cov = w @ xdx @ w
-            fits[t] = moved.fit(Fit(plan.names, b, cov, n - p, {"n": n, "cost": float(s[2]), "smoothed_cost": float(best_cost), "exact": exact, "share_below": s[1] / n, "sparsity_density": f0, "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": n - p}, inv, plan), whole)
+            fits[t] = moved.fit(Fit(plan.names, b, cov, n - p, {"n": n, "cost": float(s[2]), "exact": bool(sure), "share_below": s[1] / n, "sparsity_density": f0, "iterations": iteration + 1, "converged": bool(sure) or iteration + 1 < max_iter, "df_resid": n - p}, inv, plan), whole)
         return fits
     finally:
         rows.unpersist()
