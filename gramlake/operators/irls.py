@@ -413,51 +413,54 @@ def _psi(kind: str, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _median_abs(rows: DataFrame, plan: Plan, beta: np.ndarray, n: float, near: float = 0.0, spread: float = 0.5) -> float:
-    """Median of |y - X beta| by passes that count bins of shrinking brackets, for both middle ranks at once.
+    """Median of |y - X beta|."""
+    return float(_medians_abs(rows, plan, beta[None, :], n, near, spread)[0])
+
+
+def _medians_abs(rows: DataFrame, plan: Plan, betas: np.ndarray, n: float, near: float = 0.0, spread: float = 0.5) -> np.ndarray:
+    """Medians of |y - X beta| for several fits, by passes that count bins of shrinking brackets, for both middle ranks of all of them at once.
 
     The first bracket is ``near`` by ``spread`` on either side if the ranks lie in it, and powers of two otherwise.
     """
-    bins = 4096
-    ranks = np.array([(n - 1) // 2, n // 2])
-    resid = lambda c: np.abs(plan.outcomes(c)[:, 0] - plan.matrix(c) @ beta)
+    bins, m = 4096, 2 * len(betas)
+    ranks = np.tile([(n - 1) // 2, n // 2], len(betas))
+    resid = lambda c: np.abs(plan.outcomes(c)[:, :1] - plan.matrix(c) @ betas.T)
 
-    def counted(low, high):
-        """Rows below each bracket, and in each of its bins."""
+    def closer(low, high):
+        """The bins with the ranks, and which were found; a rank outside its bracket keeps that."""
         width = (high - low) / bins
 
         def fine(c):
-            r = resid(c)[:, None]
-            b = np.floor((r - low) / width)
-            return np.stack([np.concatenate([[(b[:, k] < 0).sum()], np.bincount(b[(b[:, k] >= 0) & (b[:, k] < bins), k].astype(int), minlength=bins)]) for k in (0, 1)]).ravel()
-
-        h = sum_rows(rows, fine).reshape(2, bins + 1)
-        return h[:, 0], np.cumsum(h[:, 1:], axis=1) + h[:, :1], width
-
-    def closer(low, high):
-        below, total, width = counted(low, high)
-        if (below > ranks).any() or (total[:, -1] <= ranks).any():
-            return None
-        at = np.array([int(np.searchsorted(total[k], ranks[k], side="right")) for k in (0, 1)])
-        return low + at * width, low + (at + 1) * width
-
-    bracket = closer(np.full(2, near * (1 - spread)), np.full(2, near * (1 + spread))) if near > 0 else None
-    if bracket is None:
+            r = resid(c)
+            out = []
+            for k in range(m):
+                b = np.floor((r[:, k // 2] - low[k]) / width[k])
+                out += [[(b < 0).sum()], np.bincount(b[(b >= 0) & (b < bins)].astype(int), minlength=bins)]
+            return np.concatenate(out)
+
+        h = sum_rows(rows, fine).reshape(m, bins + 1)
+        below, total = h[:, 0], np.cumsum(h[:, 1:], axis=1) + h[:, :1]
+        found = (below <= ranks) & (total[:, -1] > ranks)
+        at = np.array([int(np.searchsorted(total[k], ranks[k], side="right")) for k in range(m)])
+        return np.where(found, low + at * width, low), np.where(found, low + (at + 1) * width, high), found
+
+    low, high, found = closer(np.full(m, near * (1 - spread)), np.full(m, near * (1 + spread))) if near > 0 else (None, None, np.zeros(m, bool))
+    if not found.all():
 
         def count(c):  # powers of two first
             e = np.clip(np.floor(np.log2(np.maximum(resid(c), 1e-300))).astype(int) + 1024, 0, 2047)
-            return np.bincount(e, minlength=2048)
+            return np.concatenate([np.bincount(e[:, k], minlength=2048) for k in range(len(betas))])
 
-        at = np.searchsorted(np.cumsum(sum_rows(rows, count)), ranks, side="right")
-        bracket = np.where(at > 0, 2.0 ** (at - 1024.0), 0.0), 2.0 ** (at - 1023.0)
+        upto = np.repeat(np.cumsum(sum_rows(rows, count).reshape(-1, 2048), axis=1), 2, axis=0)
+        at = np.array([int(np.searchsorted(u, r, side="right")) for u, r in zip(upto, ranks, strict=True)])
+        low, high = np.where(at > 0, 2.0 ** (at - 1024.0), 0.0), 2.0 ** (at - 1023.0)
     for _ in range(4):
-        low, high = bracket
         if (high - low < 1e-13 * np.maximum(high, 1e-300)).all():
             break
-        bracket = closer(low, high) or bracket  # a bracket as fine as its numbers: rounding moves ranks out of it
-        if bracket[0] is low:
+        low, high, found = closer(low, high)  # a bracket as fine as its numbers: rounding moves ranks out of it
+        if not found.any():
             break
-    low, high = bracket
-    return float(((low + high) / 2).mean())
+    return ((low + high) / 2).reshape(-1, 2).mean(axis=1)
 
 
 def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1", scale: float | None = None, max_iter: int = 50, tol: float = 1e-6) -> Fit:
@@ -599,20 +602,21 @@ def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_ty
             near, _, iteration = descend(lambda f: sum_rows(rows, f), beta)
             near, proven = settle(rows, plan, near, tau, used, n)
             beta, exact = np.where(exact[:, None], beta, near), exact | proven
-        fits = {}
-        for b, t, sure in zip(beta, taus, exact, strict=True):
-            mad = _median_abs(rows, plan, b, n) / special.norm_ppf(0.75)
-            h = max(0.9 * mad * n**-0.2, 1e-12)
+        h = np.maximum(0.9 * _medians_abs(rows, plan, beta, n) / special.norm_ppf(0.75) * n**-0.2, 1e-12)
 
-            def density(c, b=b, t=t, h=h):
-                x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
+        def density(c):
+            x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
+            out = []
+            for b, t, one in zip(beta, tau, h, strict=True):
                 r = y - x @ b
                 r = np.where(np.abs(r) < 1e-10 * sd, 0.0, r)  # rows on the fit
-                f = np.exp(-0.5 * (r / h) ** 2) / (h * math.sqrt(2 * math.pi))
+                f = np.exp(-0.5 * (r / one) ** 2) / (one * math.sqrt(2 * math.pi))
                 d = np.where(r >= 0, t, 1 - t)
-                return np.concatenate([[f.sum(), (r < 0).sum(), check(r, t).sum()], (x.T @ x).ravel(), (x.T @ (x * f[:, None])).ravel(), (x.T @ (x * d[:, None])).ravel()])
+                out += [[f.sum(), (r < 0).sum(), check(r, t).sum()], (x.T @ x).ravel(), (x.T @ (x * f[:, None])).ravel(), (x.T @ (x * d[:, None])).ravel()]
+            return np.concatenate(out)
 
-            s = sum_rows(rows, density)
+        fits = {}
+        for b, t, sure, s in zip(beta, taus, exact, sum_rows(rows, density).reshape(q, 3 + 3 * p * p), strict=True):
             f0, xx, xfx, xdx = s[0] / n, *(s[3 + i * p * p : 3 + (i + 1) * p * p].reshape(p, p) for i in range(3))
             inv = solve_scaled(xx, np.zeros(p))[1]
             if cov_type == "IID":
