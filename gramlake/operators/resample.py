@@ -226,7 +226,9 @@ def permute_coefficient(df: DataFrame, design: Design, treatment: str, key: list
             sums.add(numpy_columns(batch.select(names)))
         yield sums.pieces()
 
-    dealt = sized.where(F.col("_n") <= part).select("_g", *names).repartition("_g").sortWithinPartitions("_g")
+    # by a hash of the group: where the join lies by the group already, Spark drops a shuffle and sort by it, and may then broadcast the sizes and leave rows as they lay
+    place = F.xxhash64("_g").alias("_place")
+    dealt = sized.where(F.col("_n") <= part).select("_g", *names, place).repartition("_place").sortWithinPartitions("_place", "_g")
     total = np.zeros((permutations + 1) * (k + 2))
     parts = [dict(add_pieces(dealt, small, whole=False))]
     salts = F.ceil(F.col("_n") / part).cast("int")

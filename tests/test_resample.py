@@ -66,3 +66,25 @@ def test_equal_keys_and_edges(spark, frame):
     assert [r.effect for r in resample.permutation_test(frame.where("t = 1"), "y", "t", "id", "g", 2).collect()] == [None] * 3
     lone = frame.selectExpr("id", "if(g = 3, null, g) as g", "t", "y")
     assert resample.permutation_test(lone, "y", "t", "id", "g", 2).where("permutation = 0").first().effect == pytest.approx(resample.permutation_test(frame.where("g <> 3"), "y", "t", "id", "g", 2).first().effect)
+
+
+def test_groups_stay_whole_where_a_join_becomes_a_broadcast(spark, monkeypatch):
+    """Sizes of groups may turn out small while the query runs, so that they are broadcast and rows stay where they were read: the groups' own shuffle must be in the plan."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "50k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    rows = spark.range(0, 6000, 1, 8).selectExpr("id", "id % 97 as g", "cast(id % 7 < 3 as int) as t", "cast(id * id % 1009 as double) as y")
+    id_ = np.arange(6000)
+    own = {"id": id_, "g": id_ % 97, "t": (id_ % 7 < 3).astype(int)}
+    y = (id_ * id_ % 1009).astype(float)
+    plans, add = [], resample.add_pieces
+    monkeypatch.setattr(resample, "add_pieces", lambda df, *more, **named: (plans.append(df._jdf.queryExecution().executedPlan().toString()), add(df, *more, **named))[1])
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.permutation: r.effect for r in resample.permutation_test(rows, "y", "t", "id", "g", 4).collect()}
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert "SortMergeJoin" in plans[0] and "REPARTITION_BY_COL" in plans[0]
+    for b in range(5):
+        s = shuffled(own, b, 0)
+        assert got[b] == pytest.approx(np.cov(s, y)[0, 1] / s.var(ddof=1), abs=1e-8)
