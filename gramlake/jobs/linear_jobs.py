@@ -137,9 +137,11 @@ def absorb_lineitem(spark, d):
 
 @query("a1_ols_supplier_dummies_lineitem", _ABSORB + ", x as (select *, (yy - b1 * ay - b2 * byy) / (n - 2 - (select count(*) from g)) as s2 from b), f as (select my - b1 * ma - b2 * mb as first from g cross join b where cast(l_suppkey as varchar) = (select min(cast(l_suppkey as varchar)) from g)) select t.term, round(t.coef, 3) as coef, round(sqrt(t.v), 3) as std_err from x, lateral (values ('l_quantity', b1, s2 * i11), ('l_discount', b2, s2 * i22)) as t(term, coef, v) union all select 'Intercept', round(first, 3), null from f")
 def supplier_dummies(spark, d):
-    fit = linear.ols(_line(spark, d), Design(["l_extendedprice"], [num("l_quantity"), num("l_discount"), cat("l_suppkey")]))
-    out = fit.table(spark, digits=3).where("term not like 'C(%'")
-    return out.select("term", "coef", F.when(F.col("term") != "Intercept", F.col("std_err")).alias("std_err"))
+    """Levels stay where they lie, however many: the constant is that of the first one by name."""
+    fit, levels = linear.level_ols(_line(spark, d), "l_extendedprice", ["l_suppkey"], x=["l_quantity", "l_discount"])
+    first = levels.agg(F.min_by(F.col("coef")[0], F.col("l_suppkey").cast("string"))).first()[0]
+    rows = [("Intercept", round(first, 3) + 0.0, None), *((n, round(float(b), 3) + 0.0, round(float(s), 3) + 0.0) for n, b, s in zip(fit.names, fit.params, fit.bse, strict=True))]
+    return _rows(spark, rows, "term string, coef double, std_err double")
 
 
 @query("l4_absorb_cluster_lineitem", _ABSORB + ", e as (select c.*, dy - b1 * da - b2 * db as r from c cross join b), u as (select l_orderkey, sum(r * da) as ga, sum(r * db) as gb from e group by 1), k as (select count(*) as g, sum(ga * ga) as maa, sum(ga * gb) as mab, sum(gb * gb) as mbb from u), x as (select *, (n - 1.0) / (n - 2 - (select count(*) from g)) * k.g / (k.g - 1.0) as f from b cross join k) select t.term, round(sqrt(t.v), 3) as std_err from x, lateral (values ('l_quantity', f * (i11 * i11 * maa + 2 * i11 * i12 * mab + i12 * i12 * mbb)), ('l_discount', f * (i12 * i12 * maa + 2 * i12 * i22 * mab + i22 * i22 * mbb))) as t(term, v)")

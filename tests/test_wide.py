@@ -104,3 +104,22 @@ def test_two_wide_terms(spark):
     assert abs(fit.params[0] - slope) < 1e-8
     assert len(fit.names) == 1000 and levels.count() == 5000
     assert abs(fit.bse[0] - np.sqrt(((v - slope * u) ** 2).sum() / (n - 6000) / (u @ u))) < 1e-8
+
+
+def test_supplier_dummies_of_more_levels_than_columns(spark, tmp_path):
+    """The query takes 6,000 suppliers, as it takes few."""
+    from gramlake.jobs.linear_jobs import QUERIES
+
+    n, size = 18_000, 6000
+    spark.range(n).selectExpr(f"id % {size} as l_suppkey", "cast(id * 7919 % 101 as double) as l_quantity", "cast(id * 31 % 11 as double) / 100 as l_discount", f"3D * (id * 7919 % 101) - 50D * (id * 31 % 11) + id % {size} + sin(id) as l_extendedprice").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.term: r for r in QUERIES["a1_ols_supplier_dummies_lineitem"](spark, str(tmp_path)).collect()}
+    i = np.arange(n)
+    x = np.stack([i * 7919 % 101, i * 31 % 11 / 100], 1).astype(float)
+    y = 3.0 * x[:, 0] - 5000 * x[:, 1] + i % size + np.sin(i)
+    by = lambda v: v - (v.reshape(3, size, -1).mean(0)[None].repeat(3, 0)).reshape(v.shape)
+    dx, dy = by(x), by(y)
+    b = np.linalg.solve(dx.T @ dx, dx.T @ dy)
+    v = np.linalg.inv(dx.T @ dx) * ((dy - dx @ b) ** 2).sum() / (n - size - 2)
+    assert [got[t].coef for t in ("l_quantity", "l_discount")] == pytest.approx(b.tolist(), abs=6e-4)
+    assert [got[t].std_err for t in ("l_quantity", "l_discount")] == pytest.approx(np.sqrt(np.diag(v)).tolist(), abs=6e-4)
+    assert got["Intercept"].coef == pytest.approx((y[::size] - x[::size] @ b).mean(), abs=6e-4) and got["Intercept"].std_err is None
