@@ -22,20 +22,22 @@ def benjamini_hochberg(table: DataFrame, p: str, fdr: float = 0.05, by: list[str
     """Adds bh_rank, bh_threshold (fdr * rank / m), bh_flag (p within its own threshold) and bh_reject (the step-up rule).
 
     Ranks of millions of tests come from counts of equal p-values, so that without ``by`` no task holds
-    them all: distinct p-values in buckets of their value carry running counts.
+    them all: distinct p-values in buckets of their value carry running counts. Equal p-values rank by the other columns, in
+    the table's order, so that ranks don't depend on partitions.
     """
     known = table.where(F.col(p).isNotNull())
+    others = [c for c, kind in table.dtypes if c != p and c not in by and "map<" not in kind and "variant" not in kind]
     if by:
         w = Window.partitionBy(*by)
         m = F.count("*").over(w)
-        ranked = known.withColumn("bh_rank", F.row_number().over(w.orderBy(p))).withColumn("bh_threshold", F.lit(fdr) * F.col("bh_rank") / m)
+        ranked = known.withColumn("bh_rank", F.row_number().over(w.orderBy(p, *others))).withColumn("bh_threshold", F.lit(fdr) * F.col("bh_rank") / m)
         ranked = ranked.withColumn("bh_flag", F.col(p) <= F.col("bh_threshold"))
         last = F.max(F.when(F.col("bh_flag"), F.col("bh_rank"))).over(w)
         return ranked.withColumn("bh_reject", F.coalesce(F.col("bh_rank") <= last, F.lit(False)))
     from gramlake.operators.windows import global_index
 
     m = known.count()
-    ranked = global_index(known, [p], "_t").withColumn("bh_rank", F.col("_t") + 1).drop("_t")
+    ranked = global_index(known, [p, *others], "_t").withColumn("bh_rank", F.col("_t") + 1).drop("_t")
     ranked = ranked.withColumn("bh_threshold", F.lit(fdr) * F.col("bh_rank") / m).withColumn("bh_flag", F.col(p) <= F.col("bh_threshold"))
     last = ranked.where("bh_flag").agg(F.max("bh_rank")).first()[0] or 0
     return ranked.withColumn("bh_reject", F.col("bh_rank") <= last)

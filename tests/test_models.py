@@ -349,3 +349,12 @@ def test_splines_solve_in_one_sweep():
             assert abs(b[0]) < 1e-10 and abs(end[1][-1]) < 1e-8
         else:
             assert d[0] == pytest.approx(d[1]) and d[-1] == pytest.approx(d[-2])
+
+
+def test_equal_p_values_rank_by_the_other_columns(spark):
+    """Ranks of ties don't depend on how rows are dealt."""
+    for by in ([], ["g"]):
+        for parts in (1, 5):
+            t = spark.range(60, numPartitions=parts).selectExpr("(id * 37) % 60 as id", "1 as g", "cast(0.01 as double) * (id * 37 % 60 % 3) as p").repartition(parts)
+            got = {r.id: r.bh_rank for r in tables.benjamini_hochberg(t, "p", by=by).collect()}
+            assert got == {i: i % 3 * 20 + i // 3 + 1 for i in range(60)}
