@@ -10,13 +10,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlake.functions.special import gammaln
 from gramlake.operators.linear import Fit, centred
 from gramlake.operators.rows import sum_rows
+from gramlake.operators.state import held
 from gramlake.operators.terms import Design
 
 
@@ -157,7 +157,7 @@ def fit_mle(df: DataFrame, design: Design, model: str, inflation: Design | None
     infl = Design([], (inflation or Design([], [])).x, intercept=True) if inflated else None
     plan2 = infl.fit(df) if infl else None
     rows = plan.rows(df) if not infl else _joint_rows(plan, plan2, df.where(both.valid(df) & infl.valid(df)))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = held(rows)
     try:
         check_support(rows, "y0", support)
         moved = centred(rows, plan)

@@ -358,3 +358,16 @@ def test_equal_p_values_rank_by_the_other_columns(spark):
             t = spark.range(60, numPartitions=parts).selectExpr("(id * 37) % 60 as id", "1 as g", "cast(0.01 as double) * (id * 37 % 60 % 3) as p").repartition(parts)
             got = {r.id: r.bh_rank for r in tables.benjamini_hochberg(t, "p", by=by).collect()}
             assert got == {i: i % 3 * 20 + i // 3 + 1 for i in range(60)}
+
+
+def test_cached_rows_use_all_cores(spark):
+    """Rows that a join left in one partition are dealt to all cores before a fit passes over them; few rows stay."""
+    from gramlake.operators.state import held
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = held(spark.range(0, 40_000, 1, 1).selectExpr("cast(id as double) as y0"))
+    parts = rows.select(F.spark_partition_id().alias("p"), "y0").groupBy("p").agg(F.count("*").alias("n"), F.sum("y0").alias("s")).collect()
+    assert len(parts) >= cores and max(r.n for r in parts) < 10_000 and sum(r.s for r in parts) == 40_000 * 39_999 / 2
+    rows.unpersist()
+    few = held(spark.range(0, 100, 1, 1).selectExpr("cast(id as double) as y0"))
+    assert few.select(F.spark_partition_id().alias("p")).distinct().count() == 1 and held(few.limit(0)).count() == 0
