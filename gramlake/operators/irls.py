@@ -464,7 +464,10 @@ def _medians_abs(rows: DataFrame, plan: Plan, betas: np.ndarray, n: float, near:
 
 
 def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1", scale: float | None = None, max_iter: int = 50, tol: float = 1e-6) -> Fit:
-    """M-estimation by IRLS with the MAD scale of each step, from counting passes over a cached projection."""
+    """M-estimation by IRLS with the MAD scale of each step, from counting passes over a cached projection.
+
+    The fit's ``covariances`` has the matrices of all kinds, which cost no further pass.
+    """
     plan = whole = design.fit(df)
     rows = plan.rows(df).persist(StorageLevel.MEMORY_AND_DISK)
     k, beta, s, median, spread = len(plan.names), None, scale, 0.0, 0.5
@@ -510,8 +513,10 @@ def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1
     inv = solve_scaled(xx, np.zeros(k))[1]
     winv = solve_scaled(xdx, np.zeros(k))[1]
     psi2 = t[1] * s * s / dfr
-    cov = {"H1": kk**2 * psi2 / m**2 * inv, "H2": kk * psi2 / m * winv, "H3": psi2 / kk * winv @ xx @ winv, "SANDWICH": winv @ meat @ winv * s * s * n / dfr}[cov_type]
-    return moved.fit(Fit(plan.names, beta, cov, dfr, {"n": n, "scale": s, "cost": t[0], "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": dfr}, inv, plan, use_t=False), whole)
+    cov = {"H1": kk**2 * psi2 / m**2 * inv, "H2": kk * psi2 / m * winv, "H3": psi2 / kk * winv @ xx @ winv, "SANDWICH": winv @ meat @ winv * s * s * n / dfr}
+    fit = moved.fit(Fit(plan.names, beta, cov[cov_type], dfr, {"n": n, "scale": s, "cost": t[0], "iterations": iteration + 1, "converged": iteration + 1 < max_iter, "df_resid": dfr}, inv, plan, use_t=False), whole)
+    fit.covariances = {kind: moved.back @ v @ moved.back.T for kind, v in cov.items()}
+    return fit
 
 
 def row_weights(fit: Fit, df: DataFrame, norm: str, name: str = "weight") -> DataFrame:

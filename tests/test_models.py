@@ -371,3 +371,12 @@ def test_cached_rows_use_all_cores(spark):
     rows.unpersist()
     few = held(spark.range(0, 100, 1, 1).selectExpr("cast(id as double) as y0"))
     assert few.select(F.spark_partition_id().alias("p")).distinct().count() == 1 and held(few.limit(0)).count() == 0
+
+
+def test_one_robust_fit_has_all_covariances(spark):
+    """A fit's covariances of all kinds are those of fits asked for each."""
+    rows = spark.range(0, 300, 1, 2).selectExpr("cast(id as double) as x", "2D * id + 50 * sin(id * id) + if(id % 17 = 0, 400, 0) as y")
+    design = Design(["y"], [num("x")])
+    fit = irls.rlm(rows, design)
+    assert set(fit.covariances) == {"H1", "H2", "H3", "SANDWICH"} and np.array_equal(fit.covariances["H1"], fit.cov)
+    assert np.allclose(fit.covariances["SANDWICH"], irls.rlm(rows, design, cov_type="SANDWICH").cov, rtol=1e-9)
