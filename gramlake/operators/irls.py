@@ -20,6 +20,8 @@ from gramlake.operators.rows import numpy_columns, sum_rows
 from gramlake.operators.terms import Design, Plan
 
 _EPS = 1e-10
+#: Length of a step, in standard errors, below which one that is no shorter than the step before is rounding.
+ROUNDING = 1e-6
 
 
 class Link:
@@ -189,6 +191,7 @@ def glm(df: DataFrame, design: Design, family: str, link: str | None = None, cov
 
     ``penalty`` is (alpha, l1_ratio) on columns scaled by their deviation, intercept free; ``penalty_matrix``
     is added to X'WX. Outcomes outside the family's support are refused. HC1 uses the observed scores.
+    Iterations end at ``tol``, or where steps far below the errors no longer shrink: rounding, which near collinear columns magnify, is all that is left of them.
     """
     canonical, support, fixed = FAMILIES[family]
     g = Link(link or canonical, power, alpha)
@@ -201,7 +204,7 @@ def glm(df: DataFrame, design: Design, family: str, link: str | None = None, cov
         if bad:
             raise ValueError(f"outcomes outside the support of {family}")
         k = len(plan.names)
-        beta, n, dev = None, 0.0, math.inf
+        beta, n, dev, change = None, 0.0, math.inf, math.inf
         ridge = np.zeros((k, k)) if penalty_matrix is None else np.asarray(penalty_matrix, float)
         for iteration in range(max_iter):
 
@@ -236,9 +239,10 @@ def glm(df: DataFrame, design: Design, family: str, link: str | None = None, cov
                 bread = solve_scaled(xx + n * np.diag(l2), xz)[1]
             else:
                 new, bread = solve_scaled(xx + ridge, xz)
-            change = np.max(np.abs(new - beta)) if beta is not None else math.inf
+            before, change = change, np.max(np.abs(new - beta)) if beta is not None else math.inf
+            errors = math.inf if beta is None else math.sqrt(max((new - beta) @ xx @ (new - beta), 0.0) / (1.0 if fixed else max(new_dev / n, 1e-300)))
             beta, dev = new, new_dev
-            if change < tol * max(1.0, np.max(np.abs(beta))):
+            if change < tol * max(1.0, np.max(np.abs(beta))) or change >= before and errors < ROUNDING:
                 break
 
         def last(c, scale=1.0):
