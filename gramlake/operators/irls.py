@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from gramlake.functions import special
 from gramlake.operators.checkloss import settle
 from gramlake.operators.linear import Fit, centred, solve_scaled
-from gramlake.operators.rows import numpy_columns, sum_rows
+from gramlake.operators.rows import BLOCK_ROWS, numpy_columns, sum_rows
 from gramlake.operators.terms import Design, Plan
 
 _EPS = 1e-10
@@ -416,28 +417,36 @@ def _psi(kind: str, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return z * z / 2, np.ones_like(z), np.ones_like(z)
 
 
-def _median_abs(rows: DataFrame, plan: Plan, beta: np.ndarray, n: float, near: float = 0.0, spread: float = 0.5) -> float:
+#: Residuals of a bracket that the driver sorts.
+FEW = 20_000
+
+
+def _median_abs(rows: DataFrame, plan: Plan, beta: np.ndarray, n: float, near: float = 0.0, spread: float = 0.5, seen: dict | None = None) -> float:
     """Median of |y - X beta|."""
-    return float(_medians_abs(rows, plan, beta[None, :], n, near, spread)[0])
+    return float(_medians_abs(rows, plan, beta[None, :], n, near, spread, seen)[0])
 
 
-def _medians_abs(rows: DataFrame, plan: Plan, betas: np.ndarray, n: float, near: float = 0.0, spread: float = 0.5) -> np.ndarray:
+def _medians_abs(rows: DataFrame, plan: Plan, betas: np.ndarray, n: float, near: float = 0.0, spread: float = 0.5, seen: dict | None = None) -> np.ndarray:
     """Medians of |y - X beta| for several fits, by passes that count bins of shrinking brackets, for both middle ranks of all of them at once.
 
-    The first bracket is ``near`` by ``spread`` on either side if the ranks lie in it, and powers of two otherwise.
+    The first bracket is ``near`` by ``spread`` on either side if the ranks lie in it, and powers of two otherwise. Of brackets
+    with FEW residuals at most, these are sorted in one pass. ``seen`` keeps how dense they lie, so that a later call knows which brackets hold few.
     """
-    bins, m = 4096, 2 * len(betas)
+    bins, m, seen = 4096, 2 * len(betas), {} if seen is None else seen
     ranks = np.tile([(n - 1) // 2, n // 2], len(betas))
     resid = lambda c: np.abs(plan.outcomes(c)[:, :1] - plan.matrix(c) @ betas.T)
 
     def closer(low, high):
-        """The bins with the ranks, and which were found; a rank outside its bracket keeps that."""
+        """The bins with the ranks, which were found, and how many residuals they hold; a rank outside its bracket keeps that."""
         width = (high - low) / bins
 
         def fine(c):
             r = resid(c)
             out = []
             for k in range(m):
+                if k % 2 and low[k] == low[k - 1] and high[k] == high[k - 1]:
+                    out += out[-2:]
+                    continue
                 b = np.floor((r[:, k // 2] - low[k]) / width[k])
                 out += [[(b < 0).sum()], np.bincount(b[(b >= 0) & (b < bins)].astype(int), minlength=bins)]
             return np.concatenate(out)
@@ -446,35 +455,91 @@ def _medians_abs(rows: DataFrame, plan: Plan, betas: np.ndarray, n: float, near:
         below, total = h[:, 0], np.cumsum(h[:, 1:], axis=1) + h[:, :1]
         found = (below <= ranks) & (total[:, -1] > ranks)
         at = np.array([int(np.searchsorted(total[k], ranks[k], side="right")) for k in range(m)])
-        return np.where(found, low + at * width, low), np.where(found, low + (at + 1) * width, high), found
-
-    low, high, found = closer(np.full(m, near * (1 - spread)), np.full(m, near * (1 + spread))) if near > 0 else (None, None, np.zeros(m, bool))
+        held = np.where(found, h[np.arange(m), np.minimum(at, bins - 1) + 1], np.inf)
+        if found.all():
+            seen["density"] = float((held / width).max())
+        return np.where(found, low + at * width, low), np.where(found, low + (at + 1) * width, high), found, held
+
+    def among(low, high):
+        """The ranks' values in brackets of few residuals; NaN where a bracket misses its rank or holds more."""
+
+        def near_rows(batches):
+            below, inside = np.zeros(m), [[] for _ in range(m)]
+            for whole in batches:
+                for batch in (whole.slice(i, BLOCK_ROWS) for i in range(0, whole.num_rows, BLOCK_ROWS)):
+                    r = resid(numpy_columns(batch))
+                    for k in range(m):
+                        v = r[:, k // 2]
+                        below[k] += (v < low[k]).sum()
+                        if inside[k] is not None:
+                            inside[k].append(v[(v >= low[k]) & (v <= high[k])])
+                            if sum(map(len, inside[k])) > FEW:
+                                inside[k] = None
+                        if inside[k]:
+                            inside[k] = [np.concatenate(inside[k])]
+            raw = [None if v is None else np.concatenate([np.zeros(0), *v]).tobytes() for v in inside]
+            yield pa.RecordBatch.from_arrays([pa.array(range(m), pa.int32()), pa.array(below), pa.array(raw, pa.binary())], ["k", "below", "b"])
+
+        out, got = np.full(m, np.nan), rows.mapInArrow(near_rows, "k int, below double, b binary").collect()
+        for k in range(m):
+            mine = [r for r in got if r.k == k]
+            if all(r.b is not None for r in mine):
+                v, at = np.sort(np.concatenate([np.zeros(0), *(np.frombuffer(r.b) for r in mine)])), int(ranks[k] - sum(r.below for r in mine))
+                out[k] = v[at] if 0 <= at < len(v) else np.nan
+        return out
+
+    if near > 0 and "density" in seen:
+        spread = max(spread, 100 / max(seen["density"] * near, 1e-300))  # wide enough for some ranks on either side
+        if 2 * spread * near * seen["density"] <= FEW / 4 and spread < 1:
+            exact = among(np.full(m, near * (1 - spread)), np.full(m, near * (1 + spread)))
+            if not np.isnan(exact).any():
+                return exact.reshape(-1, 2).mean(axis=1)
+            spread = 0.5
+        spread = min(spread, 0.5)
+    low, high, found, held = closer(np.full(m, near * (1 - spread)), np.full(m, near * (1 + spread))) if near > 0 else (None, None, np.zeros(m, bool), None)
     if not found.all():
 
         def count(c):  # powers of two first
             e = np.clip(np.floor(np.log2(np.maximum(resid(c), 1e-300))).astype(int) + 1024, 0, 2047)
             return np.concatenate([np.bincount(e[:, k], minlength=2048) for k in range(len(betas))])
 
-        upto = np.repeat(np.cumsum(sum_rows(rows, count).reshape(-1, 2048), axis=1), 2, axis=0)
-        at = np.array([int(np.searchsorted(u, r, side="right")) for u, r in zip(upto, ranks, strict=True)])
-        low, high = np.where(at > 0, 2.0 ** (at - 1024.0), 0.0), 2.0 ** (at - 1023.0)
-    for _ in range(4):
+        each = np.repeat(sum_rows(rows, count).reshape(-1, 2048), 2, axis=0)
+        at = np.array([int(np.searchsorted(u, r, side="right")) for u, r in zip(np.cumsum(each, axis=1), ranks, strict=True)])
+        low, high, held = np.where(at > 0, 2.0 ** (at - 1024.0), 0.0), 2.0 ** (at - 1023.0), each[np.arange(m), at]
+    for _ in range(5):
         if (high - low < 1e-13 * np.maximum(high, 1e-300)).all():
             break
-        low, high, found = closer(low, high)  # a bracket as fine as its numbers: rounding moves ranks out of it
+        if (held <= FEW / 2).all():
+            edge = 1e-3 * (high - low) + 1e-15 * high  # bins and comparisons round differently
+            exact = among(low - edge, high + edge)
+            if not np.isnan(exact).any():
+                return exact.reshape(-1, 2).mean(axis=1)
+        low, high, found, held = closer(low, high)  # a bracket as fine as its numbers: rounding moves ranks out of it
         if not found.any():
             break
     return ((low + high) / 2).reshape(-1, 2).mean(axis=1)
 
 
+def _rises(xwx: np.ndarray, xdx: np.ndarray) -> bool:
+    """Whether psi' keeps a tenth of the weights at least in every direction."""
+    d = np.sqrt(np.maximum(np.diag(xwx), 1e-300))
+    try:
+        inner = np.linalg.inv(np.linalg.cholesky(xwx / np.outer(d, d)))
+    except np.linalg.LinAlgError:
+        return False
+    return bool(np.linalg.eigvalsh(inner @ (xdx / np.outer(d, d)) @ inner.T)[0] >= 0.1)
+
+
 def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1", scale: float | None = None, max_iter: int = 50, tol: float = 1e-6) -> Fit:
     """M-estimation by IRLS with the MAD scale of each step, from counting passes over a cached projection.
 
+    Near the solution, where steps lie well within the scale and psi rises on the whole, Newton's steps replace those of IRLS as long as they shrink by half.
     The fit's ``covariances`` has the matrices of all kinds, which cost no further pass.
     """
     plan = whole = design.fit(df)
     rows = plan.rows(df).persist(StorageLevel.MEMORY_AND_DISK)
     k, beta, s, median, spread = len(plan.names), None, scale, 0.0, 0.5
+    change, fast, seen = math.inf, True, {}
     try:
         moved = centred(rows, plan)
         plan = moved.plan
@@ -482,18 +547,24 @@ def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1
 
             def step(c, beta=beta, s=s):
                 x, y, w = plan.matrix(c), plan.outcomes(c)[:, 0], c["w"]
+                d = np.zeros_like(w)
                 if beta is not None:
-                    w = w * _psi(norm, (y - x @ beta) / s)[1]
+                    _, weight, slope = _psi(norm, (y - x @ beta) / s)
+                    w, d = w * weight, w * slope
                 xw = x * w[:, None]
-                return np.concatenate([[len(x)], (x.T @ xw).ravel(), xw.T @ y])
+                return np.concatenate([[len(x)], (x.T @ xw).ravel(), (x.T @ (x * d[:, None])).ravel(), xw.T @ y])
 
             t = sum_rows(rows, step)
-            n = t[0]
-            new, _ = solve_scaled(t[1 : 1 + k * k].reshape(k, k), t[1 + k * k :])
-            change = np.max(np.abs(new - beta) / np.maximum(1, np.abs(new))) if beta is not None else math.inf
+            n, xwx, xdx = t[0], t[1 : 1 + k * k].reshape(k, k), t[1 + k * k : 1 + 2 * k * k].reshape(k, k)
+            new, _ = solve_scaled(xwx, t[1 + 2 * k * k :])
+            newton = beta is not None and fast and _rises(xwx, xdx) and math.sqrt(max((new - beta) @ xwx @ (new - beta), 0.0) / n) < 0.1 * s
+            if newton:
+                new = beta + solve_scaled(xdx, xwx @ (new - beta))[0]
+            last, change = change, np.max(np.abs(new - beta) / np.maximum(1, np.abs(new))) if beta is not None else math.inf
+            fast = fast and not (newton and change > last / 2)
             beta = new
             if scale is None:
-                before, median = median, _median_abs(rows, plan, beta, n, median, spread)
+                before, median = median, _median_abs(rows, plan, beta, n, median, spread, seen)
                 spread = min(0.5, max(1e-7, 20 * abs(median - before) / max(median, 1e-300)))
                 s = median / special.norm_ppf(0.75)
                 if s <= 0:

@@ -17,3 +17,31 @@ def test_steps_of_rounding_end_a_fit(spark):
     score = m.T @ (y - 1 / (1 + np.exp(-m @ fit.params)))
     assert score @ fit.cov @ score < 1e-12
     assert fit.stats["converged"] and fit.stats["iterations"] < 30
+
+
+def test_robust_fits_and_medians_take_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 30_001
+    x, e = rng.normal(size=n), rng.standard_t(3, n)
+    frame = spark.createDataFrame([(float(a), float(1 + 2 * a + b)) for a, b in zip(x, e, strict=True)], "x double, y double").repartition(3).persist()
+    passes, plain = [], irls.sum_rows
+    monkeypatch.setattr(irls, "sum_rows", lambda rows, kernel: passes.append(kernel) or plain(rows, kernel))
+    m, y = np.stack([np.ones(n), x], 1), 1 + 2 * x + e
+    for norm in ("HuberT", "TukeyBiweight"):
+        passes.clear()
+        fit = irls.rlm(frame, Design(["y"], [num("x")]), norm, tol=1e-11)
+        z = (y - m @ fit.params) / fit.stats["scale"]
+        assert abs(fit.stats["scale"] * 0.6744897501960817 - np.median(np.abs(y - m @ fit.params))) < 1e-9
+        assert np.abs(m.T @ (irls._psi(norm, z)[1] * z)).max() < 1e-6
+        assert len(passes) < 20
+
+
+def test_medians_of_ties_and_wide_ranges(spark):
+    rng = np.random.default_rng(5)
+    for y in (np.repeat([1.0, 2.0, 2.0, 7.0], 15_000), np.concatenate([np.zeros(3), [5.0, 6.0, 9.0, 11.0]]), np.exp(rng.normal(0, 9, 50_000)), np.array([3.0])):
+        rows = spark.createDataFrame([(float(v), 1.0) for v in y], "y0 double, w double").repartition(3)
+        plan = Design(["y0"], []).fit(rows)
+        for near in (0.0, float(np.median(y)) * 1.01, 1e-5):
+            seen = {"density": len(y) / 10.0} if near == 1e-5 else {}
+            got = irls._medians_abs(rows, plan, np.array([[0.0], [0.5]]), len(y), near, 0.1, seen)
+            assert np.allclose(got, [np.median(np.abs(y)), np.median(np.abs(y - 0.5))], rtol=1e-12)
