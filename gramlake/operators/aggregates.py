@@ -109,25 +109,28 @@ def quantiles(df: DataFrame, value: Column, shares: list[float], by: list[str] =
     brackets = sizes.select(*keys, F.lit("").alias("b"), F.lit(0).cast("long").alias("below"), F.col("n").alias("m"), "lo", "hi", "ranks")
     found = []
 
-    def met(rows: DataFrame, brackets: DataFrame) -> DataFrame:
+    def met(rows: DataFrame, brackets: DataFrame, columns: list[str], on_left: list[str]) -> DataFrame:
+        """Rows with their bracket's ``columns``: ends alone for values, as ranks are long and go with brackets only."""
         other = brackets.select(*[F.col(c).alias(f"o_{c}") for c in brackets.columns])
         on = rows["b"] == other["o_b"]
         for k in keys:
             on = on & rows[k].eqNullSafe(other[f"o_{k}"])
-        return rows.join(other, on).select(*keys, "v", *[F.col(f"o_{c}").alias(c) for c in brackets.columns if c not in keys])
+        return rows.join(other, on).select(*keys, *on_left, *[F.col(f"o_{c}").alias(c) for c in columns])
 
     for turn in itertools.count():
         same = brackets.where("lo = hi").select(*keys, F.explode("ranks").alias("rank"), F.col("lo").alias("value"))
-        few = met(rows, brackets.where((F.col("m") <= keep) & (F.col("lo") < F.col("hi"))))
-        lists = few.groupBy(*keys, "b").agg(F.sort_array(F.collect_list("v")).alias("l"), F.first("below").alias("below"), F.first("ranks").alias("ranks"))  # keep values at most
+        small = brackets.where((F.col("m") <= keep) & (F.col("lo") < F.col("hi")))
+        lists = met(rows, small, [], ["v", "b"]).groupBy(*keys, "b").agg(F.sort_array(F.collect_list("v")).alias("l"))  # keep values at most
+        lists = met(lists, small, ["below", "ranks"], ["b", "l"])
         sorted_ = lists.select(*keys, "below", "l", F.explode("ranks").alias("rank")).select(*keys, "rank", F.element_at("l", (F.col("rank") - F.col("below") + 1).cast("int")).alias("value"))
         found += [same, sorted_]
         more = brackets.where((F.col("m") > keep) & (F.col("lo") < F.col("hi")))
         if not more.limit(1).count():
             break
-        inside = met(rows, more).withColumn("part", _part(bins))
+        inside = met(rows, more, ["lo", "hi"], ["v", "b"]).withColumn("part", _part(bins)).drop("lo", "hi")
         inside = cut(inside) if turn else inside  # after the first round, few rows are left
-        counts = inside.groupBy(*keys, "b", "part").agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"), F.first("below").alias("start"), F.first("ranks").alias("ranks"))
+        counts = inside.groupBy(*keys, "b", "part").agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+        counts = met(counts, more.withColumn("start", F.col("below")), ["start", "ranks"], ["b", "part", "m", "low", "high"])
         upto = F.sum("m").over(Window.partitionBy(*keys, "b").orderBy("part"))  # bins rows
         below = counts.withColumn("below", F.col("start") + upto - F.col("m"))
         wanted = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("m")))

@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from gramlake.operators import irls
+from pyspark.sql import functions as F
+
+from gramlake.operators import aggregates, irls
 from gramlake.operators.terms import Design, num
 
 
@@ -45,3 +47,14 @@ def test_medians_of_ties_and_wide_ranges(spark):
             seen = {"density": len(y) / 10.0} if near == 1e-5 else {}
             got = irls._medians_abs(rows, plan, np.array([[0.0], [0.5]]), len(y), near, 0.1, seen)
             assert np.allclose(got, [np.median(np.abs(y)), np.median(np.abs(y - 0.5))], rtol=1e-12)
+
+
+def test_values_of_quantiles_carry_no_ranks(spark, monkeypatch):
+    seen, plain = [], aggregates.cut
+    monkeypatch.setattr(aggregates, "cut", lambda df: seen.append(df.columns) or plain(df))
+    values = np.random.default_rng(6).normal(size=300)
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = aggregates.quantiles(frame, F.col("v"), [0.1, 0.5], keep=4, bins=4).first()
+    assert np.allclose(got.q, np.quantile(values, [0.1, 0.5]))
+    rows = [c for c in seen if "v" in c]
+    assert rows and not any("ranks" in c for c in rows)
