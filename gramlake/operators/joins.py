@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramlake.operators import splines
+from gramlake.operators.state import cut
 
 #: Knots up to which interpolation broadcasts them; beyond it a sorted union finds the neighbours.
 BROADCAST_KNOTS = 1_000_000
@@ -20,11 +21,15 @@ def merge_tables(tables: list[DataFrame], on: list[str], how: str = "outer") ->
     return functools.reduce(lambda a, b: a.join(b, on, how), tables)
 
 
-def _knots(knots: DataFrame, x: str, y: str) -> tuple[np.ndarray, np.ndarray] | None:
-    clean = knots.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null").groupBy("x").agg(F.min("y").alias("y"))
-    if clean.count() > BROADCAST_KNOTS:
+def _clean(knots: DataFrame, x: str, y: str) -> DataFrame:
+    return knots.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null").groupBy("x").agg(F.min("y").alias("y"))
+
+
+def _knots(knots: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Clean knots in order, if they are few."""
+    if knots.count() > BROADCAST_KNOTS:
         return None
-    table = clean.toPandas().sort_values("x")  # bounded
+    table = knots.toPandas().sort_values("x")  # bounded
     return table["x"].to_numpy(float), table["y"].to_numpy(float)
 
 
@@ -32,10 +37,11 @@ def interpolate(df: DataFrame, value: str, knots: DataFrame, x: str, y: str, kin
     """Adds ``name``: the knot table at each row's ``value``: previous, next, nearest or linear.
 
     Outside the knots: null, but for previous after the last and next before the first knot. Knots of a
-    checked size are broadcast (no shuffle of rows); larger tables are range-partitioned with the rows and
-    neighbours found by windows within bounded ranges plus one carried knot for each range.
+    checked size are broadcast (no shuffle of rows); larger tables meet the rows by ranges, where each row takes the
+    last knot seen upwards and downwards, plus one carried knot for each range.
     """
-    small = _knots(knots, x, y)
+    clean = cut(_clean(knots, x, y))  # read several times
+    small = _knots(clean)
     if small is not None:
         kx, ky = small
 
@@ -64,16 +70,19 @@ def interpolate(df: DataFrame, value: str, knots: DataFrame, x: str, y: str, kin
             return pd.Series(out).where(~np.isnan(out), None)
 
         return df.withColumn(name, at(F.col(value).cast("double")))
-    return _large(df, value, knots, x, y, kind, name)
+    return _large(df, value, clean, "x", "y", kind, name)
 
 
 def _large(df: DataFrame, value: str, knots: DataFrame, x: str, y: str, kind: str, name: str) -> DataFrame:
-    """As-of by buckets of quantiles: rows and knots of a bucket meet by key, with the knots just outside it."""
+    """As-of by buckets of quantiles: rows and knots of a bucket meet by key, with the knots just outside it. Two sorts of a bucket, in time of its rows."""
     shares = [i / 1024 for i in range(1, 1024)]
-    cuts = sorted(set(knots.approxQuantile(x, shares, 1e-4)))  # bounded number of cuts
-    edges = F.array(*[F.lit(float(c)) for c in cuts])
-    bucket = lambda c: F.size(F.filter(edges, lambda e: e < c))
-    k = knots.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null").withColumn("_b", bucket(F.col("_x")))
+    cuts = np.array(sorted(set(knots.approxQuantile(x, shares, 1e-4))))  # bounded number of cuts
+
+    @F.pandas_udf("int")
+    def bucket(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, v.to_numpy(float)))
+
+    k = knots.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null").withColumn("_b", bucket("_x"))
     ends = k.groupBy("_b").agg(F.max(F.struct("_x", "_y")).alias("l"), F.min(F.struct("_x", "_y")).alias("f")).orderBy("_b").collect()
     carried, last = [], None
     for r in ends:
@@ -85,16 +94,20 @@ def _large(df: DataFrame, value: str, knots: DataFrame, x: str, y: str, kind: st
         carried += [(b, last["l"]["_x"], last["l"]["_y"]) for b in range(last["_b"] + 1, len(cuts) + 1)]
         carried += [(b, ends[0]["f"]["_x"], ends[0]["f"]["_y"]) for b in range(ends[0]["_b"])]
     near = k.select("_b", "_x", "_y").union(df.sparkSession.createDataFrame(carried, "_b int, _x double, _y double"))
-    rows = df.withColumn("_v", F.col(value).cast("double")).withColumn("_b", bucket(F.col("_v"))).withColumn("_id", F.monotonically_increasing_id())
-    both = rows.select("_b", F.col("_v").alias("_at"), "_id", F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_r")).union(near.select("_b", "_x", F.lit(None).cast("long"), "_y", F.lit(0)))
+    row = F.struct(*[F.col(c) for c in df.columns])
+    known = F.col(value).cast("double").isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    rows = df.where(known).select(row.alias("_row"), F.col(value).cast("double").alias("_at")).withColumn("_b", bucket("_at"))
+    rows = rows.select("_b", "_at", F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_r"), "_row")
+    both = rows.unionByName(near.select("_b", F.col("_x").alias("_at"), "_y", F.lit(0).alias("_r")), allowMissingColumns=True)
     knot = F.when(F.col("_r") == 0, F.struct(F.col("_at").alias("x"), F.col("_y").alias("y")))
-    before = F.last(knot, True).over(Window.partitionBy("_b").orderBy("_at", "_r"))
-    after = F.first(knot, True).over(Window.partitionBy("_b").orderBy("_at", F.desc("_r")).rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"_p": before, "_n": after}).where("_r = 1").withColumn("_n", F.when(F.col("_p.x") == F.col("_at"), F.col("_p")).otherwise(F.col("_n")))
+    # the last knot on the way up and on the way down; a frame that begins at the row would be gone through anew for each row
+    so_far = lambda *order: F.last(knot, True).over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_p", so_far("_at", "_r")).withColumn("_n", so_far(F.desc("_at"), "_r")).where("_r = 1")
     p, n, v = F.col("_p"), F.col("_n"), F.col("_at")
     linear = F.when(p["x"] == n["x"], p["y"]).otherwise(p["y"] + (n["y"] - p["y"]) * (v - p["x"]) / (n["x"] - p["x"]))
     out = {"previous": p["y"], "next": n["y"], "nearest": F.when(p.isNotNull() & n.isNotNull(), F.when(v - p["x"] <= n["x"] - v, p["y"]).otherwise(n["y"])), "linear": linear}[kind]
-    return rows.join(found.select("_id", out.alias(name)), "_id").drop("_id", "_v", "_b")
+    found = found.select(*[F.col("_row")[c].alias(c) for c in df.columns], out.alias(name))
+    return found.union(df.where(~F.coalesce(known, F.lit(False))).withColumn(name, F.lit(None).cast("double")))
 
 
 def _tridiagonal(low: np.ndarray, diagonal: np.ndarray, high: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -142,9 +155,9 @@ def spline_eval(df: DataFrame, value: str, knots: DataFrame, x: str, y: str, bc:
     ``kind`` is linear, quadratic (a parabola around each inner knot, meeting midway between knots with equal slopes) or cubic.
     Pieces of up to BROADCAST_KNOTS knots are broadcast; those of more are made and met in blocks (``splines``).
     """
-    small = _knots(knots, x, y)
+    clean = cut(_clean(knots, x, y))  # read several times
+    small = _knots(clean)
     if small is None:
-        clean = knots.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null").groupBy("x").agg(F.min("y").alias("y"))
         return splines.evaluate(df, value, splines.pieces(clean, kind, bc), derivative, name)
     kx, ky = small
     if len(kx) < 2:
