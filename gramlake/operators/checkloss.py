@@ -7,10 +7,13 @@ another pass counts. If some did, the band is laid around the new fit.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gramlake.operators.linear import solve_scaled
 from gramlake.operators.rows import numpy_columns, sum_rows
 
 #: Rows of a band and numbers in it that the driver holds; rounds of bands.
@@ -71,22 +74,79 @@ def vertex(x: np.ndarray, r: np.ndarray, w: np.ndarray, g: np.ndarray, tau: floa
     return d / scale, proven
 
 
-def settle(rows: DataFrame, plan, beta: np.ndarray, taus: np.ndarray, used: np.ndarray, n: float, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def band_rows(p: int, q: int) -> int:
+    """Rows of a band at most, for ``q`` quantiles of ``p`` columns."""
+    return int(max(min(BAND_ROWS, BAND_NUMBERS // max(p * q, 1)), 4 * p))
+
+
+def nearer(rows: DataFrame, plan, beta: np.ndarray, taus: np.ndarray, used: np.ndarray, n: float, gram: np.ndarray, h: np.ndarray, most: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Newton's steps over all rows from a sample's fits, one pass each, until what they may still lie off is far within a band; and
+    half the width of a band of about half its rows, 0 where that isn't known.
+
+    A sample's error stays the same however many rows there are, while a band narrows with them. The slope of the check loss is
+    exact, its curvature that of a kernel of width ``h``, so a step leaves a small part of the error. Steps that go further than the kernel sees or that
+    don't shrink by half aren't taken.
+    """
+    beta, q, p = beta.copy(), len(taus), beta.shape[1]
+    open_, last, half = np.ones(q, bool), np.full(q, np.inf), np.zeros(q)
+    use = np.ix_(used, used)
+    for _ in range(most):
+        at = np.flatnonzero(open_)
+
+        def slopes(c, now=beta[at], at=at):
+            x, y, w = plan.matrix(c), plan.outcomes(c)[:, 0], c["w"]
+            out = []
+            for b, t, one in zip(now, taus[at], h[at], strict=True):
+                r = y - x @ b
+                f = np.exp(-0.5 * (r / one) ** 2)
+                out += [[f.sum()], w * (t - (r < 0)) @ x, (x.T @ (x * (w * f)[:, None])).ravel()]
+            return np.concatenate(out)
+
+        s = sum_rows(rows, slopes).reshape(len(at), -1)
+        for i, v in zip(at, s, strict=True):
+            norm = h[i] * np.sqrt(2 * np.pi)
+            half[i] = band_rows(p, q) * norm / (4 * max(v[0], 1e-300))
+            d = np.zeros(p)
+            d[used] = norm * solve_scaled(v[1 + p :].reshape(p, p)[use], v[1 : 1 + p][used])[0]
+            size = np.sqrt(max(d @ gram @ d, 0.0) / n)  # the fitted values' move
+            if not size <= min(2 * h[i], last[i] / 2):
+                open_[i], half[i] = False, 0.0
+                continue
+            beta[i] += d
+            left = size * min(size / last[i] if np.isfinite(last[i]) else 0.05, 0.05)
+            open_[i], last[i] = 20 * left > half[i], size
+        if not open_.any():
+            break
+    return beta, half
+
+
+def settle(rows: DataFrame, plan, beta: np.ndarray, taus: np.ndarray, used: np.ndarray, n: float, rounds: int = ROUNDS, half: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The exact fits from near ones, a row of ``beta`` for each of ``taus``, and which are proven: prices say so, and no row outside
-    the last band changed sides. Four passes a round, for all quantiles that aren't proven yet together."""
+    the last band changed sides. Four passes a round, for all quantiles that aren't proven yet together; the first round takes three where
+    the bands' widths are known (``half``) and hold no more rows than they may."""
     beta, p, proven = beta.copy(), beta.shape[1], np.zeros(len(taus), bool)
-    keep = int(max(min(BAND_ROWS, BAND_NUMBERS // max(p * len(taus), 1)), 4 * p))
+    keep = band_rows(p, len(taus))
 
     def resid(c, beta):
         x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
         return x, y[:, None] - x @ beta.T
 
-    for _ in range(rounds):
+    for turn in range(rounds):
         open_ = np.flatnonzero(~proven)
         now, tau = beta[open_], taus[open_]
         m = len(open_)
-        band = np.full(m, np.inf)
-        if n > keep:
+        band, g = np.full(m, np.inf), None
+
+        def outside(c, now=now, tau=tau, band=None):
+            x, r = resid(c, now)
+            far = np.abs(r) >= band
+            return np.concatenate([(~far).sum(0), ((far * c["w"][:, None] * (tau - (r < 0))).T @ x).ravel()])
+
+        if n > keep and turn == 0 and half is not None and (half > 0).all():
+            s = sum_rows(rows, functools.partial(outside, band=half))
+            if (s[:m] <= keep).all() and (s[:m] > 4 * p).all():
+                band, g = half, s[m:].reshape(m, p)
+        if n > keep and g is None:
 
             def sizes(c, now=now, m=m):
                 b = np.clip(np.floor(np.log10(np.maximum(np.abs(resid(c, now)[1]), 1e-300) / _LEAST) * _TEN), -1, _BINS * 2 - 1).astype(int) + 1
@@ -96,10 +156,6 @@ def settle(rows: DataFrame, plan, beta: np.ndarray, taus: np.ndarray, used: np.n
             k = (upto <= keep).sum(axis=1)  # the first bin that is too many; 0: too many rows lie on the fit, and its band is empty
             band = np.where(k > 0, _LEAST * 10 ** ((k - 1) / _TEN), 0.0)
 
-        def outside(c, now=now, band=band, tau=tau):
-            x, r = resid(c, now)
-            return ((np.abs(r) >= band) * c["w"][:, None] * (tau - (r < 0))).T @ x
-
         def near(batches, now=now, band=band):
             for batch in batches:
                 if batch.num_rows:
@@ -108,7 +164,8 @@ def settle(rows: DataFrame, plan, beta: np.ndarray, taus: np.ndarray, used: np.n
                     row, which = np.nonzero(np.abs(r) < band)
                     yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(r[row, which]), pa.array(c["w"][row]), pa.array(list(x[row]), pa.list_(pa.float64()))], ["i", "r", "w", "x"])
 
-        g = sum_rows(rows, outside).reshape(m, p)
+        if g is None:
+            g = sum_rows(rows, functools.partial(outside, band=band))[m:].reshape(m, p)
         few = rows.mapInArrow(near, "i int, r double, w double, x array<double>").toArrow().combine_chunks()  # keep rows a quantile at most
         which, r, w = (few.column(c).to_numpy() for c in ("i", "r", "w"))
         x = few.column("x").combine_chunks().flatten().to_numpy().reshape(-1, p) if few.num_rows else np.zeros((0, p))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlake.functions import special
-from gramlake.operators.checkloss import settle
+from gramlake.operators.checkloss import band_rows, nearer, settle
 from gramlake.operators.linear import Fit, centred, solve_scaled
 from gramlake.operators.rows import BLOCK_ROWS, numpy_columns, sum_rows
 from gramlake.operators.terms import Design, Plan
@@ -426,14 +426,15 @@ def _median_abs(rows: DataFrame, plan: Plan, beta: np.ndarray, n: float, near: f
     return float(_medians_abs(rows, plan, beta[None, :], n, near, spread, seen)[0])
 
 
-def _medians_abs(rows: DataFrame, plan: Plan, betas: np.ndarray, n: float, near: float = 0.0, spread: float = 0.5, seen: dict | None = None) -> np.ndarray:
+def _medians_abs(rows: DataFrame, plan: Plan, betas: np.ndarray, n: float, near: float | np.ndarray = 0.0, spread: float = 0.5, seen: dict | None = None) -> np.ndarray:
     """Medians of |y - X beta| for several fits, by passes that count bins of shrinking brackets, for both middle ranks of all of them at once.
 
-    The first bracket is ``near`` by ``spread`` on either side if the ranks lie in it, and powers of two otherwise. Of brackets
+    The first bracket is ``near`` (one, or one for each fit) by ``spread`` on either side if the ranks lie in it, and powers of two otherwise. Of brackets
     with FEW residuals at most, these are sorted in one pass. ``seen`` keeps how dense they lie, so that a later call knows which brackets hold few.
     """
     bins, m, seen = 4096, 2 * len(betas), {} if seen is None else seen
     ranks = np.tile([(n - 1) // 2, n // 2], len(betas))
+    near = np.repeat(np.broadcast_to(near, len(betas)), 2)
     resid = lambda c: np.abs(plan.outcomes(c)[:, :1] - plan.matrix(c) @ betas.T)
 
     def closer(low, high):
@@ -488,15 +489,15 @@ def _medians_abs(rows: DataFrame, plan: Plan, betas: np.ndarray, n: float, near:
                 out[k] = v[at] if 0 <= at < len(v) else np.nan
         return out
 
-    if near > 0 and "density" in seen:
-        spread = max(spread, 100 / max(seen["density"] * near, 1e-300))  # wide enough for some ranks on either side
-        if 2 * spread * near * seen["density"] <= FEW / 4 and spread < 1:
-            exact = among(np.full(m, near * (1 - spread)), np.full(m, near * (1 + spread)))
+    if (near > 0).all() and "density" in seen:
+        spread = max(spread, 100 / max(seen["density"] * near.min(), 1e-300))  # wide enough for some ranks on either side
+        if 2 * spread * near.max() * seen["density"] <= FEW / 4 and spread < 1:
+            exact = among(near * (1 - spread), near * (1 + spread))
             if not np.isnan(exact).any():
                 return exact.reshape(-1, 2).mean(axis=1)
             spread = 0.5
         spread = min(spread, 0.5)
-    low, high, found, held = closer(np.full(m, near * (1 - spread)), np.full(m, near * (1 + spread))) if near > 0 else (None, None, np.zeros(m, bool), None)
+    low, high, found, held = closer(near * (1 - spread), near * (1 + spread)) if (near > 0).all() else (None, None, np.zeros(m, bool), None)
     if not found.all():
 
         def count(c):  # powers of two first
@@ -610,11 +611,12 @@ def row_weights(fit: Fit, df: DataFrame, norm: str, name: str = "weight") -> Dat
 START_ROWS = 20_000
 
 
-def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_type: str = "IID", k: float = 1e-5, max_iter: int = 200, xtol: float = 1e-6, ftol: float = 1e-8) -> dict[float, Fit]:
+def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_type: str | None = "IID", k: float = 1e-5, max_iter: int = 200, xtol: float = 1e-6, ftol: float = 1e-8) -> dict[float, Fit]:
     """IRLS on the smoothed check loss, all quantiles in the same pass; a step along each direction is chosen on a grid in another pass.
 
-    Steps start from the fit of a sample of about START_ROWS rows on the driver; all that is returned is of all rows. The
+    Steps start from the fit of a sample of about START_ROWS rows on the driver, which Newton's steps over all rows draw nearer; all that is returned is of all rows. The
     start, and where that lies too far off what the steps over all rows end at, is carried on to the exact minimum, a fit through as many rows as columns, which is proven for all rows where ``exact`` says so (``checkloss``). The residuals' weights are those of a Huber-like surrogate with |z| cut at 1e-10, relative to the outcome's deviation.
+    ``cov_type`` None gives no covariance and no density, which saves the passes for residuals' medians.
     """
     steps = np.array([0.05, 0.25, 0.5, 1, 1.5, 3, 5, 10, 20])
     plan = whole = design.fit(df)
@@ -634,7 +636,8 @@ def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_ty
         n, sd = s[0], math.sqrt(max(s[2] / s[0] - (s[1] / s[0]) ** 2, 1e-300))
         beta = np.tile(solve_scaled(s[3 : 3 + p * p].reshape(p, p), s[3 + p * p :])[0], (q, 1))
         beta[:, :1] += moved.y[0]
-        used = np.diag(solve_scaled(s[3 : 3 + p * p].reshape(p, p), s[3 + p * p :])[1]) != 0
+        weighed = s[3 : 3 + p * p].reshape(p, p)
+        used = np.diag(solve_scaled(weighed, s[3 + p * p :])[1]) != 0
 
         def descend(total, beta):
             """Steps until no quantile moves; ``total`` sums a kernel over the rows."""
@@ -676,13 +679,19 @@ def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_ty
         if some.num_rows > 10 * p:
             columns = numpy_columns(some.to_batches()[0])
             beta, _, _ = descend(lambda f: np.asarray(f(columns)).ravel(), beta)
-        beta, exact = settle(rows, plan, beta, tau, used, n, 2)
+        half, middle = np.zeros(q), np.zeros(q)
+        if some.num_rows > 10 * p and n > band_rows(p, q):
+            middle = np.median(np.abs(plan.outcomes(columns)[:, :1] - plan.matrix(columns) @ beta.T), axis=0)
+            beta, half = nearer(rows, plan, beta, tau, used, n, weighed, np.maximum(0.9 * middle / special.norm_ppf(0.75) * some.num_rows**-0.2, 1e-12 * sd))
+        beta, exact = settle(rows, plan, beta, tau, used, n, 2, half)
         iteration = 0
         if not exact.all():  # the sample's fit lies too far off: steps over all rows lead nearer
             near, _, iteration = descend(lambda f: sum_rows(rows, f), beta)
             near, proven = settle(rows, plan, near, tau, used, n)
             beta, exact = np.where(exact[:, None], beta, near), exact | proven
-        h = np.maximum(0.9 * _medians_abs(rows, plan, beta, n) / special.norm_ppf(0.75) * n**-0.2, 1e-12)
+        h = np.full(q, np.inf)
+        if cov_type is not None:
+            h = np.maximum(0.9 * _medians_abs(rows, plan, beta, n, middle, 0.05) / special.norm_ppf(0.75) * n**-0.2, 1e-12)
 
         def density(c):
             x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
@@ -699,7 +708,9 @@ def quantile_regression(df: DataFrame, design: Design, taus: list[float], cov_ty
         for b, t, sure, s in zip(beta, taus, exact, sum_rows(rows, density).reshape(q, 3 + 3 * p * p), strict=True):
             f0, xx, xfx, xdx = s[0] / n, *(s[3 + i * p * p : 3 + (i + 1) * p * p].reshape(p, p) for i in range(3))
             inv = solve_scaled(xx, np.zeros(p))[1]
-            if cov_type == "IID":
+            if cov_type is None:
+                f0, cov = math.nan, np.full((p, p), math.nan)
+            elif cov_type == "IID":
                 cov = t * (1 - t) / (f0 * f0) * inv
             else:
                 w = solve_scaled(xfx, np.zeros(p))[1]

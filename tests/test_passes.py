@@ -4,7 +4,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from gramlake.operators import aggregates, irls
+from gramlake.operators import aggregates, checkloss, irls
 from gramlake.operators.terms import Design, num
 
 
@@ -58,3 +58,33 @@ def test_values_of_quantiles_carry_no_ranks(spark, monkeypatch):
     assert np.allclose(got.q, np.quantile(values, [0.1, 0.5]))
     rows = [c for c in seen if "v" in c]
     assert rows and not any("ranks" in c for c in rows)
+
+
+def test_quantile_fits_take_few_passes_however_small_the_sample(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    n, taus = 20_000, [0.2, 0.5]
+    x, z = rng.normal(size=n) + 30, rng.normal(size=n)
+    y = 1 + 2 * x + z + rng.standard_t(3, n)
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in zip(x, z, y, strict=True)], "x double, z double, y double").repartition(3).persist()
+    passes, plain = [], irls.sum_rows
+    for module in (irls, checkloss):
+        monkeypatch.setattr(module, "sum_rows", lambda rows, kernel: passes.append(kernel) or plain(rows, kernel))
+    monkeypatch.setattr(irls, "START_ROWS", 500)
+    monkeypatch.setattr(checkloss, "BAND_ROWS", 400)
+    fits = irls.quantile_regression(frame, Design(["y"], [num("x"), num("z")]), taus)
+    assert len(passes) < 12
+    m = np.stack([np.ones(n), x, z], 1)
+    for tau, f in fits.items():
+        r = y - m @ f.params
+        d, proven = checkloss.vertex(m, r, np.ones(n), np.zeros(3), tau)
+        assert f.stats["exact"] and proven and np.abs(m @ d).max() < 1e-7
+    bare = irls.quantile_regression(frame, Design(["y"], [num("x"), num("z")]), taus, None)
+    for tau, f in fits.items():
+        assert np.allclose(bare[tau].params, f.params, atol=1e-8) and abs(bare[tau].stats["cost"] / f.stats["cost"] - 1) < 1e-12 and bare[tau].stats["exact"]
+
+
+def test_quantiles_between_two_values_share_passes(spark):
+    rng = np.random.default_rng(8)
+    for v in (rng.normal(size=1000), np.repeat([1.0, 2.0], 50), np.array([3.0, 3.0]), np.array([1.0, 5.0]), np.exp(rng.normal(0, 9, 501))):
+        frame = spark.createDataFrame([(float(a),) for a in v], "v double")
+        assert np.isclose(aggregates.exact_quantile(frame, F.col("v"), 0.5, 4, 3), np.quantile(v, 0.5), rtol=1e-12)
