@@ -202,7 +202,7 @@ def quantile_slopes(spark, d):
 @query("q3_pseudo_r1_lineitem", "with " + quantile_line(_PRICES, 0.5, "b") + ", u as (select sum(abs(y - m)) as whole from db cross join (select quantile_disc(y, 0.5) as m from db)) select tau, round(1 - sum(abs(r)) / any_value(whole), 4) as r1, round(avg((r < 0)::int), 4) as share_below from rb cross join u group by tau")
 def pseudo(spark, d):
     df = _line(spark, d)
-    f = irls.quantile_regression(df, Design(["l_extendedprice"], [num("l_quantity")]), [0.5])[0.5]
+    f = irls.quantile_regression(df, Design(["l_extendedprice"], [num("l_quantity")]), [0.5], None)[0.5]
     return _out(spark, [(0.5, irls.pseudo_r1(df, "l_extendedprice", 0.5, f.stats["cost"]), float(f.stats["share_below"]))], "tau double, r1 double, share_below double")
 
 

@@ -66,25 +66,25 @@ def exact_quantile(df: DataFrame, value: Column, share: float, bins: int = 1024,
     pos = share * (n - 1)
     want = (int(math.floor(pos)), min(int(math.floor(pos)) + 1, n - 1))
 
-    def rank(k: int) -> float:
-        a, b, below = lo, hi, 0
-        while True:
-            if a == b:
-                return a
-            width = (b - a) / bins
-            inside = v.where((F.col("v") >= a) & (F.col("v") <= b))
-            counts = {r.b: (r.n, r.lo, r.hi) for r in inside.groupBy(F.least(F.floor((F.col("v") - a) / width), F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-            for i in sorted(counts):
-                if below + counts[i][0] > k:
-                    break
-                below += counts[i][0]
-            m, a, b = counts[i]
-            if m <= keep:
-                rows = v.where((F.col("v") >= a) & (F.col("v") <= b)).orderBy("v").limit(k - below + 1).collect()  # at most keep
-                return rows[k - below].v
-
-    first = rank(want[0])
-    return first if want[0] == want[1] or pos == want[0] else first + (pos - want[0]) * (rank(want[1]) - first)
+    def between(first: float, second: float) -> float:
+        return first if pos == want[0] or first == second else first + (pos - want[0]) * (second - first)
+
+    a, b, below = lo, hi, 0  # both ranks lie in the bracket
+    while a < b:
+        width = (b - a) / bins
+        inside = v.where((F.col("v") >= a) & (F.col("v") <= b))
+        counts = {r.b: (r.n, r.lo, r.hi) for r in inside.groupBy(F.least(F.floor((F.col("v") - a) / width), F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+        for i in sorted(counts):
+            if below + counts[i][0] > want[0]:
+                break
+            below += counts[i][0]
+        m, a, b = counts[i]
+        if below + m <= want[1]:  # the bin's last value and the next one's first
+            return between(b, min((counts[j][1] for j in counts if j > i), default=b))
+        if m <= keep:
+            rows = v.where((F.col("v") >= a) & (F.col("v") <= b)).orderBy("v").limit(want[1] - below + 1).collect()  # at most keep
+            return between(rows[want[0] - below].v, rows[want[1] - below].v)
+    return a
 
 
 #: Values of a bracket that are sorted as one list, and bins that a larger one is counted in.
