@@ -85,6 +85,16 @@ def _meat(rows: DataFrame, plan, beta: np.ndarray, part: tuple[str, ...], y: int
     return r.g, np.array([[r[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
 
 
+#: Rows of a task that adds up scores by cluster: a table of sums has a row for each of them where clusters are small.
+SPREAD_ROWS = 250_000
+
+
+def spread(scores: DataFrame, n: float) -> DataFrame:
+    """Scores in tasks of about SPREAD_ROWS rows, however large the parts that a join left; a large cluster's rows go to all of them."""
+    parts = math.ceil(n / SPREAD_ROWS)
+    return scores.repartition(parts, *scores.columns) if parts > 1 else scores
+
+
 def clustered_columns(within: DataFrame, bread: np.ndarray, beta: np.ndarray, x: list[str], y: str, cluster: list[str], n: float, k: int, stats: dict) -> np.ndarray:
     """Clustered covariance of demeaned rows, by inclusion and exclusion: scores sum up by cluster as plain columns."""
     from gramlake.operators.linear import subsets
@@ -95,7 +105,8 @@ def clustered_columns(within: DataFrame, bread: np.ndarray, beta: np.ndarray, x:
     pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
     total, fewest = np.zeros((len(x), len(x))), math.inf
     for part in subsets(cluster):
-        sums = within.groupBy(*part).agg(*[F.sum(F.col(name) * F.col("w") * e).alias(f"s{i}") for i, name in enumerate(x)])
+        scores = spread(within.select(*part, *[(F.col(name) * F.col("w") * e).alias(f"s{i}") for i, name in enumerate(x)]), n)
+        sums = scores.groupBy(*part).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(x))])
         r = sums.agg(F.count("*").alias("g"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in pairs]).first()
         if r.g < 2:
             raise ValueError("clustered errors need two clusters at least")

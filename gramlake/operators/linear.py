@@ -382,7 +382,7 @@ def absorb_ols(df: DataFrame, design: Design, by: list[str], cluster: list[str]
     stats = statistics(g, beta, plan.names, extra_df=groups)
     fit = Fit(plan.names, beta, bread * stats["sigma2"], stats["df_resid"], stats | {"groups": groups}, bread, plan)
     if cluster:
-        within = demean(df, design, by, keep=cluster)
+        within = demean(df, design, by, cluster, groups)
         x, y = [f"x{i}" for i in range(len(plan.names))], "y0"
         fit.cov = covariance.clustered_columns(within, fit.bread, fit.params, x, y, cluster, g.n, len(beta) + groups, fit.stats)
         fit.df_resid = fit.stats["n_clusters"] - 1
@@ -399,10 +399,15 @@ def iv_absorb(df: DataFrame, design: Design, by: list[str]) -> Fit:
     return Fit(plan.names, beta, bread * stats["sigma2"], stats["df_resid"], stats | {"groups": groups}, bread, plan)
 
 
-def demean(df: DataFrame, design: Design, by: list[str], keep: list[str] = ()) -> DataFrame:
+#: Groups whose means a join keeps as hash tables in its tasks, where it would sort the rows.
+HASHED_GROUPS = 5_000_000
+
+
+def demean(df: DataFrame, design: Design, by: list[str], keep: list[str] = (), groups: int | None = None) -> DataFrame:
     """Rows with y and X less their (weighted) group means: y0, x0.., w, ``by``, ``keep``. A shuffle on ``by``.
 
-    Means are aggregated before the shuffle and joined back; the skewed side of that join can be split.
+    Means are aggregated before the shuffle and joined back; the skewed side of that join can be split. Of up to HASHED_GROUPS
+    groups, if their number is known, the tasks hold means alone and sort no rows.
     """
     plan = Design(design.y, design.x, [], design.weights, False).fit(df)
     if any(found is not None for _, found, _ in plan._parts("x")):
@@ -416,6 +421,8 @@ def demean(df: DataFrame, design: Design, by: list[str], keep: list[str] = ()) -
     rows = known.select(F.expr(design.y[0]).cast("double").alias("y0"), *columns, weight.alias("w"), *extra)
     names = ["y0", *[f"x{i}" for i in range(len(columns))]]
     means = rows.groupBy(*by).agg(*[(F.sum(F.col(n) * F.col("w")) / F.sum("w")).alias(f"m_{n}") for n in names])
+    if groups is not None and groups <= HASHED_GROUPS:
+        means = means.hint("shuffle_hash")
     joined = rows.join(means, by)
     return joined.select(*[(F.col(n) - F.col(f"m_{n}")).alias(n) for n in names], "w", *extra)
 

@@ -253,3 +253,24 @@ def test_absorbed_clusters_on_several_columns(frame):
     assert two.bse == pytest.approx(back.bse) and not np.allclose(one.bse, two.bse) and two.stats["n_clusters"] == 11
     with pytest.raises(ValueError):
         linear.absorb_ols(clean.withColumn("k", F.lit(1)), design, ["g"], cluster=["k"])
+
+
+def test_scores_of_clusters_add_up_in_tasks_of_bounded_size(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows = [(i % 7, 0 if i % 3 else i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(3000, 2)))]
+    df = spark.createDataFrame(rows, "g long, c long, x double, y double").repartition(2)
+    whole = linear.absorb_ols(df, Design(["y"], [num("x")]), ["g"], cluster=["c"])
+    sizes, plain = [], covariance.spread
+    monkeypatch.setattr(covariance, "SPREAD_ROWS", 200)
+
+    def seen(scores, n):
+        out = plain(scores, n)
+        sizes.extend(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        return out
+
+    monkeypatch.setattr(covariance, "spread", seen)
+    fit = linear.absorb_ols(df, Design(["y"], [num("x")]), ["g"], cluster=["c"])
+    assert np.allclose(fit.cov, whole.cov, rtol=1e-10) and fit.stats["n_clusters"] == whole.stats["n_clusters"] == 1000
+    assert sum(sizes) == 3000 and len(sizes) == 15 and max(sizes) < 400
+    plan = linear.demean(df, Design(["y"], [num("x")]), ["g"], ["c"], 7)._jdf.queryExecution().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
