@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gramlake.functions import special
 from gramlake.operators.checkloss import band_rows, nearer, settle
 from gramlake.operators.linear import Fit, centred, solve_scaled
-from gramlake.operators.rows import BLOCK_ROWS, numpy_columns, sum_rows
+from gramlake.operators.rows import BLOCK_ROWS, numpy_columns, sum_columns, sum_rows
 from gramlake.operators.terms import Design, Plan
 
 _EPS = 1e-10
@@ -417,10 +417,77 @@ def _psi(kind: str, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return z * z / 2, np.ones_like(z), np.ones_like(z)
 
 
+def _psi_columns(kind: str, z: Column) -> tuple[Column, Column, Column]:
+    """The same of a Column."""
+    from gramlake.functions.columns import NORMS
+
+    c, a, one, none = NORMS[kind], F.abs(z), F.lit(1.0), F.lit(0.0)
+    if kind == "HuberT":
+        return F.when(a <= c, z * z / 2).otherwise(c * a - c * c / 2), F.when(a <= c, one).otherwise(c / a), F.when(a <= c, one).otherwise(none)
+    if kind == "TukeyBiweight":
+        v = z / c * (z / c)
+        u = F.when(a <= c, 1 - v).otherwise(none)
+        return c * c / 6 * (1 - u * u * u), u * u, F.when(a <= c, u * (1 - 5 * v)).otherwise(none)
+    if kind == "TrimmedMean":
+        inside = F.when(a <= c, one).otherwise(none)
+        return F.when(a <= c, z * z / 2).otherwise(c * c / 2), inside, inside
+    if kind == "AndrewWave":
+        end = c * math.pi
+        return F.when(a < end, c * c * (1 - F.cos(z / c))).otherwise(2 * c * c), F.when(z == 0, one).when(a < end, F.sin(z / c) / (z / c)).otherwise(none), F.when(a < end, F.cos(z / c)).otherwise(none)
+    if kind == "RamsayE":
+        e = F.exp(-c * a)
+        return (1 - e * (1 + c * a)) / (c * c), e, e * (1 - c * a)
+    return z * z / 2, one, one
+
+
 #: Residuals of a bracket that the driver sorts.
 FEW = 20_000
 
 
+def _residuals(rows: DataFrame, plan: Plan, betas: np.ndarray) -> DataFrame:
+    """|y - X beta| of each fit as r0, r1, ..: expressions of a numeric design, a kernel's columns of one with dummies."""
+    x = plan.plain()
+    if x is not None:
+        return rows.select(*[F.abs(_residual(x, b)).alias(f"r{i}") for i, b in enumerate(betas)])
+
+    def kernel(batches):
+        for whole in batches:
+            for batch in (whole.slice(i, BLOCK_ROWS) for i in range(0, whole.num_rows, BLOCK_ROWS)):
+                c = numpy_columns(batch)
+                r = np.abs(plan.outcomes(c)[:, :1] - plan.matrix(c) @ betas.T)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in r.T], [f"r{i}" for i in range(len(betas))])
+
+    return rows.mapInArrow(kernel, ", ".join(f"r{i} double" for i in range(len(betas))))
+
+
+def _residual(x: list[Column], beta: np.ndarray) -> Column:
+    out = F.col("y0")
+    for c, b in zip(x, beta, strict=True):
+        out = out - c * F.lit(float(b))
+    return out
+
+
+def _places(low: np.ndarray, high: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Brackets that differ, by their first rank, and which of them each rank has; both ranks of a fit mostly share theirs."""
+    places, of = [], []
+    for k in range(len(low)):
+        if not (k % 2 and low[k] == low[k - 1] and high[k] == high[k - 1]):
+            places.append(k)
+        of.append(len(places) - 1)
+    return places, np.array(of)
+
+
+def _counts(rows: DataFrame, values: list[Column], most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Place, value and count of all values of some Columns, nulls left out; None where there are over ``most``."""
+    if len(values) > 1:
+        rows = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(values)])).alias("c")).select("c.i", "c.v")
+    else:
+        rows = rows.select(F.lit(0).alias("i"), values[0].alias("v"))
+    found = rows.where("v is not null").groupBy("i", "v").agg(F.count("*").alias("n"))
+    got = (found if most is None else found.limit(most + 1)).toArrow()
+    return None if most is not None and got.num_rows > most else tuple(c.to_numpy() for c in got.columns)
+
+
 def _median_abs(rows: DataFrame, plan: Plan, beta: np.ndarray, n: float, near: float = 0.0, spread: float = 0.5, seen: dict | None = None) -> float:
     """Median of |y - X beta|."""
     return float(_medians_abs(rows, plan, beta[None, :], n, near, spread, seen)[0])
@@ -430,30 +497,24 @@ def _medians_abs(rows: DataFrame, plan: Plan, betas: np.ndarray, n: float, near:
     """Medians of |y - X beta| for several fits, by passes that count bins of shrinking brackets, for both middle ranks of all of them at once.
 
     The first bracket is ``near`` (one, or one for each fit) by ``spread`` on either side if the ranks lie in it, and powers of two otherwise. Of brackets
-    with FEW residuals at most, these are sorted in one pass. ``seen`` keeps how dense they lie, so that a later call knows which brackets hold few.
+    with FEW residuals at most, these are counted value by value in one pass. ``seen`` keeps how dense they lie, so that a later call knows which brackets hold few.
+    All counts are built-in aggregates; only a design with dummies takes its residuals from a kernel.
     """
     bins, m, seen = 4096, 2 * len(betas), {} if seen is None else seen
     ranks = np.tile([(n - 1) // 2, n // 2], len(betas))
     near = np.repeat(np.broadcast_to(near, len(betas)), 2)
-    resid = lambda c: np.abs(plan.outcomes(c)[:, :1] - plan.matrix(c) @ betas.T)
+    resid, r = _residuals(rows, plan, betas), [F.col(f"r{i}") for i in range(len(betas))]
 
     def closer(low, high):
         """The bins with the ranks, which were found, and how many residuals they hold; a rank outside its bracket keeps that."""
-        width = (high - low) / bins
-
-        def fine(c):
-            r = resid(c)
-            out = []
-            for k in range(m):
-                if k % 2 and low[k] == low[k - 1] and high[k] == high[k - 1]:
-                    out += out[-2:]
-                    continue
-                b = np.floor((r[:, k // 2] - low[k]) / width[k])
-                out += [[(b < 0).sum()], np.bincount(b[(b >= 0) & (b < bins)].astype(int), minlength=bins)]
-            return np.concatenate(out)
-
-        h = sum_rows(rows, fine).reshape(m, bins + 1)
-        below, total = h[:, 0], np.cumsum(h[:, 1:], axis=1) + h[:, :1]
+        width = np.maximum((high - low) / bins, 5e-324)
+        places, of = _places(low, high)
+        spans = [(r[k // 2] - F.lit(float(low[k]))) / F.lit(float(width[k])) for k in places]
+        h = np.zeros((len(places), bins + 2))
+        for i, v, count in zip(*_counts(resid, [F.floor(F.least(F.greatest(b, F.lit(-1.0)), F.lit(float(bins)))) for b in spans]), strict=True):
+            h[i, int(v) + 1] = count
+        h = h[of]
+        below, total = h[:, 0], np.cumsum(h[:, 1:-1], axis=1) + h[:, :1]
         found = (below <= ranks) & (total[:, -1] > ranks)
         at = np.array([int(np.searchsorted(total[k], ranks[k], side="right")) for k in range(m)])
         held = np.where(found, h[np.arange(m), np.minimum(at, bins - 1) + 1], np.inf)
@@ -462,31 +523,17 @@ def _medians_abs(rows: DataFrame, plan: Plan, betas: np.ndarray, n: float, near:
         return np.where(found, low + at * width, low), np.where(found, low + (at + 1) * width, high), found, held
 
     def among(low, high):
-        """The ranks' values in brackets of few residuals; NaN where a bracket misses its rank or holds more."""
-
-        def near_rows(batches):
-            below, inside = np.zeros(m), [[] for _ in range(m)]
-            for whole in batches:
-                for batch in (whole.slice(i, BLOCK_ROWS) for i in range(0, whole.num_rows, BLOCK_ROWS)):
-                    r = resid(numpy_columns(batch))
-                    for k in range(m):
-                        v = r[:, k // 2]
-                        below[k] += (v < low[k]).sum()
-                        if inside[k] is not None:
-                            inside[k].append(v[(v >= low[k]) & (v <= high[k])])
-                            if sum(map(len, inside[k])) > FEW:
-                                inside[k] = None
-                        if inside[k]:
-                            inside[k] = [np.concatenate(inside[k])]
-            raw = [None if v is None else np.concatenate([np.zeros(0), *v]).tobytes() for v in inside]
-            yield pa.RecordBatch.from_arrays([pa.array(range(m), pa.int32()), pa.array(below), pa.array(raw, pa.binary())], ["k", "below", "b"])
-
-        out, got = np.full(m, np.nan), rows.mapInArrow(near_rows, "k int, below double, b binary").collect()
-        for k in range(m):
-            mine = [r for r in got if r.k == k]
-            if all(r.b is not None for r in mine):
-                v, at = np.sort(np.concatenate([np.zeros(0), *(np.frombuffer(r.b) for r in mine)])), int(ranks[k] - sum(r.below for r in mine))
-                out[k] = v[at] if 0 <= at < len(v) else np.nan
+        """The ranks' values in brackets of few residuals; NaN where a bracket misses its rank, or where they hold more."""
+        places, of = _places(low, high)
+        got = _counts(resid, [F.when(r[k // 2] < float(low[k]), -1.0).when(r[k // 2] <= float(high[k]), r[k // 2]) for k in places], len(places) * (FEW + 1))
+        out = np.full(m, np.nan)
+        if got is not None:
+            for k in range(m):
+                mine = got[0] == of[k]
+                order = np.argsort(got[1][mine])
+                v, upto = got[1][mine][order], np.cumsum(got[2][mine][order])
+                at = int(np.searchsorted(upto, ranks[k], side="right"))
+                out[k] = v[at] if at < len(v) and v[at] >= 0 else np.nan
         return out
 
     if (near > 0).all() and "density" in seen:
@@ -500,12 +547,17 @@ def _medians_abs(rows: DataFrame, plan: Plan, betas: np.ndarray, n: float, near:
     low, high, found, held = closer(near * (1 - spread), near * (1 + spread)) if (near > 0).all() else (None, None, np.zeros(m, bool), None)
     if not found.all():
 
-        def count(c):  # powers of two first
-            e = np.clip(np.floor(np.log2(np.maximum(resid(c), 1e-300))).astype(int) + 1024, 0, 2047)
-            return np.concatenate([np.bincount(e[:, k], minlength=2048) for k in range(len(betas))])
-
-        each = np.repeat(sum_rows(rows, count).reshape(-1, 2048), 2, axis=0)
-        at = np.array([int(np.searchsorted(u, r, side="right")) for u, r in zip(np.cumsum(each, axis=1), ranks, strict=True)])
+        powers = []  # of two first
+        for c in r:
+            v = F.greatest(c, F.lit(1e-300))
+            e = F.floor(F.least(F.log2(v), F.lit(1023.0)))
+            one = v * F.pow(F.lit(2.0), -e)  # from 1 to 2, but that logarithms round
+            powers.append(e + F.when(one >= 2, 1).when(one < 1, -1).otherwise(0))
+        each = np.zeros((len(betas), 2048))
+        for i, v, count in zip(*_counts(resid, powers), strict=True):
+            each[i, min(max(int(v) + 1024, 0), 2047)] += count
+        each = np.repeat(each, 2, axis=0)
+        at = np.array([int(np.searchsorted(u, rank, side="right")) for u, rank in zip(np.cumsum(each, axis=1), ranks, strict=True)])
         low, high, held = np.where(at > 0, 2.0 ** (at - 1024.0), 0.0), 2.0 ** (at - 1023.0), each[np.arange(m), at]
     for _ in range(5):
         if (high - low < 1e-13 * np.maximum(high, 1e-300)).all():
@@ -531,6 +583,71 @@ def _rises(xwx: np.ndarray, xdx: np.ndarray) -> bool:
     return bool(np.linalg.eigvalsh(inner @ (xdx / np.outer(d, d)) @ inner.T)[0] >= 0.1)
 
 
+#: Columns of a numeric design up to which robust fits add up built-in sums; wider ones and dummies take the kernel.
+BUILT_IN = 8
+
+
+def _robust_step(rows: DataFrame, plan: Plan, norm: str, beta: np.ndarray | None, s: float | None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, X'WX, X'DX and X'Wy with the weights and slopes of residuals over ``s``; without ``beta``, of least squares."""
+    k, x = len(plan.names), plan.plain()
+    if x is not None and k <= BUILT_IN:
+        _, weight, slope = _psi_columns(norm, F.col("_r") / F.lit(float(s))) if beta is not None else (None, F.lit(1.0), F.lit(0.0))
+        known = rows.select(*[c.alias(f"_x{i}") for i, c in enumerate(x)], "w", _residual(x, np.zeros(k) if beta is None else beta).alias("_r"))
+        known = known.select(*[f"_x{i}" for i in range(k)], "_r", (F.col("w") * weight).alias("_w"), (F.col("w") * slope).alias("_d"))
+        xs = [F.col(f"_x{i}") for i in range(k)]
+        t = sum_columns(known, [F.lit(1.0), *_products(xs, F.col("_w")), *_products(xs, F.col("_d")), *[c * F.col("_w") * F.col("_r") for c in xs]])
+        half = k * (k + 1) // 2
+        xwx, xdx, xwr = _symmetric(t[1 : 1 + half], k), _symmetric(t[1 + half : 1 + 2 * half], k), t[1 + 2 * half :]
+        return t[0], xwx, xdx, xwr if beta is None else xwr + xwx @ beta  # scores cancel as they add up, and round less than X'Wy
+
+    def step(c):
+        x, y, w = plan.matrix(c), plan.outcomes(c)[:, 0], c["w"]
+        d = np.zeros_like(w)
+        if beta is not None:
+            _, weight, slope = _psi(norm, (y - x @ beta) / s)
+            w, d = w * weight, w * slope
+        xw = x * w[:, None]
+        return np.concatenate([[len(x)], (x.T @ xw).ravel(), (x.T @ (x * d[:, None])).ravel(), xw.T @ y])
+
+    t = sum_rows(rows, step)
+    if not len(t):
+        raise ValueError("no valid rows")
+    return t[0], t[1 : 1 + k * k].reshape(k, k), t[1 + k * k : 1 + 2 * k * k].reshape(k, k), t[1 + 2 * k * k :]
+
+
+def _robust_last(rows: DataFrame, plan: Plan, norm: str, beta: np.ndarray, s: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of rho, psi^2, psi' and psi'^2; X'X, X'DX and that of the scores."""
+    k, x = len(plan.names), plan.plain()
+    if x is not None and k <= BUILT_IN:
+        rho, weight, slope = _psi_columns(norm, F.col("_z"))
+        known = rows.select(*[c.alias(f"_x{i}") for i, c in enumerate(x)], (_residual(x, beta) / F.lit(float(s))).alias("_z"))
+        known = known.select(*[f"_x{i}" for i in range(k)], rho.alias("_rho"), (weight * F.col("_z")).alias("_psi"), slope.alias("_d"))
+        xs, psi, d = [F.col(f"_x{i}") for i in range(k)], F.col("_psi"), F.col("_d")
+        t = sum_columns(known, [F.col("_rho"), psi * psi, d, d * d, *_products(xs, F.lit(1.0)), *_products(xs, d), *_products(xs, psi * psi)])
+        return t[:4], *(_symmetric(v, k) for v in t[4:].reshape(3, -1))
+
+    def final(c):
+        x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
+        z = (y - x @ beta) / s
+        rho, w, d = _psi(norm, z)
+        psi = w * z
+        return np.concatenate([[rho.sum(), (psi * psi).sum(), d.sum(), (d * d).sum()], (x.T @ x).ravel(), (x.T @ (x * d[:, None])).ravel(), ((x * psi[:, None]).T @ (x * psi[:, None])).ravel()])
+
+    t = sum_rows(rows, final)
+    return t[:4], *t[4:].reshape(3, k, k)
+
+
+def _products(x: list[Column], w: Column) -> list[Column]:
+    """Upper half of x x' w."""
+    return [x[i] * x[j] * w for i in range(len(x)) for j in range(i, len(x))]
+
+
+def _symmetric(half: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros((k, k))
+    out[np.triu_indices(k)] = half
+    return out + np.triu(out, 1).T
+
+
 def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1", scale: float | None = None, max_iter: int = 50, tol: float = 1e-6) -> Fit:
     """M-estimation by IRLS with the MAD scale of each step, from counting passes over a cached projection.
 
@@ -545,24 +662,16 @@ def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1
         moved = centred(rows, plan)
         plan = moved.plan
         for iteration in range(max_iter):
-
-            def step(c, beta=beta, s=s):
-                x, y, w = plan.matrix(c), plan.outcomes(c)[:, 0], c["w"]
-                d = np.zeros_like(w)
-                if beta is not None:
-                    _, weight, slope = _psi(norm, (y - x @ beta) / s)
-                    w, d = w * weight, w * slope
-                xw = x * w[:, None]
-                return np.concatenate([[len(x)], (x.T @ xw).ravel(), (x.T @ (x * d[:, None])).ravel(), xw.T @ y])
-
-            t = sum_rows(rows, step)
-            n, xwx, xdx = t[0], t[1 : 1 + k * k].reshape(k, k), t[1 + k * k : 1 + 2 * k * k].reshape(k, k)
-            new, _ = solve_scaled(xwx, t[1 + 2 * k * k :])
+            n, xwx, xdx, xwy = _robust_step(rows, plan, norm, beta, s)
+            if not n:
+                raise ValueError("no valid rows")
+            new, _ = solve_scaled(xwx, xwy)
             newton = beta is not None and fast and _rises(xwx, xdx) and math.sqrt(max((new - beta) @ xwx @ (new - beta), 0.0) / n) < 0.1 * s
             if newton:
                 new = beta + solve_scaled(xdx, xwx @ (new - beta))[0]
             last, change = change, np.max(np.abs(new - beta) / np.maximum(1, np.abs(new))) if beta is not None else math.inf
             fast = fast and not (newton and change > last / 2)
+            rounding = beta is not None and change >= last and math.sqrt(max((new - beta) @ xwx @ (new - beta), 0.0)) < ROUNDING * s
             beta = new
             if scale is None:
                 before, median = median, _median_abs(rows, plan, beta, n, median, spread, seen)
@@ -570,20 +679,11 @@ def rlm(df: DataFrame, design: Design, norm: str = "HuberT", cov_type: str = "H1
                 s = median / special.norm_ppf(0.75)
                 if s <= 0:
                     raise ValueError("more than half of the residuals are 0: there is no scale")
-            if change < tol:
+            if change < tol or rounding:
                 break
-
-        def final(c):
-            x, y = plan.matrix(c), plan.outcomes(c)[:, 0]
-            z = (y - x @ beta) / s
-            rho, w, d = _psi(norm, z)
-            psi = w * z
-            return np.concatenate([[rho.sum(), (psi * psi).sum(), d.sum(), (d * d).sum()], (x.T @ x).ravel(), (x.T @ (x * d[:, None])).ravel(), ((x * psi[:, None]).T @ (x * psi[:, None])).ravel()])
-
-        t = sum_rows(rows, final)
+        t, xx, xdx, meat = _robust_last(rows, plan, norm, beta, s)
     finally:
         rows.unpersist()
-    xx, xdx, meat = (t[4 + i * k * k : 4 + (i + 1) * k * k].reshape(k, k) for i in range(3))
     m, var = t[2] / n, t[3] / n - (t[2] / n) ** 2
     kk, dfr = 1 + k / n * var / (m * m), n - k
     inv = solve_scaled(xx, np.zeros(k))[1]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of one kernel call; bounds the dense block of a design.
@@ -51,6 +51,11 @@ def sum_rows(df: DataFrame, kernel: Callable[[dict[str, np.ndarray]], np.ndarray
     return add_pieces(df, partial)
 
 
+def sum_columns(df: DataFrame, columns: list[Column]) -> np.ndarray:
+    """Sums of a few Columns as one built-in aggregate: rows of plain numbers needn't leave the JVM, which a kernel's must. 0 of an empty table."""
+    return np.array([v or 0.0 for v in df.agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()], float)
+
+
 def add_rows(df: DataFrame, length: int, kernel: Callable[[dict[str, np.ndarray], np.ndarray], None]) -> np.ndarray:
     """The same for long sums of which a batch touches few numbers: ``kernel(columns, total)`` adds to its task's total in place.
 

@@ -1,11 +1,12 @@
 """Iterative fits end where they are as near as rounding lets them come, in few passes."""
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
 from gramlake.operators import aggregates, checkloss, irls
-from gramlake.operators.terms import Design, num
+from gramlake.operators.terms import Design, cat, num
 
 
 def test_steps_of_rounding_end_a_fit(spark):
@@ -88,3 +89,44 @@ def test_quantiles_between_two_values_share_passes(spark):
     for v in (rng.normal(size=1000), np.repeat([1.0, 2.0], 50), np.array([3.0, 3.0]), np.array([1.0, 5.0]), np.exp(rng.normal(0, 9, 501))):
         frame = spark.createDataFrame([(float(a),) for a in v], "v double")
         assert np.isclose(aggregates.exact_quantile(frame, F.col("v"), 0.5, 4, 3), np.quantile(v, 0.5), rtol=1e-12)
+
+
+def test_robust_fits_of_numbers_add_up_built_in_sums(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    n = 1_501
+    x, z, g = rng.normal(size=n) + 5, rng.normal(size=n), rng.integers(0, 3, n)
+    y = 1 + 2 * x - z + 0.5 * g + rng.standard_t(3, n)
+    frame = spark.createDataFrame([(float(a), float(b), str(c), float(c == 1), float(c == 2), float(1 + i % 3), float(v)) for i, (a, b, c, v) in enumerate(zip(x, z, g, y, strict=True))], "x double, z double, g string, g1 double, g2 double, h double, y double").repartition(3).persist()
+    passes, plain = [], irls.sum_rows
+    monkeypatch.setattr(irls, "sum_rows", lambda rows, kernel: passes.append(kernel) or plain(rows, kernel))
+    numbers = Design(["y"], [num("x"), num("z"), num("g1"), num("g2")], weights="h")
+    for norm in ("HuberT", "TukeyBiweight", "TrimmedMean", "AndrewWave", "RamsayE", "LeastSquares"):
+        passes.clear()
+        fit = irls.rlm(frame, numbers, norm, tol=1e-9)
+        assert not passes
+        with monkeypatch.context() as m:
+            m.setattr(irls, "BUILT_IN", 0)
+            others = [irls.rlm(frame, numbers, norm, tol=1e-9)]
+        if norm == "HuberT":
+            others.append(irls.rlm(frame, Design(["y"], [num("x"), num("z"), cat("g")], weights="h"), norm, tol=1e-9))
+        assert passes
+        for other in others:
+            assert np.allclose(fit.params, other.params, rtol=1e-7) and np.isclose(fit.stats["scale"], other.stats["scale"], rtol=1e-7) and np.isclose(fit.stats["cost"], other.stats["cost"], rtol=1e-7)
+            assert all(np.allclose(v, other.covariances[kind], rtol=1e-6) for kind, v in fit.covariances.items())
+    with pytest.raises(ValueError, match="no valid rows"):
+        irls.rlm(frame.where("x > 99"), numbers)
+
+
+def test_steps_of_rounding_end_a_robust_fit(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=1000)
+    frame = spark.createDataFrame([(float(a), float(1000 + 2 * a + b)) for a, b in zip(x, rng.standard_t(3, 1000), strict=True)], "x double, y double").repartition(2).persist()
+    fit, near = irls.rlm(frame, Design(["y"], [num("x")]), "TukeyBiweight", tol=0.0), irls.rlm(frame, Design(["y"], [num("x")]), "TukeyBiweight", tol=1e-11)
+    assert fit.stats["converged"] and fit.stats["iterations"] < 20 and np.allclose(fit.params, near.params, rtol=1e-10)
+
+
+def test_medians_at_powers_of_two(spark):
+    for power in (-200, -3, 29, 31, 1000):
+        y = np.array([0.0, 0.5, 1.0, 1.0, 1.0, 1.5, 7.0]) * 2.0**power
+        rows = spark.createDataFrame([(float(v), 1.0) for v in y], "y0 double, w double").repartition(2)
+        assert irls._medians_abs(rows, Design(["y0"], []).fit(rows), np.array([[0.0]]), len(y))[0] == 2.0**power
